@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from fibra.llm import ngram_join
+from fibra.llm import language_id, ngram_join, sharding
 
 QUERIES = {
+    "op5_sharding": sharding.op5_sharding,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
+    "op8_language_id": language_id.op8_language_id,
 }
 
 ORACLES = {
