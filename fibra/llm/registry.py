@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from fibra.llm import language_id, ngram_join, sharding
+from fibra.llm import language_id, ngram_join, quality_rules, sharding, token_file
 
 QUERIES = {
+    "op3_token_file": token_file.op3_token_file,
     "op5_sharding": sharding.op5_sharding,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
     "op8_language_id": language_id.op8_language_id,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
 ORACLES = {
