@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,8 @@ HASHES = 4
 BLOCK = 768
 HUBS = 48
 FREQ_BITS = 18
+#: Bits of the map that tells which documents' sets are asked for.
+WANTED_BITS = 20
 #: Points of a shingle's list that one task joins at a time; longer lists are dealt in pairs of chunks.
 LIST_CHUNK = 8192
 FAN = 16
@@ -273,50 +276,78 @@ def _joined_blocks(t100: int):
     return run
 
 
+def _fitting(n: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.ndarray, t100: int) -> np.ndarray:
+    """Which pairs of points pass the length filter and the bound by coordinate minima."""
+    ok = (100 * n[i] >= t100 * n[j]) & (100 * n[j] >= t100 * n[i])
+    at = np.flatnonzero(ok)
+    ok[at] = (100 + t100) * np.minimum(counts[i[at]], counts[j[at]]).sum(1) >= t100 * (n[i[at]] + n[j[at]])
+    return ok
+
+
 def _candidates(t100: int):
-    """Of (token, half, comp, key, n, point, blocks) rows sorted by token: pairs still to be verified."""
+    """Of (part, side, comp, key, n, point, blocks) rows sorted by part: pairs still to be verified.
+
+    Lists of up to ``FAN`` points are single leaves and joined all at once, longer ones through a tree.
+    """
+
+    def pairs(n, counts, cuts):
+        size = np.diff(cuts)
+        for m in range(2, FAN + 1):
+            i, j = np.triu_indices(m, 1)
+            start = cuts[:-1][size == m]
+            for s in range(0, len(start), 4096):
+                a = (start[s : s + 4096, None] + i).ravel()
+                b = (start[s : s + 4096, None] + j).ravel()
+                ok = _fitting(n, counts, a, b, t100)
+                yield a[ok], b[ok]
+        for s, e in zip(cuts[:-1][size > FAN], cuts[1:][size > FAN]):
+            for i, j in rtree_pairs(n[s:e], counts[s:e], t100):
+                yield i + s, j + s
 
     def run(batches):
         for t in _runs(batches, "part"):
             part, comp, key, n, side = (t[c].to_numpy() for c in ("part", "comp", "key", "n", "side"))
             counts = _upper(np.frombuffer(b"".join(t["point"].to_pylist()), np.uint8).reshape(-1, GROUPS))
-            blocks = np.array(t["blocks"].to_pylist(), np.int64).reshape(len(key), -1)
+            blocks = pc.list_flatten(t["blocks"]).to_numpy().reshape(len(key), HASHES)
             cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                if (comp[s:e] == comp[s]).all():
-                    continue
-                for i, j in rtree_pairs(n[s:e], counts[s:e], t100):
-                    i, j = i + s, j + s
-                    ok = (comp[i] != comp[j]) & ((side[i] == 2) | (side[i] != side[j]))
-                    i, j = i[ok], j[ok]
-                    ok = ~((blocks[i] == blocks[j]) & (blocks[i] != 0)).any(1)
-                    a, b = key[i[ok]], key[j[ok]]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            for i, j in pairs(n, counts, cuts):
+                ok = (comp[i] != comp[j]) & ((side[i] == 2) | (side[i] != side[j]))
+                i, j = i[ok], j[ok]
+                ok = ~((blocks[i] == blocks[j]) & (blocks[i] != 0)).any(1)
+                i, j = i[ok], j[ok]
+                i, j = np.where(key[i] < key[j], i, j), np.where(key[i] < key[j], j, i)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(key[j]), pa.array(n[i]), pa.array(n[j])], ["a", "b", "n_a", "n_b"])
 
     return run
 
 
-def _with_tokens(k: int):
-    """(text, key, n, point, blocks) rows to (key, n, point, tokens, blocks), where the text has that key."""
+def _named_sets(k: int, bits):
+    """(doc_id, text) rows to (key, tokens), of rows whose doc_id may be wanted."""
 
     def run(batches):
         for batch in batches:
-            want = batch["key"].to_numpy()
-            for lo, hi, values, row in shingle_sets(batch["text"], k):
-                rows = hi - lo
-                ok = np.flatnonzero(_fingerprints(values, row, rows).view(np.int64) == want[lo:hi])
-                tokens = T.lists(values.view(np.int64), row, rows, pa.int64())
-                part = batch.slice(lo, rows).select(["key", "n", "point", "blocks"]).take(pa.array(ok))
-                yield pa.RecordBatch.from_arrays([*part.columns, tokens.take(pa.array(ok))], ["key", "n", "point", "blocks", "tokens"])
+            ids = batch["doc_id"].fill_null(0).to_numpy().view(T.U64)
+            keep = pa.array(bits.value[((ids ^ (ids >> T.U64(WANTED_BITS))) & T.U64((1 << WANTED_BITS) - 1)).astype(np.int64)])
+            for lo, hi, values, row in shingle_sets(batch["text"].filter(keep), k):
+                key = _fingerprints(values, row, hi - lo).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), T.lists(values.view(np.int64), row, hi - lo, pa.int64())], ["key", "tokens"])
 
     return run
 
 
-def _sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """The shingles of the named classes, each from its representative's text."""
-    rows = docs.select("doc_id", "text").join(classes.withColumnRenamed("rep", "doc_id"), "doc_id")
-    return rows.select("text", "key", "n", "point", "blocks").mapInArrow(_with_tokens(k), "key long, n long, point binary, blocks array<long>, tokens array<long>")
+def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """(key, tokens) of the documents whose doc_id is a ``rep`` of ``reps``, and of a few others.
+
+    Only a bitmap of fixed size goes to the tasks: it spares most other documents the way, the
+    join by key that follows decides.
+    """
+    rep = F.coalesce("rep", F.lit(0).cast("long"))
+    bucket = rep.bitwiseXOR(F.shiftrightunsigned(rep, WANTED_BITS)).bitwiseAND((1 << WANTED_BITS) - 1)
+    bits = np.zeros(1 << WANTED_BITS, bool)
+    bits[reps.select(bucket.cast("int").alias("bucket")).distinct().toArrow()["bucket"].to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return docs.select("doc_id", "text").mapInArrow(_named_sets(k, shared), "key long, tokens array<long>")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
@@ -355,8 +386,8 @@ def jaccard_links(docs: DataFrame, described_: DataFrame, k: int = 5, t100: int
     placed = placed.select("key", own.alias("own"), F.when(hub, F.transform(F.sequence(F.lit(0), F.col("ways") - 1), lambda s: F.xxhash64("group", s))).otherwise(F.array(own)).alias("to"))
     placed = placed.groupBy("key").agg(F.collect_list("own").alias("blocks"), F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
     placed = frozen(classes.join(placed, "key", "left").select("key", "n", "rep", "point", F.slice(F.concat(F.coalesce("blocks", F.array().cast("array<long>")), F.array_repeat(F.lit(0).cast("long"), HASHES)), 1, HASHES).alias("blocks"), "to"))
-    sets = _sets(docs, placed.where("to is not null").select("rep", "key", "n", "point", F.col("to").alias("blocks")), k)
-    sets = sets.select(F.explode("blocks").alias("block"), "key", "n", "point", "tokens")
+    asked = placed.where("to is not null").select("rep", "key", "n", "point", "to")
+    sets = asked.join(_sets(docs, asked, k), "key").select(F.explode("to").alias("block"), "key", "n", "point", "tokens")
     packed = frozen(sets.repartition("block").sortWithinPartitions("block").mapInArrow(_joined_blocks(t100), "a long, b long"))
 
     # completion
@@ -377,12 +408,16 @@ def jaccard_links(docs: DataFrame, described_: DataFrame, k: int = 5, t100: int
         F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"),
         "comp", "key", "n", "point", "blocks",
     )
-    pairs = frozen(open_.repartition("part").sortWithinPartitions("part").mapInArrow(_candidates(t100), "a long, b long").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = _sets(docs, placed.drop("to").join(wanted, "key"), k).select("key", "n", "tokens")
-    sets = sets.dropDuplicates(["key"])
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
+    pairs = open_.repartition("part").sortWithinPartitions("part").mapInArrow(_candidates(t100), "a long, b long, n_a long, n_b long")
+    # positional filter: what both prefixes share, and all of what follows one of them, bound the overlap
+    rest = lambda n: F.floor((F.col(n) * t100 + 99) / 100).cast("long") - 1
+    shared = F.count("*") + F.greatest(rest("n_a"), rest("n_b"))
+    pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(shared.alias("most")).where((100 + t100) * F.col("most") >= t100 * (F.col("n_a") + F.col("n_b")))
+    pairs = frozen(pairs.drop("most"))
+    wanted = placed.select("key", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key")
+    sets = frozen(wanted.select("key").join(_sets(docs, wanted, k), "key").dropDuplicates(["key"]))
+    left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("t_a"))
+    right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("t_b"))
     both = F.size(F.array_intersect("t_a", "t_b"))
     checked = pairs.join(left, "a").join(right, "b").where(100 * both >= t100 * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
     return packed.unionByName(checked)
