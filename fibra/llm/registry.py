@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from fibra.llm import language_id, ngram_join, quality_rules, sharding, token_file
+from fibra.llm import decontamination, language_id, ngram_join, quality_rules, sharding, token_file, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op3_token_file": token_file.op3_token_file,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
     "op8_language_id": language_id.op8_language_id,
