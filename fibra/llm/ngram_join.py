@@ -43,9 +43,9 @@ from pyspark.sql import functions as F
 from fibra.llm import _text as T
 from fibra.llm._spark import frozen, table
 
-GROUPS = 16
-HASHES = 4
-BLOCK = 768
+GROUPS = 64
+HASHES = 5
+BLOCK = 1536
 HUBS = 48
 FREQ_BITS = 18
 #: Bits of the map that tells which documents' sets are asked for.

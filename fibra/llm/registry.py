@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fibra.llm import decontamination, language_id, ngram_join, quality_rules, sharding, token_file, toxicity
+from fibra.llm import decontamination, language_id, lm_scoring, mixing, ngram_join, quality_rules, sharding, token_file, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -10,8 +10,10 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
+    "op7_lm_scoring": lm_scoring.op7_lm_scoring,
     "op8_language_id": language_id.op8_language_id,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
