@@ -1,8 +1,66 @@
-"""Placeholder of the corpus pipeline's stages."""
+"""The corpus pipeline: five stages from documents to shards.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of documents.  ``run`` writes what a stage returns as Parquet into the shared folder and
+gives it to the next one, so a lost executor costs a part of one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fibra.llm import decontamination, language_id, mixing, ngram_join, sharding
+from fibra.llm._spark import table, written
+
+#: A text whose best language has no more than this share of the evidence is in no learned language.
+LEAST_SCORE = 0.26
+SHARDS = 8
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps texts in a learned language; texts without letters and texts like none of them go."""
+    model = language_id.train_filter(docs)
+    out = language_id.predict_language(docs, model, tuple(docs.columns))
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") > LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of documents linked by 5-word shingles, Jaccard 0.75."""
+    return ngram_join.one_of_each(docs).select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that hold no benchmark item."""
+    return decontamination.without_matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents by their rate, so that domains meet their target weights."""
+    return mixing.mix(docs, table(spark, sf_dir, "labels"))
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds size, text_crc32, law, shard, grown_shard and slot."""
+    return sharding.number_slots(sharding.assign_shards(sharding.sized(docs), SHARDS), SHARDS)
+
+
+STAGES = [
+    ("language_id", by_language),
+    ("ngram_jaccard", near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", target_weights),
+    ("sharding", shards),
+]
+
+#: Learned models decide in two stages: tests hold the stages against brute-force versions instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
+    return docs

@@ -434,6 +434,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, t100: int = 75) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, t100: int = 75) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one stays of each component: the smallest doc_id.
+
+    Rows without a doc_id all stay; of rows that repeat a doc_id and a text one stays.
+    """
+    groups = jaccard_components(docs.where("doc_id is not null"), k, t100)
+    stay = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
+    once = docs.join(stay.where("times = 1"), "doc_id", "left_semi")
+    more = docs.join(stay.where("times > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(more).unionByName(docs.where("doc_id is null"))
+
+
 #: The same rows by plain SQL: shared shingles are counted for all pairs, links are closed recursively.
 ORACLE = r"""
 WITH RECURSIVE d AS (

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fibra.llm import decontamination, language_id, lm_scoring, mixing, ngram_join, quality_rules, sharding, token_file, toxicity
+from fibra.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, ngram_join, quality_rules, sharding, token_file, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_token_file": token_file.op3_token_file,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_line_dedup": line_dedup.ORACLE,
     "op6_ngram_jaccard": ngram_join.ORACLE,
 }

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fibra.llm._spark import frozen, table
+from fibra.llm._spark import table, written
 
 #: Fixed values of the published algorithm: multiplier of its generator, and the increment 1.
 MULTIPLIER = 2862933555777941757
@@ -80,10 +80,10 @@ def assign_shards(df: DataFrame, shards: int = 8, key: str = "doc_id") -> DataFr
 
 
 def number_slots(df: DataFrame, shards: int) -> DataFrame:
-    """``df`` (with shard), and slot: 0, 1, ... within each shard. The rows are frozen first."""
+    """``df`` (with shard), and slot: 0, 1, ... within each shard. The rows are written to the shared folder first."""
     buckets = max(1, STARTS // shards)
     spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
-    rows = frozen(df.withColumn("_bucket", spread))
+    rows = written(df.withColumn("_bucket", spread))
     sizes = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
