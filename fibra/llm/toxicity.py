@@ -40,7 +40,8 @@ from fibra.llm._spark import crc_of, table
 ORDER = 3
 DECAY = 0.7
 MAX_SPAN = 7
-LANDMARKS = 96
+LANDMARKS = 192
+UNLIKE = 0.6
 SAMPLE_TOXIC = 2000
 SAMPLE_CLEAN = 4000
 ROUNDS = 4
@@ -120,13 +121,18 @@ def _as_spans(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), end - size, end
 
 
-def kernel_to(landmarks: np.ndarray, owner: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Kernel values of n spans to the landmarks, given as rows over all subsequences."""
-    out = np.zeros((n, len(landmarks)))
-    for s in range(0, len(landmarks), 16):
-        part = landmarks[s : s + 16, code] * weight
-        for k, row in enumerate(part):
-            out[:, s + k] = np.bincount(owner, weights=row, minlength=n)
+#: Spans whose subsequences are held at a time.
+CHUNK = 4096
+
+
+def kernel_to(landmarks: np.ndarray, words: list[str]) -> np.ndarray:
+    """Kernel values of words to the landmarks, given as rows over all subsequences."""
+    out = np.zeros((len(words), len(landmarks)))
+    for at in range(0, len(words), CHUNK):
+        part = words[at : at + CHUNK]
+        owner, code, weight = normalised(*_as_spans(part))
+        for k, row in enumerate(landmarks):
+            out[at : at + CHUNK, k] = np.bincount(owner, weights=row[code] * weight, minlength=len(part))
     return out
 
 
@@ -183,37 +189,48 @@ def fit(words: list[str], doc: np.ndarray, word: np.ndarray, toxic: np.ndarray)
     y = toxic.astype(bool)
     if not len(words) or y.all() or not y.any():
         return ToxicityModel(np.zeros(TABLE), 0.0, 0.0, 0.0, False)
-    buf, start, end = _as_spans(words)
-    owner, code, weight = normalised(buf, start, end)
+    # near copies would make their words look telling: of documents with an equal min-hash one is counted
+    low = np.full(len(y), np.iinfo(np.uint64).max, T.U64)
+    np.minimum.at(low, doc, T.mix(word.astype(T.U64) + T.U64(12345)))
+    first = np.zeros(len(y), bool)
+    first[np.unique(low, return_index=True)[1]] = True
+    doc, word = doc[first[doc]], word[first[doc]]
+    number = np.cumsum(first) - 1
+    doc, y = number[doc], y[first]
+    if y.all() or not y.any():
+        return ToxicityModel(np.zeros(TABLE), 0.0, 0.0, 0.0, False)
     bad = np.bincount(word, weights=y[doc], minlength=len(words))
     all_ = np.bincount(word, minlength=len(words))
     good = all_ - bad
     odds = np.log((bad + 0.1) / (y.sum() + 1)) - np.log((good + 0.5) / ((~y).sum() + 1))
     odds[all_ < 3] = -9
     vectors = np.zeros((LANDMARKS, TABLE), np.float32)
-    # landmarks: words that tell most, if unlike those taken before; a quarter are common clean words
     taken = 0
-    cuts = np.searchsorted(owner, np.arange(len(words) + 1))
-    useful = np.where(cuts[1:] - cuts[:-1] > 0, odds + 0.05 * np.log1p(all_), -99)
-    for w in np.argsort(-useful, kind="stable")[:5000]:
-        c, v = code[cuts[w] : cuts[w + 1]], weight[cuts[w] : cuts[w + 1]]
-        if taken < LANDMARKS * 3 // 4 and useful[w] > 0 and (taken == 0 or (vectors[:taken, c] @ v).max() < 0.8):
-            vectors[taken, c] = v
-            taken += 1
-    for w in np.argsort(np.where(odds < 0, -all_, 0), kind="stable")[:2000]:
-        c, v = code[cuts[w] : cuts[w + 1]], weight[cuts[w] : cuts[w + 1]]
-        if taken < LANDMARKS and len(c) and (taken == 0 or (vectors[:taken, c] @ v).max() < 0.8):
-            vectors[taken, c] = v
-            taken += 1
+
+    def take(candidates: np.ndarray, most: int) -> None:
+        """Landmarks from the candidates, in order, if unlike those taken before."""
+        nonlocal taken
+        owner, code, weight = normalised(*_as_spans([words[w] for w in candidates]))
+        cuts = np.searchsorted(owner, np.arange(len(candidates) + 1))
+        for i in range(len(candidates)):
+            c, v = code[cuts[i] : cuts[i + 1]], weight[cuts[i] : cuts[i + 1]]
+            if taken < most and len(c) and (taken == 0 or (vectors[:taken, c] @ v).max() < UNLIKE):
+                vectors[taken, c] = v
+                taken += 1
+
+    # words that tell most, and a quarter of common clean ones
+    useful = odds + 0.05 * np.log1p(all_)
+    telling_first = np.argsort(-useful, kind="stable")[:3000]
+    take(telling_first[useful[telling_first] > 0], LANDMARKS * 3 // 4)
+    take(np.argsort(np.where(odds < 0, -all_, 0), kind="stable")[:1000], LANDMARKS)
     vectors = vectors[:taken]
     own = vectors.astype(float) @ vectors.T.astype(float)
     value, basis = np.linalg.eigh(own + 1e-8 * np.eye(taken))
     root = basis @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ basis.T
-    table_of = lambda w: (root @ w) @ vectors
     # witnesses: of each toxic document its strongest span, and all spans that are hardly met elsewhere
     telling = np.flatnonzero((bad >= 4) & (bad >= 9 * good))
     decision = odds
-    model = None
+    model = ToxicityModel(np.zeros(TABLE), 0.0, 1.0, 0.0, True)
     for _ in range(ROUNDS):
         order = np.lexsort((-decision[word], doc))
         d, w = doc[order], word[order]
@@ -224,15 +241,12 @@ def fit(words: list[str], doc: np.ndarray, word: np.ndarray, toxic: np.ndarray)
         some = np.flatnonzero((good > 0) & (T.mix(np.arange(len(words)).astype(T.U64)) % T.U64(max(1, len(words) // 6000)) == 0))
         clean = np.setdiff1d(np.union1d(hard, some), witness)
         chosen = np.concatenate((witness, clean))
-        slot = np.full(len(words), -1)
-        slot[chosen] = np.arange(len(chosen))
-        mine = slot[owner] >= 0
-        k = kernel_to(vectors, slot[owner[mine]], code[mine], weight[mine], len(chosen))
+        k = kernel_to(vectors, [words[i] for i in chosen])
         label = np.where(np.arange(len(chosen)) < len(witness), 1.0, -1.0)
-        times = np.where(label > 0, np.maximum(1, bad[chosen]) ** 0.5, np.maximum(1, good[chosen]) ** 0.5)
+        times = np.where(label > 0, np.maximum(1, bad[chosen]), np.maximum(1, good[chosen])) ** 0.5
         w_, b_ = _svm(k @ root, label, times / times.mean())
-        model = ToxicityModel(table_of(w_), b_, 1.0, 0.0, True)
-        decision = np.bincount(owner, weights=weight * model.weights[code], minlength=len(words)) + b_
+        model = ToxicityModel((root @ w_) @ vectors, b_, 1.0, 0.0, True)
+        decision = np.concatenate([model.decide(*_as_spans(words[s : s + CHUNK])) for s in range(0, len(words), CHUNK)])
     strongest = np.full(len(y), model.bias)
     np.maximum.at(strongest, doc, decision[word])
     model.slope, model.offset = _platt(strongest, y.astype(float))
@@ -298,8 +312,8 @@ class _Scorer:
         if len(new):
             first = np.zeros(len(hashes), np.int64)
             first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-            for s in range(0, len(new), 16384):
-                some = new[s : s + 16384]
+            for s in range(0, len(new), CHUNK):
+                some = new[s : s + CHUNK]
                 value[some] = self.model.decide(buf, start[first[some]], end[first[some]])
             self.hash[slot[new]], self.value[slot[new]] = hashes[new], value[new]
         np.maximum.at(out, row, value[which])
