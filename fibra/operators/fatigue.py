@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from fibra.functions.spectra import frequency_grid, window_map, window_power, windows
 from fibra.functions.stats import t_two_sided
@@ -56,7 +57,7 @@ def spectral_moments(samples: DataFrame, sr: float, window_sec: float = 1.0, ove
     return out.select(*KEYS, (F.col("k") + 1).alias("window"), "m0", "m1", "m2")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _p_value(slope, sxx, sse, syy, n):
     eps = np.finfo(float).eps
 

@@ -51,7 +51,10 @@ def velocity_xcorr(samples: DataFrame, sr: float, pairs: list[tuple[int, int]],
 
 
 def velocity_phase(samples: DataFrame, sr: float, pairs: list[tuple[int, int]], ied_mm: float | list[float], band: tuple[float, float] = (20, 250), assay: str = "raw", n_channels: int | None = None) -> DataFrame:
-    """Delay from the slope of the cross-spectrum's phase in a band, weighted by its magnitude."""
+    """Delay from the slope of the cross-spectrum's phase in a band, weighted by its magnitude.
+
+    The sign is that of minus the slope of a * conj(b): opposite to the cross-correlation's.
+    """
     who = _pairs(samples.sparkSession, pairs, ied_mm, n_channels)
     both = samples.select("recording_id", "channel", "sample", F.col(assay).alias("x"))
     both = both.join(F.broadcast(who), (F.col("channel") == F.col("ch1")) | (F.col("channel") == F.col("ch2")))
