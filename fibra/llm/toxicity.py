@@ -1,8 +1,8 @@
 """Toxicity by a subsequence-kernel support vector machine with Nyström landmarks.
 
 The kernel compares character strings by their common subsequences of ``ORDER`` letters; each
-occurrence weighs ``DECAY`` to the number of characters it spans, gaps included, up to
-``MAX_SPAN``.  Normalised, it is near 1 for an insult with characters put between its letters and
+occurrence weighs ``DECAY`` to the number of letters it spans, gaps included, up to ``MAX_SPAN``;
+other characters between letters take no place.  Normalised, it is near 1 for an insult with characters put between its letters and
 near 0 for other words.  Kernel values to ``LANDMARKS`` landmark strings, multiplied by the
 inverse root of the landmarks' own kernel matrix, are the Nyström features of a linear SVM.
 
@@ -42,6 +42,7 @@ DECAY = 0.7
 MAX_SPAN = 7
 LANDMARKS = 192
 UNLIKE = 0.6
+SMALLEST = 4
 SAMPLE_TOXIC = 2000
 SAMPLE_CLEAN = 4000
 ROUNDS = 4
@@ -81,19 +82,19 @@ def subsequences(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     owner = np.repeat(np.arange(len(start)), size)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
     letter = _CLASS[buf[np.repeat(start, size) + at]]
+    # what is no letter takes no place: "i*d*i*o*t" is "idiot"
+    owner, letter = owner[letter > 0], letter[letter > 0]
     keys, weights = [], []
     for steps in _STEPS:
         reach = sum(steps)
         m = len(letter) - reach
         if m <= 0:
             continue
-        ok = (owner[:m] == owner[reach:]) & (letter[:m] > 0)
+        ok = owner[:m] == owner[reach:]
         code, place = letter[:m].copy(), 0
         for s in steps:
             place += s
-            nxt = letter[place : place + m]
-            ok &= nxt > 0
-            code = code * 32 + nxt
+            code = code * 32 + letter[place : place + m]
         keys.append((owner[:m][ok] << 15) | code[ok])
         weights.append(np.full(int(ok.sum()), DECAY ** (reach + 1), np.float64))
     if not keys:
@@ -153,20 +154,25 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * strongest + self.offset, -40, 40)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM by Newton steps on the violated examples."""
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear SVM by Newton steps with halving; both classes weigh the same in all."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    weight = weight * np.where(y > 0, 1 / weight[y > 0].sum(), 1 / weight[y < 0].sum()) * len(y) / 2
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
-    active = None
+    loss = lambda w: 0.5 * w @ ridge @ w + 0.5 * c * (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(steps):
-        now = y * (x @ w) < 1
-        if active is not None and (now == active).all():
-            break
-        active = now
+        active = y * (x @ w) < 1
         a = x[active] * weight[active, None]
-        w = np.linalg.solve(ridge + c * a.T @ x[active], c * a.T @ y[active])
+        step = np.linalg.solve(ridge + c * a.T @ x[active], c * a.T @ y[active]) - w
+        size = 1.0
+        while size > 1e-4 and (new := loss(w + size * step)) >= now:
+            size /= 2
+        if size <= 1e-4 or now - new < 1e-7 * now:
+            break
+        w, now = w + size * step, new
     return w[:-1], float(w[-1])
 
 
@@ -189,9 +195,14 @@ def fit(words: list[str], doc: np.ndarray, word: np.ndarray, toxic: np.ndarray)
     y = toxic.astype(bool)
     if not len(words) or y.all() or not y.any():
         return ToxicityModel(np.zeros(TABLE), 0.0, 0.0, 0.0, False)
-    # near copies would make their words look telling: of documents with an equal min-hash one is counted
-    low = np.full(len(y), np.iinfo(np.uint64).max, T.U64)
-    np.minimum.at(low, doc, T.mix(word.astype(T.U64) + T.U64(12345)))
+    # near copies would make their words look telling: of documents with equal smallest hashes one is counted
+    order = np.lexsort((T.mix(word.astype(T.U64) + T.U64(12345)), doc))
+    d, h = doc[order], T.mix(word.astype(T.U64) + T.U64(12345))[order]
+    rank = np.arange(len(d)) - np.searchsorted(d, d, "left")
+    low = np.zeros(len(y), T.U64)
+    for k in range(SMALLEST):
+        mine = rank == k
+        low[d[mine]] = T.mix(low[d[mine]] + h[mine])
     first = np.zeros(len(y), bool)
     first[np.unique(low, return_index=True)[1]] = True
     doc, word = doc[first[doc]], word[first[doc]]
@@ -228,15 +239,17 @@ def fit(words: list[str], doc: np.ndarray, word: np.ndarray, toxic: np.ndarray)
     value, basis = np.linalg.eigh(own + 1e-8 * np.eye(taken))
     root = basis @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ basis.T
     # witnesses: of each toxic document its strongest span, and all spans that are hardly met elsewhere
-    telling = np.flatnonzero((bad >= 4) & (bad >= 9 * good))
+    pure = bad >= 9 * good
+    telling = np.flatnonzero(pure & (bad >= max(4, 0.01 * y.sum())))
     decision = odds
     model = ToxicityModel(np.zeros(TABLE), 0.0, 1.0, 0.0, True)
     for _ in range(ROUNDS):
         order = np.lexsort((-decision[word], doc))
         d, w = doc[order], word[order]
         rank = np.arange(len(d)) - np.searchsorted(d, d, "left")
-        witness = np.union1d(w[(rank == 0) & y[d]], telling)
-        witness = witness[odds[witness] > 0] if (odds[witness] > 0).any() else witness
+        strong = np.unique(w[(rank == 0) & y[d]])
+        witness = np.union1d(strong[pure[strong] & (bad[strong] >= max(3, 0.004 * y.sum()))], telling)
+        witness = witness if len(witness) else strong
         hard = np.unique(w[(rank < 3) & ~y[d]])
         some = np.flatnonzero((good > 0) & (T.mix(np.arange(len(words)).astype(T.U64)) % T.U64(max(1, len(words) // 6000)) == 0))
         clean = np.setdiff1d(np.union1d(hard, some), witness)
