@@ -42,7 +42,7 @@ DECAY = 0.7
 MAX_SPAN = 7
 LANDMARKS = 192
 UNLIKE = 0.6
-SMALLEST = 4
+SMALLEST = 10
 SAMPLE_TOXIC = 2000
 SAMPLE_CLEAN = 4000
 ROUNDS = 4
