@@ -45,7 +45,9 @@ from fibra.llm._spark import frozen, table
 
 GROUPS = 64
 HASHES = 5
-BLOCK = 1536
+BLOCK = 6144
+#: Set members that a block's task holds as hash sets at a time.
+HELD = 1_000_000
 HUBS = 48
 FREQ_BITS = 18
 #: Bits of the map that tells which documents' sets are asked for.
@@ -239,6 +241,7 @@ def _joined_blocks(t100: int):
         keys, n, counts = keys[first], n[first], counts[first]
         root = list(range(len(keys)))
         sets: dict[int, frozenset] = {}
+        held = 0
 
         def find(x):
             while root[x] != x:
@@ -247,15 +250,25 @@ def _joined_blocks(t100: int):
             return x
 
         def members(x):
+            nonlocal held
             if x not in sets:
+                if held > HELD:
+                    sets.clear()
+                    held = 0
                 sets[x] = frozenset(tokens(first[x]).tolist())
+                held += len(sets[x])
             return sets[x]
 
         for i, j in rtree_pairs(n, counts, t100):
+            now = np.array([find(x) for x in range(len(root))]) if len(i) > len(root) else None
+            if now is not None:
+                apart = now[i] != now[j]
+                i, j = i[apart], j[apart]
             for a, b in zip(i.tolist(), j.tolist()):
                 if (x := find(a)) != (y := find(b)):
-                    both = len(members(a) & members(b))
-                    if 100 * both >= t100 * (len(sets[a]) + len(sets[b]) - both):
+                    p, q = members(a), members(b)
+                    both = len(p & q)
+                    if 100 * both >= t100 * (len(p) + len(q) - both):
                         root[max(x, y)] = min(x, y)
                         yield keys[a], keys[b]
 
