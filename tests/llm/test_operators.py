@@ -192,6 +192,19 @@ def test_quality_counts_and_verdict(docs, spark):
         assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and (not r["kept"] or not r["base_failed"])
 
 
+def test_quality_words_from_fifty_and_any_case(docs, spark):
+    references = quality_rules.fit_references(docs.where("doc_id < 120"))
+    clean = docs.where("doc_id = 4").first()["text"].split()
+    clean = (clean * 5)[:120]
+    clean = " ".join(RNG.sample(clean, len(clean)))
+    junk = " ".join("".join(RNG.choice("etaoinshr") for _ in range(RNG.randint(3, 8))) for _ in range(60))
+    rows = [(1, clean, "en"), (2, clean.title(), "en"), (3, clean.upper(), "en"), (4, junk, "en"), (5, " ".join(clean.split()[:49]), "en")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), references).collect()}
+    assert got[1]["word_distance"] == got[2]["word_distance"] == got[3]["word_distance"]
+    assert not got[4]["base_failed"] and got[4]["word_distance"] > quality_rules.MAX_WORD_DISTANCE and not got[4]["kept"]
+    assert got[5]["word_distance"] is None
+
+
 def test_mixing_meets_targets(docs, tables, spark):
     labels = spark.read.parquet(f"{tables}/labels.parquet")
     members = mixing.memberships(docs, mixing.train_domains(docs, labels)).persist()
