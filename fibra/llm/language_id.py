@@ -11,7 +11,9 @@ positions returns all the languages that contain it at once.
 A document's n-grams are looked up, the bits of each language are counted over them, and each
 count loses the false positives that its filter's fill lets one expect:
 ``(hits - n * f) / (1 - f)`` with ``f = fill ** PROBES``.  The largest corrected count decides;
-the score is its share of all corrected counts.
+the score is its share of all corrected counts, the coverage its share of the document's n-grams.
+Unlike the score, the coverage does not depend on how many languages were learned; what is usual
+for a language tells ``typical_coverage``.
 
 Only documents whose crc32(doc_id) mod 3 is not 1 and whose lang is given are learned from.  The
 filter's size is a parameter, its content a bounded number of n-grams; it is the only thing that
@@ -131,20 +133,25 @@ class LanguageFilter:
             out = self.words[at] if out is None else out & self.words[at]
         return out
 
-    def decide(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language (-1: none) and score of each row."""
+    def evidence(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Corrected counts of each row and language, and how many n-grams each row has."""
         rows, k = len(offs) - 1, len(self.langs)
         gram, row = _grams(buf, offs)
-        if not k:
-            return np.full(rows, -1), np.zeros(rows)
         n = np.bincount(row, minlength=rows)
         mask = self.masks(gram)
         hits = np.stack([np.bincount(row, weights=((mask >> T.U64(i)) & T.U64(1)).astype(float), minlength=rows) for i in range(k)], 1)
         false = self.fill**PROBES
-        real = np.maximum(0, (hits - n[:, None] * false) / np.maximum(1e-9, 1 - false))
-        total = real.sum(1)
+        return np.maximum(0, (hits - n[:, None] * false) / np.maximum(1e-9, 1 - false)), n
+
+    def decide(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the language (-1: none), score and coverage of each row."""
+        rows = len(offs) - 1
+        if not self.langs:
+            return np.full(rows, -1), np.zeros(rows), np.zeros(rows)
+        real, n = self.evidence(buf, offs)
+        total, most = real.sum(1), real.max(1)
         best = np.where(total > 0, real.argmax(1), self.default)
-        return best, np.where(total > 0, real.max(1) / np.maximum(total, 1e-12), 0.0)
+        return best, np.where(total > 0, most / np.maximum(total, 1e-12), 0.0), most / np.maximum(n, 1)
 
 
 def train_filter(docs: DataFrame, min_share: float = MIN_SHARE, max_ratio: float = MAX_RATIO) -> LanguageFilter:
@@ -173,26 +180,54 @@ def _predicted(model):
         names = np.array([*f.langs, "und"], object)
         for batch in batches:
             buf, offs = T.text_buffers(batch["_text"])
-            best, score = [], []
+            best, score, coverage = [], [], []
             for lo, hi in T.pieces(offs, 1 << 19):
-                b, s = f.decide(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                b, s, c = f.decide(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 best.append(b)
                 score.append(s)
+                coverage.append(c)
             letters = batch["_letters"].to_numpy(zero_copy_only=False).astype(bool)
             best = np.where(letters, np.concatenate(best), -1)
-            score = np.where(best >= 0, np.concatenate(score), 0.0)
+            score, coverage = (np.where(best >= 0, np.concatenate(x), 0.0) for x in (score, coverage))
             rest = [c for c in batch.schema.names if c not in ("_text", "_letters")]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(names[best], pa.string()), pa.array(score)], [*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(names[best], pa.string()), pa.array(score), pa.array(coverage)], [*rest, "lang_pred", "score", "coverage"])
 
     return run
 
 
 def predict_language(docs: DataFrame, model: LanguageFilter, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of each row, with lang_pred and score, from the column text alone."""
+    """The columns ``keep`` of each row, with lang_pred, score and coverage, from the column text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     rows = docs.select(*keep, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    return rows.mapInArrow(_predicted(shared), f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(_predicted(shared), f"{fields}, lang_pred string, score double, coverage double")
+
+
+def _own_coverage(model):
+    def run(batches):
+        f = model.value
+        place = {x: i for i, x in enumerate(f.langs)}
+        for batch in batches:
+            buf, offs = T.text_buffers(batch["text"])
+            own = np.array([place.get(x, -1) for x in batch["lang"].to_pylist()], np.int64)
+            for lo, hi in T.pieces(offs, 1 << 19):
+                real, n = f.evidence(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                at = np.flatnonzero((n > 0) & (own[lo:hi] >= 0))
+                yield pa.RecordBatch.from_arrays([pa.array(own[lo:hi][at].astype(np.int32)), pa.array(real[at, own[lo:hi][at]] / n[at])], ["at", "coverage"])
+
+    return run
+
+
+def typical_coverage(docs: DataFrame, model: LanguageFilter) -> dict[str, float]:
+    """For each learned language the median coverage of all its rows of ``docs`` by its own n-grams.
+
+    A median is not moved by junk under a language's name, as the low end of the coverages is.
+    """
+    if not model.langs:
+        return {}
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = docs.where("lang is not null").select("text", "lang").mapInArrow(_own_coverage(shared), "at int, coverage double")
+    return {model.langs[r["at"]]: r["typical"] for r in own.groupBy("at").agg(F.percentile_approx("coverage", 0.5).alias("typical")).collect()}
 
 
 def learned(docs: DataFrame) -> DataFrame:

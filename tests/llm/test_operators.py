@@ -240,3 +240,18 @@ def test_pipeline_stages(docs, tables, spark):
     last = pipe.run(spark, tables)
     assert {"shard", "slot", "text"} <= set(last.columns) and last.count() > 0
     assert json.dumps([n for n, _ in pipe.STAGES]) and len(pipe.STAGES) == 5
+
+
+@pytest.mark.parametrize("langs", [("en",), ("en", "de"), ("en", "de", "it", "nl", "pl", "sv")])
+def test_pipeline_rejects_unlearned_languages(spark, langs):
+    import corpus_pipeline as pipe
+
+    letters = {"en": "aeiouthn", "de": "aeiouscw", "it": "aeioulrz", "nl": "aeioukgj", "pl": "aeioypwk", "sv": "aeioudvf"}
+    words = {x: ["".join(RNG.choice(letters[x]) for _ in range(5)) for _ in range(12)] for x in letters}
+    text = lambda x: " ".join(RNG.choice(words[x]) for _ in range(60))
+    rows = [(100 * i + j, text(x), x) for i, x in enumerate(langs) for j in range(40)]
+    strange = " ".join("".join(RNG.choice("bcfgjkmpqvwxz") for _ in range(6)) for _ in range(80))
+    rows += [(9000, strange + " " + words["en"][0], None), (9001, strange, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in pipe.by_language(spark, df, "").collect()}
+    assert kept == {r[0] for r in rows if r[0] < 9000}
