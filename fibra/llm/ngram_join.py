@@ -9,7 +9,8 @@ are verified on the sets.
 
 How the work is spread without ever losing a link:
 
-1. equal sets become one class (pre-aggregated; copies are never expanded);
+1. equal sets become one class (pre-aggregated) with one representative row, from which all
+   shingle lists and postings are made, so copies are never expanded;
 2. *packing*: classes that share a min-hash meet in a block of bounded size, whose R-tree is
    joined and verified in place, skipping pairs that are connected already.  It finds most links
    cheaply, but nothing depends on it finding any;
@@ -33,6 +34,7 @@ Sets are told apart by a 64-bit fingerprint and their size, shingles by 52-bit h
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fibra.llm import _text as T
-from fibra.llm._spark import frozen, table
+from fibra.llm._spark import frozen, table, written
 
 GROUPS = 64
 HASHES = 5
@@ -50,7 +52,7 @@ BLOCK = 6144
 HELD = 1_000_000
 HUBS = 48
 FREQ_BITS = 18
-#: Bits of the map that tells which documents' sets are asked for.
+#: Bits of the maps that tell which documents and classes are asked for.
 WANTED_BITS = 20
 #: Points of a shingle's list that one task joins at a time; longer lists are dealt in pairs of chunks.
 LIST_CHUNK = 8192
@@ -176,16 +178,28 @@ def _runs(batches, column: str):
 
 
 def _shared(batches):
-    """Of (token, key) rows sorted so: one row for each key of the tokens that have several keys."""
-    for t in _runs(batches, "token"):
-        token, key = (t[c].to_numpy() for c in ("token", "key"))
+    """Of (token, key) rows sorted so: one row for each key of the tokens that have several keys.
+
+    Of what came before, only the last row and the token before it are held.
+    """
+    token = key = np.zeros(0, np.int64)
+    before = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            token, key = (np.concatenate((x, batch[c].to_numpy())) for x, c in ((token, "token"), (key, "key")))
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
         token, key = token[new], key[new]
         many = np.zeros(len(token), bool)
         many[1:] = token[1:] == token[:-1]
         many[:-1] |= many[1:]
-        yield pa.RecordBatch.from_arrays([pa.array(token[many]), pa.array(key[many])], ["token", "key"])
+        if before is not None:
+            many[:1] |= token[:1] == before
+        stop = len(token) if batch is None else max(0, len(token) - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(token[:stop][many[:stop]]), pa.array(key[:stop][many[:stop]])], ["token", "key"])
+        if stop:
+            before = token[stop - 1]
+        token, key = token[stop:], key[stop:]
 
 
 def _upper(points_: np.ndarray) -> np.ndarray:
@@ -335,32 +349,75 @@ def _candidates(t100: int):
     return run
 
 
-def _named_sets(k: int, bits):
-    """(doc_id, text) rows to (key, tokens), of rows whose doc_id may be wanted."""
+def _bucket(column: str):
+    """A column's bit in the maps of ``WANTED_BITS``."""
+    return F.col(column).bitwiseXOR(F.shiftrightunsigned(column, WANTED_BITS)).bitwiseAND((1 << WANTED_BITS) - 1).cast("int")
+
+
+def _bits(rows: DataFrame, column: str):
+    """The map of the values of ``column``, of fixed size: it spares most other rows the way, a join decides."""
+    bits = np.zeros(1 << WANTED_BITS, bool)
+    bits[rows.select(_bucket(column).alias("bucket")).distinct().toArrow()["bucket"].to_numpy()] = True
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def _hit(bits, values: np.ndarray) -> np.ndarray:
+    v, size = values.view(T.U64), len(bits.value)
+    return bits.value[((v ^ (v >> T.U64(size.bit_length() - 1))) & T.U64(size - 1)).astype(np.int64)]
+
+
+def _keyed(k: int, bits):
+    """(doc_id, text) rows to (id, key, text), of rows whose doc_id may be wanted; rows that repeat go once a task."""
 
     def run(batches):
+        sent: set[tuple[int, int]] = set()
         for batch in batches:
-            ids = batch["doc_id"].fill_null(0).to_numpy().view(T.U64)
-            keep = pa.array(bits.value[((ids ^ (ids >> T.U64(WANTED_BITS))) & T.U64((1 << WANTED_BITS) - 1)).astype(np.int64)])
-            for lo, hi, values, row in shingle_sets(batch["text"].filter(keep), k):
+            ids = batch["doc_id"].fill_null(0).to_numpy()
+            keep = _hit(bits, ids)
+            ids, text = ids[keep], batch["text"].filter(pa.array(keep))
+            for lo, hi, values, row in shingle_sets(text, k):
                 key = _fingerprints(values, row, hi - lo).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), T.lists(values.view(np.int64), row, hi - lo, pa.int64())], ["key", "tokens"])
+                pairs = list(zip(ids[lo:hi].tolist(), key.tolist()))
+                new = np.zeros(hi - lo, bool)
+                for i, pair in enumerate(pairs):
+                    if pair not in sent:
+                        new[i] = True
+                        sent.add(pair)
+                if len(sent) > HELD:
+                    sent.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][new]), pa.array(key[new]), text.slice(lo, hi - lo).filter(pa.array(new))], ["id", "key", "text"])
 
     return run
 
 
-def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """(key, tokens) of the documents whose doc_id is a ``rep`` of ``reps``, and of a few others.
+def representatives(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(key, text): one row of ``docs`` for each class (key, rep), however many copies the class has.
 
-    Only a bitmap of fixed size goes to the tasks: it spares most other documents the way, the
-    join by key that follows decides.
+    Copies differ from the representative in doc_id and rows that repeat it go once from each task, so
+    the join on both spreads them evenly; no shingle list is made before it.
     """
-    rep = F.coalesce("rep", F.lit(0).cast("long"))
-    bucket = rep.bitwiseXOR(F.shiftrightunsigned(rep, WANTED_BITS)).bitwiseAND((1 << WANTED_BITS) - 1)
-    bits = np.zeros(1 << WANTED_BITS, bool)
-    bits[reps.select(bucket.cast("int").alias("bucket")).distinct().toArrow()["bucket"].to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    return docs.select("doc_id", "text").mapInArrow(_named_sets(k, shared), "key long, tokens array<long>")
+    reps = classes.select(F.coalesce("rep", F.lit(0).cast("long")).alias("id"), "key")
+    rows = docs.select("doc_id", "text").mapInArrow(_keyed(k, _bits(reps, "id")), "id long, key long, text string")
+    return rows.join(reps, ["id", "key"]).dropDuplicates(["id", "key"]).select("key", "text")
+
+
+def _named_sets(k: int, bits):
+    """(key, text) rows to (key, tokens), of rows whose key may be wanted."""
+
+    def run(batches):
+        for batch in batches:
+            key = batch["key"].to_numpy()
+            keep = _hit(bits, key)
+            key = key[keep]
+            for lo, hi, values, row in shingle_sets(batch["text"].filter(pa.array(keep)), k):
+                yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi]), T.lists(values.view(np.int64), row, hi - lo, pa.int64())], ["key", "tokens"])
+
+    return run
+
+
+def _sets(chosen: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(key, tokens), one row a key, of the ``representatives`` whose key is in ``wanted``, and of a few others."""
+    return chosen.mapInArrow(_named_sets(k, _bits(wanted, "key")), "key long, tokens array<long>")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
@@ -387,6 +444,7 @@ def jaccard_links(docs: DataFrame, described_: DataFrame, k: int = 5, t100: int
     """(a, b): verified links between set classes, enough of them to connect whatever links connect."""
     classes = described_.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("low").alias("low"), F.first("point").alias("point"))
     classes = frozen(classes)
+    chosen = written(representatives(docs, classes, k))
 
     # packing: blocks of classes with an equal min-hash; in a large group all blocks hold its hubs
     sent = classes.select("key", F.posexplode("low").alias("i", "low"))
@@ -398,15 +456,15 @@ def jaccard_links(docs: DataFrame, described_: DataFrame, k: int = 5, t100: int
     own = F.xxhash64("group", "sub")
     placed = placed.select("key", own.alias("own"), F.when(hub, F.transform(F.sequence(F.lit(0), F.col("ways") - 1), lambda s: F.xxhash64("group", s))).otherwise(F.array(own)).alias("to"))
     placed = placed.groupBy("key").agg(F.collect_list("own").alias("blocks"), F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
-    placed = frozen(classes.join(placed, "key", "left").select("key", "n", "rep", "point", F.slice(F.concat(F.coalesce("blocks", F.array().cast("array<long>")), F.array_repeat(F.lit(0).cast("long"), HASHES)), 1, HASHES).alias("blocks"), "to"))
-    asked = placed.where("to is not null").select("rep", "key", "n", "point", "to")
-    sets = asked.join(_sets(docs, asked, k), "key").select(F.explode("to").alias("block"), "key", "n", "point", "tokens")
+    placed = frozen(classes.join(placed, "key", "left").select("key", "n", "point", F.slice(F.concat(F.coalesce("blocks", F.array().cast("array<long>")), F.array_repeat(F.lit(0).cast("long"), HASHES)), 1, HASHES).alias("blocks"), "to"))
+    asked = placed.where("to is not null").select("key", "n", "point", "to")
+    sets = asked.join(_sets(chosen, asked, k), "key").select(F.explode("to").alias("block"), "key", "n", "point", "tokens")
     packed = frozen(sets.repartition("block").sortWithinPartitions("block").mapInArrow(_joined_blocks(t100), "a long, b long"))
 
     # completion
     spark = docs.sparkSession
     freq = spark.sparkContext.broadcast(bucket_frequencies(docs, k))
-    tokens = docs.select("text").mapInArrow(_postings(k, t100, freq), "token long, key long")
+    tokens = chosen.select("text").mapInArrow(_postings(k, t100, freq), "token long, key long")
     tokens = tokens.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared, "token long, key long")
     roots = components(packed)
     info = placed.select("key", "n", "point", "blocks").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "point", "blocks", F.coalesce("root", "key").alias("comp"))
@@ -427,8 +485,8 @@ def jaccard_links(docs: DataFrame, described_: DataFrame, k: int = 5, t100: int
     shared = F.count("*") + F.greatest(rest("n_a"), rest("n_b"))
     pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(shared.alias("most")).where((100 + t100) * F.col("most") >= t100 * (F.col("n_a") + F.col("n_b")))
     pairs = frozen(pairs.drop("most"))
-    wanted = placed.select("key", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key")
-    sets = frozen(wanted.select("key").join(_sets(docs, wanted, k), "key").dropDuplicates(["key"]))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = frozen(wanted.join(_sets(chosen, wanted, k), "key"))
     left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("t_a"))
     right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("t_b"))
     both = F.size(F.array_intersect("t_a", "t_b"))

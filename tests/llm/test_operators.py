@@ -70,6 +70,31 @@ def test_jaccard_components(docs):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted((d, len(s), find(d)) for d, s in sets)
 
 
+def test_jaccard_expands_no_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "WANTED_BITS", 2)  # a full map, as with millions of classes
+    texts = [sentence("en", 30) for _ in range(6)]
+    rows = [(i, texts[0]) for i in range(200)] + [(300, texts[0])] * 50 + [(0, texts[0])] * 50 + [(400 + i, t) for i, t in enumerate(texts[1:])] + [(None, texts[5] + " z")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    told = ngram_join.described(df)
+    classes = told.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")).persist()
+    chosen = ngram_join.representatives(df, classes, 5).persist()
+    assert Counter(r["key"] for r in chosen.collect()) == Counter(r["key"] for r in classes.collect())
+    assert Counter(r["text"] for r in chosen.collect()) == Counter([*texts, texts[5] + " z"])
+    sets = ngram_join._sets(chosen, classes, 5).collect()
+    assert {r["key"]: r["tokens"] for r in sets}.keys() == {r["key"] for r in classes.collect()} and len(sets) == 7
+
+
+def test_jaccard_shared_tokens_stream():
+    import pyarrow as pa
+
+    rows = sorted((t, k) for t in range(30) for k in range(RNG.choice([1, 2, 9])) for _ in range(RNG.choice([1, 3])))
+    many = {t for t in range(30) if len({k for x, k in rows if x == t}) > 1}
+    for size in (1, 2, 5, 1000):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        got = ngram_join._shared(iter([pa.RecordBatch.from_pydict({"token": [t for t, _ in p], "key": [k for _, k in p]}) for p in parts]))
+        assert [(t, k) for b in got for t, k in zip(b["token"].to_pylist(), b["key"].to_pylist())] == sorted({(t, k) for t, k in rows if t in many})
+
+
 def test_decontamination(docs, tables):
     spark = docs.sparkSession
     got = registry.QUERIES["op1_decontamination"](spark, tables).collect()
