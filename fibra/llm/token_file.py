@@ -8,14 +8,16 @@ ascending order.  A block holds
   *escape*: selector 15 marks the place with one word, the value itself is in ``escapes``;
 - ``escapes``: such values in order, as 64-bit integers;
 - ``lengths``: the tokens of each document of the block, in the same coding;
-- ``n_ids``, ``n_docs`` and ``doc_ids``.
+- ``n_ids``, ``n_docs`` and ``doc_ids``, and ``offset``, the ids of its part before it.
 
-``part`` and ``block`` order the blocks; a block's ids start at the sum of ``n_ids`` before it, so
-any block is found and decoded without the others.  Decoding unpacks all words of one selector at
-once.  Greedy packing tries the selectors from the densest to the widest.
+``part`` and ``block`` order the blocks; a block's ids start at its offset after those of the parts
+before, so any block is found and decoded without the others.  Decoding unpacks all words of one
+selector at once.  Greedy packing tries the selectors from the densest to the widest.
 
-Token ids come from a tokenizer's file; white space ends every token, so each distinct word of a
-batch is encoded once by the library and texts are put together from words.
+Token ids come from a tokenizer's file.  Where its settings are those of ``SPLITS`` no token crosses
+the words' borders, so each distinct word of a batch is encoded once by the library and texts are
+put together from words; texts that hold one of the tokenizer's added tokens, and all texts with
+other settings, are encoded whole.
 
 Defined cases: a null text is empty and has the end id alone; equal doc_ids are ordered by their
 text's hash; a null doc_id comes first; an empty table gives an empty file; clashing extra
@@ -25,6 +27,7 @@ columns are not read.
 from __future__ import annotations
 
 import itertools
+import json
 import zlib
 
 import numpy as np
@@ -133,18 +136,33 @@ def _token_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.where(second, split, start[at]), np.where(first, split, end[at]), row[at]
 
 
+#: The settings of a tokenizer's file with which words are encoded apart.  White space ends
+#: every token, punctuation is apart from letters and digits, and case does not matter.
+SPLITS = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
+def splits_words(settings: dict) -> bool:
+    """Whether the settings of a tokenizer's file are those of ``SPLITS``."""
+    steps = (settings.get("normalizer") or {}).get("normalizers") or []
+    parts = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return [x["type"] for x in steps] == SPLITS["normalizer"] and (parts[0].get("pattern") or {}).get("Regex") == SPLITS["pattern"] and [x["type"] for x in parts] == ["Split", "ByteLevel"] and not parts[1].get("add_prefix_space")
+
+
 class WordTokenizer:
     """Ids of texts, one library call for each new span of characters that no token crosses.
 
-    Tokens never cross ASCII white space, and punctuation is apart from letters and digits; case
-    does not matter to the vocabulary.  Known spans live in a table of fixed size.
+    Known spans live in a table of fixed size.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.apart = splits_words(json.loads(self.tokenizer.to_str()))
+        self.added = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.hash = np.zeros(KNOWN, T.U64)
         self.start, self.size = np.zeros(KNOWN, np.int64), np.zeros(KNOWN, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
@@ -160,8 +178,36 @@ class WordTokenizer:
         self.used += len(flat)
         return start, size
 
+    def _whole(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Which rows are encoded whole."""
+        out = np.full(len(offs) - 1, not self.apart)
+        if self.apart and self.added:
+            data = T.LOWER[buf].tobytes()
+            for content in self.added:
+                at = data.find(content)
+                while at >= 0:
+                    row = int(np.searchsorted(offs, at, "right")) - 1
+                    out[row] = True
+                    at = data.find(content, max(at + 1, int(offs[row + 1]) - len(content) + 1))
+        return out
+
     def __call__(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and how many each row has."""
+        whole = self._whole(buf, offs)
+        if not whole.any():
+            return self._by_words(buf, offs)
+        size = np.diff(offs)
+        rest = np.repeat(~whole, size)
+        ids, sizes = self._by_words(buf[rest], np.concatenate(([0], np.cumsum(size * ~whole))))
+        data = buf.tobytes()
+        at = np.flatnonzero(whole)
+        more = [x.ids for x in self.tokenizer.encode_batch_fast([data[offs[i] : offs[i + 1]].decode("utf-8", "replace") for i in at], add_special_tokens=False)]
+        place = np.cumsum(sizes)
+        ids = np.insert(ids, np.repeat(place[at], [len(x) for x in more]), list(itertools.chain.from_iterable(more)))
+        sizes[at] = [len(x) for x in more]
+        return ids, sizes
+
+    def _by_words(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = len(offs) - 1
         buf = T.LOWER[buf]
         start, end, row = _token_spans(buf, offs)
@@ -196,29 +242,30 @@ def tokenizer_of(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-BLOCKS = "part int, block int, n_ids long, n_docs long, doc_ids array<long>, words binary, escapes binary, lengths binary, length_escapes binary"
+BLOCKS = "part int, block int, offset long, n_ids long, n_docs long, doc_ids array<long>, words binary, escapes binary, lengths binary, length_escapes binary"
 
 
 def _blocks(path: str, end_id: int | None):
     def run(batches):
         from pyspark import TaskContext
 
-        part, block = TaskContext.get().partitionId(), 0
+        part, block, offset = TaskContext.get().partitionId(), 0, 0
         tokenize = tokenizer_of(path)
 
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
         def flush():
-            nonlocal block, held
+            nonlocal block, offset, held
             doc_ids = [x for h in held for x in h[0]]
             ids = np.concatenate([h[1] for h in held])
             sizes = np.concatenate([h[2] for h in held])
             held = []
             words, escapes = encode(ids)
             lengths, long_ = encode(sizes)
-            values = [[part], [block], [len(ids)], [len(sizes)], [doc_ids], [words.tobytes()], [escapes.tobytes()], [lengths.tobytes()], [long_.tobytes()]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+            values = [[part], [block], [offset], [len(ids)], [len(sizes)], [doc_ids], [words.tobytes()], [escapes.tobytes()], [lengths.tobytes()], [long_.tobytes()]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
             block += 1
+            offset += len(ids)
             names = [x.split()[0] for x in BLOCKS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
 
@@ -261,8 +308,8 @@ def _digests(batches):
             ends = np.cumsum(sizes)
             crcs = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip((ends - sizes).tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row["part"]] * len(sizes), pa.int32()), pa.array([row["block"]] * len(sizes), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())],
-                ["part", "block", "doc_id", "within", "n_tokens", "ids_crc32"],
+                [pa.array([row["part"]] * len(sizes), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["offset"] + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())],
+                ["part", "doc_id", "within", "n_tokens", "ids_crc32"],
             )
 
 
@@ -283,18 +330,16 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
 def digest(blocks: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the decoded blocks.
 
-    Where a block starts is a running sum over parts (one row for each) and within a part.
+    A document starts where its block does, at the block's offset after the parts before: a running
+    sum over one row for each part.
     """
     from pyspark.sql import Window
 
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("part_start"))
-    in_part = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("part", "block", F.coalesce(F.sum("n_ids").over(in_part), F.lit(0)).alias("block_start")).join(parts, "part")
-    starts = starts.select("part", "block", (F.col("part_start") + F.col("block_start")).alias("first"))
-    rows = blocks.mapInArrow(_digests, "part int, block int, doc_id long, within long, n_tokens long, ids_crc32 long")
-    return rows.join(starts, ["part", "block"]).select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    parts = parts.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))
+    rows = blocks.mapInArrow(_digests, "part int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
