@@ -6,8 +6,9 @@ strings at a small edit distance fall into step again after each edit, so their
 a small Hamming distance.  Symbols are words here: folded to lower case, stripped of ASCII
 punctuation at both ends.
 
-Every document is cut into windows of the items' window size at *every* word, and so is every
-item.  In each of ``repetitions(recall)`` walks, ``SAMPLED`` places of a window's embedding, one in
+Every document is cut at *every* word into windows of each size that the items have, and so is
+every item.  An item's windows follow its size: the largest of ``SIZES`` that fits into the item, or
+into two thirds of it if it may be edited, so that an edited item still has windows with few edits.  In each of ``repetitions(recall)`` walks, ``SAMPLED`` places of a window's embedding, one in
 each of as many parts, are its key.  Windows of documents and items with an equal key are candidates: they say where in the
 document the item would start.  For windows that agree in a share ``AGREE`` of their places the
 repetitions give a recall of ``RECALL``; an equal window is always found, and a passage has as
@@ -22,8 +23,9 @@ scan of the documents for each block.
 
 Defined cases: null or wordless texts and items match nothing; items with fewer words than a
 window have windows of their own size; texts of any length are read whole; repeated rows each
-give their matches; equal items each match; empty tables give an empty result; only the named
-columns are read.
+give their matches; equal items each match; empty tables give an empty result; only doc_id
+and text, item_id and text are read, and ``without_matches`` gives back its rows as they are,
+whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -112,15 +114,11 @@ class Items:
         self.words = [hashed[cuts[i] : cuts[i + 1]] for i in range(len(ids))]
         self.length = n
         self.allowed = np.floor(MAX_EDITS * n).astype(np.int64)
-        # all items of SIZES[3] words or more share the largest window that fits the shortest of them
-        long_ = n[n >= SIZES[3]]
-        common = max((s for s in SIZES if len(long_) and s <= long_.min()), default=0)
-        size = np.array([max((s for s in SIZES if s <= x), default=0) for x in n])
-        size = np.where(n >= SIZES[3], common, size)
-        # the vocabulary, and for each item which of its words it holds
+        fits = np.where(self.allowed > 0, np.maximum(1, 2 * n // 3), n)
+        size = np.array([max((s for s in SIZES if s <= x), default=0) for x in np.minimum(fits, n)])
+        # the vocabulary, and which item holds which of its words, as sorted pairs: as many as the items' words
         self.vocabulary = np.unique(hashed)
-        self.member = np.zeros((len(ids), len(self.vocabulary) + 1), bool)
-        self.member[row, np.searchsorted(self.vocabulary, hashed)] = True
+        self.held = np.unique(row * (len(self.vocabulary) + 1) + np.searchsorted(self.vocabulary, hashed))
         self.walks = []
         for s in sorted({*size.tolist()} - {0}):
             chosen = np.flatnonzero(size == s)
@@ -134,6 +132,12 @@ class Items:
                 self.walks.append((walk, keys[order], of[order], offset[order], maybe))
 
 
+    def holds(self, item: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Whether items hold words, given as places in the vocabulary (its end: no word of it)."""
+        pair = item * (len(self.vocabulary) + 1) + word
+        return self.held[np.minimum(np.searchsorted(self.held, pair), len(self.held) - 1)] == pair
+
+
 def _laid_out(hashed, row, n, size, pad, chosen=None):
     """Rows one after another with ``pad`` pads after each; the places of all whole windows, their rows and offsets."""
     rows = len(n)
@@ -200,7 +204,8 @@ def find(items: Items, hashed: np.ndarray, row: np.ndarray, rows: int) -> list[t
         span = np.arange(int((hi[part] - lo[part]).max(initial=1)))
         place = lo[part, None] + span
         inside = place < hi[part, None]
-        there = items.member[i[part, None], known[np.minimum(place, len(hashed) - 1)]] & inside
+        there = inside & items.holds(i[part, None], known[np.minimum(place, len(hashed) - 1)])
+        # a word that the item repeats may stand once for all its places
         keep[part] = there.sum(1) >= items.length[i[part]] - items.allowed[i[part]]
     best: dict[tuple[int, int], tuple[int, int]] = {}
     reached: dict[tuple[int, int], int] = {}
