@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fibra.llm._spark import table, written
+from fibra.llm._spark import fresh, table, written
 
 #: Fixed values of the published algorithm: multiplier of its generator, and the increment 1.
 MULTIPLIER = 2862933555777941757
@@ -83,13 +83,14 @@ def number_slots(df: DataFrame, shards: int) -> DataFrame:
     """``df`` (with shard), and slot: 0, 1, ... within each shard. The rows are written to the shared folder first."""
     buckets = max(1, STARTS // shards)
     spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
-    rows = written(df.withColumn("_bucket", spread))
-    sizes = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    at = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_bucket"))
-    out = rows.withColumn("_at", at).join(F.broadcast(starts), ["shard", "_bucket"])
-    return out.withColumn("slot", F.col("_start") + F.col("_at") - 1).drop("_bucket", "_at", "_start")
+    bucket, start, at = fresh(df, "bucket", "start", "at")
+    rows = written(df.drop("slot").withColumn(bucket, spread))
+    sizes = rows.groupBy("shard", bucket).agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", bucket, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(start))
+    number = F.row_number().over(Window.partitionBy("shard", bucket).orderBy(bucket))
+    out = rows.withColumn(at, number).join(F.broadcast(starts), ["shard", bucket])
+    return out.withColumn("slot", F.col(start) + F.col(at) - 1).drop(bucket, at, start)
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 8, key: str = "doc_id") -> None:
