@@ -6,7 +6,8 @@ once per document, so long documents do not outweigh short ones.  A language *ow
 at least ``MIN_SHARE`` of its documents hold it and if no other language holds it ``MAX_RATIO``
 times as often.  All owned n-grams go into one bit-sliced Bloom filter: an array of machine words
 where bit l of each word belongs to language l, so ANDing the words at an n-gram's ``PROBES``
-positions returns all the languages that contain it at once.
+positions returns all the languages that contain it at once.  Every 64 languages take one more
+such array; there is no limit to their number.
 
 A document's n-grams are looked up, the bits of each language are counted over them, and each
 count loses the false positives that its filter's fill lets one expect:
@@ -15,14 +16,16 @@ the score is its share of all corrected counts, the coverage its share of the do
 Unlike the score, the coverage does not depend on how many languages were learned; what is usual
 for a language tells ``typical_coverage``.
 
-Only documents whose crc32(doc_id) mod 3 is not 1 and whose lang is given are learned from.  The
-filter's size is a parameter, its content a bounded number of n-grams; it is the only thing that
-is broadcast.
+The query learns only from documents whose crc32(doc_id) mod 3 is not 1 and whose lang is given.
+The filter is the only thing that is broadcast: 2 ** FILTER_BITS words for each 64 languages, made
+from the n-grams that MIN_SHARE of a language's documents hold, whose number does not grow with
+the documents.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; texts with letters
 but no known n-gram get the language of most training documents with score 0 (``und`` if nothing
 could be learned); ties go to the language that sorts first; repeated rows each get a row; an
-empty table gives an empty result; clashing extra columns are not read.
+empty table gives an empty result; only text and lang are read, and ``in_learned_language`` gives
+back its rows as they are, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -33,15 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fibra.llm import _text as T
-from fibra.llm._spark import crc_of, table
+from fibra.llm._spark import crc_of, fresh, table
 
 SIZES = (2, 3, 4)
 MIN_SHARE = 0.02
 MAX_RATIO = 3.0
 PROBES = 3
 FILTER_BITS = 18
-#: At most so many languages: bits of a word of the filter.
-LANGUAGES = 64
+#: Languages that a word of the filter holds.
+WORD = 64
 
 #: Bytes as the n-grams see them: A-Z folded, what is neither a letter nor part of UTF-8 a space.
 _FOLD = np.full(256, 32, np.uint8)
@@ -118,19 +121,24 @@ class LanguageFilter:
         return [((h >> T.U64(i * 20)) & T.U64((1 << bits) - 1)).astype(np.int64) for i in range(PROBES)]
 
     @classmethod
-    def build(cls, langs: list[str], docs: list[int], gram: np.ndarray, mask: np.ndarray, bits: int = FILTER_BITS) -> LanguageFilter:
-        words = np.zeros(1 << bits, T.U64)
+    def build(cls, langs: list[str], docs: list[int], gram: np.ndarray, lang: np.ndarray, bits: int = FILTER_BITS) -> LanguageFilter:
+        """From pairs of an n-gram and the index of a language that owns it."""
+        words = np.zeros((-(-len(langs) // WORD), 1 << bits), T.U64)
         for at in cls.positions(gram, bits):
-            np.bitwise_or.at(words, at, mask)
-        fill = np.array([((words >> T.U64(i)) & T.U64(1)).mean() for i in range(len(langs))])
+            np.bitwise_or.at(words, (lang // WORD, at), T.U64(1) << (lang % WORD).astype(T.U64))
+        fill = np.array([((words[i // WORD] >> T.U64(i % WORD)) & T.U64(1)).mean() for i in range(len(langs))])
         return cls(langs, int(np.argmax(docs)) if docs else -1, words, fill)
 
-    def masks(self, gram: np.ndarray) -> np.ndarray:
-        """For each n-gram, the languages that contain it, as bits."""
-        bits = len(self.words).bit_length() - 1
-        out = None
-        for at in self.positions(gram, bits):
-            out = self.words[at] if out is None else out & self.words[at]
+    def masks(self, gram: np.ndarray) -> list[np.ndarray]:
+        """For each n-gram, the languages that contain it, as bits of as many words as it takes."""
+        bits = self.words.shape[1].bit_length() - 1
+        places = self.positions(gram, bits)
+        out = []
+        for words in self.words:
+            mask = words[places[0]]
+            for at in places[1:]:
+                mask &= words[at]
+            out.append(mask)
         return out
 
     def evidence(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +146,8 @@ class LanguageFilter:
         rows, k = len(offs) - 1, len(self.langs)
         gram, row = _grams(buf, offs)
         n = np.bincount(row, minlength=rows)
-        mask = self.masks(gram)
-        hits = np.stack([np.bincount(row, weights=((mask >> T.U64(i)) & T.U64(1)).astype(float), minlength=rows) for i in range(k)], 1)
+        masks = self.masks(gram)
+        hits = np.stack([np.bincount(row, weights=((masks[i // WORD] >> T.U64(i % WORD)) & T.U64(1)).astype(float), minlength=rows) for i in range(k)], 1)
         false = self.fill**PROBES
         return np.maximum(0, (hits - n[:, None] * false) / np.maximum(1e-9, 1 - false)), n
 
@@ -158,49 +166,72 @@ def train_filter(docs: DataFrame, min_share: float = MIN_SHARE, max_ratio: float
     """Learns the filter from all rows of ``docs`` (text, lang); rows without lang are left out."""
     counts = docs.where("lang is not null").select("text", "lang").mapInArrow(_counted, "lang string, gram long, docs long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
-    totals = {r["lang"]: r["docs"] for r in counts.where("gram = 0").orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()}
+    totals = {r["lang"]: r["docs"] for r in counts.where("gram = 0").collect()}
     langs = sorted(totals)
     if not langs:
-        return LanguageFilter.build([], [], np.zeros(0, np.int64), np.zeros(0, T.U64))
-    total = F.create_map(*[F.lit(x) for p in totals.items() for x in p])
-    share = counts.where(F.col("gram") != 0).where(F.col("lang").isin(langs)).withColumn("share", F.col("docs") / total[F.col("lang")])
+        return LanguageFilter.build([], [], np.zeros(0, np.int64), np.zeros(0, np.int64))
+    sizes = F.broadcast(counts.where("gram = 0").select("lang", F.col("docs").alias("all")))
+    share = counts.where("gram <> 0").join(sizes, "lang").withColumn("share", F.col("docs") / F.col("all"))
     # all of a language's n-grams that min_share of its documents hold: their number is bounded by
     # the n-grams of a document over min_share, however many documents there are
     most = share.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("each")).where(F.col("top") >= min_share)
     mine = F.filter("each", lambda x: (x["share"] >= min_share) & (x["share"] * max_ratio >= F.col("top")))
-    bit = F.create_map(*[x for i, name in enumerate(langs) for x in (F.lit(name), F.shiftleft(F.lit(1).cast("long"), i))])
-    got = most.select("gram", F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit[x["lang"]])).alias("mask")).toArrow()
-    gram, mask = got["gram"].to_numpy(), got["mask"].to_numpy().view(T.U64)
-    return LanguageFilter.build(langs, [totals[x] for x in langs], gram, mask)
+    got = most.select("gram", F.explode(F.transform(mine, lambda x: x["lang"])).alias("lang")).toArrow()
+    at = np.searchsorted(np.array(langs, object), np.array(got["lang"].to_pylist(), object)) if got.num_rows else np.zeros(0, np.int64)
+    return LanguageFilter.build(langs, [totals[x] for x in langs], got["gram"].to_numpy(), at.astype(np.int64))
+
+
+def _decided(f: LanguageFilter, batch, letters):
+    """Index of the language (-1: none), score and coverage of each row of a batch; ``letters``: which texts have one."""
+    buf, offs = T.text_buffers(batch["text"])
+    parts = [f.decide(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]) for lo, hi in T.pieces(offs, 1 << 19)]
+    best, score, coverage = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    best = np.where(letters.to_numpy(zero_copy_only=False).astype(bool), best, -1)
+    return best, np.where(best >= 0, score, 0.0), np.where(best >= 0, coverage, 0.0)
 
 
 def _predicted(model):
     def run(batches):
-        f = model.value
-        names = np.array([*f.langs, "und"], object)
+        names = np.array([*model.value.langs, "und"], object)
         for batch in batches:
-            buf, offs = T.text_buffers(batch["_text"])
-            best, score, coverage = [], [], []
-            for lo, hi in T.pieces(offs, 1 << 19):
-                b, s, c = f.decide(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                best.append(b)
-                score.append(s)
-                coverage.append(c)
-            letters = batch["_letters"].to_numpy(zero_copy_only=False).astype(bool)
-            best = np.where(letters, np.concatenate(best), -1)
-            score, coverage = (np.where(best >= 0, np.concatenate(x), 0.0) for x in (score, coverage))
-            rest = [c for c in batch.schema.names if c not in ("_text", "_letters")]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(names[best], pa.string()), pa.array(score), pa.array(coverage)], [*rest, "lang_pred", "score", "coverage"])
+            best, score, coverage = _decided(model.value, batch, batch["letters"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names[best], pa.string()), pa.array(score), pa.array(coverage)], ["doc_id", "lang_pred", "score", "coverage"])
 
     return run
 
 
-def predict_language(docs: DataFrame, model: LanguageFilter, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of each row, with lang_pred, score and coverage, from the column text alone."""
+def has_letter():
+    """Whether a text has a letter of any script."""
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
+def predict_language(docs: DataFrame, model: LanguageFilter) -> DataFrame:
+    """doc_id, lang_pred, score and coverage of each row, from the column text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    rows = docs.select(*keep, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    return rows.mapInArrow(_predicted(shared), f"{fields}, lang_pred string, score double, coverage double")
+    rows = docs.select("doc_id", "text", has_letter().alias("letters"))
+    return rows.mapInArrow(_predicted(shared), "doc_id long, lang_pred string, score double, coverage double")
+
+
+def _kept(shared):
+    def run(batches):
+        model, least = shared.value
+        for batch in batches:
+            best, _, coverage = _decided(model, batch, batch.column(batch.num_columns - 1))
+            keep = (best >= 0) & (coverage > 0) & (coverage >= least[best])
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(keep))
+
+    return run
+
+
+def in_learned_language(docs: DataFrame, model: LanguageFilter, typical: dict[str, float], share: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose best language knows ``share`` of what is typical for it or more.
+
+    Null texts, texts without a letter or any known n-gram, and all texts if nothing was learned, go.
+    """
+    least = np.array([*(share * typical.get(x, np.inf) for x in model.langs), np.inf])
+    shared = docs.sparkSession.sparkContext.broadcast((model, least))
+    (letters,) = fresh(docs, "letters")
+    return docs.withColumn(letters, has_letter()).mapInArrow(_kept(shared), docs.schema)
 
 
 def _own_coverage(model):
