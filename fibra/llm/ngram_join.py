@@ -15,14 +15,18 @@ How the work is spread without ever losing a link:
    joined and verified in place, skipping pairs that are connected already.  It finds most links
    cheaply, but nothing depends on it finding any;
 3. *completion*: every class sends its rarest 1 - t of its shingles (prefix filter, which no pair
-   at or over the threshold escapes) to the tasks that own them.  Classes that share one are
-   joined through an R-tree over their points; pairs that are in one component or were compared
-   in one block are left out, the rest are verified on the sets.
+   at or over the threshold escapes) to the tasks that own them.  A shingle is *open* if its
+   classes are not all connected yet; a pair that is still to be found shares open shingles only.
+   Classes that share one are joined through an R-tree over their points; a pair is named at a
+   shingle only if it could be the first one that they share, so if it and the open shingles and
+   the rest of the set after it allow the threshold (positional filter).  Pairs that are connected
+   or were compared in one block are left out, the rest are verified on the sets.
 
 The rarity order uses document frequencies by hash bucket, a table of fixed size over all
 documents; any order is exact, a rare-first one keeps the lists short.
 
-Components come from alternating large-star and small-star steps, checkpointed each round.
+Components come from alternating large-star and small-star steps, checkpointed each round, until
+the edges are a forest of stars.
 
 Defined cases: null or empty texts and texts without words have an empty set, link with nothing
 and are their own component; shorter texts are one shingle; repeated rows and equal texts fall
@@ -39,7 +43,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fibra.llm import _text as T
@@ -312,7 +316,7 @@ def _fitting(n: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.ndarray, t1
 
 
 def _candidates(t100: int):
-    """Of (part, side, comp, key, n, point, blocks) rows sorted by part: pairs still to be verified.
+    """Of (part, side, comp, key, n, after, point, blocks) rows sorted by part: pairs still to be verified.
 
     Lists of up to ``FAN`` points are single leaves and joined all at once, longer ones through a tree.
     """
@@ -333,12 +337,13 @@ def _candidates(t100: int):
 
     def run(batches):
         for t in _runs(batches, "part"):
-            part, comp, key, n, side = (t[c].to_numpy() for c in ("part", "comp", "key", "n", "side"))
+            part, comp, key, n, side, after = (t[c].to_numpy() for c in ("part", "comp", "key", "n", "side", "after"))
             counts = _upper(np.frombuffer(b"".join(t["point"].to_pylist()), np.uint8).reshape(-1, GROUPS))
             blocks = pc.list_flatten(t["blocks"]).to_numpy().reshape(len(key), HASHES)
             cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
             for i, j in pairs(n, counts, cuts):
                 ok = (comp[i] != comp[j]) & ((side[i] == 2) | (side[i] != side[j]))
+                ok &= (100 + t100) * (1 + np.minimum(after[i], after[j])) >= t100 * (n[i] + n[j])
                 i, j = i[ok], j[ok]
                 ok = ~((blocks[i] == blocks[j]) & (blocks[i] != 0)).any(1)
                 i, j = i[ok], j[ok]
@@ -420,24 +425,33 @@ def _sets(chosen: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return chosen.mapInArrow(_named_sets(k, _bits(wanted, "key")), "key long, tokens array<long>")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
-    """node, root for every node of the undirected edges; root is the smallest node reachable."""
+def _settled(pairs: DataFrame) -> bool:
+    """Whether the edges (u > v) are stars: each u has one v, and no v is a u."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("low")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("low")))
+    return ends.groupBy("node").agg(F.sum("low").alias("lows"), F.min("low").alias("least")).where("lows > 1 or (lows = 1 and least = 0)").isEmpty()
+
+
+def contracted(edges: DataFrame, rounds: int, a: str = "a", b: str = "b") -> DataFrame:
+    """Edges (u > v) that connect the same nodes, after so many star steps or when they are stars."""
     pairs = frozen(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    seen = None
     for _ in range(rounds):
+        if _settled(pairs):
+            break
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         pairs = frozen(small)
-        now = pairs.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-        if now == seen:
-            break
-        seen = now
-    else:
+    return pairs
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+    """node, root for every node of the undirected edges; root is the smallest node reachable."""
+    pairs = contracted(edges, rounds, a, b)
+    if not _settled(pairs):
         raise RuntimeError("components did not settle")
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def jaccard_links(docs: DataFrame, described_: DataFrame, k: int = 5, t100: int = 75) -> DataFrame:
@@ -466,42 +480,46 @@ def jaccard_links(docs: DataFrame, described_: DataFrame, k: int = 5, t100: int
     freq = spark.sparkContext.broadcast(bucket_frequencies(docs, k))
     tokens = chosen.select("text").mapInArrow(_postings(k, t100, freq), "token long, key long")
     tokens = tokens.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared, "token long, key long")
-    roots = components(packed)
-    info = placed.select("key", "n", "point", "blocks").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "point", "blocks", F.coalesce("root", "key").alias("comp"))
+    # two star steps connect nearly all; equal labels are connected, unequal ones are looked at
+    found = contracted(packed, 2)
+    labels = found.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("root"))
+    info = placed.select("key", "n", "point", "blocks").join(labels, "key", "left").select("key", "n", "point", "blocks", F.coalesce("root", "key").alias("comp"))
     tokens = frozen(tokens.join(info.select("key", "comp"), "key"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("members") / LIST_CHUNK).alias("ways"))
     open_ = tokens.join(counts, "token").join(info.drop("comp"), "key")
+    # what may still be shared after the shingle: open ones of the prefix, and all that follows the prefix
+    own = Window.partitionBy("key")
+    rest = F.floor((F.col("n") * t100 + 99) / 100).cast("long") - 1
+    open_ = open_.withColumn("after", F.count("*").over(own) - F.row_number().over(own.orderBy("token")) + rest)
     # a list of many chunks is dealt to tasks by pairs of chunks, so none holds all of it
     mine = F.pmod(F.xxhash64("key", F.lit(3)), F.col("ways"))
     open_ = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)))
     open_ = open_.select(
         F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"),
         F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"),
-        "comp", "key", "n", "point", "blocks",
+        "comp", "key", "n", "after", "point", "blocks",
     )
     pairs = open_.repartition("part").sortWithinPartitions("part").mapInArrow(_candidates(t100), "a long, b long, n_a long, n_b long")
-    # positional filter: what both prefixes share, and all of what follows one of them, bound the overlap
-    rest = lambda n: F.floor((F.col(n) * t100 + 99) / 100).cast("long") - 1
-    shared = F.count("*") + F.greatest(rest("n_a"), rest("n_b"))
-    pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(shared.alias("most")).where((100 + t100) * F.col("most") >= t100 * (F.col("n_a") + F.col("n_b")))
-    pairs = frozen(pairs.drop("most"))
+    pairs = frozen(pairs.distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     sets = frozen(wanted.join(_sets(chosen, wanted, k), "key"))
     left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("t_a"))
     right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("t_b"))
     both = F.size(F.array_intersect("t_a", "t_b"))
     checked = pairs.join(left, "a").join(right, "b").where(100 * both >= t100 * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
-    return packed.unionByName(checked)
+    return found.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(checked)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, t100: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (columns doc_id, text)."""
     told = frozen(described(docs, k))
-    links = frozen(jaccard_links(docs, told, k, t100))
-    roots = components(links)
-    rows = told.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key"))
-    least = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "comp", "left")
+    roots = components(jaccard_links(docs, told, k, t100))
+    # by class first: what is summed by component is one row a class, not one a copy
+    classes = told.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")).join(roots.withColumnRenamed("node", "key"), "key", "left")
+    classes = frozen(classes.select("key", F.coalesce("root", "key").alias("comp"), "rep"))
+    least = frozen(classes.groupBy("comp").agg(F.min("rep").alias("least")))
+    named = frozen(classes.join(least, "comp").select("key", "least"))
+    out = told.join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
