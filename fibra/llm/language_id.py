@@ -45,6 +45,9 @@ PROBES = 3
 FILTER_BITS = 18
 #: Languages that a word of the filter holds.
 WORD = 64
+#: Bytes of text that a task looks at together, and counts that it holds before it hands them on.
+PIECE = 1 << 18
+HELD = 1_000_000
 
 #: Bytes as the n-grams see them: A-Z folded, what is neither a letter nor part of UTF-8 a space.
 _FOLD = np.full(256, 32, np.uint8)
@@ -92,7 +95,7 @@ def _counted(batches):
     for batch in batches:
         buf, offs = T.text_buffers(batch["text"])
         langs, which = np.unique(np.asarray(batch["lang"].to_pylist(), object).astype(str), return_inverse=True)
-        for lo, hi in T.pieces(offs, 1 << 19):
+        for lo, hi in T.pieces(offs, PIECE):
             code, row = _grams(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
             # codes have 35 bits at most: with the row above them, one sort finds the distinct ones
             both = np.sort((row << 35) | code)
@@ -103,7 +106,7 @@ def _counted(batches):
                 count = int((which[lo:hi] == x).sum())
                 if count:
                     sums.setdefault(str(lang), []).append((np.append(gram, 0), np.append(docs, count)))
-        if sum(len(p[0]) for parts in sums.values() for p in parts) > 2_000_000:
+        if sum(len(p[0]) for parts in sums.values() for p in parts) > HELD:
             yield from emit()
             sums.clear()
     yield from emit()
@@ -184,7 +187,7 @@ def train_filter(docs: DataFrame, min_share: float = MIN_SHARE, max_ratio: float
 def _decided(f: LanguageFilter, batch, letters):
     """Index of the language (-1: none), score and coverage of each row of a batch; ``letters``: which texts have one."""
     buf, offs = T.text_buffers(batch["text"])
-    parts = [f.decide(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]) for lo, hi in T.pieces(offs, 1 << 19)]
+    parts = [f.decide(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]) for lo, hi in T.pieces(offs, PIECE)]
     best, score, coverage = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     best = np.where(letters.to_numpy(zero_copy_only=False).astype(bool), best, -1)
     return best, np.where(best >= 0, score, 0.0), np.where(best >= 0, coverage, 0.0)
@@ -241,7 +244,7 @@ def _own_coverage(model):
         for batch in batches:
             buf, offs = T.text_buffers(batch["text"])
             own = np.array([place.get(x, -1) for x in batch["lang"].to_pylist()], np.int64)
-            for lo, hi in T.pieces(offs, 1 << 19):
+            for lo, hi in T.pieces(offs, PIECE):
                 real, n = f.evidence(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 at = np.flatnonzero((n > 0) & (own[lo:hi] >= 0))
                 yield pa.RecordBatch.from_arrays([pa.array(own[lo:hi][at].astype(np.int32)), pa.array(real[at, own[lo:hi][at]] / n[at])], ["at", "coverage"])
