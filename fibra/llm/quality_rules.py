@@ -19,12 +19,15 @@ Base counts (see ``base_counts``) are whole-text counts; repeated 8-word windows
 sorting window hashes inside the row, so nothing is shuffled for them.
 
 Defined cases: null texts count as empty; texts below 20 words fail the base rule; if no document
-has a language, there are no references and the base rule alone decides; repeated rows each get a
-row; an empty table gives an empty result; only doc_id, text and lang are read.
+has a language, there are no references and the base rule alone decides; equal distances to two
+languages are one distance; repeated rows each get a row; an empty table gives an empty result;
+only text and lang are read; columns of the input named like a result column are replaced, all
+others stay.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,8 +47,6 @@ MAX_CHAR_DISTANCE = 0.22
 MAX_WORD_DISTANCE = 0.32
 MIN_CHARS = 200
 MIN_WORDS = 50
-#: At most so many languages, the most frequent ones.
-LANGUAGES = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -82,33 +83,46 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(hashes) < window, none).otherwise(let(keys, repeated))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
+def private(df: DataFrame) -> str:
+    """What no column of ``df`` begins with."""
+    prefix = "q_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
+def base_counts(docs: DataFrame, own: str | None = None) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words to the rows (column text).
 
     Characters are counted once, by class: what is no space is in words, and one class is the symbols.
+    With ``own`` the columns that it begins (text, class) stay, for ``judge``.
     """
-    df = class_counts(docs.withColumn("_text", F.coalesce("text", F.lit(""))))
-    df = df.withColumn("_words", words_of(F.col("_text")))
-    df = df.withColumns({"_hashes": F.transform("_words", lambda w: F.xxhash64(w)), "n_words": F.size("_words").cast("long")})
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    p = own or private(docs)
+    df = class_counts(docs.withColumn(f"{p}text", F.coalesce("text", F.lit(""))), p)
+    text, by_class = F.col(f"{p}text"), F.col(f"{p}class")
+    df = df.withColumn(f"{p}hashes", F.transform(words_of(text), lambda w: F.xxhash64(w)))
+    hashes = F.col(f"{p}hashes")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     place = {name: i for i, (name, _) in enumerate(CLASSES)}
-    return df.withColumns({
-        "word_chars": (F.char_length("_text") - F.col("_class")[place["space"]]).cast("long"),
-        "n_symbols": F.col("_class")[place["symbol"]].cast("long"),
+    df = df.withColumns({
+        "n_words": F.size(hashes).cast("long"),
+        "word_chars": (F.char_length(text) - by_class[place["space"]]).cast("long"),
+        "n_symbols": by_class[place["symbol"]].cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_hashes")),
-    })
+        "n_repeat_words": repeated_words(hashes),
+    }).drop(f"{p}hashes")
+    return df if own else df.drop(f"{p}text", f"{p}class")
 
 
-def class_counts(df: DataFrame) -> DataFrame:
-    """Adds _class: how many characters of _text each class has, in the order of ``CLASSES``."""
-    sizes, left = [], "_text"
+def class_counts(df: DataFrame, p: str) -> DataFrame:
+    """Adds {p}class: how many characters of {p}text each class has, in the order of ``CLASSES``."""
+    sizes, left = [], f"{p}text"
     for i, (_, pattern) in enumerate(CLASSES[:-1]):
-        df = df.withColumn(f"_left{i}", F.regexp_replace(left, pattern, ""))
-        sizes.append(F.char_length(left) - F.char_length(f"_left{i}"))
-        left = f"_left{i}"
+        df = df.withColumn(f"{p}left{i}", F.regexp_replace(left, pattern, ""))
+        sizes.append(F.char_length(left) - F.char_length(f"{p}left{i}"))
+        left = f"{p}left{i}"
     sizes.append(F.char_length(left))
-    return df.withColumn("_class", F.array(*sizes)).drop(*(f"_left{i}" for i in range(len(CLASSES) - 1)))
+    return df.withColumn(f"{p}class", F.array(*sizes)).drop(*(f"{p}left{i}" for i in range(len(CLASSES) - 1)))
 
 
 def fit_references(docs: DataFrame) -> tuple[dict[str, list[float]], dict[str, dict[str, float]]]:
@@ -117,96 +131,120 @@ def fit_references(docs: DataFrame) -> tuple[dict[str, list[float]], dict[str, d
     All rows with a language count. What reaches the driver is one row for each language and class
     or common word, of which a language has 1 / MIN_WORD_SHARE at most.
     """
-    rows = docs.where("lang is not null").select("lang", F.coalesce("text", F.lit("")).alias("_text"))
-    by_class = class_counts(rows).select("lang", "_class")
-    chars = by_class.groupBy("lang").agg(*[F.sum(F.col("_class")[i]).alias(name) for i, (name, _) in enumerate(CLASSES)])
-    chars = chars.withColumn("_all", sum(F.col(name) for name, _ in CLASSES)).where("_all > 0")
-    char_share = {r["lang"]: [r[name] / r["_all"] for name, _ in CLASSES] for r in chars.orderBy(F.desc("_all"), "lang").limit(LANGUAGES).collect()}
-    words = rows.select("lang", F.explode(F.split(F.lower("_text"), SPACES)).alias("word")).where("word <> ''")
+    rows = docs.where("lang is not null").select("lang", F.coalesce("text", F.lit("")).alias("q_text"))
+    by_class = class_counts(rows, "q_").select("lang", "q_class")
+    chars = by_class.groupBy("lang").agg(*[F.sum(F.col("q_class")[i]).alias(name) for i, (name, _) in enumerate(CLASSES)])
+    chars = chars.withColumn("q_all", sum(F.col(name) for name, _ in CLASSES)).where("q_all > 0")
+    char_share = {r["lang"]: [r[name] / r["q_all"] for name, _ in CLASSES] for r in chars.orderBy("lang").collect()}
+    words = rows.select("lang", F.explode(F.split(F.lower("q_text"), SPACES)).alias("word")).where("word <> ''")
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    common = counts.join(F.broadcast(totals.where(F.col("lang").isin(list(char_share)))), "lang").where(F.col("n") >= MIN_WORD_SHARE * F.col("total"))
-    word_share: dict[str, dict[str, float]] = {lang: {} for lang in char_share}
+    common = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= MIN_WORD_SHARE * F.col("total"))
+    word_share: dict[str, dict[str, float]] = {}
     for r in common.orderBy("lang", "word").collect():
-        word_share[r["lang"]][r["word"]] = r["n"] / r["total"]
+        word_share.setdefault(r["lang"], {})[r["word"]] = r["n"] / r["total"]
     return char_share, word_share
 
 
-def _divergence(p: Column, q: float) -> Column:
-    """The summand of a class in twice the Jensen-Shannon divergence (base 2)."""
-    if q == 0:
-        return p
-    m = (p + q) / 2
-    return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + q * F.log2(F.lit(q) / m)
+def constant(value, kind: str) -> Column:
+    """A literal of nested type, folded once when the query is planned."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def _distance(shares: list[Column], reference: list[float]) -> Column:
-    return F.sqrt(F.greatest(F.lit(0.0), sum((_divergence(p, q) for p, q in zip(shares, reference, strict=True)), F.lit(0.0)) / 2))
+def gain(p: Column, q: Column) -> Column:
+    """The summand of a class with shares p and q, one of them above 0, in twice the Jensen-Shannon divergence (base 2)."""
+    one = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
+    return one(p, q) + one(q, p)
 
 
-def _word_distance(share: str, places: list[int], reference: list[float]) -> Column:
-    """The distance over the words at ``places`` of the array ``share`` and all other words as one class."""
-    pairs = F.arrays_zip(F.array(*map(F.lit, places)).alias("at"), F.array(*map(F.lit, reference)).alias("q"))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("rest"))
-    more = lambda p, q: F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0) + q * F.log2(2 * q / (p + q))
+def char_distance(parts: Column, references: list[list[float]]) -> Column:
+    """The least distance of an array of shares to the references."""
 
-    def add(acc: Column, x: Column) -> Column:
-        p = F.get(F.col(share), x["at"])
-        return F.struct((acc["sum"] + more(p, x["q"])).alias("sum"), (acc["rest"] - p).alias("rest"))
+    def to(reference: Column) -> Column:
+        summed = F.aggregate(F.zip_with(parts, reference, lambda p, q: F.when((p > 0) | (q > 0), gain(p, q)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+        return F.sqrt(F.greatest(F.lit(0.0), summed) / 2)
 
-    last = F.lit(max(1e-9, 1 - sum(reference)))
-    return F.aggregate(pairs, start, add, lambda acc: F.sqrt(F.greatest(F.lit(0.0), acc["sum"] + more(F.greatest(F.lit(0.0), acc["rest"]), last)) / 2))
+    return F.array_min(F.transform(constant(references, "array<array<double>>"), to))
 
 
 def _word_codes(spark: SparkSession, words: list[str]) -> Callable[[Column], Column]:
-    """A function from a word's hash to its place in ``words``, or null: a literal hash table without collisions."""
+    """A function from a word's hash to its place in ``words``, or null: a literal hash table of 8 to 16 slots a word."""
     hashes = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).toLocalIterator()]
-    bits = max(8, len(words).bit_length() + 3)
-    while len({h % (1 << bits) for h in hashes}) < len(words):
-        bits += 1
-    slots = [-1] * (1 << bits)
+    mask = (1 << (len(words).bit_length() + 3)) - 1
+    slots, probes = [-1] * (mask + 1), 1
     for i, h in enumerate(hashes):
-        slots[h % (1 << bits)] = i
-    table_ = F.array(*[F.lit(x) for x in slots])
-    own = F.array(*[F.lit(h).cast("long") for h in hashes])
+        step = 0
+        while slots[(h + step) & mask] >= 0:
+            step += 1
+        slots[(h + step) & mask] = i
+        probes = max(probes, step + 1)
+    table_, own = constant(slots, "array<int>"), constant(hashes, "array<bigint>")
 
     def code(hashed: Column) -> Column:
-        slot = F.get(table_, hashed.bitwiseAND((1 << bits) - 1).cast("int"))
-        return F.when(F.get(own, slot) == hashed, slot)
+        place = hashed.bitwiseAND(mask)
+        tried = []
+        for step in range(probes):
+            slot = F.get(table_, ((place + step).bitwiseAND(mask) if step else place).cast("int"))
+            tried.append(F.when(F.get(own, slot) == hashed, slot))
+        return F.coalesce(*tried)
 
     return code
 
 
+def word_distance(text: Column, n_words: Column, word_share: dict[str, dict[str, float]], spark: SparkSession) -> Column:
+    """The least distance of a text's words to the languages' common words, all other words being one class.
+
+    Codes of the common words are sorted, so a run of equal ones is a word's count.  A word that the
+    text lacks adds its share q to a language's sum; all q are added up beforehand and taken out again
+    for the words that the text has.
+    """
+    shares = list(word_share.values())
+    vocabulary = sorted({w for x in shares for w in x})
+    place = {w: i for i, w in enumerate(vocabulary)}
+    owners: list[list[dict]] = [[] for _ in vocabulary]
+    for l, x in enumerate(shares):
+        for w, q in x.items():
+            owners[place[w]].append({"l": l, "q": q})
+    owned = constant(owners, "array<array<struct<l: int, q: double>>>")
+    langs = constant([{"all": sum(x.values()), "rest": max(1e-9, 1 - sum(x.values()))} for x in shares], "array<struct<all: double, rest: double>>")
+    code = _word_codes(spark, vocabulary)
+    hashes = F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w))
+    codes = F.sort_array(F.filter(F.transform(hashes, code), lambda c: c.isNotNull()))
+
+    def runs(c: Column) -> Column:
+        last = F.filter(F.transform(c, lambda x, i: F.when(F.coalesce(F.get(c, i + 1) != x, F.lit(True)), i)), lambda i: i.isNotNull())
+        return let(last, lambda e: F.transform(e, lambda i, j: F.struct(F.get(c, i).alias("c"), ((i - F.coalesce(F.get(e, j - 1), F.lit(-1))) / n_words).alias("p"))))
+
+    def met(run: Column) -> Column:
+        return F.transform(F.get(owned, run["c"]), lambda o: F.struct(o["l"].alias("l"), (gain(run["p"], o["q"]) - o["q"]).alias("more"), run["p"].alias("p")))
+
+    def to(pairs: Column) -> Column:
+        def one(lang: Column, l: Column) -> Column:
+            start = F.struct(lang["all"].alias("sum"), F.lit(1.0).alias("rest"))
+            add = lambda a, x: F.when(x["l"] == l, F.struct((a["sum"] + x["more"]).alias("sum"), (a["rest"] - x["p"]).alias("rest"))).otherwise(a)
+            return F.aggregate(pairs, start, add, lambda a: F.sqrt(F.greatest(F.lit(0.0), a["sum"] + gain(F.greatest(F.lit(0.0), a["rest"]), lang["rest"])) / 2))
+
+        return F.array_min(F.transform(langs, one))
+
+    return let(F.flatten(F.transform(let(codes, runs), met)), to)
+
+
 def judge(docs: DataFrame, references: tuple | None = None) -> DataFrame:
     """The rows with their base counts, base_failed, char_distance, word_distance (null: not tested) and kept."""
-    spark = docs.sparkSession
     char_share, word_share = references or fit_references(docs)
-    df = base_counts(docs)
-    n_chars = F.char_length("_text")
-    df = df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    p = private(docs)
+    df = base_counts(docs, p)
+    text, n_words = F.col(f"{p}text"), F.col("n_words")
+    n_chars = F.char_length(text)
     none = F.lit(None).cast("double")
-    df = df.withColumns({"char_distance": none, "word_distance": none})
-    if char_share:
-        parts = [F.col("_class")[i] / n_chars for i in range(len(CLASSES))]
-        best = F.lit(1.0)
-        for shares in char_share.values():
-            best = F.least(best, _distance(parts, shares))
-        df = df.withColumn("char_distance", F.when(n_chars >= MIN_CHARS, best))
-    vocabulary = sorted({w for shares in word_share.values() for w in shares})
-    if vocabulary:
-        k = len(vocabulary)
-        code = _word_codes(spark, vocabulary)
-        codes = F.filter(F.transform("_words", lambda w: code(F.xxhash64(F.lower(w)))), lambda c: c.isNotNull())
-        # with every code added once, a code's count is the gap between its first place and the next one's
-        ordered = F.sort_array(F.concat(codes, F.sequence(F.lit(0), F.lit(k))))
-        firsts = let(ordered, lambda x: F.transform(F.sequence(F.lit(0), F.lit(k)), lambda c: F.array_position(x, c)))
-        counts = let(firsts, lambda x: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.get(x, i + 1) - F.get(x, i) - 1) / F.col("n_words")))
-        df = df.withColumn("_share", F.when(F.col("n_words") >= MIN_WORDS, counts))
-        place = {w: i for i, w in enumerate(vocabulary)}
-        each = [_word_distance("_share", [place[w] for w in shares], list(shares.values())) for shares in word_share.values() if shares]
-        df = df.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, F.array_min(F.array(*each))))
+    parts = F.transform(f"{p}class", lambda x: x / n_chars)
+    df = df.withColumns({
+        "base_failed": (n_words < 20) | (100 * F.col("n_repeat_words") > 30 * n_words),
+        "char_distance": F.when(n_chars >= MIN_CHARS, char_distance(parts, list(char_share.values()))) if char_share else none,
+        "word_distance": F.when(n_words >= MIN_WORDS, word_distance(text, n_words, word_share, docs.sparkSession)) if word_share else none,
+    })
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return df.withColumn("kept", ~F.col("base_failed") & ~far).drop("_text", "_words", "_hashes", "_class", "_share")
+    return df.withColumn("kept", ~F.col("base_failed") & ~far).drop(f"{p}text", f"{p}class")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
