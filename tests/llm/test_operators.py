@@ -217,6 +217,45 @@ def test_quality_counts_and_verdict(docs, spark):
         assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and (not r["kept"] or not r["base_failed"])
 
 
+def js(p, q):
+    part = lambda x, y: x * math.log2(2 * x / (x + y)) if x > 0 else 0.0
+    return math.sqrt(max(0.0, sum(part(x, y) + part(y, x) for x, y in zip(p, q))) / 2)
+
+
+def test_quality_distances_by_hand(docs, spark):
+    odd = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(900 + i, "The AND of #1 é ÀB " * (20 + i), f"l{i}") for i in range(40)], "doc_id long, text string, lang string"))
+    rows = odd.collect()
+    patterns = [r"[a-z]", r"[\x20\x09-\x0D]", r"[A-Z]", r"[0-9]", r"[^\W\d_]", r"[#*$%&|<>]"]
+
+    def classes(t):
+        out = []
+        for p in patterns:
+            out.append(len(re.findall(p, t)))
+            t = re.sub(p, "", t)
+        return [*out, len(t)]
+
+    chars, words = {}, {}
+    for r in rows:
+        if r["lang"] is not None:
+            chars[r["lang"]] = [a + b for a, b in zip(chars.get(r["lang"], [0] * 7), classes(r["text"] or ""))]
+            words.setdefault(r["lang"], Counter()).update((r["text"] or "").lower().split())
+    common = {x: {w: n / sum(c.values()) for w, n in c.items() if n >= quality_rules.MIN_WORD_SHARE * sum(c.values())} for x, c in words.items()}
+    got = {r["doc_id"]: r for r in quality_rules.judge(odd).collect()}
+    assert len(common) > 40
+    for r in rows:
+        t = r["text"] or ""
+        w = t.lower().split()
+        near = far = None
+        if len(t) >= quality_rules.MIN_CHARS:
+            near = min(js([x / len(t) for x in classes(t)], [x / sum(c) for x in c]) for c in chars.values())
+        if len(w) >= quality_rules.MIN_WORDS:
+            have = Counter(w)
+            far = min(js([*(have[x] / len(w) for x in c), 1 - sum(have[x] for x in c) / len(w)], [*c.values(), max(1e-9, 1 - sum(c.values()))]) for c in common.values())
+        g = got[r["doc_id"]]
+        assert g["char_distance"] == pytest.approx(near, abs=1e-6) and g["word_distance"] == pytest.approx(far, abs=1e-6)
+        assert g["kept"] == (not g["base_failed"] and (near or 0) <= quality_rules.MAX_CHAR_DISTANCE and (far or 0) <= quality_rules.MAX_WORD_DISTANCE)
+
+
 def test_quality_words_from_fifty_and_any_case(docs, spark):
     references = quality_rules.fit_references(docs.where("doc_id < 120"))
     clean = docs.where("doc_id = 4").first()["text"].split()
@@ -234,12 +273,12 @@ def test_mixing_meets_targets(docs, tables, spark):
     labels = spark.read.parquet(f"{tables}/labels.parquet")
     members = mixing.memberships(docs, mixing.train_domains(docs, labels)).persist()
     targets = {"good_clean": 0.55, "poor_clean": 0.25, "good_toxic": 0.12, "poor_toxic": 0.08}
-    steps = mixing.fit_rates(members, targets, steps=400)
+    fit = mixing.fit_rates(members, targets)
     rows = members.collect()
     import numpy as np
 
     p, n = np.array([r["posteriors"] for r in rows]), np.array([r["n_tokens"] for r in rows])
-    rate = mixing.rates_of(p, steps)
+    rate = mixing.rates_of(p, fit.steps)
     share = (n * rate) @ p / n.sum()
     assert (rate >= 0).all() and np.abs(share - np.array(list(targets.values()))).max() < 0.01
     assert mixing.mix(docs, labels).columns == docs.columns

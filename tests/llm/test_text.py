@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from fibra.llm import _text as T
 from fibra.llm import decontamination, language_id, ngram_join, token_file, toxicity
 
+RNG = random.Random(3)
 TEXTS = st.lists(st.one_of(st.none(), st.text(max_size=80)), max_size=6)
 
 
@@ -53,15 +54,28 @@ def test_tokens_equal_the_library():
     paths = pytest.importorskip("public_tokenizers")
     path = paths.path("word_bpe_49k.json")
     whole = tokenizers.Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     mine = token_file.WordTokenizer(path)
-    texts = ["Don't stop, it's 42%%% !!", "é, über... <|endoftext|> ÀB", "", "  \n", "a'b c' 'd x y ́z", "WORD?word? «,» …,"]
+    assert mine.apart
+    texts = ["Don't stop, it's 42%%% !!", "é, über... <|endoftext|> ÀB", "", "  \n", "a'b c' 'd x y ́z", "WORD?word? «,» …,", "<|startoftext|>a b", "x <|EndOfText|> y", "<|endoftext|><|endoftext|>", "<|endof", "text|>"]
+    texts += [RNG.choice(["a", " ", "<|", "|>", "endoftext", "<|endoftext|>", "'s", "é"]) + t for t in texts for _ in range(20)]
     ids, sizes = mine(*T.text_buffers(pa.array(texts)))
     cuts = np.concatenate(([0], np.cumsum(sizes)))
     for i, t in enumerate(texts):
         assert ids[cuts[i] : cuts[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_texts_encoded_whole_equal_the_library(name):
+    tokenizers = pytest.importorskip("tokenizers")
+    paths = pytest.importorskip("public_tokenizers")
+    whole = tokenizers.Tokenizer.from_file(paths.path(name))
+    mine = token_file.WordTokenizer(paths.path(name))
+    texts = ["Don't  stop", "", "a <|endoftext|> b", "  x\n\ty ", "é" * 50]
+    ids, sizes = mine(*T.text_buffers(pa.array(texts)))
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+
+
 def test_rtree_misses_no_pair():
     rng = np.random.default_rng(5)
     base = [set(rng.integers(0, 400, 40).tolist()) for _ in range(12)]
@@ -115,11 +129,36 @@ def test_edited_passages_are_found():
     assert len(found & expected) >= 0.95 * len(expected) and not {f for f in found if f[0] >= 60}
 
 
+@pytest.mark.parametrize("kind", ["replaced", "inserted", "removed"])
+@pytest.mark.parametrize("sizes", [(1, 4), (5, 9), (10, 14), (15, 50)])
+def test_recall_against_brute_force(kind, sizes):
+    rng = random.Random(f"{kind}{sizes}")
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    line = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items_ = [line(rng.randint(*sizes)) for _ in range(80)]
+    items = decontamination.Items(list(range(80)), [" ".join(x) for x in items_])
+    texts, want = [], set()
+    for i, words in enumerate(items_):
+        edited = list(words)
+        for _ in range(int(items.allowed[i])):
+            at = rng.randrange(len(edited))
+            edited[at : at + (kind != "inserted")] = [] if kind == "removed" else [rng.choice(vocabulary)]
+        texts.append(line(30) + edited + line(30))
+        hashed, _ = decontamination.words(*T.text_buffers(pa.array([" ".join(texts[-1])])))
+        if decontamination.stretch_distance(items.words[i], hashed)[0] <= items.allowed[i]:
+            want.add((i, i))
+    hashed, row = decontamination.words(*T.text_buffers(pa.array([" ".join(t) for t in texts])))
+    found = {(r, i) for r, i, _, _ in decontamination.find(items, hashed, row, len(texts))}
+    assert len(want) == 80 and len(found & want) >= 0.9 * len(want)
+
+
 def test_filter_returns_all_languages_of_a_gram():
     gram = np.arange(1, 2000, dtype=np.int64)
-    mask = (1 + gram % 3).astype(np.uint64)
-    f = language_id.LanguageFilter.build(["x", "y"], [3, 2], gram, mask)
-    assert ((f.masks(gram) & mask) == mask).all()
+    names = [str(i) for i in range(130)]
+    lang = gram % 130
+    f = language_id.LanguageFilter.build(names, [1] * 130, gram, lang)
+    masks = f.masks(gram)
+    assert len(masks) == 3 and all(int(masks[i // 64][j]) >> (i % 64) & 1 for j, i in enumerate(lang.tolist()))
 
 
 def test_subsequence_kernel_by_hand():
