@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 
 import numpy as np
@@ -76,7 +77,9 @@ def normalize_rvc(samples: DataFrame, rvc: DataFrame | None, sr: float, window:
     if rvc is None:
         raise ValueError("rvc is required")
     if window:
-        rvc = rvc.where(F.col("sample").between(int(window[0] * sr) + 1, int(window[1] * sr)))
+        if window[0] >= window[1]:
+            raise ValueError("the window must end after its start")
+        rvc = rvc.where(F.col("sample").between(max(1, math.floor(window[0] * sr) + 1), math.ceil(window[1] * sr)))
     return _by_reference(samples, rvc, F.avg(F.abs(assay)), assay, out)
 
 

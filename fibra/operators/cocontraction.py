@@ -23,7 +23,7 @@ def _index(method: str):
     low = F.when(both, F.least(a, b))
     high = F.when(both, F.greatest(a, b))
     if method == "falconer_winter":
-        total = F.sum(a) + F.sum(b)
+        total = F.sum(F.when(both, a + b))
         return F.when(total > 0, 200 * F.sum(low) / total).otherwise(0.0)
     if method == "rudolph":
         return F.avg(F.when(high > 0, low / high * (low + high)).when(both, 0.0))

@@ -27,7 +27,8 @@ def fatigue_windows(samples: DataFrame, sr: float, window_sec: float = 1.0, over
         power = window_power(x)
         total = power.sum(1)
         some = total > 0
-        half = np.round(power.cumsum(1), 9) >= np.round(total / 2, 9)[:, None]
+        # shares of the total: what counts as half does not depend on the signal's unit
+        half = np.round(power.cumsum(1) / np.where(some, total, 1)[:, None], 9) >= 0.5
         median = np.where(some, f[half.argmax(1)], np.nan)
         mean = np.where(some, power @ f / np.where(some, total, 1), np.nan)
         return median, mean, np.sqrt((x**2).mean(1))

@@ -176,7 +176,7 @@ def granger_network(samples: DataFrame, max_lag: int = 10, score: str = "f_stat"
 
     got = lagged_products(samples, p, standardize, assay).groupBy("recording_id").applyInPandas(run, "recording_id string, source int, target int, f_stat double, p_value double, delta_r2 double")
     out = got.withColumn("weight", F.col(score))
-    return out if p_value_cutoff is None else out.withColumn("adjacent", F.col("p_value") < p_value_cutoff)
+    return out if p_value_cutoff is None else out.withColumn("adjacent", F.col("p_value") <= p_value_cutoff)
 
 
 def _morlet(x: np.ndarray, freqs: np.ndarray, cycles: float, sr: float) -> np.ndarray:

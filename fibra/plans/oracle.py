@@ -34,7 +34,7 @@ psd AS (SELECT channel, k, b, b * 500.0 / 32 AS f, CASE WHEN b = 0 THEN 0.0 ELSE
 MEAN_FREQ = "mf AS (SELECT channel, k, sum(f * p) / sum(p) AS mnf FROM psd GROUP BY channel, k HAVING sum(p) > 0)"
 MEDIAN_FREQ = """
 cum AS (SELECT channel, k, f, sum(p) OVER (PARTITION BY channel, k ORDER BY b) AS c, sum(p) OVER (PARTITION BY channel, k) AS t FROM psd),
-md AS (SELECT channel, k, min(f) AS mdf FROM cum WHERE t > 0 AND round(c, 9) >= round(t / 2, 9) GROUP BY channel, k)
+md AS (SELECT channel, k, min(f) AS mdf FROM cum WHERE t > 0 AND round(c / t, 9) >= 0.5 GROUP BY channel, k)
 """
 
 TREND = """

@@ -261,3 +261,25 @@ def test_null_and_empty_inputs(spark):
         warnings.simplefilter("error")
         got = fatigue.fatigue_windows(frame(spark, gap), 1000, 0.064, 0).orderBy("window").toPandas()
     assert got["rms_amplitude"].isna().tolist() == [True, False, False, False]
+
+
+def test_median_frequency_does_not_depend_on_the_unit(spark):
+    x = np.sin(2 * np.pi * 100 * np.arange(1000) / 1000)
+    for scale in (1.0, 2e-6, 1e4):
+        got = fatigue.fatigue_windows(frame(spark, scale * x), 1000, 1.0).collect()
+        assert [r["median_freq"] for r in got] == [pytest.approx(100)]
+
+
+def test_reference_window_ends_after_the_part_of_a_sample(spark):
+    x = frame(spark, np.arange(1, 11), assay="env")
+    got = amplitude.normalize_rvc(x, x, 10, (0, 0.25)).orderBy("sample").first()["normalized"]
+    assert got == pytest.approx(1 / 2)
+    with pytest.raises(ValueError, match="window"):
+        amplitude.normalize_rvc(x, x, 10, (0.3, 0.2))
+
+
+def test_cocontraction_drops_samples_with_a_null(spark):
+    a = np.array([1.0, 2, 3, 4])
+    b = np.array([1.0, 2, np.nan, 4])
+    got = cocontraction.cocontraction(frame(spark, a, b, assay="env"), 1, 2, normalize=False).first()["index"]
+    assert got == pytest.approx(100)
