@@ -4,23 +4,26 @@ A line is the set of its distinct lower-case words.  A line goes if an earlier l
 doc_id and place, has a Jaccard similarity of at least ``THRESHOLD`` to it (whether or not that
 one goes itself); a line without words stays.
 
-1. Lines that are equal but for case and outer space form a class, held by its earliest line.
+1. Lines that are equal but for case and outer space form a class, held by its earliest line
+   (one aggregate, combined before the shuffle, so a line that is everywhere is no hot key).  A
+   class's later lines go; its earliest goes if any class that starts earlier is similar to it.
 2. Words of a line are put in order of rarity: by the logarithm of how often their hash bucket
    occurs in all texts (``2 ** FREQ_BITS`` buckets, one byte each, at any input size), then by
    hash.  Any order is exact; this one keeps lists of common words short.
-3. Prefix filter: similar sets share one of their rarest n - ceil(t n) + 1 words.  Classes that
-   share one are joined under the length filter and the positional filter, which bounds the
-   overlap by the words that are left after the shared one.
-4. Pairs are verified on the whole sets, read again from the documents that hold them.
-5. A class's lines go if they come after the earliest line of the class and of those similar to it.
-
-Equal lines meet before the join by pre-aggregation; the most repeated ones (at most ``HOT``
-classes, a broadcast of bounded size) are represented by one line in the join's input already.
+3. One earlier similar class is enough.  So each class is first held against the earliest class
+   that has the same least or the same greatest word hash; what that settles is not looked for
+   again, and families of near copies need no pairs of all their members.
+4. The others are joined to all earlier classes by the prefix filter: similar sets share one of
+   their rarest n - ceil(t n) + 1 words.  A shared word counts under the length filter, the
+   positional filter, and the parities of 64 word groups (each that differs is a word that only
+   one of both has); a pair's shared words together bound its overlap by their number and the
+   words left after the last one.
+5. Pairs are verified on the whole sets, read again from the documents that hold them.
 
 Defined cases: a null text has no lines, an empty one has one line without words; rows that share
 a doc_id count as one document, their lines at one place as equally early; a null doc_id comes
 first; an empty table gives an empty result; only doc_id and text are read.
-Words are told apart by 40-bit hashes within a line, lines by 64-bit ones.
+Words are told apart by 63 bits (of them 6 for rarity), in verification by 64, lines by 64.
 """
 
 from __future__ import annotations
@@ -28,13 +31,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fibra.llm._spark import frozen, table
+from fibra.llm._spark import fresh, table, written
 
 SPACES = r"[\x20\x09-\x0D]+"
+WORDED = r"[^\x20\x09-\x0D]"
 THRESHOLD = 80
 FREQ_BITS = 18
-HASH_BITS = 40
-HOT = 10_000
+RANK_BITS = 6
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -46,93 +49,139 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(F.lower(line)))
 
 
-def bucket_ranks(docs: DataFrame) -> bytes:
-    """For each hash bucket of words a rank from 0 (rare) to 126, by the logarithm of its count."""
+def word_hashes(line: Column) -> Column:
+    """Hashes of the line's distinct words."""
+    words = F.array_remove(F.split(F.lower(line), SPACES), "")
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def bucket_ranks(docs: DataFrame) -> Column:
+    """An array with a rank from 0 (rare) for each hash bucket of words, by the logarithm of its count."""
     words = docs.select(F.explode(F.split(F.lower("text"), SPACES)).alias("word")).where("word <> ''")
     counts = words.groupBy(F.xxhash64("word").bitwiseAND((1 << FREQ_BITS) - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    out = bytearray(b"\x01" * (1 << FREQ_BITS))
-    rank = F.least(F.lit(126), F.floor(4 * F.log2("n"))).cast("int")
+    ranks = ["0"] * (1 << FREQ_BITS)
+    rank = F.least(F.lit((1 << RANK_BITS) - 2), F.floor(2 * F.log2("n"))).cast("int")
     for r in counts.select("bucket", rank.alias("rank")).toLocalIterator():
-        out[r["bucket"]] = 1 + r["rank"]
-    return bytes(out)
-
-
-def tokens_of(line: Column, ranks: bytes) -> Column:
-    """The line's distinct words as numbers, rarest first: rank above HASH_BITS bits of hash."""
-    table_ = F.lit(ranks)
-
-    def number(word: Column) -> Column:
-        hashed = F.xxhash64(word)
-        place = hashed.bitwiseAND((1 << FREQ_BITS) - 1).cast("int") + 1
-        rank = F.ascii(F.substring(table_, place, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(rank, HASH_BITS) + F.shiftrightunsigned(hashed, 64 - HASH_BITS)
-
-    words = F.filter(F.split(F.lower(line), SPACES), lambda w: w != "")
-    return F.sort_array(F.array_distinct(F.transform(words, number)))
-
-
-def similar_classes(docs: DataFrame, classes: DataFrame, t100: int = THRESHOLD) -> DataFrame:
-    """Verified pairs (a, b) of classes (key, doc_id, line_no of the earliest line, lines) that are similar."""
-    ranks = bucket_ranks(docs)
-    lines = lines_of(docs).withColumn("key", line_key(F.col("line")))
-    hot = classes.where("lines > 100").orderBy(F.desc("lines"), "key").limit(HOT).select("key", F.col("doc_id").alias("_doc"), F.col("line_no").alias("_line"))
-    lines = lines.join(F.broadcast(hot), "key", "left").where("_line is null or (doc_id <=> _doc and line_no = _line)")
-    sets = lines.select("key", tokens_of(F.col("line"), ranks).alias("tokens")).withColumn("n", F.size("tokens")).where("n > 0")
-    prefix = F.col("n") - F.ceil(F.col("n") * t100 / 100).cast("int") + 1
-    lists = sets.select("key", "n", F.posexplode(F.slice("tokens", 1, prefix)).alias("at", "token"))
-    lists = lists.repartition("token").dropDuplicates(["token", "key", "n", "at"])
-    left = lists.select("token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    right = lists.select("token", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    most = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    met = left.join(right, "token").where(
-        (F.col("a") < F.col("b"))
-        & (100 * F.col("n_a") >= t100 * F.col("n_b"))
-        & (100 * F.col("n_b") >= t100 * F.col("n_a"))
-        & ((100 + t100) * most >= t100 * (F.col("n_a") + F.col("n_b")))
-    )
-    pairs = frozen(met.select("a", "b").distinct())
-    # the sets of the lines in question, from the documents that hold them
-    wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
-    held = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(F.explode(F.array_intersect("wanted", F.sequence(F.lit(0), F.size(F.split("text", "\n", -1)) - 1))).alias("line_no"), "text")
-    line = F.get(F.split("text", "\n", -1), F.col("line_no"))
-    sets = frozen(held.select(line_key(line).alias("key"), tokens_of(line, ranks).alias("tokens")).dropDuplicates(["key"]))
-    both = F.size(F.array_intersect("t_a", "t_b"))
-    checked = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("t_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("t_b")), "b")
-    return checked.where(100 * both >= t100 * (F.size("t_a") + F.size("t_b") - both)).select("a", "b")
+        ranks[r["bucket"]] = str(r["rank"])
+    return F.split(F.lit(",".join(ranks)), ",").cast("array<tinyint>")
+
+
+def rarest_first(hashes: Column, ranks: Column) -> Column:
+    """Words as numbers, rarest first: the rank above the hash."""
+    low = 63 - RANK_BITS
+
+    def number(h: Column) -> Column:
+        rank = F.get(ranks, h.bitwiseAND((1 << FREQ_BITS) - 1).cast("int")).cast("long")
+        return F.shiftleft(rank, low) + F.shiftrightunsigned(h, 64 - low)
+
+    return F.sort_array(F.transform(hashes, number))
+
+
+def line_classes(docs: DataFrame, ranks: Column, t100: int) -> DataFrame:
+    """One row for each class of lines with words: key, doc_id and line_no of its earliest line, n
+    words, their prefix, the least and greatest word hash, the parities of their 64 groups."""
+    lines = lines_of(docs).where(F.col("line").rlike(WORDED))
+    sets = lines.select("doc_id", "line_no", line_key(F.col("line")).alias("key"), word_hashes(F.col("line")).alias("hashes"))
+    sets = sets.select("doc_id", "line_no", "key", F.size("hashes").alias("n"), F.array_min("hashes").alias("least"), F.array_max("hashes").alias("greatest"), rarest_first(F.col("hashes"), ranks).alias("words"))
+    parity = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))))
+    prefix = F.slice("words", 1, (F.col("n") - F.ceil(F.col("n") * t100 / 100) + 1).cast("int"))
+    held = F.struct("doc_id", "line_no", "n", "least", "greatest", parity.alias("parity"), prefix.alias("prefix"))
+    return written(sets.select("key", held.alias("held")).groupBy("key").agg(F.min("held").alias("held")).select("key", "held.*"))
+
+
+def _side(df: DataFrame, side: str, *on: str) -> DataFrame:
+    return df.select(*on, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in on])
+
+
+def _earlier(doc: str = "doc_id", line: str = "line_no") -> Column:
+    """Side a starts before side b; a null doc_id comes first."""
+    a, b = F.col(f"{doc}_a"), F.col(f"{doc}_b")
+    return (a < b) | (a.isNull() & b.isNotNull()) | (a.eqNullSafe(b) & (F.col(f"{line}_a") < F.col(f"{line}_b")))
+
+
+def _may_agree(n_a: Column, n_b: Column, t100: int) -> Column:
+    """Length filter, and the parities that differ as words of one set alone."""
+    apart = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b")))
+    return (100 * n_a >= t100 * n_b) & (100 * n_b >= t100 * n_a) & ((100 + t100) * (n_a + n_b - apart) >= 2 * t100 * (n_a + n_b))
+
+
+PLACES = ("key_a", "doc_id_a", "line_no_a", "key_b", "doc_id_b", "line_no_b")
+
+
+def family_pairs(classes: DataFrame, t100: int) -> DataFrame:
+    """Each class with the earliest one of the same least, and of the same greatest, word hash."""
+    rows = classes.select(F.posexplode(F.array("least", "greatest")).alias("end", "hash"), "doc_id", "line_no", "key", "n", "parity")
+    held = F.min(F.struct("doc_id", "line_no", "key", "n", "parity")).alias("held")
+    firsts = rows.groupBy("end", "hash").agg(held, F.count("*").alias("rows")).where("rows > 1").select("end", "hash", "held.*")
+    met = _side(firsts, "a", "end", "hash").join(_side(rows, "b", "end", "hash"), ["end", "hash"])
+    return met.where(_earlier() & _may_agree(F.col("n_a"), F.col("n_b"), t100)).select(*PLACES).distinct()
+
+
+def prefix_pairs(classes: DataFrame, t100: int) -> DataFrame:
+    """Candidates (a before b, b open) by shared prefix words.
+
+    ``m`` is n for an open class and -n for a settled one: the length filter then fails where b is
+    settled, and both sides of the join stay one and the same shuffle.
+    """
+    lists = classes.select("key", "doc_id", "line_no", F.when(F.col("open"), F.col("n")).otherwise(-F.col("n")).alias("m"), "parity", F.posexplode("prefix").alias("at", "word"))
+    n_a, n_b = F.abs("m_a"), F.col("m_b")
+    most = F.least("at_a", "at_b") + F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))
+    met = _side(lists, "a", "word").join(_side(lists, "b", "word"), "word")
+    met = met.where(_may_agree(n_a, n_b, t100) & ((100 + t100) * most >= t100 * (n_a + n_b)) & _earlier())
+    last = F.least(F.any_value(n_a) - F.max("at_a"), F.any_value(n_b) - F.max("at_b")) - 1
+    bound = met.groupBy(*PLACES).agg((F.count("*") + last).alias("most"), F.any_value(n_a + n_b).alias("sum"))
+    return bound.where((100 + t100) * F.col("most") >= t100 * F.col("sum")).select(*PLACES)
+
+
+def similar(docs: DataFrame, pairs: DataFrame, t100: int) -> DataFrame:
+    """The keys b of the pairs that are similar on their whole sets."""
+    pairs = written(pairs)
+    ends = pairs.select(F.col("doc_id_a").alias("at"), F.col("line_no_a").alias("line_no")).unionByName(pairs.select(F.col("doc_id_b").alias("at"), F.col("line_no_b").alias("line_no")))
+    wanted = ends.groupBy("at").agg(F.collect_set("line_no").alias("wanted"))
+    held = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["at"])).select("wanted", F.split("text", "\n", -1).alias("lines"))
+    line = held.select(F.explode(F.transform("wanted", lambda i: F.get("lines", i))).alias("line")).where(F.col("line").rlike(WORDED))
+    sets = line.select(line_key(F.col("line")).alias("key"), F.col("line")).dropDuplicates(["key"])
+    sets = written(sets.select("key", word_hashes(F.col("line")).alias("words")))
+    both = F.size(F.array_intersect("words_a", "words_b"))
+    checked = pairs.select("key_a", "key_b").join(sets.toDF("key_a", "words_a"), "key_a").join(sets.toDF("key_b", "words_b"), "key_b")
+    return checked.where(100 * both >= t100 * (F.size("words_a") + F.size("words_b") - both)).select(F.col("key_b").alias("key")).distinct()
+
+
+def kept_classes(docs: DataFrame, t100: int = THRESHOLD) -> DataFrame:
+    """key, doc_id, line_no of the classes whose earliest line has no similar line before it."""
+    classes = line_classes(docs, bucket_ranks(docs), t100)
+    settled = written(similar(docs, family_pairs(classes, t100), t100))
+    marked = classes.join(settled.withColumn("settled", F.lit(True)), "key", "left").withColumn("open", F.col("settled").isNull())
+    gone = settled.unionByName(similar(docs, prefix_pairs(marked, t100), t100))
+    return classes.select("key", "doc_id", "line_no").join(gone, "key", "left_anti")
 
 
 def removed_lines(docs: DataFrame, t100: int = THRESHOLD) -> DataFrame:
     """doc_id, n_lines, n_removed and the numbers of the removed lines (from 0), one row for each doc_id."""
     docs = docs.select("doc_id", "text")
-    lines = lines_of(docs)
-    empty = F.trim(F.regexp_replace("line", SPACES, " ")) == ""
-    lines = frozen(lines.select("doc_id", "line_no", F.when(~empty, line_key(F.col("line"))).alias("key")))
-    place = F.struct("doc_id", "line_no")
-    classes = lines.where("key is not null").groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("lines"))
-    classes = frozen(classes.select("key", "first.doc_id", "first.line_no", "lines"))
-    pairs = similar_classes(docs, classes, t100)
-    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    firsts = classes.select(F.col("key").alias("b"), F.struct("doc_id", "line_no").alias("first"))
-    earliest = links.join(firsts, "b").groupBy("a").agg(F.min("first").alias("earliest"))
-    least = classes.join(earliest.withColumnRenamed("a", "key"), "key", "left")
-    least = least.select("key", F.least(F.struct("doc_id", "line_no"), F.coalesce("earliest", F.struct("doc_id", "line_no"))).alias("least"))
-    judged = lines.join(least, "key", "left").withColumn("gone", F.coalesce(F.struct("doc_id", "line_no") > F.col("least"), F.lit(False)))
-    out = judged.groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"),
-        F.count(F.when(F.col("gone"), 1)).alias("n_removed"),
-        F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line_no")))).alias("removed"),
+    kept = kept_classes(docs, t100).select(F.col("key").alias("k"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
+    worded = F.col("line").rlike(WORDED)
+    # posexplode_outer: a null text is one row without a line
+    lines = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = lines.select("doc_id", "line_no", F.when(worded, line_key(F.col("line"))).alias("key"), F.coalesce(~worded, F.lit(True)).alias("stays"))
+    # a line without words has a null key and meets nothing; its place keeps it off a common partition
+    judged = lines.join(kept, (lines["line_no"] == kept["l"]) & F.col("doc_id").eqNullSafe(F.col("d")) & F.col("key").eqNullSafe(F.col("k")), "left")
+    gone = ~F.col("stays") & F.col("l").isNull()
+    return judged.groupBy("doc_id").agg(
+        F.count("line_no").alias("n_lines"),
+        F.count(F.when(gone, 1)).alias("n_removed"),
+        F.sort_array(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed"),
     )
-    none = docs.groupBy("doc_id").agg(F.max(F.col("text").isNotNull()).alias("some")).where("not some")
-    none = none.select("doc_id", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("removed"))
-    return out.unionByName(none)
 
 
 def dedup_lines(docs: DataFrame, t100: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, their texts without the removed lines."""
-    gone = removed_lines(docs, t100).where("n_removed > 0").select(F.col("doc_id").alias("_doc"), "removed")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("removed", i))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]), "left")
-    return out.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_doc", "removed")
+    doc, numbers = fresh(docs, "doc", "numbers")
+    gone = removed_lines(docs, t100).where("n_removed > 0").select(F.col("doc_id").alias(doc), F.col("removed").alias(numbers))
+    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(numbers, i))
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone[doc]), "left")
+    text = F.when(F.col(numbers).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
+    return out.select(*[text if c == "text" else out[c] for c in docs.columns])
 
 
 #: The same rows by plain SQL: shared words are counted for all pairs of distinct lines.
