@@ -55,29 +55,31 @@ def word_hashes(line: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def bucket_ranks(docs: DataFrame) -> Column:
-    """An array with a rank from 0 (rare) for each hash bucket of words, by the logarithm of its count."""
+def bucket_ranks(docs: DataFrame) -> bytes:
+    """For each hash bucket of words a byte: one above its rank from 0 (rare), by the logarithm of its count."""
     words = docs.select(F.explode(F.split(F.lower("text"), SPACES)).alias("word")).where("word <> ''")
     counts = words.groupBy(F.xxhash64("word").bitwiseAND((1 << FREQ_BITS) - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    ranks = ["0"] * (1 << FREQ_BITS)
+    ranks = bytearray(b"\x01" * (1 << FREQ_BITS))
     rank = F.least(F.lit((1 << RANK_BITS) - 2), F.floor(2 * F.log2("n"))).cast("int")
-    for r in counts.select("bucket", rank.alias("rank")).toLocalIterator():
-        ranks[r["bucket"]] = str(r["rank"])
-    return F.split(F.lit(",".join(ranks)), ",").cast("array<tinyint>")
+    for r in counts.select("bucket", rank.alias("rank")).collect():
+        ranks[r["bucket"]] = 1 + r["rank"]
+    return bytes(ranks)
 
 
-def rarest_first(hashes: Column, ranks: Column) -> Column:
+def rarest_first(hashes: Column, ranks: bytes) -> Column:
     """Words as numbers, rarest first: the rank above the hash."""
     low = 63 - RANK_BITS
+    table_ = F.lit(ranks)
 
     def number(h: Column) -> Column:
-        rank = F.get(ranks, h.bitwiseAND((1 << FREQ_BITS) - 1).cast("int")).cast("long")
-        return F.shiftleft(rank, low) + F.shiftrightunsigned(h, 64 - low)
+        place = h.bitwiseAND((1 << FREQ_BITS) - 1).cast("int") + 1
+        rank = F.ascii(F.substring(table_, place, F.lit(1)).cast("string")) - 1
+        return F.shiftleft(rank.cast("long"), low) + F.shiftrightunsigned(h, 64 - low)
 
     return F.sort_array(F.transform(hashes, number))
 
 
-def line_classes(docs: DataFrame, ranks: Column, t100: int) -> DataFrame:
+def line_classes(docs: DataFrame, ranks: bytes, t100: int) -> DataFrame:
     """One row for each class of lines with words: key, doc_id and line_no of its earliest line, n
     words, their prefix, the least and greatest word hash, the parities of their 64 groups."""
     lines = lines_of(docs).where(F.col("line").rlike(WORDED))
