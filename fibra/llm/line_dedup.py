@@ -139,11 +139,11 @@ def similar(docs: DataFrame, pairs: DataFrame, t100: int) -> DataFrame:
     """The keys b of the pairs that are similar on their whole sets."""
     pairs = written(pairs)
     ends = pairs.select(F.col("doc_id_a").alias("at"), F.col("line_no_a").alias("line_no")).unionByName(pairs.select(F.col("doc_id_b").alias("at"), F.col("line_no_b").alias("line_no")))
-    wanted = ends.groupBy("at").agg(F.collect_set("line_no").alias("wanted"))
+    # written, so that Spark knows its size: a small table is broadcast and no text is shuffled
+    wanted = written(ends.groupBy("at").agg(F.collect_set("line_no").alias("wanted")))
     held = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["at"])).select("wanted", F.split("text", "\n", -1).alias("lines"))
     line = held.select(F.explode(F.transform("wanted", lambda i: F.get("lines", i))).alias("line")).where(F.col("line").rlike(WORDED))
-    sets = line.select(line_key(F.col("line")).alias("key"), F.col("line")).dropDuplicates(["key"])
-    sets = written(sets.select("key", word_hashes(F.col("line")).alias("words")))
+    sets = line.select(line_key(F.col("line")).alias("key"), "line").dropDuplicates(["key"]).select("key", word_hashes(F.col("line")).alias("words"))
     both = F.size(F.array_intersect("words_a", "words_b"))
     checked = pairs.select("key_a", "key_b").join(sets.toDF("key_a", "words_a"), "key_a").join(sets.toDF("key_b", "words_b"), "key_b")
     return checked.where(100 * both >= t100 * (F.size("words_a") + F.size("words_b") - both)).select(F.col("key_b").alias("key")).distinct()
