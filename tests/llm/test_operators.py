@@ -119,6 +119,30 @@ def test_line_dedup_is_brute_force(spark):
     assert all(len(clean[d].split("\n")) == got[d]["n_lines"] - got[d]["n_removed"] or clean[d] == "" for d, t in rows if t is not None) and clean[90] is None
 
 
+def test_line_dedup_near_copies_and_repeated_rows(spark):
+    words = [f"w{i}" for i in range(60)]
+    long = [RNG.sample(words, 30) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(3):
+            line = list(RNG.choice(long))
+            for _ in range(RNG.randrange(6)):
+                line[RNG.randrange(len(line))] = RNG.choice(words)
+            lines.append(" ".join(line))
+        rows.append((None if i == 7 else i - i % 2 if i > 50 else i, "\n".join(lines), "x", i))
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, removed string, numbers int")
+    place = lambda d, i: (d is not None, d or 0, i)
+    every = [(place(d, i), set(x.split())) for d, t, *_ in df.collect() for i, x in enumerate(t.split("\n"))]
+    want = Counter()
+    for at, s in every:
+        want[at[1] if at[0] else None] += any(b < at and 100 * len(s & t) >= 80 * len(s | t) for b, t in every)
+    got = line_dedup.removed_lines(df).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == dict(want) and sum(want.values()) > 20
+    assert line_dedup.dedup_lines(df).columns == df.columns and line_dedup.dedup_lines(df).count() == 61
+    assert line_dedup.removed_lines(df.limit(0)).count() == 0
+
+
 def test_token_file(docs, tables, spark):
     paths = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
