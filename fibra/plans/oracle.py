@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from fibra.operators.electrodes import MUSCLES
+
 #: The events as a signal, as ``event_signal``; ``al`` cuts channels to the shortest.
 SIGNAL = """
 ev AS (SELECT CAST(dense_rank() OVER (ORDER BY event_type) AS INTEGER) AS channel,
@@ -213,3 +215,81 @@ ORACLES = {
     "plot_fatigue_data": _sql(SIGNAL, HOPS, POWER, MEAN_FREQ, MEDIAN_FREQ, select="SELECT channel, k * 32 / 1000.0::DOUBLE AS time_sec, 'mean_freq' AS measure, round(mnf, 4) AS value FROM mf UNION ALL SELECT channel, k * 32 / 1000.0::DOUBLE, 'median_freq', round(mdf, 4) FROM md"),
 }
 ORACLES["plot_onset_data"] = f"SELECT onset_sec AS start, offset_sec AS \"end\" FROM ({ORACLES['onset_hodges_bui']}) WHERE channel = 1"
+
+#: Each channel's length, and the samples less the channel's mean.
+WHOLE = """
+nn AS (SELECT channel, count(*) AS n FROM sig GROUP BY channel),
+dm AS (SELECT s.channel, s.sample - 1 AS t, s.raw - avg(s.raw) OVER (PARTITION BY s.channel) AS x, n FROM sig s JOIN nn ON nn.channel = s.channel)
+"""
+
+
+#: A bin's frequency: its own, and on the grid of one-sided spectra, from 0 evenly to the Nyquist frequency.
+HZ = "b.b * 1000.0 / n"
+GRID = "b.b * 500.0 / (n // 2)"
+
+
+def _bins(name: str, source: str, where: str, hz: str = HZ) -> str:
+    """One-sided transform of ``source`` (channel, t, x, n) at the bins of nn that fulfil ``where`` (hz, b, n)."""
+    where = where.replace("hz", hz)
+    angle = f"{2 * math.pi!r} * ((t * b) % s.n) / s.n"
+    return (
+        f"{name}_b AS (SELECT channel, b.b FROM nn, LATERAL (SELECT unnest(range(0, n // 2 + 1)) AS b) b WHERE {where}), "
+        f"{name} AS (SELECT s.channel, b.b, s.n, {hz.replace('n', 's.n')} AS f, sum(x * cos({angle})) AS re, -sum(x * sin({angle})) AS im FROM {source} s JOIN {name}_b b ON b.channel = s.channel GROUP BY ALL)"
+    )
+
+
+#: Shares of power within 1 Hz of 50 and 60 Hz; the whole power is that of the samples (both halves of the spectrum).
+LINE = _bins("lb", "dm", "hz BETWEEN 49 AND 51 OR hz BETWEEN 59 AND 61 OR 2 * b = n", GRID) + """,
+tot AS (SELECT channel, n, sum(x * x) AS e FROM dm GROUP BY ALL),
+pw AS (SELECT tot.channel, (tot.n * e + coalesce(sum(re * re + im * im) FILTER (2 * b = tot.n), 0)) / 2 AS total,
+              coalesce(sum(re * re + im * im) FILTER (f BETWEEN 49 AND 51), 0) AS p50, coalesce(sum(re * re + im * im) FILTER (f BETWEEN 59 AND 61), 0) AS p60
+       FROM tot LEFT JOIN lb ON lb.channel = tot.channel GROUP BY tot.channel, tot.n, e),
+line AS (SELECT channel, p50 / total AS p50, p60 / total AS p60, greatest(p50, p60) / total AS ratio FROM pw)
+"""
+
+#: Heart-rate frequencies of the 8 to 40 Hz envelope against the median up to 8 Hz.
+ECG = _bins("qb", "dm", "hz BETWEEN 8 AND 40") + f""",
+qx AS (SELECT d.channel, d.t, d.n, abs(sum(2 * (re * cos({2 * math.pi!r} * ((d.t * b) % d.n) / d.n) - im * sin({2 * math.pi!r} * ((d.t * b) % d.n) / d.n)) / d.n)) AS e FROM dm d JOIN qb ON qb.channel = d.channel GROUP BY ALL),
+qe AS (SELECT channel, t, n, e - avg(e) OVER (PARTITION BY channel) AS x FROM qx),
+""" + _bins("eb", "qe", "hz > 0.1 AND hz <= 8", GRID) + """,
+es AS (SELECT channel, max(re * re + im * im) FILTER (f BETWEEN 0.6 AND 3.5) / median(re * re + im * im) AS peak FROM eb GROUP BY channel),
+ecg AS (SELECT channel, peak / (peak + 30) AS score FROM es)
+"""
+
+SNR = """
+fr AS (SELECT channel, sqrt(avg(raw * raw) OVER (PARTITION BY channel ORDER BY sample ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING)) AS r FROM sig),
+snr AS (SELECT channel, 20 * log10(quantile_cont(r, 0.9) / quantile_cont(r, 0.1)) AS db FROM fr GROUP BY channel)
+"""
+CLIP = "tp AS (SELECT channel, abs(raw) AS a, max(abs(raw)) OVER (PARTITION BY channel) AS m FROM sig), clip AS (SELECT channel, 100.0 * avg(CASE WHEN a >= m * (1 - 1e-6) THEN 1 ELSE 0 END) AS pct FROM tp GROUP BY channel)"
+
+ORACLES |= {
+    "quality_powerline": _sql(SIGNAL, WHOLE, LINE, select="SELECT channel, round(p50, 6) AS powerline_50, round(p60, 6) AS powerline_60, round(ratio, 6) AS powerline_ratio FROM line"),
+    "quality_ecg": _sql(SIGNAL, WHOLE, ECG, select="SELECT channel, score > 0.5 AS ecg_contamination, round(score, 4) AS ecg_score FROM ecg"),
+    "qc_gate": _sql(
+        SIGNAL,
+        WHOLE,
+        LINE,
+        ECG,
+        SNR,
+        CLIP,
+        """rs AS (SELECT snr.channel, concat_ws(', ', CASE WHEN db < 6 THEN format('low SNR ({:.1f} < 6.0 dB)', db) END, CASE WHEN ratio > 0.1 THEN format('power-line ({:.3f} > 0.100)', ratio) END,
+                  CASE WHEN pct > 1 THEN format('clipping ({:.2f}% > 1.00%)', pct) END, CASE WHEN score > 0.5 THEN 'ECG contamination' END) AS reasons
+           FROM snr JOIN line ON line.channel = snr.channel JOIN clip ON clip.channel = snr.channel JOIN ecg ON ecg.channel = snr.channel)""",
+        select="SELECT channel, reasons = '' AS pass, reasons, bool_and(reasons = '') OVER () AS overall_pass FROM rs",
+    ),
+    "envelope_hilbert": _sql(
+        SIGNAL,
+        WHOLE,
+        _bins("hb", "dm", "b > 0 AND 2 * b < n"),
+        f"hx AS (SELECT d.channel, d.t, d.x, sum(2 * (re * sin({2 * math.pi!r} * ((d.t * b) % d.n) / d.n) + im * cos({2 * math.pi!r} * ((d.t * b) % d.n) / d.n)) / d.n) AS y FROM dm d JOIN hb ON hb.channel = d.channel GROUP BY ALL)",
+        select="SELECT channel, count(*) AS n, round(avg(sqrt(x * x + y * y)), 3) AS mean_envelope FROM hx GROUP BY channel",
+    ),
+    "ecg_highpass": _sql(
+        SIGNAL,
+        WHOLE,
+        _bins("hb", "dm", "b > 0"),
+        f"hw AS (SELECT channel, n, (re * re + im * im) * CASE WHEN 2 * b = n THEN 1 ELSE 2 END * pow(CASE WHEN f >= 30 THEN 1 WHEN f <= 25 THEN 0 ELSE 0.5 * (1 - cos({math.pi!r} * (f - 25) / 5)) END, 2) AS p FROM hb)",
+        select="SELECT channel, n, round(sqrt(sum(p) / n / (n - 1)), 3) AS sd FROM hw GROUP BY channel, n",
+    ),
+    "electrode_catalog": "SELECT muscle, 20.0::DOUBLE AS ied_mm FROM (VALUES " + ", ".join(f"('{m}')" for m in MUSCLES) + ") t(muscle)",
+}
