@@ -283,3 +283,24 @@ def test_cocontraction_drops_samples_with_a_null(spark):
     b = np.array([1.0, 2, np.nan, 4])
     got = cocontraction.cocontraction(frame(spark, a, b, assay="env"), 1, 2, normalize=False).first()["index"]
     assert got == pytest.approx(100)
+
+
+@pytest.mark.parametrize("method", ["ppca", "fa"])
+def test_mixture_returns_planted_synergies(spark, method):
+    rng = np.random.default_rng(3)
+    planted = {0: np.array([1.0, 1.0, 0, 0, 0, 0]), 1: np.array([0, 0, 0, 1.0, 1.0, 1.0])}
+    rows = [
+        (s, t, m + 1, float(v))
+        for s in range(8)
+        for t, x in enumerate(rng.normal(size=(80, 1)) * 2 * planted[s % 2] + 0.1 * rng.normal(size=(80, 6)))
+        for m, v in enumerate(x)
+    ]
+    members, parts = synergy.mixture_model(spark.createDataFrame(rows, "subject int, row int, muscle int, value double"), 2, 1, method=method, n_init=3)
+    got = {r["subject"]: r for r in members.collect()}
+    assert all((got[s]["cluster"] == got[0]["cluster"]) == (s % 2 == 0) for s in range(8))
+    assert all(sum(r["responsibilities"]) == pytest.approx(1) and r["responsibilities"][r["cluster"] - 1] == r["responsibility"] for r in got.values())
+    of = {(r["cluster"], r["muscle"]): r for r in parts.collect()}
+    assert len(of) == 12 and all(r["noise"] > 0 for r in of.values()) and of[1, 1]["proportion"] == pytest.approx(0.5)
+    for s in (0, 1):
+        w = np.array([of[got[s]["cluster"], m]["weights"][0] for m in range(1, 7)])
+        assert abs(w @ planted[s]) / np.linalg.norm(w) / np.linalg.norm(planted[s]) > 0.98
