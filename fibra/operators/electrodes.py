@@ -24,8 +24,8 @@ FIELDS = ("muscle", "placement", "orientation", "ied_mm", "reference", "side")
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    """muscle, location, orientation, ied_mm: where electrodes go, in general terms."""
-    rows = [(m, f"over the belly of {m.lower()}, between its landmarks", "along the muscle fibres", DISTANCE_MM) for m in MUSCLES]
+    """muscle, location, orientation, ied_mm; the published texts of location and orientation are not held here: NULL."""
+    rows = [(m, None, None, DISTANCE_MM) for m in MUSCLES]
     return spark.createDataFrame(rows, "muscle string, location string, orientation string, ied_mm double")
 
 

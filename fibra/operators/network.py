@@ -139,7 +139,7 @@ def lagged_products(samples: DataFrame, max_lag: int, standardize: bool = True,
     return both.groupBy("recording_id", "c1", "l1", "c2", "l2").agg(F.sum(F.col("a") * F.col("b")).alias("s"), F.count(F.lit(1)).alias("n"))
 
 
-def granger_network(samples: DataFrame, max_lag: int = 10, score: str = "f_stat", p_value_cutoff: float | None = None, standardize: bool = True, assay: str = "raw") -> DataFrame:
+def granger_network(samples: DataFrame, max_lag: int = 10, score: str = "f_stat", p_value_cutoff: float | None = None, standardize: bool = True, threshold: float | None = None, assay: str = "raw") -> DataFrame:
     """source, target, f_stat, p_value, delta_r2, weight: whether the source's past improves the target's prediction."""
     if max_lag < 1 or (p_value_cutoff is not None and not 0 < p_value_cutoff < 1) or score not in ("f_stat", "delta_r2"):
         raise ValueError("need max_lag >= 1, 0 < p_value_cutoff < 1 and a score of f_stat or delta_r2")
@@ -175,8 +175,11 @@ def granger_network(samples: DataFrame, max_lag: int = 10, score: str = "f_stat"
         return pd.DataFrame(out, columns=["recording_id", "source", "target", "f_stat", "p_value", "delta_r2"])
 
     got = lagged_products(samples, p, standardize, assay).groupBy("recording_id").applyInPandas(run, "recording_id string, source int, target int, f_stat double, p_value double, delta_r2 double")
-    out = got.withColumn("weight", F.col(score))
-    return out if p_value_cutoff is None else out.withColumn("adjacent", F.col("p_value") <= p_value_cutoff)
+    out = _thresholded(got.withColumn("weight", F.col(score)), threshold)
+    if p_value_cutoff is None:
+        return out
+    passed = F.col("p_value") <= p_value_cutoff
+    return out.withColumn("adjacent", passed if threshold is None else passed & F.col("adjacent"))
 
 
 def _morlet(x: np.ndarray, freqs: np.ndarray, cycles: float, sr: float) -> np.ndarray:

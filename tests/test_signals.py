@@ -304,3 +304,19 @@ def test_mixture_returns_planted_synergies(spark, method):
     for s in (0, 1):
         w = np.array([of[got[s]["cluster"], m]["weights"][0] for m in range(1, 7)])
         assert abs(w @ planted[s]) / np.linalg.norm(w) / np.linalg.norm(planted[s]) > 0.98
+
+
+def test_granger_threshold_and_cutoff_hold_together(spark):
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=400)
+    b = np.r_[0, 0.8 * a[:-1]] + 0.3 * rng.normal(size=400)
+    df = spark.createDataFrame([("r", c + 1, i + 1, float(v)) for c, x in enumerate((a, b)) for i, v in enumerate(x)], "recording_id string, channel int, sample long, raw double")
+    both = {(r["source"], r["target"]): r for r in network.granger_network(df, 2, threshold=10.0, p_value_cutoff=0.01).collect()}
+    assert both[1, 2]["adjacent"] and not both[2, 1]["adjacent"]
+    high = network.granger_network(df, 2, threshold=1e9, p_value_cutoff=0.01).collect()
+    assert not any(r["adjacent"] for r in high)
+
+
+def test_catalog_invents_no_texts(spark):
+    got = electrodes.catalog(spark).collect()
+    assert len(got) == len({r["muscle"] for r in got}) and all(r["location"] is None and r["orientation"] is None for r in got)
