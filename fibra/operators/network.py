@@ -198,7 +198,7 @@ def _smooth(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(padded, size) * np.fft.fft(kernel, size))[2 * half : 2 * half + len(x)]
 
 
-def wavelet_network(samples: DataFrame, sr: float, frequencies=tuple(range(5, 121, 5)), freq_band=None, window_sec: float = 0.5, step_sec: float = 0.1, n_cycles: float = 7, smoothing_cycles: float = 3, aggregate: str = "mean", respect_coi: bool = True, assay: str = "raw") -> DataFrame:
+def wavelet_network(samples: DataFrame, sr: float, frequencies=tuple(range(5, 121, 5)), freq_band=None, window_sec: float = 0.5, step_sec: float = 0.1, n_cycles: float = 7, smoothing_cycles: float = 3, aggregate: str = "mean", respect_coi: bool = True, threshold: float | None = None, assay: str = "raw") -> DataFrame:
     """ch1, ch2, window, time_sec, weight: wavelet coherence of each pair in sliding windows (NULL outside the cone of influence)."""
     f = np.asarray(frequencies, float)
     if len(f) < 2 or (f <= 0).any() or min(window_sec, step_sec, n_cycles, smoothing_cycles) <= 0:
@@ -238,7 +238,13 @@ def wavelet_network(samples: DataFrame, sr: float, frequencies=tuple(range(5, 12
         return pd.DataFrame({**head, "window": np.arange(len(starts)) + 1, "time_sec": (starts + (win - 1) / 2) / sr, "weight": weight})
 
     schema = "recording_id string, ch1 int, ch2 int, window int, time_sec double, weight double"
-    return a.join(b, ["recording_id", "sample"]).where("ch1 < ch2").groupBy("recording_id", "ch1", "ch2").applyInPandas(run, schema)
+    got = a.join(b, ["recording_id", "sample"]).where("ch1 < ch2").groupBy("recording_id", "ch1", "ch2").applyInPandas(run, schema)
+    return _thresholded(got, threshold)
+
+
+def static_network(windows: DataFrame) -> DataFrame:
+    """recording_id, ch1, ch2, weight: a network of windows as one, the mean of each pair's weights (NULL ones left out)."""
+    return windows.groupBy("recording_id", "ch1", "ch2").agg(F.avg("weight").alias("weight"))
 
 
 # ---- topology: edges (source, target, weight) ---------------------------------------------------------

@@ -320,3 +320,16 @@ def test_granger_threshold_and_cutoff_hold_together(spark):
 def test_catalog_invents_no_texts(spark):
     got = electrodes.catalog(spark).collect()
     assert len(got) == len({r["muscle"] for r in got}) and all(r["location"] is None and r["orientation"] is None for r in got)
+
+
+def test_wavelet_threshold_and_static_network(spark):
+    t = np.arange(600) / 200.0
+    rng = np.random.default_rng(2)
+    x = [np.sin(2 * np.pi * 20 * t), np.sin(2 * np.pi * 20 * t + 0.4), rng.normal(size=600)]
+    df = spark.createDataFrame([("r", c + 1, i + 1, float(v + 0.05 * rng.normal())) for c, y in enumerate(x) for i, v in enumerate(y)], "recording_id string, channel int, sample long, raw double")
+    windows = network.wavelet_network(df, 200, range(10, 41, 10), window_sec=0.5, step_sec=0.25, threshold=0.7).collect()
+    assert all(r["adjacent"] is None if r["weight"] is None else r["adjacent"] == (r["weight"] >= 0.7) for r in windows)
+    static = {(r["ch1"], r["ch2"]): r["weight"] for r in network.static_network(spark.createDataFrame(windows)).collect()}
+    for pair, weight in static.items():
+        assert weight == pytest.approx(np.mean([r["weight"] for r in windows if (r["ch1"], r["ch2"]) == pair and r["weight"] is not None]))
+    assert static[1, 2] > static[1, 3]
