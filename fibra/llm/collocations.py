@@ -9,8 +9,8 @@ ANDed that cannot meet.  Its popcount is the phrase's support in the shard; supp
 shards.  Extension goes depth first, a bounded slab of phrases at a time.
 
 The least count holds for sums over all shards, so no shard can drop a phrase by itself.  The table
-is read three times: words are summed, then pairs of frequent words, then all phrases of which
-every two neighbouring words are a frequent pair.  What is frequent comes back to the shards as a
+is read four times: words are summed, then pairs of frequent words, then triples of frequent pairs,
+by hash; at last all phrases made of frequent triples, by text.  What is frequent comes back to the shards as a
 Bloom filter with ``FILTER_BITS`` bits for each key, at most ``MAX_BITS`` in all; beyond that it
 lets more pass, and more phrases are summed, but what is summed is always exact and the least count
 is applied to the sums.
@@ -113,45 +113,44 @@ class Shard:
             rest, at = rest[more], at[more]
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)
 
-    def mine(self, longest: int, passes: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Hashes, counts and words (a row of numbers for each) of phrases of 2 to ``longest`` words, depth first.
-
-        ``passes(2, hashes)`` tells which pairs are kept and extended; longer phrases are made of kept pairs only.
-        """
-        words = self.words
-        allowed = np.zeros(self.blocks, U64)
-
-        def below(seqs: np.ndarray, hashes: np.ndarray, phrase, block, bits, allowed):
-            size = seqs.shape[1] + 1
-            for lo in range(0, len(phrase), SLAB):
-                cut = slice(lo, lo + SLAB)
-                phrase_, word, block_, bits_ = self.extended(phrase[cut], block[cut], bits[cut], allowed)
-                key, first, which = np.unique(phrase_ * len(self.hash) + word, return_index=True, return_inverse=True)
-                if not len(key):
-                    continue
-                seq = np.concatenate((seqs[phrase_[first]], word[first][:, None]), 1)
-                hashed = T.mix(hashes[phrase_[first]] * T._ODD[0] + self.hash[word[first]])
+    def _longer(self, seqs: np.ndarray, hashes: np.ndarray, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray, allowed: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
+        """By slabs: hash, count and words of the phrases one word longer, and which of them each entry belongs to, its block and bits."""
+        for lo in range(0, len(phrase), SLAB):
+            cut = slice(lo, lo + SLAB)
+            before, word, block_, bits_ = self.extended(phrase[cut], block[cut], bits[cut], allowed)
+            key, first, which = np.unique(before * len(self.hash) + word, return_index=True, return_inverse=True)
+            if len(key):
+                seq = np.concatenate((seqs[before[first]], word[first][:, None]), 1)
+                hashed = T.mix(hashes[before[first]] * T._ODD[0] + self.hash[word[first]])
                 count = np.bincount(which, weights=np.bitwise_count(bits_), minlength=len(key)).astype(np.int64)
                 yield hashed, count, seq, which, block_, bits_
 
-        def deeper(seqs, hashes, phrase, block, bits):
-            for hashed, count, seq, which, block_, bits_ in below(seqs, hashes, phrase, block, bits, allowed):
-                yield hashed, count, seq
-                if seq.shape[1] < longest:
-                    yield from deeper(seq, hashed, which, block_, bits_)
-
-        pairs = []
-        every = np.arange(len(self.hash))[:, None]
-        for hashed, count, seq, which, block, bits in below(every, self.hash, words, self.block, self.bits, None):
-            ok = passes(2, hashed)
-            yield hashed[ok], count[ok], seq[ok]
-            if longest > 2:
-                kept = ok[which]
-                number = np.cumsum(ok) - 1
-                pairs.append((seq[ok], hashed[ok], number[which[kept]], block[kept], bits[kept]))
-                np.bitwise_or.at(allowed, block[kept], bits[kept])
-        for some in pairs:
-            yield from deeper(*some)
+    def _deeper(self, group: tuple[np.ndarray, ...], allowed: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for hashed, count, seq, *entries in self._longer(*group, allowed):
+            yield hashed, count, seq
+            if seq.shape[1] < longest:
+                yield from self._deeper((seq, hashed, *entries), allowed, longest)
+
+    def mine(self, longest: int, filters: dict[int, Callable[[np.ndarray], np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Hashes, counts and words (a row of numbers for each) of phrases of 2 to ``longest`` words.
+
+        ``filters``: for 2 words and on, which hashes are kept and extended. Phrases longer than those are made of kept ones only, depth first.
+        """
+        groups, allowed = [(np.arange(len(self.hash))[:, None], self.hash, self.words, self.block, self.bits)], None
+        for size in range(2, longest + 1):
+            if size not in filters:
+                for group in groups:
+                    yield from self._deeper(group, allowed, longest)
+                return
+            kept, ends = [], np.zeros(self.blocks, U64)
+            for group in groups:
+                for hashed, count, seq, which, block, bits in self._longer(*group, allowed):
+                    ok = filters[size](hashed)
+                    yield hashed[ok], count[ok], seq[ok]
+                    stays = ok[which]
+                    kept.append((seq[ok], hashed[ok], (np.cumsum(ok) - 1)[which[stays]], block[stays], bits[stays]))
+                    np.bitwise_or.at(ends, block[stays], bits[stays])
+            groups, allowed = kept, ends
 
     def text(self, seq: np.ndarray) -> list[bytes]:
         """The phrases of rows of word numbers."""
@@ -230,13 +229,20 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _pairs(words):
+def _every(hashes: np.ndarray) -> np.ndarray:
+    return np.ones(len(hashes), bool)
+
+
+def _counted(words, filters, size: int):
+    """Sums of the phrases of ``size`` words that are made of what the filters of fewer words keep."""
+
     def run(batches):
+        own = {k: lambda h, f=f: passes(f.value, h) for k, f in filters.items()} | {size: _every}
         sums = _Sums()
         for shard, _, _ in _shards(batches):
             shard.index(passes(words.value, shard.hash))
-            for hashed, count, _ in shard.mine(2, lambda _, h: np.ones(len(h), bool)):
-                if sums.add(hashed, count):
+            for hashed, count, seq in shard.mine(size, own):
+                if seq.shape[1] == size and sums.add(hashed, count):
                     yield _sent(sums)
                     sums = _Sums()
         yield _sent(sums)
@@ -244,10 +250,11 @@ def _pairs(words):
     return run
 
 
-def _phrases(words, pairs, longest: int):
-    """(lang, phrase, words, f): phrases whose neighbours are frequent pairs, and with an empty phrase all words of a language."""
+def _phrases(words, filters, longest: int):
+    """(lang, phrase, words, f): phrases that the filters keep and longer ones, and with an empty phrase all words of a language."""
 
     def run(batches):
+        own = {k: lambda h, f=f: passes(f.value, h) for k, f in filters.items()}
         sums, named, totals = _Sums(), {}, {}
 
         def sent():
@@ -270,7 +277,7 @@ def _phrases(words, pairs, longest: int):
             ones = np.flatnonzero(frequent)
             found = [(shard.hash[ones], np.bincount(shard.word, minlength=len(shard.hash))[ones], ones[:, None])]
             full = False
-            for hashed, count, seq in [*found, *shard.mine(longest, lambda _, h: passes(pairs.value, h))]:
+            for hashed, count, seq in [*found, *shard.mine(longest, own)]:
                 new = np.array([h not in named for h in hashed.tolist()], bool)
                 lang = which[shard.of_row[seq[new][:, 0]]] if new.any() else []
                 for h, x, t in zip(hashed[new].tolist(), lang, shard.text(seq[new]) if new.any() else []):
@@ -291,8 +298,10 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     context, rows = docs.sparkSession.sparkContext, docs.select("text", "lang")
     enough = lambda df: frozen(df.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count).select("key"))
     words = context.broadcast(key_filter(enough(rows.mapInArrow(_words, "key long, f long"))))
-    pairs = context.broadcast(key_filter(enough(rows.mapInArrow(_pairs(words), "key long, f long"))))
-    found = rows.mapInArrow(_phrases(words, pairs, longest), "lang string, phrase string, words int, f long")
+    filters = {}
+    for size in range(2, min(3, longest) + 1):
+        filters[size] = context.broadcast(key_filter(enough(rows.mapInArrow(_counted(words, dict(filters), size), "key long, f long"))))
+    found = rows.mapInArrow(_phrases(words, filters, longest), "lang string, phrase string, words int, f long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | (F.col("words") == 0))
 
 
