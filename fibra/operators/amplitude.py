@@ -1,4 +1,7 @@
-"""Envelopes, normalisation and windowed amplitude features."""
+"""Envelopes, normalisation and windowed amplitude features.
+
+``chunk``: samples of a channel that are one unit of work (see ``chunks``).
+"""
 
 from __future__ import annotations
 
@@ -6,22 +9,24 @@ import math
 import warnings
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fibra.functions.windows import by_sample, centered, complete, geometry, hopping, ratio
+from fibra.functions.chunks import CHUNK_KEYS, chunked, moving, owned, per_chunk, with_levels
+from fibra.functions.windows import complete, geometry, hopping, ratio
 from fibra.sources.signals import KEYS
 
 FEATURES = ("arv", "rms", "iemg", "mav")
 
 
-def envelope_rms(samples: DataFrame, sr: float, window_ms: float = 50, assay: str = "raw", out: str = "envelope") -> DataFrame:
+def envelope_rms(samples: DataFrame, sr: float, window_ms: float = 50, assay: str = "raw", out: str = "envelope", chunk: int | None = None) -> DataFrame:
     """Root mean square over a centered frame that shrinks at the ends; NULLs are skipped."""
     half = max(1, int(round(window_ms / 1000 * sr))) // 2
-    return samples.withColumn(out, F.sqrt(F.avg(F.col(assay) * F.col(assay)).over(centered(half))))
+    df = moving(chunked(samples, half, half, chunk), half, half, _m=("avg", F.col(assay) * F.col(assay)))
+    return owned(df.withColumn(out, F.sqrt("_m")).drop("_m"))
 
 
-def envelope_lowpass(samples: DataFrame, sr: float, cutoff: float = 6, assay: str = "raw", out: str = "envelope") -> DataFrame:
+def envelope_lowpass(samples: DataFrame, sr: float, cutoff: float = 6, assay: str = "raw", out: str = "envelope", chunk: int | None = None) -> DataFrame:
     """Moving mean of the rectified signal; where the whole frame does not fit, the rectified value."""
     rectified = F.abs(assay)
     if cutoff >= sr / 2:
@@ -29,9 +34,9 @@ def envelope_lowpass(samples: DataFrame, sr: float, cutoff: float = 6, assay: st
         return samples.withColumn(out, rectified)
     w = max(1, int(round(sr / cutoff / 2)))
     # of an even width the extra sample lies ahead
-    frame = by_sample().rowsBetween(-((w - 1) // 2), w // 2)
-    whole = F.count(F.lit(1)).over(frame) == w
-    return samples.withColumn(out, F.when(whole, F.avg(rectified).over(frame)).otherwise(rectified))
+    before, after = (w - 1) // 2, w // 2
+    df = moving(chunked(samples, before, after, chunk), before, after, _m=("avg", rectified), _n=("count", F.lit(1)))
+    return owned(df.withColumn(out, F.when(F.col("_n") == w, F.col("_m")).otherwise(rectified)).drop("_m", "_n"))
 
 
 def envelope_hilbert(samples: DataFrame, assay: str = "raw", out: str = "envelope") -> DataFrame:
@@ -52,27 +57,32 @@ def envelope_hilbert(samples: DataFrame, assay: str = "raw", out: str = "envelop
     return samples.groupBy(*KEYS).applyInPandas(analytic, samples.withColumn(out, F.lit(0.0)).schema)
 
 
-def normalize_peak(samples: DataFrame, assay: str = "env", out: str = "normalized") -> DataFrame:
+def normalize_peak(samples: DataFrame, assay: str = "env", out: str = "normalized", chunk: int | None = None) -> DataFrame:
     """Divided by the channel's largest value."""
-    return samples.withColumn(out, ratio(F.col(assay), F.max(assay).over(Window.partitionBy(*KEYS))))
+    df = with_levels(chunked(samples, size=chunk), samples, chunk, _ref=F.max(assay))
+    return owned(df.withColumn(out, ratio(F.col(assay), F.col("_ref")))).select(*samples.columns, out)
 
 
-def _by_reference(samples: DataFrame, reference: DataFrame, value, assay: str, out: str) -> DataFrame:
-    levels = reference.groupBy(*KEYS).agg(value.alias("_ref"))
-    mine, theirs = (df.select("recording_id", "channel").distinct().groupBy("recording_id").count() for df in (samples, reference))
-    if mine.join(theirs.withColumnRenamed("count", "other"), "recording_id", "left").where("not count <=> other").limit(1).count():
+def _by_reference(samples: DataFrame, reference: DataFrame, value, assay: str, out: str, chunk: int | None) -> DataFrame:
+    """Divided by a figure of the reference, which has to have as many channels; a channel it lacks gets NULLs."""
+    mine = samples.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_end"))
+    levels = reference.groupBy(*KEYS).agg(value.alias("_ref"), F.lit(1).alias("_has"))
+    of = mine.join(levels, KEYS, "full").groupBy("recording_id").agg(F.count("_end").alias("mine"), F.count("_has").alias("theirs"))
+    if not of.where("mine > 0 and mine <> theirs").isEmpty():
         raise ValueError("signal and reference must have the same number of channels")
-    return samples.join(levels, KEYS, "left").withColumn(out, ratio(F.col(assay), F.col("_ref"))).drop("_ref")
+    levels = per_chunk(mine.join(levels, KEYS, "left"), chunk)
+    df = chunked(samples, size=chunk).join(levels, CHUNK_KEYS)
+    return owned(df.withColumn(out, ratio(F.col(assay), F.col("_ref")))).select(*samples.columns, out)
 
 
-def normalize_mvc(samples: DataFrame, mvc: DataFrame | None, assay: str = "env", out: str = "normalized") -> DataFrame:
+def normalize_mvc(samples: DataFrame, mvc: DataFrame | None, assay: str = "env", out: str = "normalized", chunk: int | None = None) -> DataFrame:
     """Divided by the channel's largest value in a maximum-contraction recording."""
     if mvc is None:
         raise ValueError("mvc is required")
-    return _by_reference(samples, mvc, F.max(assay), assay, out)
+    return _by_reference(samples, mvc, F.max(assay), assay, out, chunk)
 
 
-def normalize_rvc(samples: DataFrame, rvc: DataFrame | None, sr: float, window: tuple[float, float] | None = None, assay: str = "env", out: str = "normalized") -> DataFrame:
+def normalize_rvc(samples: DataFrame, rvc: DataFrame | None, sr: float, window: tuple[float, float] | None = None, assay: str = "env", out: str = "normalized", chunk: int | None = None) -> DataFrame:
     """Divided by the mean rectified value of a reference recording, of a window (seconds) of it if given."""
     if rvc is None:
         raise ValueError("rvc is required")
@@ -80,13 +90,14 @@ def normalize_rvc(samples: DataFrame, rvc: DataFrame | None, sr: float, window:
         if window[0] >= window[1]:
             raise ValueError("the window must end after its start")
         rvc = rvc.where(F.col("sample").between(max(1, math.floor(window[0] * sr) + 1), math.ceil(window[1] * sr)))
-    return _by_reference(samples, rvc, F.avg(F.abs(assay)), assay, out)
+    return _by_reference(samples, rvc, F.avg(F.abs(assay)), assay, out, chunk)
 
 
-def normalize_dynamic_peak(samples: DataFrame, sr: float, window_sec: float = 0.5, assay: str = "env", out: str = "normalized") -> DataFrame:
+def normalize_dynamic_peak(samples: DataFrame, sr: float, window_sec: float = 0.5, assay: str = "env", out: str = "normalized", chunk: int | None = None) -> DataFrame:
     """Divided by the largest magnitude in a centered frame."""
     half = max(1, int(round(window_sec * sr))) // 2
-    return samples.withColumn(out, ratio(F.col(assay), F.max(F.abs(assay)).over(centered(half))))
+    df = moving(chunked(samples, half, half, chunk), half, half, _top=("max", F.abs(assay)))
+    return owned(df.withColumn(out, ratio(F.col(assay), F.col("_top"))).drop("_top"))
 
 
 def amplitude_features(samples: DataFrame, sr: float, features: tuple[str, ...] = FEATURES, window_sec: float = 1.0, overlap: float = 0.5, assay: str = "raw") -> DataFrame:

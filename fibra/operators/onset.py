@@ -1,4 +1,9 @@
-"""Activation onsets: thresholded, energy-operator, double-threshold and variance-change detectors."""
+"""Activation onsets: thresholded, energy-operator, double-threshold and variance-change detectors.
+
+Detectors run in chunks of a channel whose halos hold what their frames reach.  Figures of a whole
+channel come from aggregates and go to the chunks by chunk; runs that cross borders are put
+together from their pieces.  Only activations, not samples, are ever brought together by channel.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fibra.functions.chunks import CHUNK_KEYS, by_chunk, chunked, moving, per_chunk, stitched
 from fibra.functions.stats import chi2_quantile_1, exceedance_probability
-from fibra.functions.windows import by_sample, centered, runs
 from fibra.sources.signals import KEYS
 
 METHODS = ("hodges_bui", "teager_kaiser", "bonato", "aglr")
@@ -28,36 +33,71 @@ def burg(x: np.ndarray, order: int) -> np.ndarray:
     return a
 
 
-def whiten(samples: DataFrame, baseline: int, assay: str, order: int = 4) -> DataFrame:
-    """Adds ``_e``: prediction errors under coefficients from the baseline; the first ``order`` are 0.
+#: Order of the prediction that whitens.
+ORDER = 4
+
+
+def _baseline(samples: DataFrame, baseline: int, assay: str, whitened: bool) -> DataFrame:
+    """Each channel's mean over the baseline and, where ``whitened``, the coefficients of its prediction; ``_end``: its samples.
 
     Coefficients come from the baseline alone, so a channel's task holds that much of it.
     """
+    first = F.when(F.col("sample") <= baseline, F.col(assay))
+    levels = samples.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_end"), F.avg(first).alias("_level"))
+    if not whitened:
+        return levels
 
     def coefficients(pdf):
         x = pdf.sort_values("sample")[assay].dropna().to_numpy()
         x = x - x.mean() if len(x) else x
-        a = burg(x, min(order, max(0, len(x) - 1)))
-        return pdf[KEYS].head(1).assign(_a=[np.pad(a, (0, order - len(a))).tolist()])
+        a = burg(x, min(ORDER, max(0, len(x) - 1)))
+        return pdf[KEYS].head(1).assign(_a=[np.pad(a, (0, ORDER - len(a))).tolist()])
 
     fitted = samples.where(F.col("sample") <= baseline).select(*KEYS, "sample", assay).groupBy(*KEYS).applyInPandas(coefficients, "recording_id string, channel int, _a array<double>")
-    level = F.avg(F.when(F.col("sample") <= baseline, F.col(assay))).over(Window.partitionBy(*KEYS))
-    df = samples.withColumn("_c", F.col(assay) - level).join(fitted, KEYS)
-    past = sum((F.col("_a")[j] * F.lag("_c", j + 1).over(by_sample()) for j in range(order)), F.lit(0.0))
-    return df.withColumn("_e", F.coalesce(F.col("_c") - past, F.lit(0.0))).drop("_a", "_c")
+    return levels.join(fitted, KEYS)
+
 
+def _residuals(df: DataFrame, levels: DataFrame, assay: str, whitened: bool, chunk: int | None) -> DataFrame:
+    """Adds ``_e``: what is left over the baseline's mean, or the error of the prediction from it (0 for the first samples)."""
+    df = df.join(per_chunk(levels, chunk), CHUNK_KEYS).withColumn("_e", F.col(assay) - F.col("_level"))
+    if not whitened:
+        return df.drop("_level")
+    past = sum((F.col("_a")[j] * F.lag("_e", j + 1).over(by_chunk()) for j in range(ORDER)), F.lit(0.0))
+    return df.withColumn("_e", F.coalesce(F.col("_e") - past, F.lit(0.0))).drop("_a", "_level")
 
-def _centered(samples: DataFrame, baseline: int, assay: str) -> DataFrame:
-    level = F.avg(F.when(F.col("sample") <= baseline, F.col(assay))).over(Window.partitionBy(*KEYS))
-    return samples.withColumn("_e", F.col(assay) - level)
 
+def _spread(df: DataFrame, baseline: int, of) -> DataFrame:
+    """``of`` the residuals over each channel's baseline, else over the channel, else 1; from the chunks' own samples."""
+    own = df.where("_own").groupBy(*KEYS).agg(of(F.when(F.col("sample") <= baseline, F.col("_e"))).alias("_b"), of("_e").alias("_w"), F.count(F.lit(1)).alias("_end"))
+    return own.select(*KEYS, "_end", F.when(F.col("_b") > 0, F.col("_b")).when(F.col("_w") > 0, F.col("_w")).otherwise(1.0).alias("_spread"))
+
+
+def _shape(df: DataFrame, method: str, half: int, assay: str) -> DataFrame:
+    """Adds ``_v``: the rectified signal, or its energy operator, smoothed."""
+    x = F.col(assay)
+    shape = F.abs(x)
+    if method == "teager_kaiser":
+        before, after = F.lag(x).over(by_chunk()), F.lead(x).over(by_chunk())
+        edge = (F.col("sample") == 1) | F.lead("sample").over(by_chunk()).isNull()
+        shape = F.abs(F.when(edge, x * x).otherwise(x * x - before * after))
+    return moving(df.withColumn("_s", shape), half, half, _v=("avg", F.col("_s"))).drop("_s")
 
-def _spread(value, baseline: int, of):
-    """``of`` over the baseline, else over the channel, else 1."""
-    each = Window.partitionBy(*KEYS)
-    first = of(F.when(F.col("sample") <= baseline, value)).over(each)
-    whole = of(value).over(each)
-    return F.when(first > 0, first).when(whole > 0, whole).otherwise(1.0)
+
+def _likeliest(m: int):
+    """The place of the likeliest change among the (up to) ``m`` samples that end here, by the residuals from it on."""
+    back = F.reverse(F.collect_list(F.struct("sample", (F.col("_e") * F.col("_e")).alias("e2"))).over(by_chunk().rowsBetween(-(m - 1), 0)))
+    zero, none = F.lit(0.0), F.lit(0).cast("long")
+    start = F.struct(zero.alias("sum"), none.alias("have"), none.alias("n"), F.lit(-1.0).alias("best"), none.alias("at"))
+
+    def step(acc, x):
+        total, have, n = acc["sum"] + F.coalesce(x["e2"], zero), acc["have"] + x["e2"].isNotNull().cast("long"), acc["n"] + 1
+        change = F.when(have > 0, total / have) / F.col("_spread")
+        llr = F.when(change > 1, n / 2 * (change - 1 - F.log(change))).otherwise(zero)
+        # of equal ones the earliest
+        better = llr >= acc["best"]
+        return F.struct(total.alias("sum"), have.alias("have"), n.alias("n"), F.when(better, llr).otherwise(acc["best"]).alias("best"), F.when(better, x["sample"]).otherwise(acc["at"]).alias("at"))
+
+    return F.aggregate(back, start, step, lambda acc: acc["at"])
 
 
 def onset_detect(
@@ -73,6 +113,7 @@ def onset_detect(
     whitened: bool = True,
     false_alarm: float = 0.05,
     assay: str = "raw",
+    chunk: int | None = None,
 ) -> DataFrame:
     """One row for each activation: first and last active sample, and the detector's peak (NULL without one).
 
@@ -85,51 +126,46 @@ def onset_detect(
     baseline = max(1, int(round(baseline_sec * sr)))
     least = int(round(min_duration_ms / 1000 * sr))
     width = max(1, int(round(smooth_ms / 1000 * sr)))
-    x = F.col(assay)
-    w = by_sample()
+    samples = samples.select(*KEYS, "sample", assay)
+    none = F.lit(None).cast("double")
+    w = by_chunk()
     if method in ("hodges_bui", "teager_kaiser"):
         if width <= 1:
             warnings.warn("smoothing is effectively disabled: the window is below 2 samples", stacklevel=2)
-        shape = F.abs(x)
-        if method == "teager_kaiser":
-            before, after = F.lag(x).over(w), F.lead(x).over(w)
-            edge = (F.col("sample") == 1) | F.lead("sample").over(w).isNull()
-            shape = F.abs(F.when(edge, x * x).otherwise(x * x - before * after))
-        df = samples.withColumn("_v", shape).withColumn("_v", F.avg("_v").over(centered(width // 2)))
-        first = F.when(F.col("sample") <= baseline, F.col("_v"))
-        each = Window.partitionBy(*KEYS)
-        threshold = F.avg(first).over(each) + threshold_sd * F.stddev_samp(first).over(each)
-        df = df.withColumn("_active", F.coalesce(F.col("_v") > threshold, F.lit(False))).withColumn("_stat", F.lit(None).cast("double"))
+        half = width // 2
+        reach = half + 2  # of the energy operator and of a run's neighbours
+        df = _shape(chunked(samples, reach, reach, chunk), method, half, assay)
+        # the baseline's own figures need no more than the samples around it
+        head = _shape(chunked(samples.where(F.col("sample") <= baseline + reach), reach, reach, chunk), method, half, assay)
+        levels = head.where(F.col("_own") & (F.col("sample") <= baseline)).groupBy(*KEYS).agg((F.avg("_v") + threshold_sd * F.stddev_samp("_v")).alias("_threshold"))
+        ends = samples.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_end"))
+        df = df.join(per_chunk(levels.join(ends, KEYS), chunk), CHUNK_KEYS)
+        df = df.withColumn("_active", F.coalesce(F.col("_v") > F.col("_threshold"), F.lit(False))).withColumn("_stat", none)
     else:
-        df = whiten(samples, baseline, assay) if whitened else _centered(samples, baseline, assay)
+        levels = _baseline(samples, baseline, assay, whitened)
+        lags = ORDER if whitened else 0
+        before, after = (lags + 1, m) if method == "bonato" else (lags + m, 1)
+        df = _residuals(chunked(samples, before, after, chunk), levels, assay, whitened, chunk)
+        spread = _spread(df, baseline, F.stddev_samp if method == "bonato" else F.var_samp)
+        df = df.join(per_chunk(spread, chunk), CHUNK_KEYS)
         e = F.col("_e")
         if method == "bonato":
             xi = chi2_quantile_1(1 - exceedance_probability(false_alarm, r, m))
-            df = df.withColumn("_stat", F.pow(e / _spread(e, baseline, F.stddev_samp), 2))
+            df = df.withColumn("_stat", F.pow(e / F.col("_spread"), 2))
             over = F.sum((F.col("_stat") > xi).cast("int")).over(w.rowsBetween(0, m - 1))
             df = df.withColumn("_active", F.coalesce(over >= r, F.lit(False)))
         else:
             frame = w.rowsBetween(-(m - 1), 0)
-            df = df.withColumn("_var", _spread(e, baseline, F.var_samp))
-            change = F.avg(e * e).over(frame) / F.col("_var")
+            change = F.avg(e * e).over(frame) / F.col("_spread")
             n = F.count(F.lit(1)).over(frame)
             df = df.withColumn("_stat", F.when(change > 1, n / 2 * (change - 1 - F.log(change))).otherwise(0.0))
-            df = df.withColumn("_active", F.col("_stat") > chi2_quantile_1(1 - false_alarm) / 2)
-    found = runs(df, "_active").groupBy(*KEYS, "run").agg(F.min("sample").alias("onset_sample"), F.max("sample").alias("offset_sample"), F.max("_stat").alias("stat"))
-    if method == "aglr":
-        found = _refined(found, df, m)
+            df = df.withColumn("_active", F.col("_stat") > chi2_quantile_1(1 - false_alarm) / 2).withColumn("_at", _likeliest(m))
+    active = F.col("_active")
+    df = df.withColumn("_begins", active & ~F.coalesce(F.lag(active).over(w), F.lit(False))).withColumn("_ends", active & ~F.coalesce(F.lead(active).over(w), F.lit(False)))
+    df = df.withColumn("_run", F.sum(F.col("_begins").cast("int")).over(w)).where(active & F.col("_own"))
+    start = F.min(F.when(F.col("_begins"), F.col("_at") if method == "aglr" else F.col("sample")))
+    pieces = df.groupBy(*CHUNK_KEYS, "_run").agg(F.min("sample").alias("first"), F.max("sample").alias("offset_sample"), F.max("_stat").alias("stat"), start.alias("onset_sample"), F.bool_or("_begins").alias("begins"), F.bool_or("_ends").alias("ends"))
+    found = stitched(pieces, "first", "offset_sample", onset_sample=F.min("onset_sample"), stat=F.max("stat"))
     found = found.where(F.col("offset_sample") - F.col("onset_sample") >= least)
     number = F.row_number().over(Window.partitionBy(*KEYS).orderBy("onset_sample", "offset_sample")).cast("int")
     return found.select(*KEYS, number.alias("event"), "onset_sample", "offset_sample", ((F.col("onset_sample") - 1) / sr).alias("onset_sec"), ((F.col("offset_sample") - 1) / sr).alias("offset_sec"), "stat")
-
-
-def _refined(found: DataFrame, df: DataFrame, m: int) -> DataFrame:
-    """Each onset moved to the likeliest change point among the m samples up to it."""
-    back = found.withColumn("_at", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("onset_sample") - m + 1), F.col("onset_sample"))))
-    near = back.join(df.select(*KEYS, F.col("sample").alias("_at"), (F.col("_e") * F.col("_e")).alias("_e2"), "_var"), [*KEYS, "_at"])
-    tail = Window.partitionBy(*KEYS, "run").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
-    change = F.avg("_e2").over(tail) / F.col("_var")
-    n = F.count(F.lit(1)).over(tail)
-    near = near.withColumn("_llr", F.when(change > 1, n / 2 * (change - 1 - F.log(change))).otherwise(0.0))
-    best = near.groupBy(*KEYS, "run", "offset_sample", "stat").agg(F.max(F.struct("_llr", (-F.col("_at")).alias("_neg"))).alias("_best"))
-    return best.select(*KEYS, "run", (-F.col("_best._neg")).alias("onset_sample"), "offset_sample", "stat")

@@ -6,28 +6,35 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fibra.functions.chunks import chunked, moving, owned, with_levels
+from fibra.functions.quantiles import quantiles
 from fibra.functions.spectra import bandpass, channel_map, channel_transform, demeaned_power, frequency_grid, highpass
-from fibra.functions.windows import by_sample
 from fibra.sources.signals import KEYS
 
 
-def snr(samples: DataFrame, sr: float, rms_window_ms: float = 100, assay: str = "raw") -> DataFrame:
-    """Baseline noise (10 % quantile of a forward root mean square) and the ratio of its 90 % quantile, in dB."""
+def snr(samples: DataFrame, sr: float, rms_window_ms: float = 100, assay: str = "raw", chunk: int | None = None) -> DataFrame:
+    """Baseline noise (10 % quantile of a forward root mean square) and the ratio of its 90 % quantile, in dB.
+
+    Exact quantiles of all samples; a channel without a value has NULL for both figures.
+    """
     w = max(1, int(round(rms_window_ms / 1000 * sr)))
-    rms = F.sqrt(F.avg(F.col(assay) * F.col(assay)).over(by_sample().rowsBetween(0, w - 1)))
-    q = samples.withColumn("_rms", rms).groupBy(*KEYS).agg(F.percentile("_rms", F.lit(0.1)).alias("baseline_noise"), F.percentile("_rms", F.lit(0.9)).alias("_hi"))
-    db = F.when(F.col("baseline_noise") > 0, F.when(F.col("_hi") > 0, 20 * F.log10(F.col("_hi") / F.col("baseline_noise")))).otherwise(F.lit(float("inf")))
+    rms = moving(chunked(samples, 0, w - 1, chunk), 0, w - 1, _m=("avg", F.col(assay) * F.col(assay)))
+    q = quantiles(owned(rms.withColumn("_rms", F.sqrt("_m"))), KEYS, "_rms", baseline_noise=0.1, _hi=0.9)
+    q = samples.select(*KEYS).distinct().join(q, KEYS, "left")
+    noise = F.col("baseline_noise")
+    db = F.when(noise > 0, F.when(F.col("_hi") > 0, 20 * F.log10(F.col("_hi") / noise))).when(noise == 0, F.lit(float("inf")))
     return q.select(*KEYS, db.alias("snr_db"), "baseline_noise")
 
 
-def clipping(samples: DataFrame, assay: str = "raw") -> DataFrame:
-    """Percent of samples at the largest magnitude."""
-    top = F.max(F.abs(assay)).over(Window.partitionBy(*KEYS))
-    return samples.withColumn("_top", top).groupBy(*KEYS).agg(F.avg((F.abs(assay) >= F.col("_top") * (1 - 1e-6)).cast("double") * 100).alias("clipping_pct"))
+def clipping(samples: DataFrame, assay: str = "raw", chunk: int | None = None) -> DataFrame:
+    """Percent of samples at the largest magnitude; 0 for a channel that is zero throughout, NULL without a value."""
+    df = with_levels(chunked(samples.select(*KEYS, "sample", assay), size=chunk), samples, chunk, _top=F.max(F.abs(assay)))
+    at_top = F.when(F.col("_top") > 0, F.abs(assay) >= F.col("_top") * (1 - 1e-6)).when(F.col(assay).isNotNull(), F.lit(False))
+    return df.groupBy(*KEYS).agg(F.avg(at_top.cast("double") * 100).alias("clipping_pct"))
 
 
 def powerline(samples: DataFrame, sr: float, assay: str = "raw") -> DataFrame:
-    """Shares of the power within 1 Hz of 50 and 60 Hz, and the larger one."""
+    """Shares of the power within 1 Hz of 50 and 60 Hz, and the larger one; of the samples that are there, put together."""
 
     def of(x):
         power, f = demeaned_power(x), frequency_grid(len(x), sr)
@@ -35,7 +42,7 @@ def powerline(samples: DataFrame, sr: float, assay: str = "raw") -> DataFrame:
         share = lambda hz: float(power[(f >= hz - 1) & (f <= hz + 1)].sum() / total) if total > 0 else 0.0
         return {"powerline_50": share(50), "powerline_60": share(60)}
 
-    out = channel_map(samples, of, assay, "powerline_50 double, powerline_60 double")
+    out = channel_map(samples.where(F.col(assay).isNotNull()), of, assay, "powerline_50 double, powerline_60 double")
     return out.withColumn("powerline_ratio", F.greatest("powerline_50", "powerline_60"))
 
 
@@ -53,8 +60,8 @@ def _ecg_score(x: np.ndarray, sr: float) -> float:
 
 
 def ecg_scores(samples: DataFrame, sr: float, threshold: float = 0.5, assay: str = "raw") -> DataFrame:
-    """How far heart-rate frequencies stand out of the QRS-band envelope (0 to 1), and whether that is too much."""
-    out = channel_map(samples, lambda x: {"ecg_score": _ecg_score(x, sr)}, assay, "ecg_score double")
+    """How far heart-rate frequencies stand out of the QRS-band envelope (0 to 1), and whether that is too much; of the samples that are there, put together."""
+    out = channel_map(samples.where(F.col(assay).isNotNull()), lambda x: {"ecg_score": _ecg_score(x, sr)}, assay, "ecg_score double")
     return out.withColumn("ecg_contamination", F.col("ecg_score") > threshold)
 
 
@@ -62,18 +69,20 @@ def quality_check(samples: DataFrame, sr: float, ecg_threshold: float = 0.5, rms
     """All quality figures, one row for each channel."""
     out = snr(samples, sr, rms_window_ms, assay)
     for other in (powerline(samples, sr, assay), clipping(samples, assay), ecg_scores(samples, sr, ecg_threshold, assay)):
-        out = out.join(other, KEYS)
+        out = out.join(other, KEYS, "left")
     return out
 
 
 def quality_gate(samples: DataFrame, sr: float, min_snr: float = 6, max_powerline: float = 0.10, max_clipping: float = 1, reject_ecg: bool = True, assay: str = "raw") -> DataFrame:
-    """pass, reasons and overall_pass (of the recording) for each channel."""
+    """pass, reasons and overall_pass (of the recording) for each channel; a channel without a value does not pass."""
     qc = quality_check(samples, sr, assay=assay)
+    # fixed values: the texts of the reasons
     reasons = [
         F.when(F.col("snr_db") < min_snr, F.format_string(f"low SNR (%.1f < {min_snr:.1f} dB)", "snr_db")),
         F.when(F.col("powerline_ratio") > max_powerline, F.format_string(f"power-line (%.3f > {max_powerline:.3f})", "powerline_ratio")),
         F.when(F.col("clipping_pct") > max_clipping, F.format_string(f"clipping (%.2f%% > {max_clipping:.2f}%%)", "clipping_pct")),
     ]
+    reasons.append(F.when(F.col("clipping_pct").isNull(), F.lit("no samples")))
     if reject_ecg:
         reasons.append(F.when(F.col("ecg_contamination"), F.lit("ECG contamination")))
     out = qc.select(*KEYS, F.concat_ws(", ", *reasons).alias("reasons")).withColumn("pass", F.col("reasons") == "")

@@ -1,8 +1,7 @@
 """Signals as long tables.
 
-``samples``: recording_id, channel (1-based), sample (1-based) and one DOUBLE column per assay
-(``raw``, ``env``, ...).  NaN is turned to NULL on the way in, so aggregates and frames skip it.
-Every operator partitions by recording and channel; recordings are the scale-out axis.
+``samples``: recording_id, channel (1-based), sample (1-based, without gaps) and one DOUBLE column
+per assay (``raw``, ``env``, ...).  NaN is turned to NULL on the way in, so aggregates and frames skip it.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fibra.functions.numbering import numbered
+
 KEYS = ["recording_id", "channel"]
 
 
@@ -26,13 +27,14 @@ def clean(column: str | Column) -> Column:
     return F.when(F.isnan(c), None).otherwise(c)
 
 
-def from_table(df: DataFrame, channel: Column, order: list[Column], value: Column, recording: Column | None = None) -> DataFrame:
-    """Samples from any table: a channel number, the order of samples within it, and a value."""
+def from_table(df: DataFrame, channel: Column, order: list[Column], value: Column, recording: Column | None = None, rows: int | None = None) -> DataFrame:
+    """Samples from any table: a channel number, the order of samples within it, and a value; ``raw`` is ``env`` less its channel's mean.
+
+    ``rows``: of a range of samples that are numbered together (see ``numbered``).
+    """
     keyed = df.select((recording if recording is not None else F.lit("r1")).alias("recording_id"), channel.cast("int").alias("channel"), clean(value).alias("env"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    each = Window.partitionBy(*KEYS)
-    ordered = each.orderBy(*[f"_o{i}" for i in range(len(order))])
-    out = keyed.withColumn("sample", F.row_number().over(ordered).cast("long")).withColumn("raw", F.col("env") - F.avg("env").over(each))
-    return out.select(*KEYS, "sample", "raw", "env")
+    out = numbered(keyed, KEYS, [f"_o{i}" for i in range(len(order))], mean="env", rows=rows)
+    return out.withColumn("raw", F.col("env") - F.col("_mean")).select(*KEYS, "sample", "raw", "env")
 
 
 def event_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,25 +43,28 @@ def event_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.select("event_type", F.row_number().over(Window.orderBy("event_type")).cast("int").alias("channel"))
 
 
-def event_signal(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
-    """The events as a signal: a channel for each kind, samples by time; ``raw`` is ``env`` less its mean."""
+def event_signal(spark: SparkSession, sf_dir: str, where: str | None = None, recording: Column | None = None, rows: int | None = None) -> DataFrame:
+    """The events as a signal: a channel for each kind, samples by time, all one recording or one for each value of a column."""
     events = table(spark, sf_dir, "events")
     if where:
         events = events.where(where)
     events = events.join(F.broadcast(event_channels(spark, sf_dir)), "event_type")
-    return from_table(events, F.col("channel"), [F.col("ts"), F.col("event_id")], F.col("value"))
+    return from_table(events, F.col("channel"), [F.col("ts"), F.col("event_id")], F.col("value"), recording, rows)
 
 
 def aligned(samples: DataFrame) -> DataFrame:
-    """Samples up to the length of each recording's shortest channel."""
-    ends = samples.groupBy(*KEYS).agg(F.max("sample").alias("_n")).groupBy("recording_id").agg(F.min("_n").alias("_n"))
-    return samples.join(ends, "recording_id").where("sample <= _n").drop("_n")
+    """Samples up to the length of each recording's shortest channel (channels are counted, which needs no numbers)."""
+    ends = samples.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).groupBy("recording_id").agg(F.min("_n").alias("_n"))
+    # a row for each stretch of samples, so that one long recording is no hot key
+    stretches = ends.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright("_n", 16))))
+    out = samples.withColumn("_part", F.shiftright("sample", 16)).join(stretches, ["recording_id", "_part"])
+    return out.where("sample <= _n").select(*samples.columns)
 
 
-def line_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_signal(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
     """Order lines as a signal of seven channels, for volume."""
     t = table(spark, sf_dir, "lineitem")
-    return from_table(t, F.col("l_linenumber"), [F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")], F.col("l_extendedprice"))
+    return from_table(t, F.col("l_linenumber"), [F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")], F.col("l_extendedprice"), rows=rows)
 
 
 @dataclass(frozen=True)
