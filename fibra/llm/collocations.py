@@ -43,7 +43,9 @@ MAX_BITS = 1 << 27
 #: Block entries of phrases that are extended at a time.
 SLAB = 1 << 19
 #: Sums that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 19
+#: Phrases whose texts a task holds before it hands them on.
+NAMED = 1 << 18
 #: Languages whose totals are broadcast at most; more are joined.
 MAX_LANGS = 1 << 16
 
@@ -283,7 +285,7 @@ def _phrases(words, filters, longest: int):
                 for h, x, t in zip(hashed[new].tolist(), lang, shard.text(seq[new]) if new.any() else []):
                     named[h] = (langs[x], t, seq.shape[1])
                 full |= sums.add(hashed, count)
-            if full or len(named) > HELD:
+            if full or len(named) > NAMED:
                 yield from sent()
                 sums = _Sums()
         yield from sent()
