@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fibra.functions.chunks import CHUNK, CHUNK_KEYS, chunk_of, per_chunk
+from fibra.sources.signals import KEYS, check_channels
+
 METHODS = ("falconer_winter", "rudolph", "frost")
 #: Activity codes of the tasks.
 TASKS = {"reaching": "d445", "drinking": "d560", "feeding": "d550", "dressing": "d540", "grooming": "d520"}
@@ -32,34 +35,70 @@ def _index(method: str):
     raise ValueError(f"unknown method: {method}")
 
 
-def cocontraction(samples: DataFrame, agonist: int, antagonist: int, method: str = "falconer_winter", normalize: bool = True, window: int | None = None, assay: str = "env") -> DataFrame:
-    """recording_id and index; with ``window`` (samples) one row for each disjoint complete window.
+def cocontraction(
+    samples: DataFrame,
+    agonist: int | str,
+    antagonist: int | str,
+    method: str = "falconer_winter",
+    normalize: bool = True,
+    window: int | None = None,
+    assay: str = "env",
+    window_sec: float | None = None,
+    sr: float | None = None,
+    channels: DataFrame | None = None,
+    chunk: int | None = None,
+) -> DataFrame:
+    """recording_id and index; with ``window`` (samples) or ``window_sec`` one row for each disjoint complete window, with time_sec where ``sr`` is given.
 
-    With ``normalize`` both are divided by their largest value in the whole recording.
+    With ``normalize`` both are divided by their largest value in the whole recording.  Channels are numbers, or labels
+    of the table ``channels``; one without any sample is an error, a recording that lacks one has no index (NULL).
     """
+    if window_sec is not None:
+        if sr is None or window_sec <= 0:
+            raise ValueError("window_sec must be positive and needs the sampling rate")
+        window = max(1, int(round(window_sec * sr)))
+    agonist, antagonist = check_channels(samples, agonist, antagonist, channels=channels)
     df = _pair(samples, agonist, antagonist, assay)
     if normalize:
-        each = Window.partitionBy("recording_id")
-        for c in ("a", "b"):
-            top = F.max(c).over(each)
-            df = df.withColumn(c, F.when(top > 0, F.col(c) / top).otherwise(F.col(c)))
+        top = df.groupBy("recording_id").agg(F.max("a").alias("_ta"), F.max("b").alias("_tb"), F.max("sample").alias("_end"))
+        df = df.withColumn("_chunk", chunk_of(chunk or CHUNK)).join(per_chunk(top, chunk), ["recording_id", "_chunk"])
+        for c, t in (("a", F.col("_ta")), ("b", F.col("_tb"))):
+            df = df.withColumn(c, F.when(t > 0, F.col(c) / t).otherwise(F.col(c)))
+    index = F.when((F.count("a") > 0) & (F.count("b") > 0), _index(method)).alias("index")
     if window is None:
-        return df.groupBy("recording_id").agg(_index(method).alias("index"))
-    out = df.groupBy("recording_id", F.floor((F.col("sample") - 1) / window).alias("k")).agg(F.count(F.lit(1)).alias("n"), _index(method).alias("index"))
-    return out.where(F.col("n") == window).select("recording_id", (F.col("k") + 1).alias("window"), "index")
+        return df.groupBy("recording_id").agg(index)
+    out = df.groupBy("recording_id", F.floor((F.col("sample") - 1) / window).alias("k")).agg(F.count(F.lit(1)).alias("n"), index)
+    time = [] if sr is None else [(F.col("k") * window / sr).alias("time_sec")]
+    return out.where(F.col("n") == window).select("recording_id", (F.col("k") + 1).alias("window"), *time, "index")
 
 
-def task_summary(samples: DataFrame, agonist: int, antagonist: int, task: str, mvc: DataFrame | None = None, method: str = "falconer_winter", active_frac: float = 0.2, assay: str = "env") -> DataFrame:
-    """Index, peak, mean and active share of both muscles, scaled to percent of a reference if given."""
+def task_summary(
+    samples: DataFrame,
+    agonist: int | str,
+    antagonist: int | str,
+    task: str,
+    mvc: DataFrame | None = None,
+    method: str = "falconer_winter",
+    active_frac: float = 0.2,
+    assay: str = "env",
+    channels: DataFrame | None = None,
+) -> DataFrame:
+    """Index, peak, mean and active share of both muscles: of the envelope, or in percent of a reference's largest value if given."""
     if task not in TASKS:
         raise ValueError(f"task '{task}' not found")
+    agonist, antagonist = check_channels(samples, agonist, antagonist, channels=channels)
     index = cocontraction(samples, agonist, antagonist, method, assay=assay)
-    kept = samples.where(F.col("channel").isin(agonist, antagonist)).withColumn("_v", F.abs(assay))
+    kept = samples.where(F.col("channel").isin(agonist, antagonist))
+    level = kept.groupBy(*KEYS).agg(F.max(assay).alias("_max"), F.min(assay).alias("_min"), F.count(F.lit(1)).alias("_end"))
+    scale = F.lit(1.0)
     if mvc is not None:
-        level = mvc.groupBy("recording_id", "channel").agg(F.max(F.abs(assay)).alias("_ref"))
-        kept = kept.join(level, ["recording_id", "channel"], "left").withColumn("_v", F.when(F.col("_ref") > 0, 100 * F.col("_v") / F.col("_ref")))
-    top = F.max("_v").over(Window.partitionBy("recording_id", "channel"))
-    each = kept.withColumn("_top", top).groupBy("recording_id", "channel").agg(F.max("_v").alias("peak"), F.avg("_v").alias("mean"), F.when(F.max("_top") > 0, F.avg((F.col("_v") > active_frac * F.col("_top")).cast("double"))).alias("active_fraction"))
+        level = level.join(mvc.groupBy(*KEYS).agg(F.max(assay).alias("_ref")), KEYS, "left")
+        scale = F.when(F.col("_ref") != 0, 100 / F.col("_ref"))
+    # a reference below zero turns the order
+    level = level.withColumn("_scale", scale).withColumn("_peak", F.greatest(F.col("_max") * F.col("_scale"), F.col("_min") * F.col("_scale")))
+    scaled = kept.withColumn("_chunk", chunk_of(CHUNK)).join(per_chunk(level), CHUNK_KEYS).withColumn("_v", F.col(assay) * F.col("_scale"))
+    active = F.when(F.max("_peak") > 0, F.avg((F.col("_v") > active_frac * F.col("_peak")).cast("double")))
+    each = scaled.groupBy(*KEYS).agg(F.max("_v").alias("peak"), F.avg("_v").alias("mean"), active.alias("active_fraction"))
     role = F.when(F.col("channel") == agonist, "agonist").otherwise("antagonist")
-    unit = F.lit("%MVC" if mvc is not None else "a.u.")
+    unit = F.lit("%MVC" if mvc is not None else "envelope")
     return each.join(index, "recording_id").select("recording_id", F.lit(task).alias("task"), F.lit(TASKS[task]).alias("code"), role.alias("muscle"), F.col("index").alias("cci"), "peak", "mean", "active_fraction", unit.alias("unit"))

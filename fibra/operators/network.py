@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fibra.functions.chunks import chunked, with_levels
 from fibra.functions.spectra import frequency_grid, windows
 from fibra.functions.stats import f_upper
-from fibra.functions.windows import by_sample
 from fibra.sources.signals import KEYS
 
 AGGREGATES = ("mean", "max", "median")
@@ -118,28 +118,48 @@ def partial_coherence_network(samples: DataFrame, sr: float, freq_band=None, npe
     return _thresholded(got.groupBy("recording_id", "ch1", "ch2").agg(_aggregate(aggregate, F.col("v")).alias("weight")), threshold)
 
 
-def lagged_products(samples: DataFrame, max_lag: int, standardize: bool = True, assay: str = "raw") -> DataFrame:
+#: Samples of a chunk whose lagged products are formed as one matrix.
+LAG_CHUNK = 4096
+
+
+def lagged_products(samples: DataFrame, max_lag: int, standardize: bool = True, assay: str = "raw", chunk: int | None = None) -> DataFrame:
     """recording_id, c1, l1, c2, l2, s, n: sums of products of all lagged channels (and of the constant, channel 0).
 
-    One aggregate over the samples gives the normal equations of every pair's regressions.
+    The normal equations of every pair's regressions: each chunk of a recording, with the samples before it that its
+    lags reach, gives the products of its lagged channels, and chunks are added up.  A missing sample takes part in no
+    product.  With ``standardize`` channels have mean 0 and deviation 1; a flat one is only centered.
     """
-    x = F.col(assay)
-    each = Window.partitionBy(*KEYS)
+    size = chunk or LAG_CHUNK
+    x = chunked(samples.select(*KEYS, "sample", F.col(assay).alias("x")), max_lag, 0, size)
     if standardize:
-        x = (x - F.avg(assay).over(each)) / F.stddev_samp(assay).over(each)
-    one = samples.select("recording_id", "channel", "sample", x.alias("x"))
-    lags = one.select("recording_id", F.col("channel").alias("c"), "x", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(max_lag)), lambda d: F.col("sample") + d)).alias("l", "t"))
-    ends = one.groupBy("recording_id").agg(F.max("sample").alias("end"))
-    lags = lags.join(ends, "recording_id").where((F.col("t") > max_lag) & (F.col("t") <= F.col("end"))).drop("end")
-    const = lags.where("l = 0").select("recording_id", "t").distinct().select("recording_id", F.lit(0).alias("c"), F.lit(1.0).alias("x"), F.lit(0).alias("l"), "t")
-    lags = lags.unionByName(const)
-    a = lags.select("recording_id", "t", F.col("c").alias("c1"), F.col("l").alias("l1"), F.col("x").alias("a"))
-    b = lags.select("recording_id", "t", F.col("c").alias("c2"), F.col("l").alias("l2"), F.col("x").alias("b"))
-    both = a.join(b, ["recording_id", "t"]).where("c1 < c2 or (c1 = c2 and l1 <= l2)")
-    return both.groupBy("recording_id", "c1", "l1", "c2", "l2").agg(F.sum(F.col("a") * F.col("b")).alias("s"), F.count(F.lit(1)).alias("n"))
-
-
-def granger_network(samples: DataFrame, max_lag: int = 10, score: str = "f_stat", p_value_cutoff: float | None = None, standardize: bool = True, threshold: float | None = None, assay: str = "raw") -> DataFrame:
+        x = with_levels(x, samples, size, _mean=F.avg(assay), _sd=F.stddev_samp(assay))
+        x = x.withColumn("x", (F.col("x") - F.col("_mean")) / F.when(F.col("_sd") > 2.220446049250313e-16, F.col("_sd")).otherwise(1.0))
+
+    def run(pdf):
+        start, own = int(pdf["_chunk"].iloc[0]) * size + 1, pdf["sample"][pdf["_own"]]
+        if not len(own):
+            return pdf[["recording_id"]].head(0).assign(**dict.fromkeys(["c1", "l1", "c2", "l2", "s", "n"]))
+        wide = pdf.pivot(index="sample", columns="channel", values="x").sort_index(axis=1)
+        names = [int(c) for c in wide.columns]
+        wide = wide.reindex(range(start - max_lag, start + size)).to_numpy()
+        t = np.arange(max(start, max_lag + 1), own.max() + 1)
+        lagged = np.stack([wide[t - start + max_lag - d] for d in range(max_lag + 1)], 2).reshape(len(t), -1)
+        there = ~np.isnan(lagged)
+        lagged = np.where(there, lagged, 0)
+        one = there[:, :: max_lag + 1].any(1).astype(float)[:, None]
+        keys = [(0, 0), *((c, d) for c in names for d in range(max_lag + 1))]
+        s, n = (np.concatenate((one, m), 1) for m in (lagged, there.astype(float)))
+        s, n = s.T @ s, n.T @ n
+        i, j = np.triu_indices(len(keys))
+        keys = np.array(keys)
+        out = pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "c1": keys[i, 0], "l1": keys[i, 1], "c2": keys[j, 0], "l2": keys[j, 1], "s": s[i, j], "n": n[i, j].astype(np.int64)})
+        return out[out["n"] > 0]
+
+    parts = x.select("recording_id", "_chunk", "_own", "channel", "sample", "x").groupBy("recording_id", "_chunk").applyInPandas(run, "recording_id string, c1 int, l1 int, c2 int, l2 int, s double, n long")
+    return parts.groupBy("recording_id", "c1", "l1", "c2", "l2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def granger_network(samples: DataFrame, max_lag: int = 10, score: str = "f_stat", p_value_cutoff: float | None = None, standardize: bool = True, threshold: float | None = None, assay: str = "raw", chunk: int | None = None) -> DataFrame:
     """source, target, f_stat, p_value, delta_r2, weight: whether the source's past improves the target's prediction."""
     if max_lag < 1 or (p_value_cutoff is not None and not 0 < p_value_cutoff < 1) or score not in ("f_stat", "delta_r2"):
         raise ValueError("need max_lag >= 1, 0 < p_value_cutoff < 1 and a score of f_stat or delta_r2")
@@ -153,11 +173,11 @@ def granger_network(samples: DataFrame, max_lag: int = 10, score: str = "f_stat"
         for r in pdf.itertuples():
             s[(r.c1, r.l1), (r.c2, r.l2)] = s[(r.c2, r.l2), (r.c1, r.l1)] = r.s
         names = sorted({c for c in [*pdf["c1"], *pdf["c2"]] if c})
-        gram = lambda rows, cols: np.array([[s[i, j] for j in cols] for i in rows])
+        gram = lambda rows, cols: np.array([[s.get((i, j), 0.0) for j in cols] for i in rows])
 
         def rss(y, xs):
             g, v = gram(xs, xs), gram(xs, [y])[:, 0]
-            return s[y, y] - v @ np.linalg.lstsq(g, v, rcond=None)[0]
+            return s.get((y, y), 0.0) - v @ np.linalg.lstsq(g, v, rcond=None)[0]
 
         out = []
         for i in names:
@@ -169,12 +189,13 @@ def granger_network(samples: DataFrame, max_lag: int = 10, score: str = "f_stat"
                 full = [*own, *((i, d) for d in range(1, p + 1))]
                 r0, r1, df2 = rss(y, own), rss(y, full), n - 2 * p - 1
                 f = max(0.0, (r0 - r1) / p / (r1 / df2)) if r1 > 2.2e-16 and df2 > 0 else np.nan
-                tss = s[y, y] - s[y, (0, 0)] ** 2 / n
+                tss = s.get((y, y), 0.0) - s.get((y, (0, 0)), 0.0) ** 2 / n
                 d = max((r0 - r1) / tss, 0.0) if tss > 2.2e-16 else np.nan
                 out.append((rec, i, j, f, f_upper(f, p, df2) if np.isfinite(f) else np.nan, d))
         return pd.DataFrame(out, columns=["recording_id", "source", "target", "f_stat", "p_value", "delta_r2"])
 
-    got = lagged_products(samples, p, standardize, assay).groupBy("recording_id").applyInPandas(run, "recording_id string, source int, target int, f_stat double, p_value double, delta_r2 double")
+    got = lagged_products(samples, p, standardize, assay, chunk).groupBy("recording_id").applyInPandas(run, "recording_id string, source int, target int, f_stat double, p_value double, delta_r2 double")
+    got = got.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("f_stat", "p_value", "delta_r2")})
     out = _thresholded(got.withColumn("weight", F.col(score)), threshold)
     if p_value_cutoff is None:
         return out
@@ -247,62 +268,87 @@ def static_network(windows: DataFrame) -> DataFrame:
     return windows.groupBy("recording_id", "ch1", "ch2").agg(F.avg("weight").alias("weight"))
 
 
-# ---- topology: edges (source, target, weight) ---------------------------------------------------------
+# ---- topology: edges (source, target, weight), and recording_id and window where there are many networks ---
+
+
+def network_keys(edges: DataFrame) -> list[str]:
+    """What tells networks apart: each has its own scale, metrics and modules."""
+    return [c for c in ("recording_id", "window") if c in edges.columns]
+
+
+def _of_network(keys: list[str]):
+    # without keys there is one network: channels squared rows
+    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
 
 
-def prepared(edges: DataFrame, threshold: float = 0.0, normalize: bool = True) -> DataFrame:
-    """Both directions of each undirected edge: means of the two given directions, negatives and small ones 0, scaled to at most 1."""
-    if threshold < 0:
-        raise ValueError("threshold must be >= 0")
-    given = edges.where("source <> target").select("source", "target", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    both = given.unionByName(given.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
-    mean = both.groupBy("source", "target").agg(F.greatest(F.lit(0.0), F.avg("weight")).alias("weight"))
-    mean = mean.withColumn("weight", F.when(F.col("weight") >= threshold, F.col("weight")).otherwise(0.0))
+def prepared(edges: DataFrame, threshold: float = 0.0, normalize: bool = True, symmetrize: str = "mean", directed: bool = False) -> DataFrame:
+    """Both directions of each edge with one weight: the mean, max or min of the two, negatives and small ones 0, scaled to at most 1.
+
+    An edge given in one direction only holds for both, or, if ``directed``, is 0 in the other.
+    """
+    if threshold < 0 or symmetrize not in ("mean", "max", "min"):
+        raise ValueError("need threshold >= 0 and symmetrize mean, max or min")
+    keys = network_keys(edges)
+    given = edges.where("source <> target").select(*keys, "source", "target", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.lit(1).alias("_way"))
+    both = given.unionByName(given.select(*keys, F.col("target").alias("source"), F.col("source").alias("target"), "weight", F.lit(2).alias("_way")))
+    way = lambda i: F.avg(F.when(F.col("_way") == i, F.col("weight")))
+    net = both.groupBy(*keys, "source", "target").agg(way(1).alias("_a"), way(2).alias("_b"))
+    a, b = (F.coalesce(x, F.lit(0.0) if directed else y) for x, y in (("_a", "_b"), ("_b", "_a")))
+    net = net.select(*keys, "source", "target", F.greatest(F.lit(0.0), {"mean": (a + b) / 2, "max": F.greatest(a, b), "min": F.least(a, b)}[symmetrize]).alias("weight"))
+    net = net.withColumn("weight", F.when(F.col("weight") >= threshold, F.col("weight")).otherwise(0.0))
     if normalize:
-        top = F.max("weight").over(Window.partitionBy(F.lit(1)))
-        mean = mean.withColumn("weight", F.when(top > 2.220446049250313e-16, F.col("weight") / top).otherwise(F.col("weight")))
-    return mean
+        top = F.max("weight").over(_of_network(keys))
+        net = net.withColumn("weight", F.when(top > 2.220446049250313e-16, F.col("weight") / top).otherwise(F.col("weight")))
+    return net
 
 
 def strength(net: DataFrame) -> DataFrame:
-    """node, strength and its share of the largest."""
-    s = net.groupBy(F.col("source").alias("node")).agg(F.sum("weight").alias("strength"))
-    top = F.max("strength").over(Window.partitionBy(F.lit(1)))
+    """node, strength and its share of the largest of its network."""
+    keys = network_keys(net)
+    s = net.groupBy(*keys, F.col("source").alias("node")).agg(F.sum("weight").alias("strength"))
+    top = F.max("strength").over(_of_network(keys))
     return s.withColumn("normalized_strength", F.when(top > 0, F.col("strength") / top).otherwise(0.0))
 
 
 def clustering(net: DataFrame) -> DataFrame:
     """node and its weighted clustering: geometric means of triangle weights over pairs of neighbours."""
+    keys = network_keys(net)
     e = net.where("weight > 0")
-    ij, ih, jh = (e.select(F.col("source").alias(a), F.col("target").alias(b), F.col("weight").alias(w)) for a, b, w in (("i", "j", "wij"), ("i", "h", "wih"), ("j", "h", "wjh")))
-    tri = ij.join(ih, "i").where("j < h").join(jh, ["j", "h"]).groupBy("i").agg(F.sum(F.pow(F.col("wij") * F.col("wih") * F.col("wjh"), F.lit(1 / 3))).alias("t"))
-    degree = e.groupBy(F.col("source").alias("i")).agg(F.count(F.lit(1)).alias("k"))
-    nodes = net.select(F.col("source").alias("i")).distinct()
-    out = nodes.join(degree, "i", "left").join(tri, "i", "left")
-    return out.select(F.col("i").alias("node"), F.when(F.col("k") >= 2, 2 * F.coalesce("t", F.lit(0.0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clustering"))
+    ij, ih, jh = (e.select(*keys, F.col("source").alias(a), F.col("target").alias(b), F.col("weight").alias(w)) for a, b, w in (("i", "j", "wij"), ("i", "h", "wih"), ("j", "h", "wjh")))
+    tri = ij.join(ih, [*keys, "i"]).where("j < h").join(jh, [*keys, "j", "h"]).groupBy(*keys, "i").agg(F.sum(F.pow(F.col("wij") * F.col("wih") * F.col("wjh"), F.lit(1 / 3))).alias("t"))
+    degree = e.groupBy(*keys, F.col("source").alias("i")).agg(F.count(F.lit(1)).alias("k"))
+    nodes = net.select(*keys, F.col("source").alias("i")).distinct()
+    out = nodes.join(degree, [*keys, "i"], "left").join(tri, [*keys, "i"], "left")
+    return out.select(*keys, F.col("i").alias("node"), F.when(F.col("k") >= 2, 2 * F.coalesce("t", F.lit(0.0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clustering"))
+
+
+def _module_keys(net: DataFrame, modules: DataFrame) -> list[str]:
+    """Keys of a division: those of the networks that it has; one without holds for all."""
+    return [c for c in network_keys(net) if c in modules.columns]
 
 
 def modularity(net: DataFrame, modules: DataFrame) -> DataFrame:
-    """Newman's weighted modularity of a division (node, module)."""
-    k = net.groupBy(F.col("source").alias("node")).agg(F.sum("weight").alias("k")).join(modules, "node")
-    total = k.agg(F.sum("k").alias("m2"))
-    m1, m2 = (modules.select(F.col("node").alias(c), F.col("module").alias(f"{c}_m")) for c in ("source", "target"))
-    inside = net.join(m1, "source").join(m2, "target").where("source_m = target_m").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"))
-    by = k.groupBy("module").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("kk"))
-    both = inside.withColumn("_", F.lit(1)).join(by.withColumn("_", F.lit(1)), "_").join(total.withColumn("_", F.lit(1)), "_")
-    return both.select(F.when(F.col("m2") > 4.5e-16, F.col("w") / F.col("m2") - F.col("kk") / (F.col("m2") * F.col("m2"))).alias("modularity"))
+    """Newman's weighted modularity of a division (node, module) of each network."""
+    keys, of = network_keys(net), _module_keys(net, modules)
+    m1, m2 = (modules.select(*of, F.col("node").alias(c), F.col("module").alias(f"{c}_m")) for c in ("source", "target"))
+    each = net.join(m1, [*of, "source"]).join(m2, [*of, "target"], "left")
+    # strengths count edges to nodes outside the division too
+    by = each.groupBy(*keys, F.col("source_m").alias("module")).agg(F.sum("weight").alias("k"), F.coalesce(F.sum(F.when(F.col("source_m") == F.col("target_m"), F.col("weight"))), F.lit(0.0)).alias("w"))
+    all_ = by.groupBy(*keys).agg(F.sum("k").alias("m2"), F.sum("w").alias("w"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+    return all_.select(*keys, F.when(F.col("m2") > 4.5e-16, F.col("w") / F.col("m2") - F.col("kk") / (F.col("m2") * F.col("m2"))).alias("modularity"))
 
 
 def module_roles(net: DataFrame, modules: DataFrame) -> DataFrame:
     """node, participation (1 - sum of squared strength shares by module) and the z-score of its strength inside its module."""
-    own, other = modules.select(F.col("node").alias("source"), "module"), modules.select(F.col("node").alias("target"), F.col("module").alias("to"))
-    by = net.join(own, "source").join(other, "target").groupBy("source", "module", "to").agg(F.sum("weight").alias("w"))
-    share = by.withColumn("k", F.sum("w").over(Window.partitionBy("source")))
-    got = share.groupBy("source", "module").agg(F.greatest(F.lit(0.0), F.when(F.max("k") > 2.2e-16, 1 - F.sum(F.pow(F.col("w") / F.when(F.col("k") > 0, F.col("k")), 2))).otherwise(0.0)).alias("participation"), F.coalesce(F.sum(F.when(F.col("to") == F.col("module"), F.col("w"))), F.lit(0.0)).alias("kin"))
-    each = Window.partitionBy("module")
+    keys, of = network_keys(net), _module_keys(net, modules)
+    own, other = modules.select(*of, F.col("node").alias("source"), "module"), modules.select(*of, F.col("node").alias("target"), F.col("module").alias("to"))
+    by = net.join(own, [*of, "source"]).join(other, [*of, "target"]).groupBy(*keys, "source", "module", "to").agg(F.sum("weight").alias("w"))
+    share = by.withColumn("k", F.sum("w").over(Window.partitionBy(*keys, "source")))
+    got = share.groupBy(*keys, "source", "module").agg(F.greatest(F.lit(0.0), F.when(F.max("k") > 2.2e-16, 1 - F.sum(F.pow(F.col("w") / F.when(F.col("k") > 0, F.col("k")), 2))).otherwise(0.0)).alias("participation"), F.coalesce(F.sum(F.when(F.col("to") == F.col("module"), F.col("w"))), F.lit(0.0)).alias("kin"))
+    each = Window.partitionBy(*keys, "module")
     sd = F.stddev_samp("kin").over(each)
     z = F.when(sd > 2.2e-16, (F.col("kin") - F.avg("kin").over(each)) / sd).otherwise(0.0)
-    return got.select(F.col("source").alias("node"), "module", "participation", z.alias("within_module_z"))
+    return got.select(*keys, F.col("source").alias("node"), "module", "participation", z.alias("within_module_z"))
 
 
 def _distances(w: np.ndarray) -> np.ndarray:
@@ -345,54 +391,56 @@ def average_linkage(distance: np.ndarray) -> list[np.ndarray]:
         groups[best[1]] = sorted(groups[best[1]] + groups.pop(best[2]))
 
 
-def _network_matrix(net: DataFrame) -> tuple[list, np.ndarray]:
-    """Nodes and weights of one network: channels squared numbers."""
-    rows = net.collect()
-    nodes = sorted({r["source"] for r in rows} | {r["target"] for r in rows})
-    if len(nodes) < 2:
-        raise ValueError("need at least 2 nodes")
-    at = {c: i for i, c in enumerate(nodes)}
-    w = np.zeros((len(nodes), len(nodes)))
-    for r in rows:
-        w[at[r["source"]], at[r["target"]]] = r["weight"]
-    return nodes, w
+def coordination_structure(
+    edges: DataFrame,
+    threshold: float = 0.0,
+    n_modules: int | None = None,
+    max_modules: int = 6,
+    normalize: bool = True,
+    symmetrize: str = "mean",
+    directed: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Node metrics and a summary of each network (told apart by recording_id and window, where edges have them).
 
-
-def coordination_structure(edges: DataFrame, threshold: float = 0.0, n_modules: int | None = None, max_modules: int = 6, normalize: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Node metrics and a one-row summary of a network.
-
-    Networks have as many nodes as a recording has channels; paths and modules are found on that matrix.
+    A network has as many nodes as a recording has channels; its paths and modules are found on that matrix, each
+    network in a task of its own.  A network of one node has no row.
     """
     if n_modules is not None and n_modules < 1:
         raise ValueError("n_modules must be >= 1")
-    spark = edges.sparkSession
-    net = prepared(edges, threshold, normalize)
-    nodes, w = _network_matrix(net)
-    n = len(nodes)
-    modules = np.ones(n, int)
-    found = np.nan
-    if w.sum() > 2.2e-16 and n >= 3:
-        top = w.max()
-        distance = 1 - np.clip(w / top, 0, 1)
-        cuts = average_linkage(distance)
-        orders = range(2, min(max_modules, n - 1) + 1) if n_modules is None else ([n_modules] if 2 <= n_modules <= n else [])
-        scored = [(_modularity(w, cuts[k]), -k) for k in orders]
-        if scored:
-            modules = cuts[-max(scored)[1]]
-        found = _modularity(w, modules)
-    local = []
-    for i in range(n):
-        near = np.flatnonzero(w[i] > 0)
-        local.append(_efficiency(w[np.ix_(near, near)]) if len(near) >= 2 else 0.0)
-    module_table = spark.createDataFrame([(c, int(m), e) for c, m, e in zip(nodes, modules, local)], f"node {edges.schema['source'].dataType.simpleString()}, module int, local_efficiency double")
-    metrics = strength(net).join(clustering(net), "node").join(module_table, "node").join(module_roles(net, module_table.select("node", "module")).drop("module"), "node")
-    upper = w[np.triu_indices(n, 1)]
-    summary = spark.createDataFrame(
-        [(n, int((upper > 0).sum()), float((upper > 0).mean()), float(upper.mean()), _efficiency(w), None if np.isnan(found) else found, len(set(modules.tolist())))],
-        "n_nodes int, n_edges int, density double, mean_edge_weight double, global_efficiency double, modularity double, n_modules int",
-    )
-    mean = metrics.agg(F.avg("clustering").alias("mean_clustering"))
-    return metrics, summary.withColumn("_", F.lit(1)).join(mean.withColumn("_", F.lit(1)), "_").drop("_")
+    keys = network_keys(edges)
+    net = prepared(edges, threshold, normalize, symmetrize, directed)
+    kinds = {f.name: f.dataType.simpleString() for f in net.schema.fields}
+
+    def run(pdf):
+        nodes = sorted(set(pdf["source"]) | set(pdf["target"]))
+        n, at = len(nodes), {c: i for i, c in enumerate(nodes)}
+        w = np.zeros((n, n))
+        w[pdf["source"].map(at), pdf["target"].map(at)] = pdf["weight"]
+        modules, found = np.ones(n, int), np.nan
+        if w.sum() > 2.2e-16 and n >= 3:
+            cuts = average_linkage(1 - np.clip(w / w.max(), 0, 1))
+            orders = range(2, min(max_modules, n - 1) + 1) if n_modules is None else ([n_modules] if 2 <= n_modules <= n else [])
+            scored = [(_modularity(w, cuts[k]), -k) for k in orders]
+            if scored:
+                modules = cuts[-max(scored)[1]]
+            found = _modularity(w, modules)
+        local = []
+        for i in range(n):
+            near = np.flatnonzero(w[i] > 0)
+            local.append(_efficiency(w[np.ix_(near, near)]) if len(near) >= 2 else 0.0)
+        upper = w[np.triu_indices(n, 1)]
+        whole = {"n_nodes": n, "n_edges": int((upper > 0).sum()), "density": float((upper > 0).mean()), "mean_edge_weight": float(upper.mean()), "global_efficiency": _efficiency(w), "modularity": found, "n_modules": len(set(modules.tolist()))}
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "node": nodes, "module": modules, "local_efficiency": local, **whole})
+
+    columns = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " * bool(keys)
+    summary_columns = "n_nodes int, n_edges int, density double, mean_edge_weight double, global_efficiency double, modularity double, n_modules int"
+    grouped = net.groupBy(*keys) if keys else net.withColumn("_all", F.lit(1)).groupBy("_all")
+    found = grouped.applyInPandas(run, f"{columns}node {kinds['source']}, module int, local_efficiency double, {summary_columns}")
+    modules = found.select(*keys, "node", "module", "local_efficiency")
+    metrics = strength(net).join(clustering(net), [*keys, "node"]).join(modules, [*keys, "node"]).join(module_roles(net, modules.drop("local_efficiency")).drop("module"), [*keys, "node"])
+    names = [c.split()[0] for c in summary_columns.split(", ")]
+    of = found.join(clustering(net), [*keys, "node"]).groupBy(*keys, *names).agg(F.avg("clustering").alias("mean_clustering"))
+    return metrics, of.withColumn("modularity", F.when(~F.isnan("modularity"), F.col("modularity")))
 
 
 def interpret_network(edges: DataFrame, node_metadata: DataFrame, kg_edges: DataFrame, threshold: float | None = None, top_n: int = 20, window: int | None = None) -> tuple[DataFrame, DataFrame]:

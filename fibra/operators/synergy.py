@@ -66,6 +66,8 @@ def ica(v: np.ndarray, k: int, rng, max_iter: int = 200, tol: float = 1e-4):
 def _vaf(v: np.ndarray, model: np.ndarray) -> float:
     """Variance accounted for, about the grand mean."""
     total = ((v - v.mean()) ** 2).sum()
+    if not np.isfinite(total):
+        raise ValueError("the data have values that are not finite")
     return 1 - ((v - model) ** 2).sum() / total if total > 0 else 1.0
 
 
@@ -79,7 +81,14 @@ def _rows(rec, k, restart, parts: dict[str, np.ndarray], error, vaf, it, done) -
 
 
 def _matrix(pdf: pd.DataFrame, assay: str) -> np.ndarray:
-    return pdf.pivot(index="sample", columns="channel", values=assay).sort_index().sort_index(axis=1).to_numpy()
+    """Samples that every channel has, in order, by channel."""
+    return pdf.pivot(index="sample", columns="channel", values=assay).sort_index().sort_index(axis=1).dropna().to_numpy()
+
+
+def _fewest_channels(samples: DataFrame) -> int:
+    """Channels of the recording that has the fewest."""
+    counts = samples.groupBy("recording_id").agg(F.countDistinct("channel").alias("n"))
+    return counts.agg(F.min("n")).first()[0] or 0
 
 
 def synergies(samples: DataFrame, k: int | list[int], method: str = "nmf", restarts: int = 1, max_iter: int = 200, tol: float = 1e-4, seed: int = 1, assay: str = "env") -> DataFrame:
@@ -87,8 +96,7 @@ def synergies(samples: DataFrame, k: int | list[int], method: str = "nmf", resta
     orders = [k] if isinstance(k, int) else list(k)
     if method not in ("nmf", "pca", "ica"):
         raise ValueError(f"unknown method: {method}")
-    channels = samples.select("channel").distinct().count()
-    if max(orders) > channels:
+    if max(orders) > _fewest_channels(samples) and not samples.isEmpty():
         raise ValueError("more synergies than channels")
     tries = restarts if method == "nmf" else 1
     jobs = [F.struct(F.lit(o).alias("k"), F.lit(r).alias("restart")) for o in orders for r in range(1, tries + 1)]
@@ -115,13 +123,16 @@ def synergies(samples: DataFrame, k: int | list[int], method: str = "nmf", resta
 
 def synergy_order(samples: DataFrame, max_synergies: int = 6, vaf_threshold: float = 0.9, per_synergy_vaf: float = 0.75, restarts: int = 10, seed: int = 1, assay: str = "env") -> DataFrame:
     """k, vaf, least channel vaf and whether k is chosen: the smallest over the threshold, else the curve's knee."""
-    channels = samples.select("channel").distinct().count()
-    orders = list(range(1, min(max_synergies, channels) + 1))
+    orders = list(range(1, min(max_synergies, _fewest_channels(samples)) + 1))
     got = synergies(samples, orders, "nmf", restarts, seed=seed, assay=assay)
     curve = got.groupBy("recording_id", "k").agg(F.max("vaf").alias("vaf"))
     w = got.where("part = 'W'").select("recording_id", "k", "component", F.col("place").cast("int").alias("c"), F.col("value").alias("w"))
     h = got.where("part = 'H'").select("recording_id", "k", "component", F.col("place").alias("t"), F.col("value").alias("h"))
     model = w.join(h, ["recording_id", "k", "component"]).groupBy("recording_id", "k", "c", "t").agg(F.sum(F.col("w") * F.col("h")).alias("model"))
+    # as in the factorised matrix, samples count that every channel has
+    width = F.max(F.col("_c")).over(Window.partitionBy("recording_id"))
+    whole = samples.where(F.col(assay).isNotNull()).groupBy("recording_id", "sample").agg(F.count("channel").alias("_c")).withColumn("_w", width).where("_c = _w")
+    samples = samples.join(whole.select("recording_id", "sample"), ["recording_id", "sample"])
     real = samples.select("recording_id", F.dense_rank().over(Window.partitionBy("recording_id").orderBy("channel")).alias("c"), F.row_number().over(Window.partitionBy("recording_id", "channel").orderBy("sample")).cast("long").alias("t"), F.greatest(F.col(assay), F.lit(0.0)).alias("v"))
     each = real.join(model, ["recording_id", "c", "t"]).groupBy("recording_id", "k", "c").agg(F.var_pop("v").alias("sst"), F.avg(F.pow(F.col("v") - F.col("model"), 2)).alias("ssr"))
     each = each.groupBy("recording_id", "k").agg(F.min(F.when(F.col("sst") > 0, 1 - F.col("ssr") / F.col("sst")).otherwise(1.0)).alias("least_channel_vaf"))

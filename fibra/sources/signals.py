@@ -86,6 +86,17 @@ class SignalFrame:
         return f"SignalFrame({self.sampling_rate:g} Hz, assays {', '.join(assays)}, {len(self.provenance)} steps)"
 
 
+def check_channels(samples: DataFrame, *wanted: int | str, channels: DataFrame | None = None) -> list[int]:
+    """Channels by number, or by label where a table of ``channels`` (channel, label) is given; an error if one has no samples."""
+    numbers = [w if isinstance(w, int) else channel_number(channels, w) if channels is not None else None for w in wanted]
+    if None in numbers:
+        raise ValueError(f"channel '{wanted[numbers.index(None)]}' not found: labels need the table of channels")
+    there = samples.where(F.col("channel").isin(numbers)).select("channel").distinct().collect()
+    for missing in set(numbers) - {r["channel"] for r in there}:
+        raise ValueError(f"channel {missing} out of range")
+    return numbers
+
+
 def channel_number(channels: DataFrame, wanted: int | str) -> int:
     """A channel by number or label, checked against the channel table (one row a channel)."""
     if isinstance(wanted, str):

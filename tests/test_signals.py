@@ -333,3 +333,120 @@ def test_wavelet_threshold_and_static_network(spark):
     for pair, weight in static.items():
         assert weight == pytest.approx(np.mean([r["weight"] for r in windows if (r["ch1"], r["ch2"]) == pair and r["weight"] is not None]))
     assert static[1, 2] > static[1, 3]
+
+
+def with_flat(spark):
+    """Two recordings: of r1 channel 3 is flat, channel 1 has a missing sample; r2 lacks channel 2."""
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=600), rng.normal(size=600)
+    a[17] = np.nan
+    one = frame(spark, a, np.roll(b, 2), np.zeros(600), b)
+    two = frame(spark, rng.normal(size=300), rng.normal(size=300)).where("channel = 1").withColumn("recording_id", F.lit("r2"))
+    return one.unionByName(two)
+
+
+def test_flat_and_missing_channels_end_no_job(spark):
+    df = with_flat(spark)
+    clip = {(r["recording_id"], r["channel"]): r["clipping_pct"] for r in quality.clipping(df).collect()}
+    assert clip["r1", 3] == 0 and clip["r1", 1] == pytest.approx(100 / 599)
+    gate = {(r["recording_id"], r["channel"]): r for r in quality.quality_gate(df, 1000, min_snr=-100, max_clipping=2).collect()}
+    assert len(gate) == 5 and gate["r1", 3]["pass"] and gate["r1", 1]["reasons"] is not None
+    qc = {(r["recording_id"], r["channel"]): r for r in quality.quality_check(df, 1000).collect()}
+    assert qc["r1", 1]["powerline_ratio"] is not None and qc["r1", 1]["ecg_score"] is not None and qc["r1", 3]["snr_db"] == math.inf
+    none = df.where("recording_id = 'r2'").withColumn("raw", F.lit(None).cast("double"))
+    assert [(r["pass"], r["reasons"]) for r in quality.quality_gate(none, 1000).collect()] == [(False, "no samples")]
+    got = {r["pair"]: r for r in velocity.velocity_xcorr(df.where("recording_id = 'r1'"), 1000, [(1, 3), (4, 2)], 10).collect()}
+    assert got[1]["delay_ms"] is None and got[1]["quality"] is None and got[2]["delay_ms"] == pytest.approx(2, abs=0.3)
+    phase = {r["pair"]: r for r in velocity.velocity_phase(df.where("recording_id = 'r1'"), 1000, [(1, 3), (4, 2)], 10).collect()}
+    assert phase[1]["delay_ms"] is None and phase[1]["quality"] is None
+    granger = {(r["source"], r["target"]): r for r in network.granger_network(df.where("recording_id = 'r1'"), 2).collect()}
+    assert granger[1, 3]["f_stat"] is None and granger[4, 2]["p_value"] < 1e-3 and granger[3, 2]["f_stat"] == pytest.approx(0, abs=1e-6)
+    for method in (velocity.velocity_xcorr, velocity.velocity_phase):
+        with pytest.raises(ValueError, match="out of range"):
+            method(df, 1000, [(1, 9)], 10)
+
+
+@pytest.mark.parametrize("chunk", [50, 64, None])
+def test_correlation_and_granger_do_not_depend_on_chunks(spark, chunk):
+    rng = np.random.default_rng(6)
+    x = np.convolve(rng.normal(size=505), np.ones(5) / 5, "valid")
+    a, b = x[3:], x[:-3]
+    df = frame(spark, a, b, rng.normal(size=len(a)))
+    got = velocity.velocity_xcorr(df, 1000, [(1, 2)], 10, 20, chunk=chunk).first()
+    ca, cb = a - a.mean(), b - b.mean()
+    cc = [(ca[max(0, -d) : len(ca) - max(0, d)] * cb[max(0, d) : len(cb) + min(0, d)]).sum() / np.sqrt((ca**2).sum() * (cb**2).sum()) for d in range(-20, 21)]
+    i = int(np.argmax(cc))
+    assert got["quality"] == pytest.approx(cc[i]) and got["delay_ms"] == pytest.approx(i - 20 + 0.5 * (cc[i - 1] - cc[i + 1]) / (cc[i - 1] - 2 * cc[i] + cc[i + 1]))
+    products = {(r["c1"], r["l1"], r["c2"], r["l2"]): (r["s"], r["n"]) for r in network.lagged_products(df, 3, False, chunk=chunk).collect()}
+    v = [a, b, df.where("channel = 3").orderBy("sample").toPandas()["raw"].to_numpy()]
+    n = len(a)
+    for (c1, l1, c2, l2), (s, count) in products.items():
+        left, right = (np.ones(n - 3) if c == 0 else v[c - 1][3 - d : n - d] for c, d in ((c1, l1), (c2, l2)))
+        assert s == pytest.approx((left * right).sum(), abs=1e-9) and count == n - 3
+    assert len(products) == 13 * 14 // 2
+
+
+def test_cocontraction_channels_labels_and_seconds(spark):
+    df = frame(spark, [1.0, 2, 4, 2], [2.0, 2, 1, 4], assay="env")
+    names = spark.createDataFrame([(1, "BIC"), (2, "TRI")], "channel int, label string")
+    by_label = cocontraction.cocontraction(df, "BIC", "TRI", channels=names).first()["index"]
+    assert by_label == cocontraction.cocontraction(df, 1, 2).first()["index"] == cocontraction.cocontraction(df, 1, 2, chunk=2).first()["index"]
+    for wrong in (9, "QUA"):
+        with pytest.raises(ValueError, match="out of range|not found"):
+            cocontraction.cocontraction(df, 1, wrong, channels=names)
+    series = cocontraction.cocontraction(df, 1, 2, window_sec=0.002, sr=1000).orderBy("window").collect()
+    assert [(r["window"], r["time_sec"]) for r in series] == [(1, 0.0), (2, 0.002)]
+    lacking = df.unionByName(df.where("channel = 1").withColumn("recording_id", F.lit("r2")))
+    assert {r["recording_id"]: r["index"] is None for r in cocontraction.cocontraction(lacking, 1, 2).collect()} == {"r1": False, "r2": True}
+
+
+def test_task_summary_keeps_signs_and_unit(spark):
+    df = frame(spark, [-3.0, 1, 2, 0.1], [1.0, -1, 0.5, -5], assay="env")
+    got = {r["muscle"]: r for r in cocontraction.task_summary(df, 1, 2, "reaching").collect()}
+    assert got["agonist"]["peak"] == 2 and got["agonist"]["mean"] == pytest.approx(0.025) and got["agonist"]["unit"] == "envelope"
+    assert got["agonist"]["active_fraction"] == 0.5 and got["antagonist"]["peak"] == 1
+    scaled = {r["muscle"]: r for r in cocontraction.task_summary(df, 1, 2, "reaching", frame(spark, [4.0, 1], [2.0, 0], assay="env")).collect()}
+    assert scaled["agonist"]["peak"] == 50 and scaled["antagonist"]["peak"] == 50 and scaled["agonist"]["unit"] == "%MVC"
+
+
+def test_factorisations_leave_out_samples_with_a_gap(spark):
+    rng = np.random.default_rng(12)
+    v = np.abs(rng.normal(size=(80, 2)) @ rng.uniform(size=(2, 4)))
+    gap = v.copy()
+    gap[5, 2] = np.nan
+    df, full = frame(spark, *gap.T, assay="env"), frame(spark, *np.delete(v, 5, 0).T, assay="env")
+    for method in ("nmf", "pca", "ica"):
+        vaf = [synergy.synergies(x, 2, method).agg(F.max("vaf")).first()[0] for x in (df, full)]
+        assert vaf[0] == pytest.approx(vaf[1]) and vaf[0] < 1
+    assert synergy.synergy_order(df, 2, restarts=1).count() == 2
+    with pytest.raises(ValueError, match="more synergies"):
+        synergy.synergies(df.unionByName(df.where("channel < 3").withColumn("recording_id", F.lit("r2"))), 3)
+
+
+def test_networks_of_recordings_stay_apart(spark):
+    rows = [("r1", "A", "B", 0.9), ("r1", "B", "C", 0.3), ("r1", "A", "C", 0.6), ("r2", "A", "B", 0.1), ("r2", "B", "C", 0.05), ("r2", "A", "C", 0.025)]
+    edges = spark.createDataFrame(rows, "recording_id string, source string, target string, weight double")
+    net = {(r["recording_id"], r["source"], r["target"]): r["weight"] for r in network.prepared(edges).collect()}
+    assert net["r1", "A", "B"] == net["r2", "B", "A"] == 1 and net["r2", "A", "C"] == pytest.approx(0.25)
+    metrics, summary = network.coordination_structure(edges)
+    of = {(r["recording_id"], r["node"]): r for r in metrics.collect()}
+    both = {r["recording_id"]: r for r in summary.collect()}
+    assert len(of) == 6 and len(both) == 2
+    for rec in ("r1", "r2"):
+        alone, one = network.coordination_structure(edges.where(F.col("recording_id") == rec).drop("recording_id"))
+        for r in alone.collect():
+            assert all(of[rec, r["node"]][c] == pytest.approx(r[c]) for c in alone.columns if c != "node")
+        assert all(both[rec][c] == pytest.approx(one.first()[c]) for c in one.columns)
+    modules = metrics.select("recording_id", "node", "module")
+    assert {r["recording_id"]: r["modularity"] for r in network.modularity(network.prepared(edges), modules).collect()} == {k: pytest.approx(r["modularity"]) for k, r in both.items()}
+
+
+def test_symmetrizing(spark):
+    rows = [("A", "B", 2.0), ("B", "A", 0.2), ("A", "C", 0.5), ("C", "B", 1.3)]
+    edges = spark.createDataFrame(rows, "source string, target string, weight double")
+    weights = lambda **how: {(r["source"], r["target"]): r["weight"] for r in network.prepared(edges, normalize=False, **how).collect()}
+    assert weights()["A", "B"] == pytest.approx(1.1) and weights()["C", "A"] == 0.5
+    assert weights(symmetrize="max")["B", "A"] == 2 and weights(symmetrize="min")["A", "B"] == 0.2
+    assert weights(directed=True)["B", "C"] == 0.65 and weights(directed=True, symmetrize="min")["A", "C"] == 0
+    with pytest.raises(ValueError):
+        network.prepared(edges, symmetrize="median")
