@@ -14,9 +14,10 @@ sig AS (SELECT channel, sample, value AS env, value - avg(value) OVER (PARTITION
 al AS (SELECT * FROM sig WHERE sample <= (SELECT min(n) FROM (SELECT max(sample) AS n FROM sig GROUP BY channel)))
 """
 
-#: Recordings made of a part of the events, samples numbered anew.
+#: The reference recording: means of hours.
 REFERENCE = """
-ref AS (SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY ts, event_id) AS sample, value AS env FROM ev WHERE user_id % 2 = {part})
+rh AS (SELECT channel, date_trunc('hour', ts) AS h, avg(value) AS env FROM ev GROUP BY ALL),
+ref AS (SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY h) AS sample, env FROM rh)
 """
 
 #: Complete hopping windows of 64 samples, half overlapping.
@@ -115,20 +116,39 @@ cs AS (SELECT x.channel AS ch1, y.channel AS ch2, x.k, x.b, x.re * y.re + x.im *
        FROM sp x JOIN sp y ON x.k = y.k AND x.b = y.b AND x.channel < y.channel)
 """
 
-EDGES = """
-ed AS (SELECT * FROM (VALUES ('A','B',0.9),('A','C',0.8),('B','C',0.85),('D','E',0.9),('D','F',0.8),('E','F',0.82),('A','D',0.05),('B','E',0.12),('C','F',0.07)) t(s, t, w0)),
-net AS (SELECT s AS source, t AS target, w0 / 0.9::DOUBLE AS weight FROM ed UNION ALL SELECT t, s, w0 / 0.9::DOUBLE FROM ed),
-mo AS (SELECT * FROM (VALUES ('A',1),('B',1),('C',1),('D',2),('E',2),('F',2)) t(node, module))
+#: The coherence network, both directions of each edge, scaled to at most 1; and a division of its nodes.
+EDGES = f"""
+{SIGNAL.strip()},
+{SEGMENTS.strip()},
+pb AS (SELECT ch1, ch2, b, (avg(cr) * avg(cr) + avg(ci) * avg(ci)) / (avg(pa) * avg(pb)) AS c FROM cs GROUP BY ch1, ch2, b),
+ed AS (SELECT ch1 AS s, ch2 AS t, avg(c) AS w0 FROM pb GROUP BY ch1, ch2),
+net AS (SELECT s AS source, t AS target, w0 / (SELECT max(w0) FROM ed) AS weight FROM ed UNION ALL SELECT t, s, w0 / (SELECT max(w0) FROM ed) FROM ed),
+mo AS (SELECT DISTINCT channel AS node, CASE WHEN channel <= 3 THEN 1 ELSE 2 END AS module FROM sig)
 """
 
+#: What a graph holds of the channels: metadata, and how often a user has two kinds of events on a day.
+KNOWLEDGE = """
+me AS (SELECT DISTINCT channel AS c, CASE WHEN channel < (SELECT max(channel) FROM ev) THEN 'K' || channel END AS n, CASE WHEN channel % 2 = 1 THEN 'odd' ELSE 'even' END AS g FROM ev),
+dy AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d, channel FROM ev),
+mt AS (SELECT x.channel AS a, y.channel AS b, count(*) AS n FROM dy x JOIN dy y ON x.user_id = y.user_id AND x.d = y.d AND x.channel < y.channel GROUP BY ALL),
+kg AS (SELECT 'K' || a AS a, 'K' || b AS b, CASE WHEN n >= (SELECT avg(n) FROM mt) THEN 'often' ELSE 'seldom' END AS r FROM mt),
+kb AS (SELECT DISTINCT a, b, r FROM (SELECT a, b, r FROM kg UNION ALL SELECT b, a, r FROM kg)),
+kn AS (SELECT a, b, string_agg(DISTINCT r, ';' ORDER BY r) AS relations, count(*) AS n_links FROM kb GROUP BY a, b)
+"""
+
+
+def _weights(components: int) -> str:
+    """Mean values by part of the day and channel, on days of odd and of even number."""
+    return f"w AS (SELECT CAST(hour(ts) * {components} // 24 + 1 AS INTEGER) AS c, channel AS ch, avg(value) FILTER (day(ts) % 2 = 1) AS a, avg(value) FILTER (day(ts) % 2 = 0) AS b FROM ev GROUP BY ALL)"
+
 
 ORACLES = {
     "envelope_rms": _sql(SIGNAL, select="SELECT channel, sample, round(sqrt(avg(raw * raw) OVER (PARTITION BY channel ORDER BY sample ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING)), 6) AS envelope FROM sig"),
     "envelope_volume": "WITH s AS (SELECT l_linenumber AS channel, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice) AS sample, l_extendedprice AS v FROM lineitem) SELECT CAST(channel AS INTEGER) AS channel, sample, round(sqrt(avg(v * v) OVER (PARTITION BY channel ORDER BY sample ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING)), 4) AS envelope FROM s",
     "envelope_lowpass": _sql(SIGNAL, select="SELECT channel, sample, round(CASE WHEN count(*) OVER w = 25 THEN avg(abs(raw)) OVER w ELSE abs(raw) END, 6) AS envelope FROM sig WINDOW w AS (PARTITION BY channel ORDER BY sample ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)"),
     "normalize_peak": _sql(SIGNAL, select="SELECT channel, sample, round(env / max(env) OVER (PARTITION BY channel), 6) AS normalized FROM sig"),
-    "normalize_mvc": _sql(SIGNAL, REFERENCE.format(part=0), select="SELECT s.channel, s.sample, round(s.env / r.m, 6) AS normalized FROM sig s JOIN (SELECT channel, max(env) AS m FROM ref GROUP BY channel) r ON r.channel = s.channel"),
-    "normalize_rvc": _sql(SIGNAL, REFERENCE.format(part=1), select="SELECT s.channel, s.sample, round(s.env / r.m, 6) AS normalized FROM sig s JOIN (SELECT channel, avg(abs(env)) AS m FROM ref GROUP BY channel) r ON r.channel = s.channel"),
+    "normalize_mvc": _sql(SIGNAL, REFERENCE, select="SELECT s.channel, s.sample, round(s.env / r.m, 6) AS normalized FROM sig s JOIN (SELECT channel, max(env) AS m FROM ref GROUP BY channel) r ON r.channel = s.channel"),
+    "normalize_rvc": _sql(SIGNAL, REFERENCE, select="SELECT s.channel, s.sample, round(s.env / r.m, 6) AS normalized FROM sig s JOIN (SELECT channel, avg(abs(env)) AS m FROM ref GROUP BY channel) r ON r.channel = s.channel"),
     "normalize_dynamic_peak": _sql(SIGNAL, select="SELECT channel, sample, round(env / max(abs(env)) OVER (PARTITION BY channel ORDER BY sample ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING), 6) AS normalized FROM sig"),
     "amplitude_features": _sql(SIGNAL, HOPS, select="SELECT channel, k + 1 AS window, k * 32 / 1000.0::DOUBLE AS time_sec, round(avg(abs(raw)), 6) AS arv, round(sqrt(avg(raw * raw)), 6) AS rms, round(sum(abs(raw)) / 1000, 6) AS iemg, round(avg(abs(raw)), 6) AS mav FROM hop GROUP BY channel, k HAVING count(*) = 64"),
     "amplitude_features_stream": _sql(SIGNAL, HOPS, select="SELECT channel, k + 1 AS window, round(avg(abs(raw)), 6) AS arv, round(sqrt(avg(raw * raw)), 6) AS rms, round(sum(abs(raw)) / 1000, 6) AS iemg FROM hop GROUP BY channel, k HAVING count(*) = 64"),
@@ -154,28 +174,28 @@ ORACLES = {
     "cocontraction_falconer": _sql(SIGNAL, PAIR, select=f"SELECT round({CCI}, 6) AS cci FROM pn"),
     "cocontraction_rudolph": _sql(SIGNAL, PAIR, select="SELECT round(avg(CASE WHEN greatest(a, b) > 0 THEN least(a, b) / greatest(a, b) * (a + b) ELSE 0 END), 6) AS cci FROM pn"),
     "cocontraction_frost": _sql(SIGNAL, PAIR, select="SELECT round(100 * avg(CASE WHEN a + b > 0 THEN 2 * least(a, b) / (a + b) ELSE 0 END), 6) AS cci FROM pn"),
-    "cocontraction_windows": _sql(SIGNAL, PAIR, select=f"SELECT (sample - 1) // 64 + 1 AS window, round({CCI}, 6) AS cci FROM pn GROUP BY (sample - 1) // 64 HAVING count(*) = 64"),
+    "cocontraction_windows": _sql(SIGNAL, PAIR, select=f"SELECT (sample - 1) // 64 + 1 AS window, (sample - 1) // 64 * 64 / 1000.0::DOUBLE AS time_sec, round({CCI}, 6) AS cci FROM pn GROUP BY (sample - 1) // 64 HAVING count(*) = 64"),
     "adl_activation": _sql(
-        SIGNAL, PAIR, REFERENCE.format(part=0),
-        "sc AS (SELECT a.channel, 100 * abs(a.env) / r.m AS v FROM al a JOIN (SELECT channel, max(abs(env)) AS m FROM ref GROUP BY channel) r ON r.channel = a.channel WHERE a.channel IN (1, 2))",
+        SIGNAL, PAIR, REFERENCE,
+        "sc AS (SELECT a.channel, 100 * a.env / r.m AS v FROM al a JOIN (SELECT channel, max(env) AS m FROM ref GROUP BY channel) r ON r.channel = a.channel WHERE a.channel IN (1, 2))",
         "tp AS (SELECT channel, v, max(v) OVER (PARTITION BY channel) AS t FROM sc)",
         select=f"SELECT 'reaching' AS task, 'd445' AS code, CASE WHEN channel = 1 THEN 'agonist' ELSE 'antagonist' END AS muscle, '%MVC' AS unit, (SELECT round({CCI}, 6) FROM pn) AS cci, round(max(v), 6) AS peak, round(avg(v), 6) AS mean, round(avg(CASE WHEN v > 0.2 * t THEN 1.0::DOUBLE ELSE 0 END), 6) AS active_fraction FROM tp GROUP BY channel",
     ),
     "quality_snr": _sql(SIGNAL, "r AS (SELECT channel, sqrt(avg(raw * raw) OVER (PARTITION BY channel ORDER BY sample ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS v FROM sig)", "q AS (SELECT channel, quantile_cont(v, 0.1) AS lo, quantile_cont(v, 0.9) AS hi FROM r GROUP BY channel)", select="SELECT channel, round(20 * log10(hi / lo), 6) AS snr_db, round(lo, 6) AS baseline_noise FROM q"),
     "quality_clipping": _sql(SIGNAL, "t AS (SELECT channel, raw, max(abs(raw)) OVER (PARTITION BY channel) AS m FROM sig)", select="SELECT channel, round(avg(CASE WHEN abs(raw) >= m * (1 - 1e-6) THEN 100.0::DOUBLE ELSE 0 END), 6) AS clipping_pct FROM t GROUP BY channel"),
     "synergy_pca_cov": _sql(SIGNAL, select="SELECT a.channel AS ch1, b.channel AS ch2, round(covar_samp(a.env, b.env), 4) AS covariance FROM al a JOIN al b ON a.sample = b.sample AND a.channel <= b.channel GROUP BY a.channel, b.channel"),
-    "synergy_reconstruct": _sql(SIGNAL, "w AS (SELECT * FROM (VALUES (1,1,1.0),(1,2,0.5),(1,3,0.25),(2,1,0.1),(2,2,0.7),(2,3,0.9)) t(c, ch, w))", select="SELECT CAST(w.ch AS INTEGER) AS channel, al.sample, round(sum(w.w::DOUBLE * al.env), 6) AS value FROM w JOIN al ON al.channel = w.c GROUP BY w.ch, al.sample"),
+    "synergy_reconstruct": _sql(SIGNAL, _weights(5), select="SELECT w.ch AS channel, al.sample, round(sum(w.a * al.env), 4) AS value FROM w JOIN al ON al.channel = w.c WHERE w.a IS NOT NULL GROUP BY w.ch, al.sample"),
     "tucker_reconstruct": _sql(
         SIGNAL,
         "cells AS (SELECT channel AS m, hour(ts) + 1 AS t, day(ts) AS d, avg(value) AS v FROM ev GROUP BY ALL)",
-        "core AS (SELECT p, q, r, coalesce(v, 0) AS g FROM (SELECT unnest([1, 2]) AS p) a, (SELECT unnest([1, 2]) AS q) b, (SELECT unnest([1, 2]) AS r) c LEFT JOIN cells ON m = p AND t = q AND d = r)",
-        "a AS (SELECT CAST(i // 2 + 1 AS INTEGER) AS muscle, i % 2 + 1 AS p, 1.0::DOUBLE / (i + 1) AS a FROM range(10) x(i))",
-        "b AS (SELECT CAST(i // 2 + 1 AS INTEGER) AS time, i % 2 + 1 AS q, 1.0::DOUBLE / (i + 2) AS b FROM range(8) x(i))",
-        "c AS (SELECT CAST(i // 2 + 1 AS INTEGER) AS trial, i % 2 + 1 AS r, 1.0::DOUBLE / (i + 3) AS c FROM range(6) x(i))",
-        select="SELECT muscle, time, trial, round(sum(g * a * b * c), 6) AS value FROM core JOIN a ON a.p = core.p JOIN b ON b.q = core.q JOIN c ON c.r = core.r GROUP BY ALL",
+        "core AS (SELECT p, q, r, coalesce(v, 0) AS g FROM (SELECT unnest(range(1, 6)) AS p) a, (SELECT unnest(range(1, 25)) AS q) b, (SELECT unnest(range(1, 31)) AS r) c LEFT JOIN cells ON m = p AND t = q AND d = r)",
+        "a AS (SELECT CAST(i // 5 + 1 AS INTEGER) AS muscle, i % 5 + 1 AS p, 1.0::DOUBLE / (i + 1) AS a FROM range(25) x(i))",
+        "b AS (SELECT CAST(i // 24 + 1 AS INTEGER) AS time, i % 24 + 1 AS q, 1.0::DOUBLE / (i + 2) AS b FROM range(96) x(i))",
+        "c AS (SELECT CAST(i // 30 + 1 AS INTEGER) AS trial, i % 30 + 1 AS r, 1.0::DOUBLE / (i + 3) AS c FROM range(90) x(i))",
+        select="SELECT muscle, time, trial, round(sum(g * a * b * c), 4) AS value FROM core JOIN a ON a.p = core.p JOIN b ON b.q = core.q JOIN c ON c.r = core.r GROUP BY ALL",
     ),
-    "synergy_compare": "WITH w AS (SELECT * FROM (VALUES (1,1,1.0,0.2),(1,2,0.5,0.6),(1,3,0.25,0.8),(2,1,0.1,0.9),(2,2,0.7,0.4),(2,3,0.9,0.3)) t(c, ch, a, b)), r AS (SELECT x.c AS i, y.c AS j, corr(x.a::DOUBLE, y.b::DOUBLE) AS r FROM w x JOIN w y ON x.ch = y.ch GROUP BY x.c, y.c), b AS (SELECT * FROM r ORDER BY abs(r) DESC, i, j LIMIT 1) SELECT CAST(r.i AS INTEGER) AS synergy1, CAST(r.j AS INTEGER) AS synergy2, round(r.r, 6) AS correlation FROM r, b WHERE (r.i = b.i AND r.j = b.j) OR (r.i <> b.i AND r.j <> b.j)",
-    "mixture_suffstats": "WITH s AS (SELECT label AS subject, vec_id AS row, CAST(m.m AS INTEGER) AS muscle, CAST(embedding[m.m] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 9)) AS m) m) SELECT x.subject, x.muscle AS m1, y.muscle AS m2, count(*) AS n, round(sum(x.v), 4) AS s1, round(sum(x.v * y.v), 4) AS s12 FROM s x JOIN s y ON x.subject = y.subject AND x.row = y.row AND x.muscle <= y.muscle GROUP BY ALL",
+    "synergy_compare": _sql(SIGNAL, _weights(2), "r AS (SELECT x.c AS i, y.c AS j, corr(x.a, y.b) AS r FROM w x JOIN w y ON x.ch = y.ch GROUP BY x.c, y.c)", "b AS (SELECT * FROM r ORDER BY abs(r) DESC, i, j LIMIT 1)", select="SELECT r.i AS synergy1, r.j AS synergy2, round(r.r, 6) AS correlation FROM r, b WHERE (r.i = b.i AND r.j = b.j) OR (r.i <> b.i AND r.j <> b.j)"),
+    "mixture_suffstats": "WITH s AS (SELECT label AS subject, vec_id AS row, CAST(m.m AS INTEGER) AS muscle, CAST(embedding[m.m] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS m) m) SELECT x.subject, x.muscle AS m1, y.muscle AS m2, count(*) AS n, round(sum(x.v), 4) AS s1, round(sum(x.v * y.v), 4) AS s12 FROM s x JOIN s y ON x.subject = y.subject AND x.row = y.row AND x.muscle <= y.muscle GROUP BY ALL",
     "coherence_network": _sql(SIGNAL, SEGMENTS, "pb AS (SELECT ch1, ch2, b, (avg(cr) * avg(cr) + avg(ci) * avg(ci)) / (avg(pa) * avg(pb)) AS c FROM cs GROUP BY ch1, ch2, b)", select="SELECT ch1, ch2, round(avg(c), 5) AS weight FROM pb GROUP BY ch1, ch2"),
     "wpli_network": _sql(SIGNAL, SEGMENTS, "pb AS (SELECT ch1, ch2, b, abs(sum(ci)) / sum(abs(ci)) AS c FROM cs GROUP BY ch1, ch2, b)", select="SELECT ch1, ch2, round(avg(c), 5) AS weight FROM pb GROUP BY ch1, ch2"),
     "wpli_debiased_network": _sql(SIGNAL, SEGMENTS, "pb AS (SELECT ch1, ch2, b, greatest(0, least(1, (sum(ci) * sum(ci) - sum(ci * ci)) / (sum(abs(ci)) * sum(abs(ci)) - sum(ci * ci)))) AS c FROM cs GROUP BY ch1, ch2, b)", select="SELECT ch1, ch2, round(avg(c), 5) AS weight FROM pb GROUP BY ch1, ch2"),
@@ -186,29 +206,23 @@ ORACLES = {
         "ag AS (SELECT * FROM lg UNION ALL SELECT 0, 0, t, 1.0 FROM (SELECT DISTINCT t FROM lg WHERE l = 0))",
         select="SELECT a.c AS c1, a.l AS l1, b.c AS c2, b.l AS l2, count(*) AS n, round(sum(a.x * b.x), 4) AS s FROM ag a JOIN ag b ON a.t = b.t AND (a.c < b.c OR (a.c = b.c AND a.l <= b.l)) GROUP BY ALL",
     ),
-    "graph_strength": _sql(EDGES, "st AS (SELECT source AS node, sum(weight) AS s FROM net GROUP BY source)", select="SELECT node, round(s, 6) AS strength, round(s / max(s) OVER (), 6) AS normalized_strength FROM st"),
+    "graph_strength": _sql(EDGES, "st AS (SELECT source AS node, sum(weight) AS s FROM net GROUP BY source)", select="SELECT node, round(s, 5) AS strength, round(s / max(s) OVER (), 5) AS normalized_strength FROM st"),
     "graph_clustering": _sql(
         EDGES,
-        "e AS (SELECT * FROM net WHERE weight >= 0.06 / 0.9)",
+        "e AS (SELECT * FROM net WHERE weight > 0)",
         "tr AS (SELECT a.source AS node, sum(cbrt(a.weight * b.weight * c.weight)) AS t FROM e a JOIN e b ON a.source = b.source AND a.target < b.target JOIN e c ON c.source = a.target AND c.target = b.target GROUP BY a.source)",
         "dg AS (SELECT source AS node, count(*) AS k FROM e GROUP BY source)",
-        select="SELECT dg.node, round(CASE WHEN k >= 2 THEN 2 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 6) AS clustering FROM dg LEFT JOIN tr ON tr.node = dg.node",
+        select="SELECT dg.node, round(CASE WHEN k >= 2 THEN 2 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 5) AS clustering FROM dg LEFT JOIN tr ON tr.node = dg.node",
     ),
-    "graph_modularity": _sql(EDGES, "k AS (SELECT source, module, sum(weight) AS k FROM net JOIN mo ON mo.node = source GROUP BY source, module)", "i AS (SELECT sum(weight) AS w FROM net JOIN mo a ON a.node = source JOIN mo b ON b.node = target WHERE a.module = b.module)", "g AS (SELECT sum(k) AS k FROM k GROUP BY module)", select="SELECT round((SELECT w FROM i) / (SELECT sum(k) FROM k) - (SELECT sum(k * k) FROM g) / pow((SELECT sum(k) FROM k), 2), 6) AS modularity"),
+    "graph_modularity": _sql(EDGES, "k AS (SELECT source, module, sum(weight) AS k FROM net JOIN mo ON mo.node = source GROUP BY source, module)", "i AS (SELECT sum(weight) AS w FROM net JOIN mo a ON a.node = source JOIN mo b ON b.node = target WHERE a.module = b.module)", "g AS (SELECT sum(k) AS k FROM k GROUP BY module)", select="SELECT round((SELECT w FROM i) / (SELECT sum(k) FROM k) - (SELECT sum(k * k) FROM g) / pow((SELECT sum(k) FROM k), 2), 5) AS modularity"),
     "graph_roles": _sql(
         EDGES,
         "b AS (SELECT source, a.module, t.module AS to_, sum(weight) AS w FROM net JOIN mo a ON a.node = source JOIN mo t ON t.node = target GROUP BY ALL)",
         "p AS (SELECT source, module, 1 - sum(pow(w / k, 2)) AS p, coalesce(sum(w) FILTER (to_ = module), 0) AS kin FROM (SELECT *, sum(w) OVER (PARTITION BY source) AS k FROM b) GROUP BY source, module)",
-        select="SELECT source AS node, CAST(module AS INTEGER) AS module, round(p, 6) AS participation, round((kin - avg(kin) OVER (PARTITION BY module)) / stddev_samp(kin) OVER (PARTITION BY module), 6) AS within_module_z FROM p",
-    ),
-    "kg_interpret": _sql(
-        EDGES,
-        "me AS (SELECT * FROM (VALUES ('A','M1','flexor'),('B','M2','extensor'),('C','M3','flexor'),('D',NULL,'flexor')) t(c, n, g))",
-        "kg AS (SELECT * FROM (VALUES ('M1','M2','co_activate'),('M3','M2','synergist'),('M2','M1','antagonist')) t(a, b, r))",
-        "kb AS (SELECT DISTINCT a, b, r FROM (SELECT a, b, r FROM kg UNION ALL SELECT b, a, r FROM kg))",
-        "kn AS (SELECT a, b, string_agg(DISTINCT r, ';' ORDER BY r) AS relations, count(*) AS n_links FROM kb GROUP BY a, b)",
-        select="SELECT s AS source, t AS target, x.n AS source_kg_node, y.n AS target_kg_node, x.g AS source_muscle_group, y.g AS target_muscle_group, relations, coalesce(n_links, 0) AS n_links, round(w0::DOUBLE, 6) AS weight FROM ed LEFT JOIN me x ON x.c = s LEFT JOIN me y ON y.c = t LEFT JOIN kn ON kn.a = x.n AND kn.b = y.n WHERE w0 >= 0.1",
+        select="SELECT source AS node, CAST(module AS INTEGER) AS module, round(p, 4) AS participation, coalesce(round((kin - avg(kin) OVER (PARTITION BY module)) / stddev_samp(kin) OVER (PARTITION BY module), 4), 0) AS within_module_z FROM p",
     ),
+    "kg_interpret": _sql(EDGES, KNOWLEDGE, select="SELECT s AS source, t AS target, x.n AS source_kg_node, y.n AS target_kg_node, x.g AS source_muscle_group, y.g AS target_muscle_group, relations, coalesce(n_links, 0) AS n_links, round(w0, 5) AS weight FROM ed LEFT JOIN me x ON x.c = s LEFT JOIN me y ON y.c = t LEFT JOIN kn ON kn.a = x.n AND kn.b = y.n WHERE w0 >= (SELECT quantile_cont(w0, 0.75) FROM ed)"),
+    "kg_relations": _sql(EDGES, KNOWLEDGE, select="SELECT unnest(string_split(relations, ';')) AS relation, count(*) AS n FROM ed JOIN me x ON x.c = s JOIN me y ON y.c = t JOIN kn ON kn.a = x.n AND kn.b = y.n GROUP BY relation"),
     "electrode_annotate": "WITH c AS (SELECT DISTINCT event_type, CAST(dense_rank() OVER (ORDER BY event_type) AS INTEGER) AS channel FROM events) SELECT channel, event_type AS label, CASE channel WHEN 1 THEN 'biceps brachii' WHEN 2 THEN 'Triceps Brachii' END AS muscle, CASE channel WHEN 1 THEN 20.0::DOUBLE WHEN 2 THEN 15.0::DOUBLE END AS ied_mm, CASE WHEN channel <= 2 THEN 'left' END AS side FROM c",
     "plot_envelope_data": _sql(SIGNAL, "e AS (SELECT sample, raw, sqrt(avg(raw * raw) OVER (ORDER BY sample ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING)) AS env2 FROM sig WHERE channel = 1)", select="SELECT (sample - 1) / 1000.0::DOUBLE AS time, 'raw' AS series, round(raw, 6) AS value FROM e UNION ALL SELECT (sample - 1) / 1000.0::DOUBLE, 'envelope', round(env2, 6) FROM e"),
     "plot_coactivation_data": _sql(SIGNAL, PAIR, select="SELECT (sample - 1) / 1000.0::DOUBLE AS time, round(a, 6) AS agonist, round(b, 6) AS antagonist, round(least(a, b), 6) AS common FROM pn"),
@@ -291,5 +305,5 @@ ORACLES |= {
         f"hw AS (SELECT channel, n, (re * re + im * im) * CASE WHEN 2 * b = n THEN 1 ELSE 2 END * pow(CASE WHEN f >= 30 THEN 1 WHEN f <= 25 THEN 0 ELSE 0.5 * (1 - cos({math.pi!r} * (f - 25) / 5)) END, 2) AS p FROM hb)",
         select="SELECT channel, n, round(sqrt(sum(p) / n / (n - 1)), 3) AS sd FROM hw GROUP BY channel, n",
     ),
-    "electrode_catalog": "SELECT muscle, 20.0::DOUBLE AS ied_mm FROM (VALUES " + ", ".join(f"('{m}')" for m in MUSCLES) + ") t(muscle)",
+    "electrode_catalog": "WITH c AS (SELECT DISTINCT event_type, CAST(dense_rank() OVER (ORDER BY event_type) AS INTEGER) AS channel FROM events) SELECT channel, ([" + ", ".join(f"'{m}'" for m in MUSCLES) + f"])[(channel - 1) % {len(MUSCLES)} + 1] AS muscle, 20.0::DOUBLE AS ied_mm FROM c",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fibra.operators import amplitude, cocontraction, electrodes, fatigue, generate, network, onset, plotdata, quality, synergy, velocity
@@ -27,12 +27,11 @@ def _aligned(spark, d):
     return signals.aligned(signals.event_signal(spark, d))
 
 
-def _mvc(spark, d):
-    return _signal(spark, d, "user_id % 2 = 0")
-
-
-def _rvc(spark, d):
-    return _signal(spark, d, "user_id % 2 = 1")
+def _reference(spark, d):
+    """A reference recording of the same channels: the mean value of each hour of all events."""
+    e = table(spark, d, "events").join(F.broadcast(signals.event_channels(spark, d)), "event_type")
+    hours = e.groupBy("channel", F.date_trunc("hour", "ts").alias("h")).agg(F.avg("value").alias("value"))
+    return signals.from_table(hours, F.col("channel"), [F.col("h")], F.col("value"))
 
 
 def _tensor(spark, d) -> DataFrame:
@@ -45,28 +44,28 @@ def _tensor(spark, d) -> DataFrame:
 
 def _subjects(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return e.select(F.col("label").alias("subject"), F.col("vec_id").alias("row"), F.posexplode(F.slice("embedding", 1, 8)).alias("muscle", "value")).select("subject", "row", (F.col("muscle") + 1).alias("muscle"), F.col("value").cast("double").alias("value"))
+    return e.select(F.col("label").alias("subject"), F.col("vec_id").alias("row"), F.posexplode("embedding").alias("muscle", "value")).select("subject", "row", (F.col("muscle") + 1).alias("muscle"), F.col("value").cast("double").alias("value"))
 
 
-def _edges(spark) -> DataFrame:
-    rows = [("A", "B", 0.9), ("A", "C", 0.8), ("B", "C", 0.85), ("D", "E", 0.9), ("D", "F", 0.8), ("E", "F", 0.82), ("A", "D", 0.05), ("B", "E", 0.12), ("C", "F", 0.07)]
-    return spark.createDataFrame(rows, "source string, target string, weight double")
+def _modules(spark, d) -> DataFrame:
+    """A division of the channels: the first three, and the others."""
+    return signals.event_channels(spark, d).select(F.col("channel").alias("node"), F.when(F.col("channel") <= 3, 1).otherwise(2).alias("module"))
 
 
-def _modules(spark) -> DataFrame:
-    return spark.createDataFrame([(c, 1 if c in "ABC" else 2) for c in "ABCDEF"], "node string, module int")
+def _factors(spark, d, components: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Weights of components (parts of the day) on channels: mean values on days of odd and of even number."""
+    e = table(spark, d, "events").join(F.broadcast(signals.event_channels(spark, d)), "event_type")
+    part = (F.floor(F.hour("ts") * components / 24) + 1).cast("int").alias("component")
+    mean = e.groupBy(part, "channel", (F.dayofmonth("ts") % 2).alias("odd")).agg(F.avg("value").alias("weight"))
+    return tuple(mean.where(F.col("odd") == o).drop("odd") for o in (1, 0))
 
 
-def _factors(spark) -> tuple[DataFrame, DataFrame]:
-    """Literal weights of two components on three channels, and a variation of them."""
-    w = [(1, 1, 1.0), (1, 2, 0.5), (1, 3, 0.25), (2, 1, 0.1), (2, 2, 0.7), (2, 3, 0.9)]
-    v = [(1, 1, 0.2), (1, 2, 0.6), (1, 3, 0.8), (2, 1, 0.9), (2, 2, 0.4), (2, 3, 0.3)]
-    schema = "component int, channel int, weight double"
-    return spark.createDataFrame(w, schema), spark.createDataFrame(v, schema)
+def _network_edges(spark, d):
+    return network.coherence_network(_aligned(spark, d), SR, (20, 250), 64).select(F.col("ch1").alias("source"), F.col("ch2").alias("target"), "weight")
 
 
-def _network_edges(spark, d):
-    return network.coherence_network(_aligned(spark, d), SR, None, 64).select(F.col("ch1").alias("source"), F.col("ch2").alias("target"), "weight")
+def _network(spark, d):
+    return network.prepared(_network_edges(spark, d))
 
 
 def envelope_rms(spark, d):
@@ -92,11 +91,11 @@ def normalize_peak(spark, d):
 
 
 def normalize_mvc(spark, d):
-    return _r(amplitude.normalize_mvc(_signal(spark, d), _mvc(spark, d)), "channel", "sample", normalized="normalized")
+    return _r(amplitude.normalize_mvc(_signal(spark, d), _reference(spark, d)), "channel", "sample", normalized="normalized")
 
 
 def normalize_rvc(spark, d):
-    return _r(amplitude.normalize_rvc(_signal(spark, d), _rvc(spark, d), SR), "channel", "sample", normalized="normalized")
+    return _r(amplitude.normalize_rvc(_signal(spark, d), _reference(spark, d), SR), "channel", "sample", normalized="normalized")
 
 
 def normalize_dynamic_peak(spark, d):
@@ -180,11 +179,11 @@ def _cc(method):
 
 
 def cocontraction_windows(spark, d):
-    return _r(cocontraction.cocontraction(_aligned(spark, d), 1, 2, window=64), "window", cci="index")
+    return _r(cocontraction.cocontraction(_aligned(spark, d), 1, 2, window_sec=WIN, sr=SR), "window", "time_sec", cci="index")
 
 
 def adl_activation(spark, d):
-    df = cocontraction.task_summary(_aligned(spark, d), 1, 2, "reaching", _mvc(spark, d))
+    df = cocontraction.task_summary(_aligned(spark, d), 1, 2, "reaching", _reference(spark, d))
     return _r(df, "task", "code", "muscle", "unit", cci="cci", peak="peak", mean="mean", active_fraction="active_fraction")
 
 
@@ -241,13 +240,13 @@ def synergy_order(spark, d):
 
 
 def synergy_reconstruct(spark, d):
-    w, _ = _factors(spark)
-    h = _aligned(spark, d).where("channel <= 2").select(F.col("channel").alias("component"), "sample", F.col("env").alias("activation"))
-    return _r(synergy.reconstruct(w, h), "channel", "sample", value="value")
+    odd, _ = _factors(spark, d, 5)
+    h = _aligned(spark, d).select(F.col("channel").alias("component"), "sample", F.col("env").alias("activation"))
+    return _r(synergy.reconstruct(odd, h), "channel", "sample", value="value", digits=4)
 
 
 def synergy_compare(spark, d):
-    return _r(synergy.compare(*_factors(spark)), "synergy1", "synergy2", correlation="correlation")
+    return _r(synergy.compare(*_factors(spark, d)), "synergy1", "synergy2", correlation="correlation")
 
 
 def synergy_tensor(spark, d):
@@ -259,7 +258,7 @@ def synergy_tensor_order(spark, d):
 
 
 def synergy_convolutive(spark, d):
-    return _factor_summary(synergy.convolutive_synergies(_aligned(spark, d).where("sample <= 200"), 2, 10, 50, restarts=2))
+    return _factor_summary(synergy.convolutive_synergies(_aligned(spark, d), 2, 10, 50, restarts=2))
 
 
 def synergy_spacetime(spark, d):
@@ -271,12 +270,14 @@ def synergy_tucker(spark, d):
 
 
 def tucker_reconstruct(spark, d):
-    t = _tensor(spark, d).where("muscle <= 2 and time <= 2 and trial <= 2")
-    core = t.select(F.col("muscle").alias("p"), F.col("time").alias("q"), F.col("trial").alias("r"), F.col("value").alias("g"))
-    a = spark.range(10).select((F.floor(F.col("id") / 2) + 1).cast("int").alias("muscle"), (F.col("id") % 2 + 1).cast("int").alias("p"), (1 / (F.col("id") + 1)).alias("a"))
-    b = spark.range(8).select((F.floor(F.col("id") / 2) + 1).cast("int").alias("time"), (F.col("id") % 2 + 1).cast("int").alias("q"), (1 / (F.col("id") + 2)).alias("b"))
-    c = spark.range(6).select((F.floor(F.col("id") / 2) + 1).cast("int").alias("trial"), (F.col("id") % 2 + 1).cast("int").alias("r"), (1 / (F.col("id") + 3)).alias("c"))
-    return _r(synergy.reconstruct_tucker(core, a, b, c), "muscle", "time", "trial", value="value")
+    """The whole table of means as the core, and factors by a rule."""
+    core = _tensor(spark, d).select(F.col("muscle").alias("p"), F.col("time").alias("q"), F.col("trial").alias("r"), F.col("value").alias("g"))
+
+    def factor(name, at, inner, rows, value, shift):
+        ids = spark.range(rows * inner)
+        return ids.select((F.floor(F.col("id") / inner) + 1).cast("int").alias(name), (F.col("id") % inner + 1).cast("int").alias(at), (1 / (F.col("id") + shift)).alias(value))
+
+    return _r(synergy.reconstruct_tucker(core, factor("muscle", "p", 5, 5, "a", 1), factor("time", "q", 24, 4, "b", 2), factor("trial", "r", 30, 3, "c", 3)), "muscle", "time", "trial", value="value", digits=4)
 
 
 def mixture_suffstats(spark, d):
@@ -316,24 +317,24 @@ def granger_network(spark, d):
 
 
 def wavelet_network(spark, d):
-    df = network.wavelet_network(_aligned(spark, d).where("channel <= 3"), SR, range(40, 121, 20), window_sec=WIN, step_sec=0.032, n_cycles=3, smoothing_cycles=1)
+    df = network.wavelet_network(_aligned(spark, d), SR, range(40, 121, 20), window_sec=WIN, step_sec=0.032, n_cycles=3, smoothing_cycles=1)
     return df.groupBy("ch1", "ch2").agg(F.count(F.lit(1)).alias("windows"), F.round(F.avg("weight"), 2).alias("mean_weight"))
 
 
 def graph_strength(spark, d):
-    return _r(network.strength(network.prepared(_edges(spark))), "node", strength="strength", normalized_strength="normalized_strength")
+    return _r(network.strength(_network(spark, d)), "node", strength="strength", normalized_strength="normalized_strength", digits=5)
 
 
 def graph_clustering(spark, d):
-    return _r(network.clustering(network.prepared(_edges(spark), 0.06)), "node", clustering="clustering")
+    return _r(network.clustering(_network(spark, d)), "node", clustering="clustering", digits=5)
 
 
 def graph_modularity(spark, d):
-    return _r(network.modularity(network.prepared(_edges(spark)), _modules(spark)), modularity="modularity")
+    return _r(network.modularity(_network(spark, d), _modules(spark, d)), modularity="modularity", digits=5)
 
 
 def graph_roles(spark, d):
-    return _r(network.module_roles(network.prepared(_edges(spark)), _modules(spark)), "node", "module", participation="participation", within_module_z="within_module_z")
+    return _r(network.module_roles(_network(spark, d), _modules(spark, d)), "node", "module", participation="participation", within_module_z="within_module_z", digits=4)
 
 
 def graph_structure(spark, d):
@@ -342,19 +343,37 @@ def graph_structure(spark, d):
 
 
 def graph_summary(spark, d):
-    _, summary = network.coordination_structure(_edges(spark))
+    _, summary = network.coordination_structure(_network_edges(spark, d))
     return _r(summary, "n_nodes", "n_edges", "n_modules", density="density", mean_edge_weight="mean_edge_weight", global_efficiency="global_efficiency", modularity="modularity", mean_clustering="mean_clustering")
 
 
+def _knowledge(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Metadata of channels (the last one has no node in the graph), and how often users have two kinds of events on one day."""
+    kinds = signals.event_channels(spark, d)
+    last = F.max("channel").over(Window.partitionBy(F.lit(1)))
+    meta = kinds.select("channel", F.when(F.col("channel") < last, F.concat(F.lit("K"), F.col("channel"))).alias("kg_node"), F.when(F.col("channel") % 2 == 1, "odd").otherwise("even").alias("muscle_group"))
+    days = table(spark, d, "events").join(F.broadcast(kinds), "event_type").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set("channel").alias("c"))
+    met = days.select(F.explode("c").alias("a"), "c").select("a", F.explode("c").alias("b")).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    often = F.col("n") >= F.avg("n").over(Window.partitionBy(F.lit(1)))
+    return meta, met.select(F.concat(F.lit("K"), "a").alias("node_a"), F.concat(F.lit("K"), "b").alias("node_b"), F.when(often, "often").otherwise("seldom").alias("relation"))
+
+
 def kg_interpret(spark, d):
-    meta = spark.createDataFrame([("A", "M1", "flexor"), ("B", "M2", "extensor"), ("C", "M3", "flexor"), ("D", None, "flexor")], "channel string, kg_node string, muscle_group string")
-    kg = spark.createDataFrame([("M1", "M2", "co_activate"), ("M3", "M2", "synergist"), ("M2", "M1", "antagonist")], "node_a string, node_b string, relation string")
-    out, _ = network.interpret_network(_edges(spark), meta, kg, threshold=0.1)
-    return _r(out, "source", "target", "source_kg_node", "target_kg_node", "source_muscle_group", "target_muscle_group", "relations", "n_links", weight="weight")
+    out, _ = network.interpret_network(_network_edges(spark, d), *_knowledge(spark, d))
+    return _r(out, "source", "target", "source_kg_node", "target_kg_node", "source_muscle_group", "target_muscle_group", "relations", "n_links", weight="weight", digits=5)
+
+
+def kg_relations(spark, d):
+    _, relations = network.interpret_network(_network_edges(spark, d), *_knowledge(spark, d), threshold=0.0)
+    return relations
 
 
 def electrode_catalog(spark, d):
-    return electrodes.catalog(spark).select("muscle", "ied_mm")
+    """The catalog's muscles in turn for the channels of the table."""
+    kinds = [r["channel"] for r in signals.event_channels(spark, d).select("channel").orderBy("channel").collect()]
+    muscles = [electrodes.MUSCLES[(c - 1) % len(electrodes.MUSCLES)] for c in kinds]
+    out = electrodes.annotate(signals.event_channels(spark, d).select("channel"), channel=kinds, muscle=muscles)
+    return electrodes.annotations(out).select("channel", "muscle", "ied_mm")
 
 
 def electrode_annotate(spark, d):
@@ -364,8 +383,12 @@ def electrode_annotate(spark, d):
 
 
 def generated_bursts(spark, d):
-    df = generate.bursts(spark)
-    return df.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.stddev_samp("raw"), 1).alias("sd"))
+    """Bursts planted into the signal of the table."""
+    signal = _aligned(spark, d)
+    n, channels = signal.agg(F.max("sample"), F.max("channel")).first()
+    planted = generate.bursts(spark, n, channels).select("channel", "sample", F.col("raw").alias("burst"))
+    both = signal.join(planted, ["channel", "sample"]).withColumn("raw", F.col("raw") + 100 * F.col("burst"))
+    return both.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.stddev_samp("raw"), 1).alias("sd"))
 
 
 def plot_envelope_data(spark, d):
@@ -401,7 +424,7 @@ QUERIES = {
         synergy_convolutive, synergy_spacetime, synergy_tucker, tucker_reconstruct, mixture_suffstats, synergy_mixture,
         coherence_network, wpli_network, wpli_debiased_network, partial_coherence_network, gc_normal_equations,
         granger_network, wavelet_network, graph_strength, graph_clustering, graph_modularity, graph_roles,
-        graph_structure, graph_summary, kg_interpret, electrode_catalog, electrode_annotate, generated_bursts,
+        graph_structure, graph_summary, kg_interpret, kg_relations, electrode_catalog, electrode_annotate, generated_bursts,
         plot_envelope_data, plot_onset_data, plot_fatigue_data, plot_coactivation_data, plot_synergy_data,
     )
 }
