@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fibra.functions.tables import BROADCAST_ROWS, frozen
 from fibra.sources.signals import KEYS
 
 #: Samples of a chunk.
@@ -51,10 +52,22 @@ def per_chunk(levels: DataFrame, size: int | None = None, end: str = "_end") ->
     return levels.where(F.col(end) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop(end)
 
 
+def attached(df: DataFrame, levels: DataFrame, samples: DataFrame, size: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Adds the columns of ``levels`` (a row for each channel of ``samples``) to ``df``, which is in chunks.
+
+    Levels are kept and counted: few are broadcast, more are joined chunk by chunk.
+    """
+    keys = keys or KEYS
+    kept = frozen(levels)
+    if kept.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(kept), keys)
+    ends = samples.groupBy(*keys).agg(F.max("sample").alias("_end"))
+    return df.join(per_chunk(kept.join(ends, keys), size), [*keys, "_chunk"])
+
+
 def with_levels(df: DataFrame, samples: DataFrame, size: int | None = None, **levels: Column) -> DataFrame:
     """Adds figures of whole channels of ``samples`` to ``df``, which is in chunks."""
-    got = samples.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_end"), *[c.alias(n) for n, c in levels.items()])
-    return df.join(per_chunk(got, size), CHUNK_KEYS)
+    return attached(df, samples.groupBy(*KEYS).agg(*[c.alias(n) for n, c in levels.items()]), samples, size)
 
 
 def moving(df: DataFrame, before: int, after: int, **columns: tuple[str, Column]) -> DataFrame:

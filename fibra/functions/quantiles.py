@@ -45,13 +45,13 @@ def quantiles(df: DataFrame, keys: list[str], column: str, bins: int = BINS, few
     wanted = groups.select(*names, F.explode(ranks).alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_held"))
     done, logarithmic = None, False
     while True:
-        wanted = frozen(wanted)
+        wanted = frozen(wanted) if done is not None else wanted
         ended = (F.col("_lo") == F.col("_hi")) | (F.col("_held") <= few)
         done = wanted.where(ended) if done is None else frozen(done.unionByName(wanted.where(ended)))
         open_ = wanted.where(~ended)
         if open_.isEmpty():
             break
-        ranges = small(frozen(open_.select(*names, "_lo", "_hi").distinct()))
+        ranges = small(open_.select(*names, "_lo", "_hi").distinct())
         counts = rows.join(ranges, names).where("_v between _lo and _hi").groupBy(*names, "_lo", "_hi", _within(F.col("_v"), F.col("_lo"), F.col("_hi"), bins, logarithmic).alias("_bin"))
         counts = counts.agg(F.count("_v").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
         before = F.sum("_c").over(Window.partitionBy(*names, "_lo", "_hi").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
@@ -59,7 +59,7 @@ def quantiles(df: DataFrame, keys: list[str], column: str, bins: int = BINS, few
         hit = open_.join(counts, [*names, "_lo", "_hi"]).withColumn("_at", F.col("_rank") - F.col("_below") - F.col("_before")).where("_at >= 0 and _at < _c")
         wanted = hit.select(*names, "_rank", F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), (F.col("_below") + F.col("_before")).alias("_below"), F.col("_c").alias("_held"))
         logarithmic = not logarithmic
-    ranges = small(frozen(done.where("_lo < _hi").select(*names, "_lo", "_hi").distinct()))
+    ranges = small(done.where("_lo < _hi").select(*names, "_lo", "_hi").distinct())
     lists = rows.join(ranges, names).where("_v between _lo and _hi").groupBy(*names, "_lo", "_hi").agg(F.sort_array(F.collect_list("_v")).alias("_values"))
     values = done.join(lists, [*names, "_lo", "_hi"], "left")
     values = values.select(*names, "_rank", F.coalesce(F.get("_values", (F.col("_rank") - F.col("_below")).cast("int")), F.col("_lo")).alias("_value"))

@@ -12,7 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fibra.functions.chunks import CHUNK_KEYS, chunked, moving, owned, per_chunk, with_levels
+from fibra.functions.chunks import attached, chunked, moving, owned, with_levels
+from fibra.functions.tables import frozen
 from fibra.functions.windows import complete, geometry, hopping, ratio
 from fibra.sources.signals import KEYS
 
@@ -65,13 +66,12 @@ def normalize_peak(samples: DataFrame, assay: str = "env", out: str = "normalize
 
 def _by_reference(samples: DataFrame, reference: DataFrame, value, assay: str, out: str, chunk: int | None) -> DataFrame:
     """Divided by a figure of the reference, which has to have as many channels; a channel it lacks gets NULLs."""
-    mine = samples.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_end"))
-    levels = reference.groupBy(*KEYS).agg(value.alias("_ref"), F.lit(1).alias("_has"))
-    of = mine.join(levels, KEYS, "full").groupBy("recording_id").agg(F.count("_end").alias("mine"), F.count("_has").alias("theirs"))
+    mine = samples.groupBy(*KEYS).agg(F.lit(1).alias("_mine"))
+    levels = frozen(mine.join(reference.groupBy(*KEYS).agg(value.alias("_ref"), F.lit(1).alias("_theirs")), KEYS, "full"))
+    of = levels.groupBy("recording_id").agg(F.count("_mine").alias("mine"), F.count("_theirs").alias("theirs"))
     if not of.where("mine > 0 and mine <> theirs").isEmpty():
         raise ValueError("signal and reference must have the same number of channels")
-    levels = per_chunk(mine.join(levels, KEYS, "left"), chunk)
-    df = chunked(samples, size=chunk).join(levels, CHUNK_KEYS)
+    df = attached(chunked(samples, size=chunk), levels.where("_mine = 1").select(*KEYS, "_ref"), samples, chunk)
     return owned(df.withColumn(out, ratio(F.col(assay), F.col("_ref")))).select(*samples.columns, out)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fibra.functions.chunks import CHUNK, CHUNK_KEYS, chunk_of, per_chunk
+from fibra.functions.chunks import CHUNK, attached, chunk_of
 from fibra.sources.signals import KEYS, check_channels
 
 METHODS = ("falconer_winter", "rudolph", "frost")
@@ -60,8 +60,8 @@ def cocontraction(
     agonist, antagonist = check_channels(samples, agonist, antagonist, channels=channels)
     df = _pair(samples, agonist, antagonist, assay)
     if normalize:
-        top = df.groupBy("recording_id").agg(F.max("a").alias("_ta"), F.max("b").alias("_tb"), F.max("sample").alias("_end"))
-        df = df.withColumn("_chunk", chunk_of(chunk or CHUNK)).join(per_chunk(top, chunk), ["recording_id", "_chunk"])
+        top = df.groupBy("recording_id").agg(F.max("a").alias("_ta"), F.max("b").alias("_tb"))
+        df = attached(df.withColumn("_chunk", chunk_of(chunk or CHUNK)), top, df, chunk, ["recording_id"])
         for c, t in (("a", F.col("_ta")), ("b", F.col("_tb"))):
             df = df.withColumn(c, F.when(t > 0, F.col(c) / t).otherwise(F.col(c)))
     index = F.when((F.count("a") > 0) & (F.count("b") > 0), _index(method)).alias("index")
@@ -89,14 +89,14 @@ def task_summary(
     agonist, antagonist = check_channels(samples, agonist, antagonist, channels=channels)
     index = cocontraction(samples, agonist, antagonist, method, assay=assay)
     kept = samples.where(F.col("channel").isin(agonist, antagonist))
-    level = kept.groupBy(*KEYS).agg(F.max(assay).alias("_max"), F.min(assay).alias("_min"), F.count(F.lit(1)).alias("_end"))
+    level = kept.groupBy(*KEYS).agg(F.max(assay).alias("_max"), F.min(assay).alias("_min"))
     scale = F.lit(1.0)
     if mvc is not None:
         level = level.join(mvc.groupBy(*KEYS).agg(F.max(assay).alias("_ref")), KEYS, "left")
         scale = F.when(F.col("_ref") != 0, 100 / F.col("_ref"))
     # a reference below zero turns the order
     level = level.withColumn("_scale", scale).withColumn("_peak", F.greatest(F.col("_max") * F.col("_scale"), F.col("_min") * F.col("_scale")))
-    scaled = kept.withColumn("_chunk", chunk_of(CHUNK)).join(per_chunk(level), CHUNK_KEYS).withColumn("_v", F.col(assay) * F.col("_scale"))
+    scaled = attached(kept.withColumn("_chunk", chunk_of(CHUNK)), level, kept).withColumn("_v", F.col(assay) * F.col("_scale"))
     active = F.when(F.max("_peak") > 0, F.avg((F.col("_v") > active_frac * F.col("_peak")).cast("double")))
     each = scaled.groupBy(*KEYS).agg(F.max("_v").alias("peak"), F.avg("_v").alias("mean"), active.alias("active_fraction"))
     role = F.when(F.col("channel") == agonist, "agonist").otherwise("antagonist")

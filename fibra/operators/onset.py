@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fibra.functions.chunks import CHUNK_KEYS, by_chunk, chunked, moving, per_chunk, stitched
+from fibra.functions.chunks import CHUNK_KEYS, attached, by_chunk, chunked, moving, stitched
 from fibra.functions.stats import chi2_quantile_1, exceedance_probability
 from fibra.sources.signals import KEYS
 
@@ -37,39 +37,34 @@ def burg(x: np.ndarray, order: int) -> np.ndarray:
 ORDER = 4
 
 
-def _baseline(samples: DataFrame, baseline: int, assay: str, whitened: bool) -> DataFrame:
-    """Each channel's mean over the baseline and, where ``whitened``, the coefficients of its prediction; ``_end``: its samples.
+def _residuals(samples: DataFrame, before: int, after: int, baseline: int, assay: str, whitened: bool, of, chunk: int | None) -> DataFrame:
+    """The samples in chunks with ``_e``, what is left over the baseline's mean or the error of the prediction from it (0 for
+    the first samples), and ``_spread``: ``of`` it over the baseline, else over the channel, else 1.
 
-    Coefficients come from the baseline alone, so a channel's task holds that much of it.
+    Coefficients of the prediction come from the baseline alone, so a channel's task holds that much of it.
     """
-    first = F.when(F.col("sample") <= baseline, F.col(assay))
-    levels = samples.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_end"), F.avg(first).alias("_level"))
-    if not whitened:
-        return levels
+    df = chunked(samples, before, after, chunk)
+    first = lambda c: F.when(F.col("sample") <= baseline, F.col(c))
+    spread = F.when(F.col("_b") > 0, F.col("_b")).when(F.col("_w") > 0, F.col("_w")).otherwise(1.0).alias("_spread")
+    level = F.avg(first(assay)).alias("_level")
+    if not whitened:  # a mean taken off changes no spread
+        levels = samples.groupBy(*KEYS).agg(level, of(first(assay)).alias("_b"), of(assay).alias("_w")).select(*KEYS, "_level", spread)
+        return attached(df, levels, samples, chunk).withColumn("_e", F.col(assay) - F.col("_level")).drop("_level")
 
     def coefficients(pdf):
-        x = pdf.sort_values("sample")[assay].dropna().to_numpy()
-        x = x - x.mean() if len(x) else x
+        x = pdf.sort_values("sample")[assay].to_numpy()
+        level = np.nanmean(x) if np.isfinite(x).any() else np.nan
+        x = x[~np.isnan(x)] - level
         a = burg(x, min(ORDER, max(0, len(x) - 1)))
-        return pdf[KEYS].head(1).assign(_a=[np.pad(a, (0, ORDER - len(a))).tolist()])
+        return pdf[KEYS].head(1).assign(_level=level, _a=[np.pad(a, (0, ORDER - len(a))).tolist()])
 
-    fitted = samples.where(F.col("sample") <= baseline).select(*KEYS, "sample", assay).groupBy(*KEYS).applyInPandas(coefficients, "recording_id string, channel int, _a array<double>")
-    return levels.join(fitted, KEYS)
-
-
-def _residuals(df: DataFrame, levels: DataFrame, assay: str, whitened: bool, chunk: int | None) -> DataFrame:
-    """Adds ``_e``: what is left over the baseline's mean, or the error of the prediction from it (0 for the first samples)."""
-    df = df.join(per_chunk(levels, chunk), CHUNK_KEYS).withColumn("_e", F.col(assay) - F.col("_level"))
-    if not whitened:
-        return df.drop("_level")
+    schema = "recording_id string, channel int, _level double, _a array<double>"
+    fitted = samples.where(F.col("sample") <= baseline).groupBy(*KEYS).applyInPandas(coefficients, schema)
+    df = attached(df, fitted, samples, chunk).withColumn("_e", F.col(assay) - F.when(~F.isnan("_level"), F.col("_level")))
     past = sum((F.col("_a")[j] * F.lag("_e", j + 1).over(by_chunk()) for j in range(ORDER)), F.lit(0.0))
-    return df.withColumn("_e", F.coalesce(F.col("_e") - past, F.lit(0.0))).drop("_a", "_level")
-
-
-def _spread(df: DataFrame, baseline: int, of) -> DataFrame:
-    """``of`` the residuals over each channel's baseline, else over the channel, else 1; from the chunks' own samples."""
-    own = df.where("_own").groupBy(*KEYS).agg(of(F.when(F.col("sample") <= baseline, F.col("_e"))).alias("_b"), of("_e").alias("_w"), F.count(F.lit(1)).alias("_end"))
-    return own.select(*KEYS, "_end", F.when(F.col("_b") > 0, F.col("_b")).when(F.col("_w") > 0, F.col("_w")).otherwise(1.0).alias("_spread"))
+    df = df.withColumn("_e", F.coalesce(F.col("_e") - past, F.lit(0.0))).drop("_a", "_level")
+    own = df.where("_own").groupBy(*KEYS).agg(of(first("_e")).alias("_b"), of("_e").alias("_w"))
+    return attached(df, own.select(*KEYS, spread), samples, chunk)
 
 
 def _shape(df: DataFrame, method: str, half: int, assay: str) -> DataFrame:
@@ -85,7 +80,8 @@ def _shape(df: DataFrame, method: str, half: int, assay: str) -> DataFrame:
 
 def _likeliest(m: int):
     """The place of the likeliest change among the (up to) ``m`` samples that end here, by the residuals from it on."""
-    back = F.reverse(F.collect_list(F.struct("sample", (F.col("_e") * F.col("_e")).alias("e2"))).over(by_chunk().rowsBetween(-(m - 1), 0)))
+    e2 = F.col("_e") * F.col("_e")
+    back = F.array(*[F.struct((F.col("sample") - j).alias("sample"), (F.lag(e2, j).over(by_chunk()) if j else e2).alias("e2")) for j in range(m)])
     zero, none = F.lit(0.0), F.lit(0).cast("long")
     start = F.struct(zero.alias("sum"), none.alias("have"), none.alias("n"), F.lit(-1.0).alias("best"), none.alias("at"))
 
@@ -97,7 +93,7 @@ def _likeliest(m: int):
         better = llr >= acc["best"]
         return F.struct(total.alias("sum"), have.alias("have"), n.alias("n"), F.when(better, llr).otherwise(acc["best"]).alias("best"), F.when(better, x["sample"]).otherwise(acc["at"]).alias("at"))
 
-    return F.aggregate(back, start, step, lambda acc: acc["at"])
+    return back, lambda back: F.aggregate(F.filter(back, lambda x: x["sample"] >= 1), start, step, lambda acc: acc["at"])
 
 
 def onset_detect(
@@ -138,16 +134,12 @@ def onset_detect(
         # the baseline's own figures need no more than the samples around it
         head = _shape(chunked(samples.where(F.col("sample") <= baseline + reach), reach, reach, chunk), method, half, assay)
         levels = head.where(F.col("_own") & (F.col("sample") <= baseline)).groupBy(*KEYS).agg((F.avg("_v") + threshold_sd * F.stddev_samp("_v")).alias("_threshold"))
-        ends = samples.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_end"))
-        df = df.join(per_chunk(levels.join(ends, KEYS), chunk), CHUNK_KEYS)
+        df = attached(df, levels, samples, chunk)
         df = df.withColumn("_active", F.coalesce(F.col("_v") > F.col("_threshold"), F.lit(False))).withColumn("_stat", none)
     else:
-        levels = _baseline(samples, baseline, assay, whitened)
         lags = ORDER if whitened else 0
         before, after = (lags + 1, m) if method == "bonato" else (lags + m, 1)
-        df = _residuals(chunked(samples, before, after, chunk), levels, assay, whitened, chunk)
-        spread = _spread(df, baseline, F.stddev_samp if method == "bonato" else F.var_samp)
-        df = df.join(per_chunk(spread, chunk), CHUNK_KEYS)
+        df = _residuals(samples, before, after, baseline, assay, whitened, F.stddev_samp if method == "bonato" else F.var_samp, chunk)
         e = F.col("_e")
         if method == "bonato":
             xi = chi2_quantile_1(1 - exceedance_probability(false_alarm, r, m))
@@ -159,11 +151,12 @@ def onset_detect(
             change = F.avg(e * e).over(frame) / F.col("_spread")
             n = F.count(F.lit(1)).over(frame)
             df = df.withColumn("_stat", F.when(change > 1, n / 2 * (change - 1 - F.log(change))).otherwise(0.0))
-            df = df.withColumn("_active", F.col("_stat") > chi2_quantile_1(1 - false_alarm) / 2).withColumn("_at", _likeliest(m))
+            back, likeliest = _likeliest(m)
+            df = df.withColumn("_active", F.col("_stat") > chi2_quantile_1(1 - false_alarm) / 2).withColumn("_back", back)
     active = F.col("_active")
     df = df.withColumn("_begins", active & ~F.coalesce(F.lag(active).over(w), F.lit(False))).withColumn("_ends", active & ~F.coalesce(F.lead(active).over(w), F.lit(False)))
     df = df.withColumn("_run", F.sum(F.col("_begins").cast("int")).over(w)).where(active & F.col("_own"))
-    start = F.min(F.when(F.col("_begins"), F.col("_at") if method == "aglr" else F.col("sample")))
+    start = F.min(F.when(F.col("_begins"), likeliest(F.col("_back")) if method == "aglr" else F.col("sample")))
     pieces = df.groupBy(*CHUNK_KEYS, "_run").agg(F.min("sample").alias("first"), F.max("sample").alias("offset_sample"), F.max("_stat").alias("stat"), start.alias("onset_sample"), F.bool_or("_begins").alias("begins"), F.bool_or("_ends").alias("ends"))
     found = stitched(pieces, "first", "offset_sample", onset_sample=F.min("onset_sample"), stat=F.max("stat"))
     found = found.where(F.col("offset_sample") - F.col("onset_sample") >= least)

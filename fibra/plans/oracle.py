@@ -219,7 +219,7 @@ ORACLES = {
         EDGES,
         "b AS (SELECT source, a.module, t.module AS to_, sum(weight) AS w FROM net JOIN mo a ON a.node = source JOIN mo t ON t.node = target GROUP BY ALL)",
         "p AS (SELECT source, module, 1 - sum(pow(w / k, 2)) AS p, coalesce(sum(w) FILTER (to_ = module), 0) AS kin FROM (SELECT *, sum(w) OVER (PARTITION BY source) AS k FROM b) GROUP BY source, module)",
-        select="SELECT source AS node, CAST(module AS INTEGER) AS module, round(p, 4) AS participation, coalesce(round((kin - avg(kin) OVER (PARTITION BY module)) / stddev_samp(kin) OVER (PARTITION BY module), 4), 0) AS within_module_z FROM p",
+        select="SELECT source AS node, CAST(module AS INTEGER) AS module, round(p, 4) AS participation, CASE WHEN stddev_samp(kin) OVER (PARTITION BY module) > 2.2e-16 THEN round((kin - avg(kin) OVER (PARTITION BY module)) / stddev_samp(kin) OVER (PARTITION BY module), 4) ELSE 0 END AS within_module_z FROM p",
     ),
     "kg_interpret": _sql(EDGES, KNOWLEDGE, select="SELECT s AS source, t AS target, x.n AS source_kg_node, y.n AS target_kg_node, x.g AS source_muscle_group, y.g AS target_muscle_group, relations, coalesce(n_links, 0) AS n_links, round(w0, 5) AS weight FROM ed LEFT JOIN me x ON x.c = s LEFT JOIN me y ON y.c = t LEFT JOIN kn ON kn.a = x.n AND kn.b = y.n WHERE w0 >= (SELECT quantile_cont(w0, 0.75) FROM ed)"),
     "kg_relations": _sql(EDGES, KNOWLEDGE, select="SELECT unnest(string_split(relations, ';')) AS relation, count(*) AS n FROM ed JOIN me x ON x.c = s JOIN me y ON y.c = t JOIN kn ON kn.a = x.n AND kn.b = y.n GROUP BY relation"),

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fibra.functions import chunks
 from fibra.functions.chunks import chunked, moving, owned
 from fibra.functions.numbering import numbered
 from fibra.functions.quantiles import quantiles
@@ -65,8 +66,11 @@ def test_wide_sums_lose_nothing_beside_large_values(spark):
     assert np.allclose(got[2601:], [x[max(0, i - 2500) : i + 2501].sum() for i in range(2601, 6000)], rtol=1e-13)
 
 
-def test_operators_do_not_depend_on_chunks(recordings):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_operators_do_not_depend_on_chunks(recordings, monkeypatch, most):
+    """Nor on whether figures of channels are broadcast (``most`` rows at most) or joined."""
     df, pdf = recordings
+    monkeypatch.setattr(chunks, "BROADCAST_ROWS", most)
     ops = {
         "rms": lambda c: amplitude.envelope_rms(df, 1000, 50, chunk=c),
         "rms wide": lambda c: amplitude.envelope_rms(df, 1000, 400, chunk=c),
@@ -91,7 +95,7 @@ def test_operators_do_not_depend_on_chunks(recordings):
 
 @pytest.mark.parametrize("method", onset.METHODS)
 @pytest.mark.parametrize("whitened", [True, False])
-def test_onsets_do_not_depend_on_chunks(recordings, method, whitened):
+def test_onsets_do_not_depend_on_chunks(recordings, monkeypatch, method, whitened):
     df, _ = recordings
     if method in ("hodges_bui", "teager_kaiser") and not whitened:
         pytest.skip("whitening is of the other two")
@@ -100,6 +104,7 @@ def test_onsets_do_not_depend_on_chunks(recordings, method, whitened):
     assert [r[:-1] for r in many] == [r[:-1] for r in one] and len(one) >= 6
     assert np.allclose([r[-1] or 0 for r in many], [r[-1] or 0 for r in one], atol=1e-9)
     assert any((r[3] - 1) // SMALL < (r[4] - 1) // SMALL - 1 for r in one)  # some run crosses a whole chunk
+    monkeypatch.setattr(chunks, "BROADCAST_ROWS", 0)
     tiny = find(11)
     assert [r[:-1] for r in tiny] == [r[:-1] for r in one]
 
