@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fibra.functions.chunks import attached, chunked, moving, owned, with_levels
+from fibra.functions.spectra import schema_with
 from fibra.functions.tables import frozen
 from fibra.functions.windows import complete, geometry, hopping, ratio
 from fibra.sources.signals import KEYS
@@ -55,7 +56,7 @@ def envelope_hilbert(samples: DataFrame, assay: str = "raw", out: str = "envelop
         pdf[out] = np.abs(np.fft.ifft(np.fft.fft(x) * gain))
         return pdf
 
-    return samples.groupBy(*KEYS).applyInPandas(analytic, samples.withColumn(out, F.lit(0.0)).schema)
+    return samples.groupBy(*KEYS).applyInPandas(analytic, schema_with(samples, out))
 
 
 def normalize_peak(samples: DataFrame, assay: str = "env", out: str = "normalized", chunk: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
+import math
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +33,21 @@ def _key(c):
     return F.regexp_replace(F.lower(c), "[^a-z]", "")
 
 
+def substring_distance(pattern: str, text: str) -> int:
+    """The least number of insertions, deletions and substitutions that turn ``pattern`` into some stretch of ``text``."""
+    row = [0] * (len(text) + 1)  # a stretch may begin anywhere
+    for i, p in enumerate(pattern, 1):
+        last, row = row, [i]
+        for j, t in enumerate(text, 1):
+            row.append(min(last[j - 1] + (p != t), last[j] + 1, row[j - 1] + 1))
+    return min(row)  # and end anywhere
+
+
+def near_matches(muscle: str, share: float = 0.35) -> list[str]:
+    """Muscles of the catalog with a stretch that differs from ``muscle`` in at most this share of its letters, rounded up; case aside."""
+    return [m for m in MUSCLES if substring_distance(muscle.lower(), m.lower()) <= math.ceil(share * len(muscle))]
+
+
 def annotate(channels: DataFrame, **fields) -> DataFrame:
     """Channels with muscle, placement, orientation, ied_mm, reference and side set.
 
@@ -58,8 +73,8 @@ def annotate(channels: DataFrame, **fields) -> DataFrame:
     plain = {"".join(ch for ch in m.lower() if ch.isalpha()): m for m in MUSCLES}
     for m in each["muscle"]:
         if m is not None and "".join(ch for ch in m.lower() if "a" <= ch <= "z") not in plain:
-            near = difflib.get_close_matches(m, MUSCLES, 3, 0.5)
-            warnings.warn(f"'{m}' is not in the electrode catalog" + (f"; did you mean {', '.join(near)}?" if near else ""), stacklevel=2)
+            near = near_matches(m)
+            warnings.warn(f"'{m}' is not in the electrode catalog" + (f"; did you mean {', '.join(near[:5])}?" if near else ""), stacklevel=2)
     rows = [(c, *(float(x) if n == "ied_mm" and x is not None else x for n, x in zip(FIELDS, values))) for c, *values in zip(target, *(each[n] for n in FIELDS))]
     given = spark.createDataFrame(rows, "channel int, muscle string, placement string, orientation string, ied_mm double, reference string, side string")
     known = catalog(spark).select(_key("muscle").alias("_key"), F.col("location").alias("_location"), F.col("orientation").alias("_orientation"), F.col("ied_mm").alias("_ied"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fibra.functions.chunks import chunked, moving, owned, with_levels
 from fibra.functions.quantiles import quantiles
-from fibra.functions.spectra import bandpass, channel_map, channel_transform, demeaned_power, frequency_grid, highpass
+from fibra.functions.spectra import bandpass, channel_map, channel_transform, demeaned_power, filtered, frequency_grid, highpass_weight, schema_with
 from fibra.sources.signals import KEYS
 
 
@@ -109,15 +109,15 @@ def beats(x: np.ndarray, sr: float) -> list[int]:
     return out
 
 
-def remove_ecg(samples: DataFrame, sr: float, method: str = "highpass", hp_cutoff: float = 30, qrs_ms: float = 60, ecg_channel: int | None = None, assay: str = "raw", out: str = "ecg_removed") -> DataFrame:
-    """Adds the signal without heart beats: filtered, or the mean beat taken off, or beats bridged by lines."""
+def remove_ecg(samples: DataFrame, sr: float, method: str = "highpass", hp_cutoff: float = 30, qrs_ms: float = 60, ecg_channel: int | None = None, assay: str = "raw", out: str = "ecg_removed", chunk: int | None = None) -> DataFrame:
+    """Adds the signal without heart beats: filtered (by chunks), or the mean beat taken off, or beats bridged by lines."""
     if method not in ("highpass", "template", "gating"):
         raise ValueError(f"unknown method: {method}")
+    if method == "highpass":
+        return filtered(samples, sr, highpass_weight(hp_cutoff), assay, out, chunk=chunk)
     half = max(1, int(round(qrs_ms / 1000 * sr)))
 
     def cleaned(x, lead=None):
-        if method == "highpass":
-            return highpass(x, sr, hp_cutoff)
         peaks = [p for p in beats(x if lead is None else lead, sr) if p - half >= 0 and p + half < len(x)]
         y = x.copy()
         if len(peaks) < 3:
@@ -131,7 +131,7 @@ def remove_ecg(samples: DataFrame, sr: float, method: str = "highpass", hp_cutof
                 y[p - half : p + half + 1] = np.linspace(x[max(0, p - half - 1)], x[min(len(x) - 1, p + half + 1)], 2 * half + 1)
         return y
 
-    if ecg_channel is None or method == "highpass":
+    if ecg_channel is None:
         return channel_transform(samples, cleaned, assay, out)
     lead = samples.where(F.col("channel") == ecg_channel).select("recording_id", "sample", F.col(assay).alias("_lead"))
     both = samples.join(lead, ["recording_id", "sample"], "left")
@@ -141,5 +141,4 @@ def remove_ecg(samples: DataFrame, sr: float, method: str = "highpass", hp_cutof
         pdf[out] = cleaned(pdf[assay].to_numpy(), pdf["_lead"].fillna(0).to_numpy())
         return pdf.drop(columns="_lead")
 
-    schema = samples.withColumn(out, F.lit(0.0)).schema
-    return both.select(*samples.columns, "_lead").groupBy(*KEYS).applyInPandas(run, schema)
+    return both.select(*samples.columns, "_lead").groupBy(*KEYS).applyInPandas(run, schema_with(samples, out))

@@ -6,6 +6,7 @@ per assay (``raw``, ``env``, ...).  NaN is turned to NULL on the way in, so aggr
 
 from __future__ import annotations
 
+import inspect
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,6 +68,11 @@ def line_signal(spark: SparkSession, sf_dir: str, rows: int | None = None) -> Da
     return from_table(t, F.col("l_linenumber"), [F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")], F.col("l_extendedprice"), rows=rows)
 
 
+#: One row for each operator that made an assay, in order.
+PROVENANCE = "step int, activity string, params map<string, string>, input_assay string, output_assay string, agent string"
+AGENT = "fibra"
+
+
 @dataclass(frozen=True)
 class SignalFrame:
     """Samples with their channels, sampling rate and provenance; operators return a new one."""
@@ -77,10 +83,61 @@ class SignalFrame:
     channels: DataFrame | None = None
     provenance: tuple[dict, ...] = field(default=())
 
+    def apply(self, operator, **kwargs) -> SignalFrame:
+        """The frame with what ``operator(samples, ...)`` adds, and a step of its provenance.
+
+        The sampling rate and the default assay are filled in where the operator asks for them (sr, assay) and they are
+        not given (by name).  Recorded are the operator's name and its plain arguments, defaults included; what it calls itself is not.
+        """
+        asked = inspect.signature(operator).parameters
+        if "sr" in asked:
+            kwargs.setdefault("sr", self.sampling_rate)
+        if "assay" in asked:
+            kwargs.setdefault("assay", self.default_assay)
+        bound = inspect.signature(operator).bind(self.samples, **kwargs)
+        bound.apply_defaults()
+        samples = operator(*bound.args, **bound.kwargs)
+        params = {k: v for k, v in list(bound.arguments.items())[1:]}
+        return self.with_assay(samples, operator.__name__, **params)
+
     def with_assay(self, samples: DataFrame, activity: str, **arguments) -> SignalFrame:
         kept = {k: v for k, v in arguments.items() if isinstance(v, (int, float, str, bool)) or v is None}
         return replace(self, samples=samples, provenance=(*self.provenance, {"activity": activity, **kept}))
 
+    def history(self) -> DataFrame:
+        """The provenance as a table (see ``PROVENANCE``)."""
+        rows = []
+        for i, step in enumerate(self.provenance):
+            params = {k: str(v) for k, v in step.items() if k != "activity" and v is not None}
+            rows.append((i + 1, step["activity"], params, params.get("assay"), params.get("out"), AGENT))
+        return self.samples.sparkSession.createDataFrame(rows, PROVENANCE)
+
+    def joined(self, other: SignalFrame) -> SignalFrame:
+        """Both frames' assays on the samples that both have; of the other's steps those that this one lacks come after its own."""
+        new = [c for c in other.samples.columns if c not in self.samples.columns]
+        samples = self.samples.join(other.samples.select(*KEYS, "sample", *new), [*KEYS, "sample"])
+        more = tuple(step for step in other.provenance if step not in self.provenance)
+        return replace(self, samples=samples, provenance=(*self.provenance, *more))
+
+    def save(self, path: str) -> None:
+        """Writes samples, channels, provenance and the rate below ``path``; an existing one is an error."""
+        path = path.rstrip("/")
+        self.samples.write.parquet(f"{path}/samples")
+        self.history().coalesce(1).write.parquet(f"{path}/provenance")
+        if self.channels is not None:
+            self.channels.write.parquet(f"{path}/channels")
+        about = [(float(self.sampling_rate), self.default_assay, self.channels is not None)]
+        self.samples.sparkSession.createDataFrame(about, "sampling_rate double, default_assay string, channels boolean").coalesce(1).write.parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SignalFrame:
+        """What ``save`` wrote; parameters of its steps come back as text."""
+        path = path.rstrip("/")
+        about = spark.read.parquet(f"{path}/about").first()
+        steps = spark.read.parquet(f"{path}/provenance").orderBy("step").collect()
+        channels = spark.read.parquet(f"{path}/channels") if about["channels"] else None
+        return cls(spark.read.parquet(f"{path}/samples"), about["sampling_rate"], about["default_assay"], channels, tuple({"activity": r["activity"], **r["params"]} for r in steps))
+
     def __repr__(self) -> str:
         assays = [c for c in self.samples.columns if c not in (*KEYS, "sample")]
         return f"SignalFrame({self.sampling_rate:g} Hz, assays {', '.join(assays)}, {len(self.provenance)} steps)"

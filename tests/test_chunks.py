@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fibra.functions import chunks
+from fibra.functions import chunks, spectra
 from fibra.functions.chunks import chunked, moving, owned
 from fibra.functions.numbering import numbered
 from fibra.functions.quantiles import quantiles
@@ -197,3 +197,32 @@ def test_quantiles_are_exact(spark, bins, few):
         assert all(got[g][n] == pytest.approx(exact[g][n], rel=1e-15) for n in "abcde"), g
     assert quantiles(df.where("g = 'normal'"), [], "v", bins, few, m=0.5).first()["m"] == pytest.approx(np.median(groups["normal"]))
     assert quantiles(df.where("false"), ["g"], "v", bins, few, m=0.5).count() == 0
+
+
+@pytest.mark.parametrize("bound", [1e-2, 1e-3])
+def test_filter_by_chunks_is_that_of_the_whole_within_its_bound(spark, bound):
+    n, sr = 9000, 1000
+    t = np.arange(n) / sr
+    rng = np.random.default_rng(1)
+    tones = 3 * np.sin(2 * np.pi * 12 * t) + np.sin(2 * np.pi * 27.5 * t) + 0.5 * np.sin(2 * np.pi * 90 * t) + rng.normal(0, 0.2, n) + 2 * t
+    gap = tones[:3000].copy()
+    gap[100] = np.nan
+    parts = [pd.DataFrame({"recording_id": "r", "channel": c, "sample": np.arange(1, len(x) + 1), "raw": x, "other": c * 1.5}) for c, x in ((1, tones), (2, gap), (3, tones[:800]))]
+    df = spark.createDataFrame(pd.concat(parts)).select("recording_id", F.col("channel").cast("int"), "sample", signals.clean("raw").alias("raw"), "other")
+    weight = spectra.highpass_weight(30)
+    got = spectra.filtered(df.repartition(5), sr, weight, "raw", "out", bound, chunk=1000)
+    assert got.columns == [*df.columns, "out"] and got.count() == n + 3000 + 800
+    values = {c: g.sort_values("sample")["out"].to_numpy(float) for c, g in got.toPandas().groupby("channel")}
+    want = spectra.highpass(tones, sr, 30)
+    assert np.abs(values[1] - want).max() <= bound * np.abs(tones).max()
+    assert np.isnan(values[2]).all() and np.allclose(values[3], spectra.highpass(tones[:800], sr, 30), atol=1e-12)
+    with pytest.raises(ValueError, match="too sharp"):
+        spectra.kernel(lambda f: (f >= 30).astype(float), sr, 1e-4)
+
+
+def test_beats_are_filtered_by_chunks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=5000).cumsum()
+    df = spark.createDataFrame(pd.DataFrame({"recording_id": "r", "channel": 1, "sample": np.arange(1, 5001), "raw": x})).withColumn("channel", F.col("channel").cast("int"))
+    got = ordered(quality.remove_ecg(df, 1000, "highpass"))["ecg_removed"].to_numpy()
+    assert np.allclose(got, spectra.highpass(x, 1000, 30), atol=1e-9)

@@ -450,3 +450,40 @@ def test_symmetrizing(spark):
     assert weights(directed=True)["B", "C"] == 0.65 and weights(directed=True, symmetrize="min")["A", "C"] == 0
     with pytest.raises(ValueError):
         network.prepared(edges, symmetrize="median")
+
+
+def test_provenance_of_a_chain_survives_joins_and_saves(spark, tmp_path):
+    samples = frame(spark, RNG.normal(size=300), RNG.normal(size=300))
+    start = SignalFrame(samples, 1000.0, channels=spark.createDataFrame([(1, "BIC"), (2, "TRI")], "channel int, label string"))
+    made = start.apply(amplitude.envelope_rms, window_ms=20).apply(amplitude.normalize_peak, assay="envelope").apply(quality.remove_ecg, method="template")
+    rows = made.history().orderBy("step").collect()
+    assert [(r["step"], r["activity"], r["input_assay"], r["output_assay"]) for r in rows] == [(1, "envelope_rms", "raw", "envelope"), (2, "normalize_peak", "envelope", "normalized"), (3, "remove_ecg", "raw", "ecg_removed")]
+    assert rows[0]["params"]["window_ms"] == "20" and rows[0]["params"]["sr"] == "1000.0" and rows[2]["params"]["method"] == "template"
+    other = start.apply(amplitude.envelope_lowpass, out="low")
+    both = made.joined(other)
+    assert {"envelope", "normalized", "ecg_removed", "low"} <= set(both.samples.columns) and both.samples.count() == 600
+    assert [r["activity"] for r in both.history().orderBy("step").collect()][3:] == ["envelope_lowpass"]
+    both.save(str(tmp_path / "signal"))
+    again = SignalFrame.load(spark, str(tmp_path / "signal"))
+    assert again.history().orderBy("step").collect() == both.history().orderBy("step").collect()
+    assert again.sampling_rate == 1000 and again.channels.count() == 2 and again.samples.count() == 600
+    assert len(again.apply(amplitude.normalize_peak, assay="low", out="low_n").provenance) == 5 and len(start.provenance) == 0
+
+
+def test_hints_are_approximate_substrings():
+    assert electrodes.substring_distance("abc", "xxabdxx") == 1 and electrodes.substring_distance("", "x") == 0 and electrodes.substring_distance("abc", "") == 3
+    near = electrodes.near_matches("bicep")
+    assert {"Biceps brachii", "Biceps femoris"} <= set(near) and "Soleus" not in near
+    assert electrodes.near_matches("gastrocnemeus medialis") and not electrodes.near_matches("quxzywvk")
+    brute = lambda p, t: min(edit(p, t[i:j]) for i in range(len(t) + 1) for j in range(i, len(t) + 1))
+
+    def edit(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j - 1] + (x != y), last[j] + 1, row[j - 1] + 1))
+        return row[-1]
+
+    for p, t in (("soleus", "tibialis"), ("ceps", "quadriceps"), ("tricep", "biceps br"), ("a", "b")):
+        assert electrodes.substring_distance(p, t) == brute(p, t)
