@@ -9,16 +9,17 @@ ANDed that cannot meet.  Its popcount is the phrase's support in the shard; supp
 shards.  Extension goes depth first, a bounded slab of phrases at a time.
 
 The least count holds for sums over all shards, so no shard can drop a phrase by itself.  The table
-is read four times: words are summed, then pairs of frequent words, then triples of frequent pairs,
-by hash; at last all phrases made of frequent triples, by text.  What is frequent comes back to the shards as a
+is read five times: words are summed, then pairs of frequent words, triples of frequent pairs and
+longer phrases of frequent triples; at last each frequent phrase is named by one of the tasks that
+counted it (by all that hold it, should the rows be dealt to tasks otherwise then).  What is frequent comes back to the shards as a
 Bloom filter with ``FILTER_BITS`` bits for each key, at most ``MAX_BITS`` in all; beyond that it
 lets more pass, and more phrases are summed, but what is summed is always exact and the least count
 is applied to the sums.
 
 Defined cases: a null lang is ``und``; null and empty texts hold no words; repeated rows count each
 time; an empty table, or one without frequent phrases, gives an empty result; other columns are not
-read, so their names cannot clash; one long text is a shard of its own.  Within a task, words and
-phrases are told apart by 64-bit hashes; sums over tasks are by text.
+read, so their names cannot clash; one long text is a shard of its own.  Words and phrases are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -194,9 +196,17 @@ class _Sums:
         return keys, np.bincount(at, weights=np.concatenate([c for _, c in self.parts]), minlength=len(keys)).astype(np.int64)
 
 
+COUNTS = "key long, f long, task int"
+
+
+def _task() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
 def _sent(sums: _Sums) -> pa.RecordBatch:
     keys, counts = sums.totals()
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "f"])
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts), pa.array(np.full(len(keys), _task(), np.int32))], ["key", "f", "task"])
 
 
 def _words(batches):
@@ -208,6 +218,17 @@ def _words(batches):
     yield _sent(sums)
 
 
+def _of_task(keys: np.ndarray, task: np.ndarray | int) -> np.ndarray:
+    """One number for a key and a task."""
+    return T.mix(keys ^ T.mix(np.asarray(task).astype(U64)))
+
+
+def _owned(batches):
+    for batch in batches:
+        keys = _of_task(batch["key"].to_numpy().view(U64), batch["task"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+
+
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key may be in the filter."""
     last = U64(len(bits) * 64 - 1)
@@ -235,16 +256,20 @@ def _every(hashes: np.ndarray) -> np.ndarray:
     return np.ones(len(hashes), bool)
 
 
-def _counted(words, filters, size: int):
-    """Sums of the phrases of ``size`` words that are made of what the filters of fewer words keep."""
+def _kept(filters) -> dict[int, Callable[[np.ndarray], np.ndarray]]:
+    return {k: lambda h, f=f: passes(f.value, h) for k, f in filters.items()}
+
+
+def _counted(words, filters, size: int, longest: int):
+    """Sums of the phrases of ``size`` to ``longest`` words that are made of what the filters of fewer words keep."""
 
     def run(batches):
-        own = {k: lambda h, f=f: passes(f.value, h) for k, f in filters.items()} | {size: _every}
+        own = _kept(filters) | ({size: _every} if size == longest else {})
         sums = _Sums()
         for shard, _, _ in _shards(batches):
             shard.index(passes(words.value, shard.hash))
-            for hashed, count, seq in shard.mine(size, own):
-                if seq.shape[1] == size and sums.add(hashed, count):
+            for hashed, count, seq in shard.mine(longest, own):
+                if seq.shape[1] >= size and sums.add(hashed, count):
                     yield _sent(sums)
                     sums = _Sums()
         yield _sent(sums)
@@ -252,59 +277,72 @@ def _counted(words, filters, size: int):
     return run
 
 
-def _phrases(words, filters, longest: int):
-    """(lang, phrase, words, f): phrases that the filters keep and longer ones, and with an empty phrase all words of a language."""
+def _named(words, filters, longest: int, owned):
+    """(key, lang, phrase, words, n) of the phrases that pass the filters and are this task's to name; without a phrase, a language's words."""
 
     def run(batches):
-        own = {k: lambda h, f=f: passes(f.value, h) for k, f in filters.items()}
-        sums, named, totals = _Sums(), {}, {}
-
-        def sent():
-            keys, counts = sums.totals()
-            of = [named[k] for k in keys.tolist()]
-            of += [(x, b"", 0) for x in totals]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in of], pa.string()), pa.array([x[1] for x in of], pa.binary()).cast(pa.string()), pa.array([x[2] for x in of], pa.int32()), pa.array([*counts.tolist(), *totals.values()], pa.int64())],
-                ["lang", "phrase", "words", "f"],
-            )
-            named.clear()
-            totals.clear()
+        own, task = _kept(filters), _task()
+        sent, rows, totals = set(), [], {}
+
+        def out():
+            columns = zip(*rows) if rows else ([],) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int64()))], ["key", "lang", "phrase", "words", "n"]).cast(NAMES)
+            sent.clear()
+            rows.clear()
 
         for shard, langs, which in _shards(batches):
             for x, c in zip(langs, np.bincount(which[shard.row], minlength=len(langs)).tolist()):
-                if c:
-                    totals[x] = totals.get(x, 0) + c
+                totals[x] = totals.get(x, 0) + c
             frequent = passes(words.value, shard.hash)
             shard.index(frequent)
             ones = np.flatnonzero(frequent)
-            found = [(shard.hash[ones], np.bincount(shard.word, minlength=len(shard.hash))[ones], ones[:, None])]
-            full = False
-            for hashed, count, seq in [*found, *shard.mine(longest, own)]:
-                new = np.array([h not in named for h in hashed.tolist()], bool)
-                lang = which[shard.of_row[seq[new][:, 0]]] if new.any() else []
-                for h, x, t in zip(hashed[new].tolist(), lang, shard.text(seq[new]) if new.any() else []):
-                    named[h] = (langs[x], t, seq.shape[1])
-                full |= sums.add(hashed, count)
-            if full or len(named) > NAMED:
-                yield from sent()
-                sums = _Sums()
-        yield from sent()
+            for hashed, seq in [(shard.hash[ones], ones[:, None]), *((h, s) for h, _, s in shard.mine(longest, own))]:
+                mine = np.ones(len(hashed), bool) if owned is None else passes(owned.value, _of_task(hashed, task))
+                mine[mine] = [h not in sent for h in hashed[mine].tolist()]
+                if not mine.any():
+                    continue
+                lang = which[shard.of_row[seq[mine][:, 0]]]
+                sent.update(hashed[mine].tolist())
+                rows += [(h, langs[x], t, seq.shape[1], None) for h, x, t in zip(hashed[mine].view(np.int64).tolist(), lang, shard.text(seq[mine]))]
+            if len(rows) > NAMED:
+                yield from out()
+        rows += [(None, x, b"", 0, c) for x, c in totals.items() if c]
+        yield from out()
 
     return run
 
 
+NAMES = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+
+
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MAX_WORDS) -> DataFrame:
     """lang, phrase, words (how many) and f of every phrase of up to ``longest`` words that occurs ``min_count`` times
     in its language; the empty phrase (words 0) has the number of all words of a language.
     """
     context, rows = docs.sparkSession.sparkContext, docs.select("text", "lang")
-    enough = lambda df: frozen(df.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count).select("key"))
-    words = context.broadcast(key_filter(enough(rows.mapInArrow(_words, "key long, f long"))))
-    filters = {}
+
+    def enough(run) -> DataFrame:
+        sums = rows.mapInArrow(run, COUNTS).groupBy("key").agg(F.sum("f").alias("f"), F.min("task").alias("task"))
+        return frozen(sums.where(F.col("f") >= min_count))
+
+    found = enough(_words)
+    words, filters = context.broadcast(key_filter(found.select("key"))), {}
     for size in range(2, min(3, longest) + 1):
-        filters[size] = context.broadcast(key_filter(enough(rows.mapInArrow(_counted(words, dict(filters), size), "key long, f long"))))
-    found = rows.mapInArrow(_phrases(words, filters, longest), "lang string, phrase string, words int, f long")
-    return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | (F.col("words") == 0))
+        more = enough(_counted(words, dict(filters), size, size))
+        filters[size] = context.broadcast(key_filter(more.select("key")))
+        found = found.unionByName(more)
+    if longest > 3:
+        found = found.unionByName(enough(_counted(words, dict(filters), 4, longest)))
+    found = frozen(found)
+    owned, number = context.broadcast(key_filter(found.select("key", "task").mapInArrow(_owned, "key long"))), found.count()
+    schema = "key long, lang string, phrase string, words int, n long"
+    for own in (owned, None):
+        named = frozen(rows.mapInArrow(_named(words, filters, longest, own), schema))
+        whole = frozen(named.where("key is not null").dropDuplicates(["key"]).join(found, "key").select("lang", "phrase", "words", "f"))
+        if whole.count() == number:
+            break
+    totals = named.where("key is null").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
+    return whole.unionByName(totals)
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MAX_WORDS, top: int = TOP) -> DataFrame:
@@ -312,7 +350,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MAX
 
     The score is floor(1000 a n / (l r)) at the cut where it is lowest; phrases that always stand in a longer one are left out.
     """
-    found = frozen(frequent_phrases(docs, min_count, longest))
+    found = frequent_phrases(docs, min_count, longest)
     totals = found.where("words = 0").select("lang", F.col("f").alias("n"))
     parts = found.where("words > 0").select("lang", "phrase", "f")
     whole = found.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))

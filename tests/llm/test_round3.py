@@ -257,3 +257,10 @@ def test_null_ids_name_no_component(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(documents(spark, [(None, text, None), (7, text, None), (None, "other words stand in this text", None)])).collect()}
     assert got[7] == 7
     assert simhash.simhash_components(documents(spark, [(None, "other words", None)])).select(F.max("component_id")).first()[0] is None
+
+
+def test_phrases_are_named_however_rows_are_dealt(spark, folder):
+    """The tasks that count need not hold the same rows as those that name: then all name what they hold."""
+    path, rows = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").repartition(7).orderBy(F.rand())
+    assert sorted(tuple(r) for r in collocations.collocations(docs, 4).collect()) == phrase_scores(rows, 4)
