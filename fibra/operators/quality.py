@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fibra.functions.chunks import chunked, moving, owned, with_levels
+from fibra.functions.chunks import CHUNK, CHUNK_KEYS, attached, by_chunk, chunked, moving, owned, stitched, with_levels
 from fibra.functions.quantiles import quantiles
 from fibra.functions.spectra import bandpass, channel_map, channel_transform, demeaned_power, filtered, frequency_grid, highpass_weight, schema_with
+from fibra.functions.tables import frozen
 from fibra.sources.signals import KEYS
 
 
@@ -65,10 +67,11 @@ def ecg_scores(samples: DataFrame, sr: float, threshold: float = 0.5, assay: str
     return out.withColumn("ecg_contamination", F.col("ecg_score") > threshold)
 
 
-def quality_check(samples: DataFrame, sr: float, ecg_threshold: float = 0.5, rms_window_ms: float = 100, assay: str = "raw") -> DataFrame:
-    """All quality figures, one row for each channel."""
+def quality_check(samples: DataFrame, sr: float, ecg_threshold: float = 0.5, rms_window_ms: float = 100, assay: str = "raw", rpeaks: bool = False) -> DataFrame:
+    """All quality figures, one row for each channel; with ``rpeaks`` also the number of its heart beats (ecg_rpeaks)."""
     out = snr(samples, sr, rms_window_ms, assay)
-    for other in (powerline(samples, sr, assay), clipping(samples, assay), ecg_scores(samples, sr, ecg_threshold, assay)):
+    others = [powerline(samples, sr, assay), clipping(samples, assay), ecg_scores(samples, sr, ecg_threshold, assay)]
+    for other in [*others, beat_counts(samples, sr, assay)] if rpeaks else others:
         out = out.join(other, KEYS, "left")
     return out
 
@@ -109,6 +112,48 @@ def beats(x: np.ndarray, sr: float) -> list[int]:
     return out
 
 
+def beat_places(samples: DataFrame, sr: float, assay: str = "raw", chunk: int | None = None) -> DataFrame:
+    """recording_id, channel, beat (from 1) and its sample, for each heart beat: ``beats`` by chunks.
+
+    Stretches over the level are put together across borders of chunks.  The rest after a beat is carried from stretch to
+    stretch of a channel, of which there are few; what is left of each is then looked for its peak, chunk by chunk.
+    The band is taken from whole channels; a channel with a missing sample has no beats.
+    """
+    w, rest = max(1, int(round(0.02 * sr))), max(1, int(round(sr * 60 / 220)))
+    band = channel_transform(samples.select(*KEYS, "sample", assay), lambda x: bandpass(x, sr, 8, 40), assay, "_q").select(*KEYS, "sample", "_q")
+    # two samples ahead of a chunk's own ones and behind them tell where stretches begin and end
+    energy = moving(chunked(frozen(band), 1, w, chunk), 0, w - 1, _e=("avg", F.col("_q") * F.col("_q")))
+    levels = energy.where("_own").groupBy(*KEYS).agg((F.avg("_e") + 2 * F.stddev_samp("_e")).alias("_level"))
+    above = F.coalesce(F.col("_e") > F.col("_level"), F.lit(False))
+    at = by_chunk()
+    df = attached(energy, levels, samples, chunk).withColumn("_above", above)
+    df = df.withColumn("_begins", F.col("_above") & ~F.coalesce(F.lag("_above").over(at), F.lit(False))).withColumn("_ends", F.col("_above") & ~F.coalesce(F.lead("_above").over(at), F.lit(False)))
+    df = df.withColumn("_run", F.sum(F.col("_begins").cast("int")).over(at))
+    pieces = df.where(F.col("_above") & F.col("_own")).groupBy(*CHUNK_KEYS, "_run").agg(F.min("sample").alias("first"), F.max("sample").alias("last"), F.bool_or("_begins").alias("begins"), F.bool_or("_ends").alias("ends"))
+
+    def carried(pdf):
+        free, out = 0, []
+        for start, end in sorted(zip(pdf["first"].tolist(), pdf["last"].tolist())):
+            if end >= free:
+                out.append((max(start, free), end))
+                free = end + 1 + rest
+        first, last = zip(*out)
+        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "channel": pdf["channel"].iloc[0], "beat": range(1, len(out) + 1), "first": first, "last": last})
+
+    parts = stitched(pieces).groupBy(*KEYS).applyInPandas(carried, "recording_id string, channel int, beat int, first long, last long")
+    parts = parts.withColumn("_chunk", F.explode(F.sequence(*(F.floor((F.col(c) - 1) / (chunk or CHUNK)) for c in ("first", "last")))))
+    near = energy.where("_own").join(parts, CHUNK_KEYS).where("sample between first and last")
+    # of equal peaks the first
+    best = near.groupBy(*KEYS, "beat").agg(F.max(F.struct("_e", (-F.col("sample")).alias("_neg"))).alias("_best"))
+    return best.select(*KEYS, "beat", (-F.col("_best._neg")).alias("sample"))
+
+
+def beat_counts(samples: DataFrame, sr: float, assay: str = "raw", chunk: int | None = None) -> DataFrame:
+    """ecg_rpeaks: heart beats of each channel."""
+    got = beat_places(samples, sr, assay, chunk).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
+    return samples.select(*KEYS).distinct().join(got, KEYS, "left").select(*KEYS, F.coalesce("_n", F.lit(0).cast("long")).alias("ecg_rpeaks"))
+
+
 def remove_ecg(samples: DataFrame, sr: float, method: str = "highpass", hp_cutoff: float = 30, qrs_ms: float = 60, ecg_channel: int | None = None, assay: str = "raw", out: str = "ecg_removed", chunk: int | None = None) -> DataFrame:
     """Adds the signal without heart beats: filtered (by chunks), or the mean beat taken off, or beats bridged by lines."""
     if method not in ("highpass", "template", "gating"):

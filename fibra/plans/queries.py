@@ -203,6 +203,10 @@ def quality_ecg(spark, d):
     return _r(quality.ecg_scores(_signal(spark, d), SR), "channel", "ecg_contamination", ecg_score="ecg_score", digits=4)
 
 
+def quality_rpeaks(spark, d):
+    return quality.beat_counts(_signal(spark, d), SR).select("channel", "ecg_rpeaks")
+
+
 def qc_gate(spark, d):
     return quality.quality_gate(_signal(spark, d), SR).select("channel", "pass", "reasons", "overall_pass")
 
@@ -419,7 +423,7 @@ QUERIES = {
         normalize_dynamic_peak, amplitude_features, amplitude_features_stream, onset_hodges_bui, onset_teager_kaiser,
         onset_bonato, onset_aglr, onset_bonato_whitened, fatigue_windows, fatigue_index, spectral_moments, fatigue_slope,
         fatigue_slope_p, dimitrov_index, dimitrov_slope, mfcv_xcorr, mfcv_phase, cocontraction_windows, adl_activation,
-        quality_snr, quality_clipping, quality_powerline, quality_ecg, qc_gate, synergy_nmf, synergy_pca, synergy_ica,
+        quality_snr, quality_clipping, quality_powerline, quality_ecg, quality_rpeaks, qc_gate, synergy_nmf, synergy_pca, synergy_ica,
         synergy_pca_cov, synergy_order, synergy_reconstruct, synergy_compare, synergy_tensor, synergy_tensor_order,
         synergy_convolutive, synergy_spacetime, synergy_tucker, tucker_reconstruct, mixture_suffstats, synergy_mixture,
         coherence_network, wpli_network, wpli_debiased_network, partial_coherence_network, gc_normal_equations,

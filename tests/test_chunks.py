@@ -226,3 +226,20 @@ def test_beats_are_filtered_by_chunks(spark):
     df = spark.createDataFrame(pd.DataFrame({"recording_id": "r", "channel": 1, "sample": np.arange(1, 5001), "raw": x})).withColumn("channel", F.col("channel").cast("int"))
     got = ordered(quality.remove_ecg(df, 1000, "highpass"))["ecg_removed"].to_numpy()
     assert np.allclose(got, spectra.highpass(x, 1000, 30), atol=1e-9)
+
+
+@pytest.mark.parametrize("chunk", [29, 500, None])
+def test_beats_do_not_depend_on_chunks(spark, chunk):
+    rng = np.random.default_rng(8)
+    t = np.arange(6000)
+    heart = rng.normal(0, 0.15, 6000) + sum(1.5 * np.exp(-(((t - p) / 10.0) ** 2) / 2) for p in (300, 900, 1150, 1400, 1530, 2600, 3400, 4200, 5000, 5990))
+    gap = heart[:900].copy()
+    gap[5] = np.nan
+    parts = [pd.DataFrame({"recording_id": "r", "channel": c, "sample": np.arange(1, len(x) + 1), "raw": x}) for c, x in ((1, heart), (2, rng.normal(size=1500)), (3, gap), (4, np.zeros(400)))]
+    df = spark.createDataFrame(pd.concat(parts)).select("recording_id", F.col("channel").cast("int"), "sample", signals.clean("raw").alias("raw"))
+    got = quality.beat_places(df, 1000, chunk=chunk).orderBy("channel", "beat").collect()
+    for c, x in ((1, heart), (2, parts[1]["raw"].to_numpy())):
+        mine = [r for r in got if r["channel"] == c]
+        assert [r["sample"] - 1 for r in mine] == quality.beats(x, 1000) and [r["beat"] for r in mine] == list(range(1, len(mine) + 1))
+    assert {r["channel"] for r in got} == {1, 2}
+    assert {r["channel"]: r["ecg_rpeaks"] for r in quality.beat_counts(df, 1000, chunk=chunk).collect()}[3] == 0
