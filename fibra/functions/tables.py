@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     there = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not there:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = tempfile.mkdtemp(prefix="fibra-")
     if not held.isDefined():

@@ -400,7 +400,7 @@ def plot_envelope_data(spark, d):
 
 
 def plot_onset_data(spark, d):
-    return plotdata.onset_bands(_signal(spark, d), SR, threshold_sd=1, baseline_sec=0.1, min_duration_ms=2, smooth_ms=5)
+    return plotdata.onset_bands(_signal(spark, d), SR, threshold_sd=1, baseline_sec=0.1, min_duration_ms=2, smooth_ms=5).select("start", "end")
 
 
 def plot_fatigue_data(spark, d):

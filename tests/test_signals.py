@@ -487,3 +487,19 @@ def test_hints_are_approximate_substrings():
 
     for p, t in (("soleus", "tibialis"), ("ceps", "quadriceps"), ("tricep", "biceps br"), ("a", "b")):
         assert electrodes.substring_distance(p, t) == brute(p, t)
+
+
+def test_plot_series_keep_recordings_apart(spark):
+    from fibra.operators import plotdata
+
+    one = frame(spark, np.sin(np.arange(400)), np.cos(np.arange(400)))
+    two = one.withColumn("recording_id", F.lit("r2")).withColumn("raw", 2 * F.col("raw"))
+    both = one.unionByName(two)
+    for series in (lambda d: plotdata.envelope_series(d, 1000), lambda d: plotdata.coactivation_series(d, 1000, 1, 2, "raw", chunk=64), lambda d: plotdata.fatigue_series(d, 1000, 0.1)):
+        together = series(both)
+        rows = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect())
+        alone = rows(series(one))
+        assert together.columns[0] == "recording_id" and rows(together.where("recording_id = 'r1'")) == alone
+        assert together.where("recording_id = 'r2'").count() == len(alone) > 0
+    with pytest.raises(ValueError, match="out of range"):
+        plotdata.onset_bands(both, 1000, 7)
