@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fibra.functions.chunks import chunked, with_levels
 from fibra.functions.spectra import frequency_grid, windows
 from fibra.functions.stats import f_upper
+from fibra.functions.tables import frozen
 from fibra.sources.signals import KEYS
 
 AGGREGATES = ("mean", "max", "median")
@@ -408,7 +409,7 @@ def coordination_structure(
     if n_modules is not None and n_modules < 1:
         raise ValueError("n_modules must be >= 1")
     keys = network_keys(edges)
-    net = prepared(edges, threshold, normalize, symmetrize, directed)
+    net = frozen(prepared(edges, threshold, normalize, symmetrize, directed))  # read by each metric
     kinds = {f.name: f.dataType.simpleString() for f in net.schema.fields}
 
     def run(pdf):
@@ -436,6 +437,7 @@ def coordination_structure(
     summary_columns = "n_nodes int, n_edges int, density double, mean_edge_weight double, global_efficiency double, modularity double, n_modules int"
     grouped = net.groupBy(*keys) if keys else net.withColumn("_all", F.lit(1)).groupBy("_all")
     found = grouped.applyInPandas(run, f"{columns}node {kinds['source']}, module int, local_efficiency double, {summary_columns}")
+    found = frozen(found)
     modules = found.select(*keys, "node", "module", "local_efficiency")
     metrics = strength(net).join(clustering(net), [*keys, "node"]).join(modules, [*keys, "node"]).join(module_roles(net, modules.drop("local_efficiency")).drop("module"), [*keys, "node"])
     names = [c.split()[0] for c in summary_columns.split(", ")]
