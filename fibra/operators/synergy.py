@@ -1,7 +1,8 @@
 """Muscle synergies: factorisations of recordings, tensors and groups of subjects.
 
 Restarts (and orders) are group keys: each runs in a task of its own on one recording's matrix,
-and only its factors come back as long rows.  What is a plain sum (covariances, sufficient
+and only its factors come back as long rows.  Recordings longer than a block are factorised over their
+rows in many tasks (``rowblocks``), from the same starts.  What is a plain sum (covariances, sufficient
 statistics, reconstructions) is an aggregate or a join.
 """
 
@@ -12,18 +13,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fibra.functions.tables import frozen
+from fibra.operators import rowblocks
+from fibra.operators.rowblocks import rng_of as _rng
+
 EPS = 1e-12
 FACTORS = "recording_id string, k int, restart int, part string, component int, place long, value double, error double, vaf double, iterations int, converged boolean"
 
 
-def _rng(seed: int, k: int, restart: int) -> np.random.Generator:
-    return np.random.default_rng([seed, k, restart])
-
-
-def nmf(v: np.ndarray, k: int, rng, max_iter: int = 200, tol: float = 1e-4):
-    """Nonnegative factors of time x channel data by multiplicative updates: activations, weights, error, iterations, converged."""
+def nmf(v: np.ndarray, w: np.ndarray, h: np.ndarray, max_iter: int = 200, tol: float = 1e-4):
+    """Nonnegative factors of time x channel data by multiplicative updates from weights w and activations h: activations, weights, error, iterations, converged."""
     v = np.maximum(v, 0)
-    w, h = np.abs(rng.normal(0, 0.5, (k, v.shape[1]))), np.abs(rng.normal(0, 0.5, (v.shape[0], k)))
     before, done, it = np.inf, False, 0
     for it in range(1, max_iter + 1):
         h = np.maximum(h * (v @ w.T) / np.maximum(h @ (w @ w.T), 1e-10), 1e-10)
@@ -82,61 +82,87 @@ def _rows(rec, k, restart, parts: dict[str, np.ndarray], error, vaf, it, done) -
 
 def _matrix(pdf: pd.DataFrame, assay: str) -> np.ndarray:
     """Samples that every channel has, in order, by channel."""
-    return pdf.pivot(index="sample", columns="channel", values=assay).sort_index().sort_index(axis=1).dropna().to_numpy()
+    return _table(pdf, assay).to_numpy()
+
+
+def _table(pdf: pd.DataFrame, assay: str) -> pd.DataFrame:
+    return pdf.pivot(index="sample", columns="channel", values=assay).sort_index().sort_index(axis=1).dropna()
+
 
+def _sizes(samples: DataFrame) -> DataFrame:
+    """recording_id, its channels in order and its last sample; kept."""
+    channels = samples.groupBy("recording_id", "channel").agg(F.max("sample").alias("last"))
+    return frozen(channels.groupBy("recording_id").agg(F.array_sort(F.collect_set("channel")).alias("channels"), F.max("last").alias("last")))
 
-def _fewest_channels(samples: DataFrame) -> int:
-    """Channels of the recording that has the fewest."""
-    counts = samples.groupBy("recording_id").agg(F.countDistinct("channel").alias("n"))
-    return counts.agg(F.min("n")).first()[0] or 0
 
+def synergies(samples: DataFrame, k: int | list[int], method: str = "nmf", restarts: int = 1, max_iter: int = 200, tol: float = 1e-4, seed: int = 1, assay: str = "env", block: int | None = None) -> DataFrame:
+    """Long factors of the best restart of each order: part W (component x channel, numbered from 1) and H (component x sample).
 
-def synergies(samples: DataFrame, k: int | list[int], method: str = "nmf", restarts: int = 1, max_iter: int = 200, tol: float = 1e-4, seed: int = 1, assay: str = "env") -> DataFrame:
-    """Long factors of the best restart of each order: part W (component x channel) and H (component x sample)."""
+    Recordings of more than ``block`` samples (``rowblocks.BLOCK``) are factorised over their rows in many
+    tasks, from the same starts as in one.
+    """
     orders = [k] if isinstance(k, int) else list(k)
+    sizes = _sizes(samples)
+    if max(orders) > (sizes.agg(F.min(F.size("channels"))).first()[0] or max(orders)):
+        raise ValueError("more synergies than channels")
+    return _explained_factors(samples, sizes, orders, method, restarts, max_iter, tol, seed, assay, block).where("part <> 'V'")
+
+
+def _explained_factors(samples, sizes, orders, method, restarts, max_iter, tol, seed, assay, block) -> DataFrame:
+    """The factors, and part V: the share of each channel's variance that is explained."""
     if method not in ("nmf", "pca", "ica"):
         raise ValueError(f"unknown method: {method}")
-    if max(orders) > _fewest_channels(samples) and not samples.isEmpty():
-        raise ValueError("more synergies than channels")
     tries = restarts if method == "nmf" else 1
+    is_long = F.col("last") > (block or rowblocks.BLOCK)
+    n, n_long = sizes.agg(F.count(F.lit(1)), F.count_if(is_long)).first()
+    if not n_long:
+        return _in_tasks(samples, orders, method, tries, max_iter, tol, seed, assay)
+    long = sizes.where(is_long).select("recording_id", "channels")
+    over = rowblocks.factorised(samples.join(F.broadcast(long.select("recording_id")), "recording_id", "left_semi"), long, orders, method, tries, max_iter, tol, seed, assay, FACTORS)
+    if n == n_long:
+        return over
+    rest = samples.join(F.broadcast(long.select("recording_id")), "recording_id", "left_anti")
+    return over.unionByName(_in_tasks(rest, orders, method, tries, max_iter, tol, seed, assay))
+
+
+def _in_tasks(samples, orders, method, tries, max_iter, tol, seed, assay) -> DataFrame:
+    """Each order and restart of a recording in a task of its own."""
     jobs = [F.struct(F.lit(o).alias("k"), F.lit(r).alias("restart")) for o in orders for r in range(1, tries + 1)]
     spread = samples.select("recording_id", "channel", "sample", assay).withColumn("job", F.explode(F.array(*jobs))).select("recording_id", "channel", "sample", assay, "job.k", "job.restart")
 
     def run(pdf):
         rec, o, r = pdf["recording_id"].iloc[0], int(pdf["k"].iloc[0]), int(pdf["restart"].iloc[0])
-        v = _matrix(pdf, assay)
+        table = _table(pdf, assay)
+        v = table.to_numpy()
+        if not len(v):
+            return pd.DataFrame(columns=[c.split()[0] for c in FACTORS.split(", ")])
         if method == "nmf":
             v = np.maximum(v, 0)
-            h, w, error, it, done = nmf(v, o, _rng(seed, o, r), max_iter, tol)
+            w, h = rowblocks.starting_weights(seed, o, r, v.shape[1]), rowblocks.starting_activations(seed, o, r, table.index.to_numpy())
+            h, w, error, it, done = nmf(v, w, h, max_iter, tol)
         elif method == "pca":
             (h, w), it, done = pca(v, o), 1, True
             error = ((v - h @ w) ** 2).sum()
         else:
             h, w, it, done = ica(v, o, _rng(seed, o, r), max_iter, tol)
             error = ((v - h @ w) ** 2).sum()
-        return _rows(rec, o, r, {"W": w, "H": h.T}, error, _vaf(v, h @ w), it, done)
+        own = ((v - v.mean(0)) ** 2).sum(0)
+        each = np.where(own > 0, 1 - ((v - h @ w) ** 2).sum(0) / np.where(own > 0, own, 1), 1.0)
+        out = _rows(rec, o, r, {"W": w, "H": h.T, "V": each[None]}, error, _vaf(v, h @ w), it, done)
+        out.loc[out["part"] == "H", "place"] = np.tile(table.index.to_numpy(), o)
+        return out
 
     got = spread.groupBy("recording_id", "k", "restart").applyInPandas(run, FACTORS)
     best = F.min(F.struct("error", "restart")).over(Window.partitionBy("recording_id", "k"))
     return got.withColumn("_best", best["restart"]).where(F.col("restart") == F.col("_best")).drop("_best")
 
 
-def synergy_order(samples: DataFrame, max_synergies: int = 6, vaf_threshold: float = 0.9, per_synergy_vaf: float = 0.75, restarts: int = 10, seed: int = 1, assay: str = "env") -> DataFrame:
+def synergy_order(samples: DataFrame, max_synergies: int = 6, vaf_threshold: float = 0.9, per_synergy_vaf: float = 0.75, restarts: int = 10, seed: int = 1, assay: str = "env", block: int | None = None) -> DataFrame:
     """k, vaf, least channel vaf and whether k is chosen: the smallest over the threshold, else the curve's knee."""
-    orders = list(range(1, min(max_synergies, _fewest_channels(samples)) + 1))
-    got = synergies(samples, orders, "nmf", restarts, seed=seed, assay=assay)
-    curve = got.groupBy("recording_id", "k").agg(F.max("vaf").alias("vaf"))
-    w = got.where("part = 'W'").select("recording_id", "k", "component", F.col("place").cast("int").alias("c"), F.col("value").alias("w"))
-    h = got.where("part = 'H'").select("recording_id", "k", "component", F.col("place").alias("t"), F.col("value").alias("h"))
-    model = w.join(h, ["recording_id", "k", "component"]).groupBy("recording_id", "k", "c", "t").agg(F.sum(F.col("w") * F.col("h")).alias("model"))
-    # as in the factorised matrix, samples count that every channel has
-    width = F.max(F.col("_c")).over(Window.partitionBy("recording_id"))
-    whole = samples.where(F.col(assay).isNotNull()).groupBy("recording_id", "sample").agg(F.count("channel").alias("_c")).withColumn("_w", width).where("_c = _w")
-    samples = samples.join(whole.select("recording_id", "sample"), ["recording_id", "sample"])
-    real = samples.select("recording_id", F.dense_rank().over(Window.partitionBy("recording_id").orderBy("channel")).alias("c"), F.row_number().over(Window.partitionBy("recording_id", "channel").orderBy("sample")).cast("long").alias("t"), F.greatest(F.col(assay), F.lit(0.0)).alias("v"))
-    each = real.join(model, ["recording_id", "c", "t"]).groupBy("recording_id", "k", "c").agg(F.var_pop("v").alias("sst"), F.avg(F.pow(F.col("v") - F.col("model"), 2)).alias("ssr"))
-    each = each.groupBy("recording_id", "k").agg(F.min(F.when(F.col("sst") > 0, 1 - F.col("ssr") / F.col("sst")).otherwise(1.0)).alias("least_channel_vaf"))
-    df = curve.join(each, ["recording_id", "k"])
+    sizes = _sizes(samples)
+    orders = list(range(1, min(max_synergies, sizes.agg(F.min(F.size("channels"))).first()[0] or 1) + 1))
+    got = _explained_factors(samples, sizes, orders, "nmf", restarts, 200, 1e-4, seed, assay, block)
+    df = got.where("part = 'V'").groupBy("recording_id", "k").agg(F.max("vaf").alias("vaf"), F.min("value").alias("least_channel_vaf"))
     of = Window.partitionBy("recording_id")
     over = F.min(F.when(F.col("vaf") >= vaf_threshold, F.col("k"))).over(of)
     first, last = F.min(F.struct("k", "vaf")).over(of), F.max(F.struct("k", "vaf")).over(of)
