@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -264,3 +265,62 @@ def test_phrases_are_named_however_rows_are_dealt(spark, folder):
     path, rows = folder
     docs = spark.read.parquet(f"{path}/documents.parquet").repartition(7).orderBy(F.rand())
     assert sorted(tuple(r) for r in collocations.collocations(docs, 4).collect()) == phrase_scores(rows, 4)
+
+
+def test_bit_counts_beyond_32_bits():
+    from types import SimpleNamespace
+
+    from fibra.llm import lm_scoring
+
+    tree = SimpleNamespace(value=lm_scoring.huffman(np.ones(lm_scoring.SYMBOLS, np.int64)))
+
+    def counted(*times):
+        kinds = [pa.RecordBatch.from_pydict({"slot": pa.array([1], pa.int64()), "tail": pa.array([0], pa.int32()), "word": pa.array([b"word"], pa.binary()), "times": pa.array([n], pa.int64())}) for n in times]
+        group, lm_scoring.GROUP = lm_scoring.GROUP, 1  # each kind is counted on its own
+        try:
+            batches = list(lm_scoring._bit_counts(tree, 10)(iter(kinds)))
+        finally:
+            lm_scoring.GROUP = group
+        total: dict = {}
+        for b in batches:
+            for kind, chunk, width, at, zeros, ones in zip(*(c.to_pylist() for c in b.columns)):
+                for i, z, o in zip(np.frombuffer(at, np.uint16), np.frombuffer(zeros, lm_scoring._WIDTH[width]), np.frombuffer(ones, lm_scoring._WIDTH[width])):
+                    total[kind, chunk, i] = total.get((kind, chunk, i), np.zeros(2, np.int64)) + [int(z), int(o)]
+        return total
+
+    one = counted(1)
+    assert one and sum(int(x.sum()) for x in one.values()) > 0
+    for times in ((3_000_000_000,), (1_500_000_000, 1_500_000_000), (7, 2_147_483_647, 300)):
+        got = counted(*times)
+        assert got.keys() == one.keys() and all((got[key] == one[key] * sum(times)).all() for key in one)
+
+
+def test_mixing_rates_meet_targets_within_the_tolerance_or_warn(spark):
+    """Production tolerance and targets; rates and totals recomputed row by row in plain Python."""
+    import warnings
+
+    from fibra.llm import mixing
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(400):
+        p = rng.dirichlet([5, 1, 0.5, 0.2])
+        rows.append((i, int(rng.integers(1, 400)), [float(x) for x in p]))
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, posteriors array<double>").persist()
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        fit = mixing.fit_rates(members)
+    total = [0.0] * 4
+    for _, n, p in rows:
+        rate = point = 1.0
+        for gradient, momentum, anew in fit.steps:
+            point = rate if anew else point
+            new = max(0.0, point - sum(a * float(g) for a, g in zip(p, gradient)))
+            rate, point = new, new + momentum * (new - rate)
+        total = [t + n * rate * x for t, x in zip(total, p)]
+    whole = sum(n for _, n, _ in rows)
+    assert any(anew for _, _, anew in fit.steps)
+    gap = max(abs(t / whole / goal - 1) for t, goal in zip(total, mixing.TARGETS.values()))
+    assert gap <= mixing.TOLERANCE and fit.gap == pytest.approx(gap, rel=1e-6, abs=1e-9)
+    with pytest.warns(UserWarning, match="not met"):
+        assert len(mixing.fit_rates(members, most=3).steps) == 3
