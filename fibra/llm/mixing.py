@@ -6,7 +6,8 @@ probability of each domain (a pair of quality and toxic).  A document of ``n`` t
 that the domains' expected token totals meet the targets in the least-squares sense (relative to
 the target); starting from rate 1, the fit moves the rates as little as it has to.
 
-The fit is distributed projected gradient with momentum.  A step needs the totals under the
+The fit is distributed projected gradient with momentum, which starts anew from the rates when the
+squared distance from the targets has grown.  A step needs the totals under the
 present rates, one small sum over all documents.  A document's rate follows from its posteriors
 and the steps so far (a handful of numbers a step); every ``REPLAY`` steps the rates are written
 beside the posteriors, so a step's cost does not grow with their number, and nothing about single
@@ -14,8 +15,8 @@ documents reaches the driver.  Step length: the inverse of the largest eigenvalu
 weighted second moments, one more small sum.
 
 The fit ends when every domain is within ``TOLERANCE`` of its target (relative), or when ``STALL``
-steps have not brought the worst domain nearer, as with targets that no rates can meet; then a
-warning and ``Fit.gap`` tell how far off it is.
+steps have not brought the squared distance down, as with targets that no rates can meet, or after
+``MOST`` steps; then a warning and ``Fit.gap`` tell how far off it is.
 
 Copies of a document: its rate rounded up or down by a hash of its id, so that the expected
 number is the rate.
@@ -51,6 +52,8 @@ BINS = 1 << 10
 TOLERANCE = 1e-4
 #: The fit ends without having met its targets after so many steps that were no improvement.
 STALL = 60
+#: The fit ends after so many steps in any case.
+MOST = 5000
 #: Steps that are replayed for every document before the rates are written.
 REPLAY = 24
 
@@ -168,16 +171,22 @@ def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_members(shared), "doc_id long, n_tokens long, posteriors array<double>")
 
 
-def moved(p: np.ndarray, rate: np.ndarray, point: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rates, and the points at which the next gradient is taken, after the steps (gradient by domain, momentum)."""
-    for gradient, momentum in steps:
+#: Gradient by domain, momentum, and whether the step starts anew from the rates.
+Step = tuple[np.ndarray, float, bool]
+
+
+def moved(p: np.ndarray, rate: np.ndarray, point: np.ndarray, steps: list[Step]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates, and the points at which the next gradient is taken, after the steps."""
+    for gradient, momentum, anew in steps:
+        if anew:
+            point = rate
         new = np.maximum(0.0, point - p @ gradient)
         point = new + momentum * (new - rate)
         rate = new
     return rate, point
 
 
-def rates_of(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> np.ndarray:
+def rates_of(p: np.ndarray, steps: list[Step]) -> np.ndarray:
     """Rates of documents with posteriors ``p`` after the steps from rate 1."""
     return moved(p, np.ones(len(p)), np.ones(len(p)), steps)[0]
 
@@ -186,7 +195,7 @@ def rates_of(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> np.ndarray
 class Fit:
     """The steps from which ``rates_of`` gives every document's rate, and the worst domain's distance from its target."""
 
-    steps: list[tuple[np.ndarray, float]] = field(default_factory=list)
+    steps: list[Step] = field(default_factory=list)
     gap: float = 0.0
 
 
@@ -196,13 +205,16 @@ def _replayed(batch, steps):
 
 
 def _totals(steps):
+    """The domains' totals at the points, then those at the rates."""
+
     def run(batches):
         total = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p, _, point = _replayed(batch, steps)
-            part = (batch["n_tokens"].to_numpy() * point) @ p
+            p, rate, point = _replayed(batch, steps)
+            n = batch["n_tokens"].to_numpy()
+            part = np.concatenate([(n * point) @ p, (n * rate) @ p])
             total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["k", "tokens"])
@@ -223,8 +235,8 @@ def _stepped(steps):
     return run
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, tolerance: float = TOLERANCE, stall: int = STALL) -> Fit:
-    """The steps that bring the domains' totals to the targets. ``members`` should be frozen."""
+def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, tolerance: float = TOLERANCE, stall: int = STALL, most: int = MOST) -> Fit:
+    """The steps whose rates bring the domains' totals to the targets, ``most`` at most. ``members`` should be frozen."""
     goal = np.array([(targets or TARGETS)[k] for k in DOMAINS], float)
     k = len(goal)
     p = [F.col("posteriors")[i] for i in range(k)]
@@ -242,23 +254,28 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, toler
     length = 1.0 / np.linalg.eigvalsh(weight[:, None] * second * weight[None, :])[-1]
     one = F.lit(1.0)
     state = members.select("n_tokens", "posteriors", one.alias("rate"), one.alias("point"))
-    fit, since, momentum, best, waited = Fit(gap=np.inf), [], 1.0, np.inf, 0
+    fit, since, momentum, best, waited, before = Fit(gap=np.inf), [], 1.0, np.inf, 0, np.inf
     while True:
         got = state.mapInArrow(_totals(since), "k int, tokens double").groupBy("k").agg(F.sum("tokens").alias("tokens")).collect()
-        total = np.zeros(k)
+        total = np.zeros(2 * k)
         for r in got:
             total[r["k"]] = r["tokens"]
-        off = (total - goal) * weight
-        fit.gap = float(np.abs(off).max())
+        off, rated = (total[:k] - goal) * weight, (total[k:] - goal) * weight
+        fit.gap = float(np.abs(rated).max())
         if fit.gap < tolerance:
             return fit
-        waited = 0 if fit.gap < 0.99 * best else waited + 1
-        best = min(best, fit.gap)
-        if waited >= stall:
+        loss = float((rated**2).sum())
+        waited = 0 if loss < 0.99 * best else waited + 1
+        best = min(best, loss)
+        if waited >= stall or len(fit.steps) >= most:
             warnings.warn(f"the targets are not met: a domain is off by {fit.gap:.4f} of its target", stacklevel=2)
             return fit
+        anew = loss > before  # momentum carried the rates past the least
+        if anew:
+            off, momentum = rated, 1.0
+        before = loss
         grown = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        step = (length * off * weight, (momentum - 1) / grown)
+        step = (length * off * weight, (momentum - 1) / grown, anew)
         fit.steps.append(step)
         since.append(step)
         momentum = grown
