@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def rng_of(seed: int, k: int, restart: int) -> np.random.Generator:
     return np.random.default_rng([seed, k, restart])
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def uniform(x: np.ndarray) -> np.ndarray:
     """Uniform numbers in (0, 1) from integers."""
     with np.errstate(over="ignore"):
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
@@ -45,7 +46,7 @@ def starting_activations(seed: int, k: int, restart: int, sample: np.ndarray) ->
     keys = np.random.default_rng([seed, k, restart, 1]).integers(0, 2**63, 2, dtype=np.uint64)
     with np.errstate(over="ignore"):
         x = (sample.astype(np.uint64)[:, None] * np.uint64(k) + np.arange(k, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    u, angle = _mixed(x + keys[0]), _mixed(x + keys[1])
+    u, angle = uniform(x + keys[0]), uniform(x + keys[1])
     return np.abs(0.5 * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * angle))
 
 
@@ -88,7 +89,7 @@ class Job:
 def whole_rows(samples: DataFrame, channels: DataFrame, assay: str) -> DataFrame:
     """recording_id, sample, v: samples that each of a recording's channels (recording_id, channels) has."""
     wide = samples.where(F.col(assay).isNotNull()).groupBy("recording_id", "sample").agg(F.array_sort(F.collect_list(F.struct("channel", F.col(assay).cast("double").alias("v")))).alias("c"))
-    wide = wide.join(F.broadcast(channels), "recording_id").where(F.size("c") == F.size("channels"))
+    wide = wide.join(channels, "recording_id").where(F.size("c") == F.size("channels"))
     return wide.select("recording_id", F.col("sample").cast("long").alias("sample"), F.transform("c", lambda c: c["v"]).alias("v")).sortWithinPartitions("recording_id")
 
 
@@ -220,7 +221,7 @@ def _directions(rows, jobs, scatter, mean, number, method, seed, max_iter, tol):
 def factorised(samples: DataFrame, channels: DataFrame, orders: list[int], method: str, restarts: int, max_iter: int, tol: float, seed: int, assay: str, schema: str) -> DataFrame:
     """Rows of ``schema`` (parts W, H and V, the channels' explained shares) of the best restart of each order."""
     spark = samples.sparkSession
-    rows = frozen(whole_rows(samples, channels, assay))
+    rows = frozen(whole_rows(samples, F.broadcast(channels), assay))
     if method == "nmf":
         rows = rows.withColumn("v", F.transform("v", lambda x: F.greatest(x, F.lit(0.0))))
     first = {rec: x for (rec, _), x in summed(rows, lambda rec, s, v, h: [(0, np.append(v.sum(0), len(v)))]).items()}

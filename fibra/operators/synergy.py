@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fibra.functions.tables import frozen
 from fibra.operators import rowblocks
+from fibra.operators.mixtures import mixture_model, recording_mixture, sufficient_statistics, synergy_mixture  # noqa: F401
 from fibra.operators.rowblocks import rng_of as _rng
 
 EPS = 1e-12
@@ -410,117 +411,3 @@ def reconstruct_tucker(core: DataFrame, spatial: DataFrame, temporal: DataFrame,
     x = core.join(spatial, "p").groupBy("muscle", "q", "r").agg(F.sum(F.col("g") * F.col("a")).alias("g"))
     x = x.join(temporal, "q").groupBy("muscle", "time", "r").agg(F.sum(F.col("g") * F.col("b")).alias("g"))
     return x.join(trial, "r").groupBy("muscle", "time", "trial").agg(F.sum(F.col("g") * F.col("c")).alias("value"))
-
-
-# ---- mixtures over subjects: rows (subject, row, muscle, value) ---------------------------------------
-
-
-def sufficient_statistics(subjects: DataFrame) -> DataFrame:
-    """subject, m1, m2, n, s1 (sum of m1) and s12 (sum of products), m1 <= m2: all that the mixture needs."""
-    a = subjects.select("subject", "row", F.col("muscle").alias("m1"), F.col("value").alias("a"))
-    b = subjects.select("subject", "row", F.col("muscle").alias("m2"), F.col("value").alias("b"))
-    return a.join(b, ["subject", "row"]).where("m1 <= m2").groupBy("subject", "m1", "m2").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("s1"), F.sum(F.col("a") * F.col("b")).alias("s12"))
-
-
-def _factor_model(scatter: np.ndarray, r: int, method: str, last: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Loadings and noise variances: r leading directions and isotropic (ppca) or own (fa) noise, the latter refined from the last ones."""
-    d = len(scatter)
-    value, vec = np.linalg.eigh(scatter)
-    value, vec = value[::-1], vec[:, ::-1]
-    noise = max(value[r:].mean() if r < d else 0.0, 1e-6)
-    load = vec[:, :r] * np.sqrt(np.maximum(value[:r] - noise, 0))
-    if method == "ppca":
-        return load, np.full(d, noise)
-    load, psi = last or (load, np.maximum(np.diag(scatter) - (load**2).sum(1), 1e-6))
-    for _ in range(15):
-        beta = load.T @ np.linalg.inv(load @ load.T + np.diag(psi))
-        ezz = np.eye(r) - beta @ load + beta @ scatter @ beta.T
-        load = scatter @ beta.T @ np.linalg.inv(ezz + 1e-9 * np.eye(r))
-        psi = np.maximum(np.diag(scatter - load @ beta @ scatter), 1e-6)
-    return load, psi
-
-
-def synergy_mixture(subjects: DataFrame, n_clusters: int, n_factors: int, **settings) -> DataFrame:
-    """subject, cluster, responsibility, loglik, bic and the responsibilities of all clusters: ``mixture_model``'s memberships."""
-    return mixture_model(subjects, n_clusters, n_factors, **settings)[0]
-
-
-def mixture_model(subjects: DataFrame, n_clusters: int, n_factors: int, method: str = "ppca", max_iter: int = 100, tol: float = 1e-4, n_init: int = 5, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """A mixture of factor models: one membership a subject, and the clusters' synergies.
-
-    The synergies have a row for each cluster and muscle: cluster, proportion, muscle, mean, noise (its
-    own variance) and weights (one loading a factor).
-
-    The likelihood of a subject's rows depends on their number, mean and scatter alone, so EM runs on the
-    sufficient statistics: one aggregate over the rows, then small matrices.
-    """
-    if method not in ("ppca", "fa"):
-        raise ValueError(f"unknown method: {method}")
-    rows = sufficient_statistics(subjects).collect()  # muscles squared rows for each subject
-    ids = sorted({r["subject"] for r in rows})
-    if len(ids) < n_clusters:
-        raise ValueError(f"need at least {n_clusters} subjects")
-    muscles = sorted({r["m1"] for r in rows})
-    d = len(muscles)
-    if len(rows) != len(ids) * d * (d + 1) // 2:
-        raise ValueError("all subjects must have the same number of muscles")
-    at, place = {s: i for i, s in enumerate(ids)}, {m: i for i, m in enumerate(muscles)}
-    n, mean, second = np.zeros(len(ids)), np.zeros((len(ids), d)), np.zeros((len(ids), d, d))
-    for r in rows:
-        i, a, b = at[r["subject"]], place[r["m1"]], place[r["m2"]]
-        n[i] = r["n"]
-        second[i, a, b] = second[i, b, a] = r["s12"] / r["n"]
-        if a == b:
-            mean[i, a] = r["s1"] / r["n"]
-    best = None
-    for start in range(n_init):
-        rng = _rng(seed, n_clusters, start)
-        if start == 0:
-            z = mean[[int(np.argmin(((mean - mean.mean(0)) ** 2).sum(1)))]]
-            while len(z) < n_clusters:
-                z = np.vstack([z, mean[((mean[:, None] - z) ** 2).sum(2).min(1).argmax()]])
-            for _ in range(20):
-                near = ((mean[:, None] - z) ** 2).sum(2).argmin(1)
-                z = np.array([mean[near == c].mean(0) if (near == c).any() else z[c] for c in range(n_clusters)])
-            resp = np.eye(n_clusters)[near]
-        else:
-            resp = np.eye(n_clusters)[rng.integers(0, n_clusters, len(ids))]
-        before, loglik = -np.inf, -np.inf
-        models: list = [None] * n_clusters
-        for _ in range(max_iter):
-            weight = np.maximum(resp.mean(0), 1e-9)
-            logp = np.zeros((len(ids), n_clusters))
-            for c in range(n_clusters):
-                w = resp[:, c] * n + 1e-12
-                mu = (w[:, None] * mean).sum(0) / w.sum()
-                scatter = (w[:, None, None] * second).sum(0) / w.sum() - np.outer(mu, mu)
-                load, psi = _factor_model(scatter, n_factors, method, models[c] and models[c][1:])
-                models[c] = (mu, load, psi)
-                cov = load @ load.T + np.diag(psi)
-                inv, (_, det) = np.linalg.inv(cov), np.linalg.slogdet(cov)
-                off = second - mean[:, :, None] * mu - mu[:, None] * mean[:, None, :] + np.outer(mu, mu)
-                logp[:, c] = -0.5 * n * (d * np.log(2 * np.pi) + det + np.einsum("ab,nba->n", inv, off))
-            joint = logp + np.log(weight)
-            top = joint.max(1, keepdims=True)
-            loglik = float((top[:, 0] + np.log(np.exp(joint - top).sum(1))).sum())
-            resp = np.exp(joint - top)
-            resp /= resp.sum(1, keepdims=True)
-            if abs(loglik - before) < tol * max(1.0, abs(before)):
-                break
-            before = loglik
-        if best is None or loglik > best[0]:
-            best = (loglik, resp, weight, models)
-    loglik, resp, weight, models = best
-    noise = 1 if method == "ppca" else d
-    free = n_clusters * (d + d * n_factors - n_factors * (n_factors - 1) // 2 + noise) + n_clusters - 1
-    bic = -2 * loglik + free * np.log(len(ids))
-    order = np.argsort([np.flatnonzero(resp.argmax(1) == c).min(initial=len(ids)) for c in range(n_clusters)], kind="stable")
-    resp = resp[:, order]
-    out = [(int(s), int(resp[i].argmax()) + 1, float(resp[i].max()), loglik, float(bic), resp[i].tolist()) for s, i in at.items()]
-    spark = subjects.sparkSession
-    members = spark.createDataFrame(out, "subject int, cluster int, responsibility double, loglik double, bic double, responsibilities array<double>")
-    rows = []
-    for c, from_ in enumerate(order):
-        mu, load, psi = models[from_]
-        rows += [(c + 1, float(weight[from_] / weight.sum()), int(m), float(mu[j]), float(psi[j]), load[j].tolist()) for m, j in place.items()]
-    return members, spark.createDataFrame(rows, "cluster int, proportion double, muscle int, mean double, noise double, weights array<double>")

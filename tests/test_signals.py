@@ -450,6 +450,36 @@ def test_order_of_long_recordings(spark, k):
     assert [r["k"] for r in got] == [k] and got[0]["channels_ok"]
 
 
+@pytest.mark.parametrize("method", ["fa", "ppca"])
+def test_mixture_of_recordings(spark, method):
+    """12 recordings of two groups: all found, in two clusters better than in one; a sample with a gap is left out."""
+    rng = np.random.default_rng(21)
+    loads = [np.abs(rng.normal(size=(6, 2))) for _ in range(2)]
+    rows = []
+    for s in range(12):
+        x = rng.normal(size=(60, 2)) @ loads[s % 2].T + rng.normal(0, 0.3, (60, 6))
+        rows += [(f"r{s:02d}", c + 1, t + 1, None if (s, t, c) == (3, 5, 2) else float(x[t, c])) for t in range(60) for c in range(6)]
+    df = spark.createDataFrame(rows, "recording_id string, channel int, sample long, env double")
+    members, parts = synergy.recording_mixture(df, 2, 2, method=method, n_init=3)
+    got = {r["recording_id"]: r for r in members.collect()}
+    assert np.mean([got[f"r{s:02d}"]["cluster"] == s % 2 + 1 for s in range(12)]) > 0.9 and parts.count() == 12
+    one = synergy.recording_mixture(df, 1, 2, method=method, n_init=1)[0].first()
+    assert got["r00"]["bic"] < one["bic"]
+    # the likelihood of the returned model, recomputed row by row
+    table = {(r["cluster"], r["muscle"]): r for r in parts.collect()}
+    loglik = 0.0
+    for s in range(12):
+        x = np.array([v for r, _, _, v in rows if r == f"r{s:02d}"], float).reshape(60, 6)
+        x, each = x[~np.isnan(x).any(1)], []
+        for c in (1, 2):
+            of = [table[c, m] for m in range(1, 7)]
+            load = np.array([r["weights"] for r in of])
+            cov, off = load @ load.T + np.diag([r["noise"] for r in of]), x - [r["mean"] for r in of]
+            each.append(np.log(of[0]["proportion"]) - 0.5 * (len(x) * (6 * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1]) + (off @ np.linalg.inv(cov) * off).sum()))
+        loglik += np.logaddexp(*each)
+    assert got["r00"]["loglik"] == pytest.approx(loglik, rel=1e-9)
+
+
 def test_networks_of_recordings_stay_apart(spark):
     rows = [("r1", "A", "B", 0.9), ("r1", "B", "C", 0.3), ("r1", "A", "C", 0.6), ("r2", "A", "B", 0.1), ("r2", "B", "C", 0.05), ("r2", "A", "C", 0.025)]
     edges = spark.createDataFrame(rows, "recording_id string, source string, target string, weight double")
