@@ -219,7 +219,7 @@ def _directions(rows, jobs, scatter, mean, number, method, seed, max_iter, tol):
 
 
 def factorised(samples: DataFrame, channels: DataFrame, orders: list[int], method: str, restarts: int, max_iter: int, tol: float, seed: int, assay: str, schema: str) -> DataFrame:
-    """Rows of ``schema`` (parts W, H and V, the channels' explained shares) of the best restart of each order."""
+    """Rows of ``schema`` of the best restart of each order: parts W, H and V (the channels' explained shares); and part R, each restart's vaf."""
     spark = samples.sparkSession
     rows = frozen(whole_rows(samples, F.broadcast(channels), assay))
     if method == "nmf":
@@ -243,6 +243,10 @@ def factorised(samples: DataFrame, channels: DataFrame, orders: list[int], metho
     for rec, of in jobs.items():
         own = np.diag(scatter[rec])
         total = own.sum() + number[rec] * ((mean[rec] - mean[rec].mean()) ** 2).sum()
+        for at, job in enumerate(of):
+            error = left[rec, at].sum()
+            vaf = float(1 - error / total) if total > 0 else 1.0
+            small.append((rec, job.k, job.restart, "R", 1, 1, vaf, float(error), vaf, job.iterations, job.converged))
         for k in orders:
             error, restart, at = min((left[rec, at].sum(), job.restart, at) for at, job in enumerate(of) if job.k == k)
             told = (float(error), float(1 - error / total) if total > 0 else 1.0, of[at].iterations, of[at].converged)

@@ -106,11 +106,18 @@ def synergies(samples: DataFrame, k: int | list[int], method: str = "nmf", resta
     sizes = _sizes(samples)
     if max(orders) > (sizes.agg(F.min(F.size("channels"))).first()[0] or max(orders)):
         raise ValueError("more synergies than channels")
-    return _explained_factors(samples, sizes, orders, method, restarts, max_iter, tol, seed, assay, block).where("part <> 'V'")
+    return _explained_factors(samples, sizes, orders, method, restarts, max_iter, tol, seed, assay, block).where("part in ('W', 'H')")
+
+
+def restart_vafs(samples: DataFrame, k: int | list[int], restarts: int = 10, max_iter: int = 200, tol: float = 1e-4, seed: int = 1, assay: str = "env", block: int | None = None) -> DataFrame:
+    """recording_id, k, restart, vaf, iterations, converged of every restart of the nonnegative factorisation."""
+    orders = [k] if isinstance(k, int) else list(k)
+    got = _explained_factors(samples, _sizes(samples), orders, "nmf", restarts, max_iter, tol, seed, assay, block)
+    return got.where("part = 'R'").select("recording_id", "k", "restart", "vaf", "iterations", "converged")
 
 
 def _explained_factors(samples, sizes, orders, method, restarts, max_iter, tol, seed, assay, block) -> DataFrame:
-    """The factors, and part V: the share of each channel's variance that is explained."""
+    """The factors, part V (the share of each channel's variance that is explained) and part R (the vaf of each restart)."""
     if method not in ("nmf", "pca", "ica"):
         raise ValueError(f"unknown method: {method}")
     tries = restarts if method == "nmf" else 1
@@ -149,13 +156,13 @@ def _in_tasks(samples, orders, method, tries, max_iter, tol, seed, assay) -> Dat
             error = ((v - h @ w) ** 2).sum()
         own = ((v - v.mean(0)) ** 2).sum(0)
         each = np.where(own > 0, 1 - ((v - h @ w) ** 2).sum(0) / np.where(own > 0, own, 1), 1.0)
-        out = _rows(rec, o, r, {"W": w, "H": h.T, "V": each[None]}, error, _vaf(v, h @ w), it, done)
+        out = _rows(rec, o, r, {"W": w, "H": h.T, "V": each[None], "R": np.array([[_vaf(v, h @ w)]])}, error, _vaf(v, h @ w), it, done)
         out.loc[out["part"] == "H", "place"] = np.tile(table.index.to_numpy(), o)
         return out
 
     got = spread.groupBy("recording_id", "k", "restart").applyInPandas(run, FACTORS)
     best = F.min(F.struct("error", "restart")).over(Window.partitionBy("recording_id", "k"))
-    return got.withColumn("_best", best["restart"]).where(F.col("restart") == F.col("_best")).drop("_best")
+    return got.withColumn("_best", best["restart"]).where((F.col("restart") == F.col("_best")) | (F.col("part") == "R")).drop("_best")
 
 
 def synergy_order(samples: DataFrame, max_synergies: int = 6, vaf_threshold: float = 0.9, per_synergy_vaf: float = 0.75, restarts: int = 10, seed: int = 1, assay: str = "env", block: int | None = None) -> DataFrame:

@@ -437,6 +437,11 @@ def test_factorisations_over_row_blocks_equal_those_in_one_task(spark, method, m
     assert one.index.equals(blocks.index) and len(one) == 3 * (4 + 8) + (299 + 299 + 59) * 3
     for column in ("value", "error", "vaf"):
         np.testing.assert_allclose(blocks[column], one[column], rtol=1e-6, atol=1e-8)
+    if method == "nmf":
+        told, also = (synergy.restart_vafs(df, 2, 2, max_iter=12, tol=1e-5, block=b).toPandas().set_index(["recording_id", "restart"]).sort_index() for b in (None, 100))
+        assert len(told) == 6 and np.allclose(told["vaf"], also["vaf"], rtol=1e-6)
+        best = told.groupby("recording_id")["vaf"].max()
+        assert np.allclose(best, one.xs(2, level="k").groupby("recording_id")["vaf"].first())
     assert (blocks[["restart", "iterations", "converged"]] == one[["restart", "iterations", "converged"]]).all().all()
 
 
