@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fibra.functions.chunks import CHUNK, CHUNK_KEYS, attached, by_chunk, chunked, moving, owned, stitched, with_levels
+from fibra.functions.bands import band_bins, banded, by_length, grid_bins, low_power
+from fibra.functions.chunks import CHUNK, CHUNK_KEYS, attached, by_chunk, chunk_of, chunked, moving, owned, stitched, with_levels
 from fibra.functions.quantiles import quantiles
-from fibra.functions.spectra import bandpass, channel_map, channel_transform, demeaned_power, filtered, frequency_grid, highpass_weight, schema_with
-from fibra.functions.tables import frozen
+from fibra.functions.spectra import bandpass, channel_map, demeaned_power, filtered, frequency_grid, highpass_weight
+from fibra.functions.tables import frozen, small
 from fibra.sources.signals import KEYS
 
 
@@ -35,8 +36,11 @@ def clipping(samples: DataFrame, assay: str = "raw", chunk: int | None = None) -
     return df.groupBy(*KEYS).agg(F.avg(at_top.cast("double") * 100).alias("clipping_pct"))
 
 
-def powerline(samples: DataFrame, sr: float, assay: str = "raw") -> DataFrame:
-    """Shares of the power within 1 Hz of 50 and 60 Hz, and the larger one; of the samples that are there, put together."""
+def powerline(samples: DataFrame, sr: float, assay: str = "raw", chunk: int | None = None) -> DataFrame:
+    """Shares of the power within 1 Hz of 50 and 60 Hz, and the larger one; of the samples that are there, put together.
+
+    The power of a long channel's band is the sum of its squares, the band being taken out by chunks.
+    """
 
     def of(x):
         power, f = demeaned_power(x), frequency_grid(len(x), sr)
@@ -44,7 +48,19 @@ def powerline(samples: DataFrame, sr: float, assay: str = "raw") -> DataFrame:
         share = lambda hz: float(power[(f >= hz - 1) & (f <= hz + 1)].sum() / total) if total > 0 else 0.0
         return {"powerline_50": share(50), "powerline_60": share(60)}
 
-    out = channel_map(samples.where(F.col(assay).isNotNull()), of, assay, "powerline_50 double, powerline_60 double")
+    short, long = by_length(samples, assay, chunk)
+    out = channel_map(short, of, assay, "powerline_50 double, powerline_60 double")
+    if long is not None:
+        long = frozen(long)
+        # the two-sided sums count all but the highest bin of an even number of samples twice
+        odd = F.when(F.col("_n") % 2 == 0, F.col("_a") * F.col("_a") / F.col("_n")).otherwise(0.0)
+        shares = long.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.var_pop(assay).alias("_v"), F.sum(F.when(F.col("sample") % 2 == 0, -F.col(assay)).otherwise(F.col(assay))).alias("_a"))
+        shares = shares.select(*KEYS, odd.alias("_odd"), (F.col("_v") * F.col("_n") + odd).alias("_all"))
+        for hz in (50, 60):
+            band = banded(long, grid_bins(sr, hz - 1, hz + 1), assay, "_y", chunk).groupBy(*KEYS).agg(F.sum(F.col("_y") * F.col("_y")).alias("_band"))
+            power = F.col("_band") + F.col("_odd") if hz - 1 <= sr / 2 <= hz + 1 else F.col("_band")
+            shares = shares.join(band, KEYS).withColumn(f"powerline_{hz}", F.when(F.col("_all") > 0, power / F.col("_all")).otherwise(0.0)).drop("_band")
+        out = out.unionByName(shares.drop("_odd", "_all"))
     return out.withColumn("powerline_ratio", F.greatest("powerline_50", "powerline_60"))
 
 
@@ -61,9 +77,24 @@ def _ecg_score(x: np.ndarray, sr: float) -> float:
     return float(peak / (peak + 30))
 
 
-def ecg_scores(samples: DataFrame, sr: float, threshold: float = 0.5, assay: str = "raw") -> DataFrame:
+def _long_ecg_scores(long: DataFrame, sr: float, assay: str, chunk: int | None) -> DataFrame:
+    """``_ecg_score`` of long channels: the band by chunks, the spectrum of its envelope up to 8 Hz by blocks."""
+    env = frozen(banded(long, band_bins(sr, 8, 40), assay, "_q", chunk).select(*KEYS, "sample", F.abs("_q").alias("_e")))
+    env = with_levels(chunked(env, size=chunk), env, chunk, _mean=F.avg("_e")).select(*KEYS, "sample", (F.col("_e") - F.col("_mean")).alias("_e"))
+    power = frozen(low_power(env, 8, sr, grid_bins(sr, 0.1, 8, above=True), "_e"))
+    f = F.col("bin") * (sr / 2) / F.floor(F.col("_n") / 2)
+    peaks = power.where((f >= 0.6) & (f <= 3.5)).groupBy(*KEYS).agg(F.max("power").alias("_peak"))
+    over = F.col("_peak") / F.col("_base")
+    out = long.select(*KEYS).distinct().join(peaks.join(quantiles(power, KEYS, "power", _base=0.5), KEYS), KEYS, "left")
+    return out.select(*KEYS, F.when(F.col("_base") > 0, over / (over + 30)).otherwise(0.0).alias("ecg_score"))
+
+
+def ecg_scores(samples: DataFrame, sr: float, threshold: float = 0.5, assay: str = "raw", chunk: int | None = None) -> DataFrame:
     """How far heart-rate frequencies stand out of the QRS-band envelope (0 to 1), and whether that is too much; of the samples that are there, put together."""
-    out = channel_map(samples.where(F.col(assay).isNotNull()), lambda x: {"ecg_score": _ecg_score(x, sr)}, assay, "ecg_score double")
+    short, long = by_length(samples, assay, chunk)
+    out = channel_map(short, lambda x: {"ecg_score": _ecg_score(x, sr)}, assay, "ecg_score double")
+    if long is not None:
+        out = out.unionByName(_long_ecg_scores(frozen(long), sr, assay, chunk))
     return out.withColumn("ecg_contamination", F.col("ecg_score") > threshold)
 
 
@@ -117,10 +148,10 @@ def beat_places(samples: DataFrame, sr: float, assay: str = "raw", chunk: int |
 
     Stretches over the level are put together across borders of chunks.  The rest after a beat is carried from stretch to
     stretch of a channel, of which there are few; what is left of each is then looked for its peak, chunk by chunk.
-    The band is taken from whole channels; a channel with a missing sample has no beats.
+    The band is that of whole channels, taken out by chunks; a channel with a missing sample has no beats.
     """
     w, rest = max(1, int(round(0.02 * sr))), max(1, int(round(sr * 60 / 220)))
-    band = channel_transform(samples.select(*KEYS, "sample", assay), lambda x: bandpass(x, sr, 8, 40), assay, "_q").select(*KEYS, "sample", "_q")
+    band = banded(samples, band_bins(sr, 8, 40), assay, "_q", chunk)
     # two samples ahead of a chunk's own ones and behind them tell where stretches begin and end
     energy = moving(chunked(frozen(band), 1, w, chunk), 0, w - 1, _e=("avg", F.col("_q") * F.col("_q")))
     levels = energy.where("_own").groupBy(*KEYS).agg((F.avg("_e") + 2 * F.stddev_samp("_e")).alias("_level"))
@@ -161,29 +192,35 @@ def remove_ecg(samples: DataFrame, sr: float, method: str = "highpass", hp_cutof
     if method == "highpass":
         return filtered(samples, sr, highpass_weight(hp_cutoff), assay, out, chunk=chunk)
     half = max(1, int(round(qrs_ms / 1000 * sr)))
-
-    def cleaned(x, lead=None):
-        peaks = [p for p in beats(x if lead is None else lead, sr) if p - half >= 0 and p + half < len(x)]
-        y = x.copy()
-        if len(peaks) < 3:
-            return y
-        if method == "template":
-            beat = np.mean([x[p - half : p + half + 1] for p in peaks], axis=0)
-            for p in peaks:
-                y[p - half : p + half + 1] = x[p - half : p + half + 1] - beat
-        else:
-            for p in peaks:
-                y[p - half : p + half + 1] = np.linspace(x[max(0, p - half - 1)], x[min(len(x) - 1, p + half + 1)], 2 * half + 1)
-        return y
-
+    x = samples.select(*KEYS, "sample", F.col(assay).alias("_x"))
     if ecg_channel is None:
-        return channel_transform(samples, cleaned, assay, out)
-    lead = samples.where(F.col("channel") == ecg_channel).select("recording_id", "sample", F.col(assay).alias("_lead"))
-    both = samples.join(lead, ["recording_id", "sample"], "left")
-
-    def run(pdf):
-        pdf = pdf.sort_values("sample")
-        pdf[out] = cleaned(pdf[assay].to_numpy(), pdf["_lead"].fillna(0).to_numpy())
-        return pdf.drop(columns="_lead")
-
-    return both.select(*samples.columns, "_lead").groupBy(*KEYS).applyInPandas(run, schema_with(samples, out))
+        lead = x = frozen(x)
+    else:
+        of = samples.where(F.col("channel") == ecg_channel).select("recording_id", "sample", F.coalesce(assay, F.lit(0.0)).alias("_lead"))
+        x = frozen(x.join(of, ["recording_id", "sample"], "left"))
+        lead, x = x.select(*KEYS, "sample", F.coalesce("_lead", F.lit(0.0)).alias("_x")), x.drop("_lead")
+    ends = x.groupBy(*KEYS).agg(F.max("sample").alias("_n"))
+    peaks = beat_places(lead, sr, "_x", chunk).select(*KEYS, F.col("sample").alias("_peak")).join(ends, KEYS).where((F.col("_peak") - half >= 1) & (F.col("_peak") + half <= F.col("_n")))
+    enough = peaks.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_beats")).where("_beats >= 3").select(*KEYS)
+    peaks = frozen(peaks.join(enough, KEYS, "left_semi"))
+    windows = peaks.select(*KEYS, "_peak", F.explode(F.sequence(F.col("_peak") - half, F.col("_peak") + half)).alias("sample"))
+    # where windows meet, the later beat counts
+    held = windows.groupBy(*KEYS, "sample").agg(F.max("_peak").alias("_peak")).withColumn("_at", F.col("sample") - F.col("_peak") + half)
+    if method == "template":
+        values = windows.join(x, [*KEYS, "sample"]).groupBy(*KEYS, (F.col("sample") - F.col("_peak") + half).alias("_at"))
+        beat = values.agg(F.when(F.count("_x") == F.count(F.lit(1)), F.avg("_x")).alias("_beat"))
+        held = held.join(small(frozen(beat)), [*KEYS, "_at"])
+        new = F.col(assay) - F.col("_beat")
+    else:
+        side = lambda place, name: x.select(*KEYS, F.col("sample").alias(place), F.col("_x").alias(name))
+        sides = peaks.withColumns({"_l": F.greatest(F.lit(1), F.col("_peak") - half - 1), "_r": F.least("_n", F.col("_peak") + half + 1)})
+        sides = sides.join(side("_l", "_from"), [*KEYS, "_l"], "left").join(side("_r", "_to"), [*KEYS, "_r"], "left")
+        held = held.join(sides.select(*KEYS, "_peak", "_from", "_to"), [*KEYS, "_peak"])
+        new = F.when(F.col("_at") == 2 * half, F.col("_to")).otherwise(F.col("_from") + F.col("_at") * ((F.col("_to") - F.col("_from")) / (2 * half)))
+    value = F.when(F.col("_at").isNotNull(), new).otherwise(F.col(assay))
+    if ecg_channel is None:  # a channel with a missing sample has NULLs
+        gaps = x.groupBy(*KEYS).agg((F.count(F.lit(1)) > F.count("_x")).alias("_gaps"))
+        samples = attached(samples.withColumn("_chunk", chunk_of(chunk or CHUNK)), gaps, samples, chunk).drop("_chunk")
+        value = F.when(~F.col("_gaps"), value)
+    columns = [c for c in samples.columns if c not in (out, "_gaps")]
+    return samples.join(held, [*KEYS, "sample"], "left").select(*columns, value.alias(out))
