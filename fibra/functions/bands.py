@@ -215,7 +215,7 @@ def low_power(samples: DataFrame, top: float, sr: float, bins, assay: str) -> Da
         lo, hi = bins(n)
         j = np.arange(lo, hi + 1, dtype=np.int64)
         if not len(j):
-            return pd.DataFrame({"recording_id": [], "channel": [], "bin": [], "re": [], "im": []})
+            return pd.DataFrame(columns=["recording_id", "channel", "bin", "re", "im"])
         square = lambda k: np.exp(-1j * np.pi * (width * k * k % (2 * n)) / n)
         b = np.arange(len(m), dtype=np.int64)
         span = np.arange(lo - len(m) + 1, hi + 1, dtype=np.int64)
@@ -228,3 +228,63 @@ def low_power(samples: DataFrame, top: float, sr: float, bins, assay: str) -> Da
     parts = held.join(F.broadcast(counts), KEYS).groupBy(*KEYS, "node").applyInPandas(chirp, "recording_id string, channel int, bin long, re double, im double")
     sums = parts.groupBy(*KEYS, "bin").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).join(F.broadcast(counts), KEYS)
     return sums.select(*KEYS, "bin", "_n", ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("_n")).alias("power"))
+
+
+# ---- the analytic half of a line of values that ends in zeros, by chunks of equal size ----
+
+
+def padded_size(n: int) -> int:
+    """Places of the transform of n values with as many zeros after them."""
+    return 1 << int(np.ceil(np.log2(n + max(n, 1024))))
+
+
+def _halves(d: np.ndarray, size: int) -> np.ndarray:
+    """The two smooth parts of the analytic half's kernel at distances d <> 0; the second turns sign from place to place."""
+    w = np.exp(2j * np.pi * d / size)
+    smooth = (0.5 + 0.5j / np.tan(np.pi * d / size)) / size
+    return np.stack((smooth, -w * smooth))
+
+
+def analytic_moments(x: np.ndarray, start: int, chunk: int) -> np.ndarray:
+    """A chunk's moments (plain, alternating) at ``NODES`` nodes, flat."""
+    basis = interpolation(chunk)[: len(x)]
+    sign = 1.0 - 2.0 * ((start + np.arange(len(x))) % 2)
+    return np.concatenate((basis.T @ x, basis.T @ (x * sign)))
+
+
+def analytic_fields(moments: np.ndarray, n: int, chunk: int, margin: int) -> np.ndarray:
+    """What all chunks that are not near do at each chunk's nodes (those of the chunk and ``margin`` places to either side): chunk x lines x 2 x node.
+
+    ``moments``: chunk x lines x 2 x node.
+    """
+    parts, size = len(moments), padded_size(n)
+    apart = nodes_of(-margin, chunk + 2 * margin)[:, None] - nodes_of(0, chunk)[None]
+    out = np.zeros(moments.shape, complex)
+    for by in range(2, parts):
+        for sign in (by, -by):
+            table = _halves(sign * chunk + apart, size)
+            to, of = (slice(by, None), slice(None, -by)) if sign > 0 else (slice(None, -by), slice(by, None))
+            out[to] += np.einsum("htr,clhr->clht", table, moments[of], optimize=True)
+    return out
+
+
+def analytic_part(before: np.ndarray, own: np.ndarray, after: np.ndarray, field: np.ndarray, start: int, n: int, chunk: int, margin: int) -> np.ndarray:
+    """The values of the frequencies from 0 to the highest one at the chunk's places and ``margin`` to either side.
+
+    ``field``: 2 x node; ``before`` and ``after`` are the chunks next to it, of no values at an end.
+    """
+    size, wide = padded_size(n), chunk + 2 * margin
+    line = np.zeros(3 * chunk)
+    for k, x in enumerate((before, own, after)):
+        line[k * chunk : k * chunk + len(x)] = x
+    reach = 2 * chunk + margin
+    steps = 1 << (2 * reach + 1).bit_length()
+    d = np.concatenate((np.arange(1, reach + 1), np.arange(-reach, 0)))
+    plain, turning = _halves(d, size)
+    taps = np.zeros(steps, complex)
+    taps[0] = (size // 2 + 1) / size
+    taps[d] = plain + turning * (1.0 - 2.0 * (d % 2))
+    y = np.fft.ifft(np.fft.fft(line, steps) * np.fft.fft(taps))[chunk - margin : 2 * chunk + margin]
+    sign = 1.0 - 2.0 * ((start - margin + np.arange(wide)) % 2)
+    far = interpolation(wide) @ field.T
+    return y + far[:, 0] + sign * far[:, 1]

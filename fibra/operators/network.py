@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fibra.functions.bands import NODES, analytic_fields, analytic_moments, analytic_part, padded_size
 from fibra.functions.chunks import chunked, with_levels
 from fibra.functions.spectra import frequency_grid, windows
 from fibra.functions.stats import f_upper
@@ -204,24 +205,38 @@ def granger_network(samples: DataFrame, max_lag: int = 10, score: str = "f_stat"
     return out.withColumn("adjacent", passed if threshold is None else passed & F.col("adjacent"))
 
 
+#: Pairs of channels of more samples than three of these are done by chunks.
+WAVE_CHUNK = 60_000
+
+
 def _morlet(x: np.ndarray, freqs: np.ndarray, cycles: float, sr: float) -> np.ndarray:
     n = len(x)
-    size = 1 << int(np.ceil(np.log2(n + max(n, 1024))))
+    size = padded_size(n)
     f = np.arange(size) * sr / size
     gauss = np.exp(-0.5 * ((f - freqs[:, None]) / (freqs[:, None] / cycles)) ** 2)
     gauss[:, f > sr / 2] = 0
     return np.fft.ifft(np.fft.fft(x, size) * gauss, axis=1)[:, :n]
 
 
-def _smooth(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    half = len(kernel) // 2
-    padded = np.concatenate((x[:half][::-1], x, x[len(x) - half :][::-1]))
-    size = len(padded) + len(kernel) - 1
-    return np.fft.ifft(np.fft.fft(padded, size) * np.fft.fft(kernel, size))[2 * half : 2 * half + len(x)]
+def _morlet_taps(freq: float, cycles: float, sr: float) -> np.ndarray:
+    """What the wavelet's Gaussian does to an analytic signal: it ends where it is under 1e-16 of its height."""
+    width = freq / cycles
+    d = np.arange(-int(8.6 * sr / (2 * np.pi * width)) - 1, int(8.6 * sr / (2 * np.pi * width)) + 2)
+    return np.sqrt(2 * np.pi) * width / sr * np.exp(-2 * (np.pi * width * d / sr) ** 2 + 2j * np.pi * freq * d / sr)
+
+
+def _convolved(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """The convolution where all taps meet values."""
+    size = 1 << (len(x) + len(taps)).bit_length()
+    return np.fft.ifft(np.fft.fft(x, size) * np.fft.fft(taps, size))[len(taps) - 1 : len(x)]
 
 
-def wavelet_network(samples: DataFrame, sr: float, frequencies=tuple(range(5, 121, 5)), freq_band=None, window_sec: float = 0.5, step_sec: float = 0.1, n_cycles: float = 7, smoothing_cycles: float = 3, aggregate: str = "mean", respect_coi: bool = True, threshold: float | None = None, assay: str = "raw") -> DataFrame:
-    """ch1, ch2, window, time_sec, weight: wavelet coherence of each pair in sliding windows (NULL outside the cone of influence)."""
+def wavelet_network(samples: DataFrame, sr: float, frequencies=tuple(range(5, 121, 5)), freq_band=None, window_sec: float = 0.5, step_sec: float = 0.1, n_cycles: float = 7, smoothing_cycles: float = 3, aggregate: str = "mean", respect_coi: bool = True, threshold: float | None = None, assay: str = "raw", chunk: int | None = None) -> DataFrame:
+    """ch1, ch2, window, time_sec, weight: wavelet coherence of each pair in sliding windows (NULL outside the cone of influence).
+
+    Long pairs are done by chunks: the analytic half of the signal reaches everywhere (``bands``), the rest of the
+    wavelet and the smoothing reach some of its cycles.
+    """
     f = np.asarray(frequencies, float)
     if len(f) < 2 or (f <= 0).any() or min(window_sec, step_sec, n_cycles, smoothing_cycles) <= 0:
         raise ValueError("need at least 2 positive frequencies, and positive window, step and cycles")
@@ -232,36 +247,107 @@ def wavelet_network(samples: DataFrame, sr: float, frequencies=tuple(range(5, 12
     how = {"mean": np.nanmean, "max": np.nanmax, "median": np.nanmedian}[aggregate]
     x = samples.select("recording_id", "channel", "sample", F.col(assay).alias("x"))
     a, b = x.select("recording_id", "sample", F.col("channel").alias("ch1"), F.col("x").alias("a")), x.select("recording_id", "sample", F.col("channel").alias("ch2"), F.col("x").alias("b"))
+    schema = "recording_id string, ch1 int, ch2 int, window int, time_sec double, weight double"
+    pair = ["recording_id", "ch1", "ch2"]
+    taps = {i: _morlet_taps(f[i], n_cycles, sr) for i in keep}
+    # where a chunk's last window ends, the smoothing and the longest wavelet reach on
+    margin = win + max(int(np.ceil(3 * smoothing_cycles / f[i] * sr)) + len(taps[i]) // 2 for i in keep)
+    size = max(chunk or WAVE_CHUNK, 4 * margin)
+    # a wavelet that is cut off at the highest frequency has no end
+    sharp = any((sr / 2 - f[i]) * n_cycles / f[i] < 8.5 for i in keep)
+
+    def coherence(wx, wy, i, first, n, pad_left, pad_right):
+        """Coherence at frequency i from wavelets at first, first + 1, ...; ends of the signal are mirrored."""
+        sigma = smoothing_cycles / f[i] * sr
+        half = int(min(np.ceil(3 * sigma), n // 2))
+        kernel = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
+        kernel /= kernel.sum()
+
+        def smooth(v):
+            v = np.concatenate((v[:half][::-1] if pad_left else v[:0], v, v[len(v) - half :][::-1] if pad_right else v[:0]))
+            return _convolved(v, kernel)
+
+        xy = smooth(wx * wy.conj())
+        down = smooth(np.abs(wx) ** 2).real * smooth(np.abs(wy) ** 2).real
+        out = np.full(len(xy), np.nan)
+        ok = down > np.finfo(float).eps
+        out[ok] = np.clip(np.abs(xy[ok]) ** 2 / down[ok], 0, 1)
+        if respect_coi:
+            t, last = (first + (0 if pad_left else half) + np.arange(len(out))) / sr, (n - 1) / sr
+            out[f[i] < np.sqrt(2) * n_cycles / (2 * np.pi * np.maximum(np.minimum(t, last - t), 1 / sr))] = np.nan
+        return out
+
+    def weights(coh, first, starts):
+        values = [coh[:, s - first : s - first + win] for s in starts]
+        return [how(v) if np.isfinite(v).any() else None for v in values]
 
     def run(pdf):
         pdf = pdf.sort_values("sample")
         n = len(pdf)
-        head = {c: pdf[c].iloc[0] for c in ("recording_id", "ch1", "ch2")}
+        head = {c: pdf[c].iloc[0] for c in pair}
         starts = np.arange(0, n - win + 1, step)
         if not len(starts):
             raise ValueError("the window is longer than the signal")
-        wx, wy = (_morlet(pdf[c].to_numpy(), f, n_cycles, sr) for c in ("a", "b"))
-        t = np.arange(n) / sr
-        cone = np.sqrt(2) * n_cycles / (2 * np.pi * np.maximum(np.minimum(t, t[-1] - t), 1 / sr))
-        coh = np.full((len(f), n), np.nan)
-        for i in keep:
-            sigma = smoothing_cycles / f[i] * sr
-            half = int(min(np.ceil(3 * sigma), n // 2))
-            kernel = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
-            kernel /= kernel.sum()
-            xy = _smooth(wx[i] * wy[i].conj(), kernel)
-            down = _smooth(np.abs(wx[i]) ** 2, kernel).real * _smooth(np.abs(wy[i]) ** 2, kernel).real
-            ok = down > np.finfo(float).eps
-            coh[i, ok] = np.clip(np.abs(xy[ok]) ** 2 / down[ok], 0, 1)
-            if respect_coi:
-                coh[i, f[i] < cone] = np.nan
-        values = [coh[keep, s : s + win] for s in starts]
-        weight = [how(v) if np.isfinite(v).any() else None for v in values]
-        return pd.DataFrame({**head, "window": np.arange(len(starts)) + 1, "time_sec": (starts + (win - 1) / 2) / sr, "weight": weight})
+        wx, wy = (_morlet(pdf[c].to_numpy(), f[keep], n_cycles, sr) for c in ("a", "b"))
+        coh = np.stack([coherence(wx[k], wy[k], i, 0, n, True, True) for k, i in enumerate(keep)])
+        return pd.DataFrame({**head, "window": np.arange(len(starts)) + 1, "time_sec": (starts + (win - 1) / 2) / sr, "weight": weights(coh, 0, starts)})
 
-    schema = "recording_id string, ch1 int, ch2 int, window int, time_sec double, weight double"
-    got = a.join(b, ["recording_id", "sample"]).where("ch1 < ch2").groupBy("recording_id", "ch1", "ch2").applyInPandas(run, schema)
-    return _thresholded(got, threshold)
+    def pack(pdf):
+        pdf = pdf.sort_values("sample")
+        c = int(pdf["_chunk"].iloc[0])
+        lines = [pdf[name].to_numpy(float) for name in ("a", "b")]
+        moments = np.concatenate([analytic_moments(v, c * size, size) for v in lines])
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in pair}, "_chunk": [c], "_n": [pdf["_n"].iloc[0]], "a": [lines[0].tobytes()], "b": [lines[1].tobytes()], "m": [moments]})
+
+    def fields(pdf):
+        pdf = pdf.sort_values("_chunk")
+        moments = np.stack(pdf["m"].to_list()).reshape(len(pdf), 2, 2, NODES)
+        got = analytic_fields(moments, int(pdf["_n"].iloc[0]), size, margin)
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in pair}, "_chunk": pdf["_chunk"].to_numpy(), "f": [v.ravel().view(float) for v in got]})
+
+    def put(pdf):
+        n, c = int(pdf["_n"].iloc[0]), int(pdf["_chunk"].iloc[0])
+        field = np.asarray(pdf["f"].iloc[0], float).view(complex).reshape(2, 2, NODES)
+        start, end = c * size, min(n, c * size + size)
+        head = {k: pdf[k].iloc[0] for k in pair}
+        starts = np.arange(-(-start // step) * step, min(end, n - win + 1), step)
+        if not len(starts):
+            return pd.DataFrame(columns=[k.split()[0] for k in schema.split(", ")])
+        parts = []
+        for line, name in enumerate(("a", "b")):
+            x = {int(k): np.frombuffer(v, float) for k, v in zip(pdf["_from"], pdf[name])}
+            parts.append(analytic_part(x.get(c - 1, np.zeros(0)), x[c], x.get(c + 1, np.zeros(0)), field[line], start, n, size, margin))
+        coh = []
+        stop = min(n, start + size + win)
+        for i in keep:
+            half = int(min(np.ceil(3 * smoothing_cycles / f[i] * sr), n // 2))
+            # wavelets at the places that the smoothing reaches; the parts begin at start - margin
+            left, right, reach = max(0, start - half), min(n, stop + half), len(taps[i]) // 2
+            wx, wy = (_convolved(v[left - reach - start + margin : right + reach - start + margin], taps[i]) for v in parts)
+            # an end of the signal that is near is mirrored, from where it is
+            got = coherence(wx, wy, i, left, n, left == 0, right == n)
+            first = left if left == 0 else left + half
+            coh.append(got[start - first : stop - first])
+        at = starts // step
+        return pd.DataFrame({**head, "window": at + 1, "time_sec": (starts + (win - 1) / 2) / sr, "weight": weights(np.stack(coh), start, starts)})
+
+    both = a.join(b, ["recording_id", "sample"]).where("ch1 < ch2")
+    counts = frozen(samples.groupBy("recording_id", "channel").agg(F.count(F.lit(1)).alias("_n")))
+    if sharp or not counts.where(F.col("_n") > 3 * size).limit(1).count():
+        return _thresholded(both.groupBy(*pair).applyInPandas(run, schema), threshold)
+    both = frozen(both)
+    ends = frozen(both.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n"), F.max("sample").alias("_last"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("_gaps")))
+    # pairs with missing samples have no weight anywhere, and are done with the short ones
+    long = ends.where((F.col("_n") > 3 * size) & (F.col("_n") == F.col("_last")) & (F.col("_gaps") == 0))
+    rows = both.join(F.broadcast(long.select(*pair, "_n")), pair).withColumn("_chunk", F.floor((F.col("sample") - 1) / size))
+    columns = "recording_id string, ch1 int, ch2 int, _chunk long, "
+    packed = frozen(rows.groupBy(*pair, "_chunk").applyInPandas(pack, columns + "_n long, a binary, b binary, m array<double>"))
+    far = packed.select(*pair, "_chunk", "_n", "m").groupBy(*pair).applyInPandas(fields, columns + "f array<double>")
+    c = F.col("_chunk")
+    near = packed.select(*pair, "_n", "a", "b", c.alias("_from"), F.explode(F.array(c - 1, c, c + 1)).alias("_chunk")).join(far, [*pair, "_chunk"])
+    got = near.groupBy(*pair, "_chunk").applyInPandas(put, schema)
+    short = both.join(F.broadcast(long.select(*pair)), pair, "left_anti")
+    return _thresholded(short.groupBy(*pair).applyInPandas(run, schema).unionByName(got), threshold)
 
 
 def static_network(windows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fibra.functions import bands, spectra
-from fibra.operators import quality
+from fibra.operators import network, quality
 from fibra.sources import signals
 
 
@@ -78,3 +78,19 @@ def test_no_task_of_a_long_channel_holds_it_whole(spark, monkeypatch):
         monkeypatch.setattr(quality, name, None)
     assert quality.beat_counts(df, 1000, chunk=400).first()["ecg_rpeaks"] >= 4
     assert quality.powerline(df, 1000, chunk=400).count() == quality.ecg_scores(df, 1000, chunk=400).count() == 1
+
+
+@pytest.mark.parametrize("cycles", [3, 7])
+def test_wavelets_by_chunks_are_those_of_whole_channels(spark, monkeypatch, cycles):
+    rng = np.random.default_rng(6)
+    walk = rng.normal(size=9001).cumsum() + 20  # the transform of the whole reaches everywhere
+    df = channels(spark, walk, np.roll(walk, 3) + rng.normal(size=9001), rng.normal(size=9001))
+    ask = dict(frequencies=range(40, 101, 20), window_sec=0.064, step_sec=0.032, n_cycles=cycles, smoothing_cycles=1)
+    rows = [{(r["ch1"], r["ch2"], r["window"]): (r["time_sec"], r["weight"]) for r in network.wavelet_network(df, 1000, chunk=chunk, **ask).collect()} for chunk in (None, 1000)]
+    assert rows[0].keys() == rows[1].keys() and len(rows[0]) == 3 * len(range(0, 9001 - 64 + 1, 32))
+    for key, (time, weight) in rows[0].items():
+        assert rows[1][key][0] == time and (weight is None) == (rows[1][key][1] is None)
+        assert weight is None or rows[1][key][1] == pytest.approx(weight, rel=1e-8, abs=1e-10)
+    # no transform of a whole long pair is asked for
+    monkeypatch.setattr(network, "_morlet", None)
+    assert network.wavelet_network(df, 1000, chunk=1000, **ask).count() == len(rows[0])
