@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fibra.functions.tables import frozen
-from fibra.operators import rowblocks
+from fibra.operators import rowblocks, templates
 from fibra.operators.mixtures import mixture_model, recording_mixture, sufficient_statistics, synergy_mixture  # noqa: F401
 from fibra.operators.rowblocks import rng_of as _rng
 
@@ -325,8 +325,23 @@ def convolutive(v: np.ndarray, n: int, length: int, rng, max_iter: int = 300, to
     return w, h, 1 - ((v - model()) ** 2).sum() / norm, it
 
 
-def convolutive_synergies(samples: DataFrame, n_synergies: int, length: int, max_iter: int = 300, tol: float = 1e-6, restarts: int = 3, seed: int = 1, assay: str = "env") -> DataFrame:
-    """Parts template (component x (lag * channels + channel)) and activation (component x sample) of each recording."""
+def convolutive_synergies(samples: DataFrame, n_synergies: int, length: int, max_iter: int = 300, tol: float = 1e-6, restarts: int = 3, seed: int = 1, assay: str = "env", block: int | None = None) -> DataFrame:
+    """Parts template (component x (lag * channels + channel)) and activation (component x sample) of each recording.
+
+    Recordings of more than ``block`` samples (``rowblocks.BLOCK``) are factorised by chunks, from the same starts.
+    """
+    sizes = _sizes(samples)
+    long = sizes.where(F.col("last") > (block or rowblocks.BLOCK))
+    if not long.limit(1).count():
+        return _convolutive_in_tasks(samples, n_synergies, length, max_iter, tol, restarts, seed, assay)
+    long = long.select("recording_id", "channels")
+    ids = F.broadcast(long.select("recording_id"))
+    over = templates.factorised(samples.join(ids, "recording_id", "left_semi"), long, n_synergies, length, max_iter, tol, restarts, seed, assay, FACTORS, block)
+    return over.unionByName(_convolutive_in_tasks(samples.join(ids, "recording_id", "left_anti"), n_synergies, length, max_iter, tol, restarts, seed, assay))
+
+
+def _convolutive_in_tasks(samples, n_synergies, length, max_iter, tol, restarts, seed, assay) -> DataFrame:
+    """Each restart of a recording in a task of its own."""
     jobs = F.explode(F.sequence(F.lit(1), F.lit(restarts)))
     spread = samples.select("recording_id", "channel", "sample", assay, jobs.alias("restart"))
 

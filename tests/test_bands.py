@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fibra.functions import bands, spectra
-from fibra.operators import network, quality
+from fibra.operators import network, quality, synergy
 from fibra.sources import signals
 
 
@@ -94,3 +94,18 @@ def test_wavelets_by_chunks_are_those_of_whole_channels(spark, monkeypatch, cycl
     # no transform of a whole long pair is asked for
     monkeypatch.setattr(network, "_morlet", None)
     assert network.wavelet_network(df, 1000, chunk=1000, **ask).count() == len(rows[0])
+
+
+def test_convolutive_factors_by_chunks_are_those_of_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.uniform(size=(3, 1203)) + np.abs(np.sin(np.arange(1203) / 30))
+    df = channels(spark, *x)
+    gap = df.where("channel <> 2 or sample not in (5, 700)").withColumn("recording_id", F.lit("s"))
+    both = df.unionByName(gap)
+    key = ["recording_id", "part", "component", "place"]
+    whole, parts = (synergy.convolutive_synergies(both, 2, 6, 20, restarts=2, assay="raw", block=block).toPandas().sort_values(key).reset_index(drop=True) for block in (None, 150))
+    assert (whole[[*key, "restart", "iterations"]] == parts[[*key, "restart", "iterations"]]).all(axis=None)
+    assert np.allclose(whole[["value", "vaf", "error"]], parts[["value", "vaf", "error"]], rtol=1e-7, atol=1e-10)
+    # no task is given a long recording whole
+    monkeypatch.setattr(synergy, "convolutive", None)
+    assert synergy.convolutive_synergies(df, 2, 6, 2, restarts=1, assay="raw", block=150).count() == 2 * 3 * 6 + 2 * 1203
