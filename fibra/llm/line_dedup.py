@@ -16,8 +16,9 @@ one goes itself); a line without words stays.
 4. The others are joined to all earlier classes by the prefix filter: similar sets share one of
    their rarest n - ceil(t n) + 1 words.  A shared word counts under the length filter, the
    positional filter, and the parities of 64 word groups (each that differs is a word that only
-   one of both has); a pair's shared words together bound its overlap by their number and the
-   words left after the last one.
+   one of both has), of 128 where both lines are long; a pair's shared words together bound its
+   overlap by their number and the words left after the last one.  Rows of the join hold a key and
+   no place; which of two classes starts earlier is looked up for the pairs that are left.
 5. Pairs are verified on the whole sets, read again from the documents that hold them.
 
 Defined cases: a null text has no lines, an empty one has one line without words; rows that share
@@ -33,11 +34,13 @@ from pyspark.sql import functions as F
 
 from fibra.llm._spark import fresh, table, written
 
-SPACES = r"[\x20\x09-\x0D]+"
+SPACES = "\t\n\x0b\x0c\r"
 WORDED = r"[^\x20\x09-\x0D]"
 THRESHOLD = 80
 FREQ_BITS = 18
 RANK_BITS = 6
+#: Lines of more words have parities of 128 groups: 64 tell random lines of up to about 100 words apart.
+LONG = 80
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -49,15 +52,22 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(F.lower(line)))
 
 
+def split_words(text: Column) -> Column:
+    """The lower-case words, with empty ones between spaces: one character splits much faster than a pattern."""
+    text = F.lower(text)
+    for space in SPACES:
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.split(text, " ")
+
+
 def word_hashes(line: Column) -> Column:
     """Hashes of the line's distinct words."""
-    words = F.array_remove(F.split(F.lower(line), SPACES), "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.array_remove(split_words(line), ""), lambda w: F.xxhash64(w)))
 
 
 def bucket_ranks(docs: DataFrame) -> bytes:
     """For each hash bucket of words a byte: one above its rank from 0 (rare), by the logarithm of its count."""
-    words = docs.select(F.explode(F.split(F.lower("text"), SPACES)).alias("word")).where("word <> ''")
+    words = docs.select(F.explode(split_words(F.col("text"))).alias("word")).where("word <> ''")
     counts = words.groupBy(F.xxhash64("word").bitwiseAND((1 << FREQ_BITS) - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     ranks = bytearray(b"\x01" * (1 << FREQ_BITS))
     rank = F.least(F.lit((1 << RANK_BITS) - 2), F.floor(2 * F.log2("n"))).cast("int")
@@ -81,13 +91,19 @@ def rarest_first(hashes: Column, ranks: bytes) -> Column:
 
 def line_classes(docs: DataFrame, ranks: bytes, t100: int) -> DataFrame:
     """One row for each class of lines with words: key, doc_id and line_no of its earliest line, n
-    words, their prefix, the least and greatest word hash, the parities of their 64 groups."""
+    words, their prefix, the least and greatest word hash, the parities of their 64 groups, and of
+    long lines (else null) the parities of those words that are in the upper half of 128 groups."""
     lines = lines_of(docs).where(F.col("line").rlike(WORDED))
     sets = lines.select("doc_id", "line_no", line_key(F.col("line")).alias("key"), word_hashes(F.col("line")).alias("hashes"))
     sets = sets.select("doc_id", "line_no", "key", F.size("hashes").alias("n"), F.array_min("hashes").alias("least"), F.array_max("hashes").alias("greatest"), rarest_first(F.col("hashes"), ranks).alias("words"))
-    parity = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))))
+
+    def parities(one) -> Column:
+        return F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one(w), w.bitwiseAND(63).cast("int"))))
+
+    parity = parities(lambda w: F.lit(1).cast("long"))
+    upper = F.when(F.col("n") > LONG, parities(lambda w: F.shiftright(w, 6).bitwiseAND(1)))
     prefix = F.slice("words", 1, (F.col("n") - F.ceil(F.col("n") * t100 / 100) + 1).cast("int"))
-    held = F.struct("doc_id", "line_no", "n", "least", "greatest", parity.alias("parity"), prefix.alias("prefix"))
+    held = F.struct("doc_id", "line_no", "n", "least", "greatest", parity.alias("parity"), upper.alias("upper"), prefix.alias("prefix"))
     return written(sets.select("key", held.alias("held")).groupBy("key").agg(F.min("held").alias("held")).select("key", "held.*"))
 
 
@@ -103,7 +119,8 @@ def _earlier(doc: str = "doc_id", line: str = "line_no") -> Column:
 
 def _may_agree(n_a: Column, n_b: Column, t100: int) -> Column:
     """Length filter, and the parities that differ as words of one set alone."""
-    apart = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b")))
+    all_, upper = F.col("parity_a").bitwiseXOR(F.col("parity_b")), F.col("upper_a").bitwiseXOR(F.col("upper_b"))
+    apart = F.when(upper.isNull(), F.bit_count(all_)).otherwise(F.bit_count(upper) + F.bit_count(all_.bitwiseXOR(upper)))
     return (100 * n_a >= t100 * n_b) & (100 * n_b >= t100 * n_a) & ((100 + t100) * (n_a + n_b - apart) >= 2 * t100 * (n_a + n_b))
 
 
@@ -112,8 +129,8 @@ PLACES = ("key_a", "doc_id_a", "line_no_a", "key_b", "doc_id_b", "line_no_b")
 
 def family_pairs(classes: DataFrame, t100: int) -> DataFrame:
     """Each class with the earliest one of the same least, and of the same greatest, word hash."""
-    rows = classes.select(F.posexplode(F.array("least", "greatest")).alias("end", "hash"), "doc_id", "line_no", "key", "n", "parity")
-    held = F.min(F.struct("doc_id", "line_no", "key", "n", "parity")).alias("held")
+    rows = classes.select(F.posexplode(F.array("least", "greatest")).alias("end", "hash"), "doc_id", "line_no", "key", "n", "parity", "upper")
+    held = F.min(F.struct("doc_id", "line_no", "key", "n", "parity", "upper")).alias("held")
     firsts = rows.groupBy("end", "hash").agg(held, F.count("*").alias("rows")).where("rows > 1").select("end", "hash", "held.*")
     met = _side(firsts, "a", "end", "hash").join(_side(rows, "b", "end", "hash"), ["end", "hash"])
     return met.where(_earlier() & _may_agree(F.col("n_a"), F.col("n_b"), t100)).select(*PLACES).distinct()
@@ -122,17 +139,23 @@ def family_pairs(classes: DataFrame, t100: int) -> DataFrame:
 def prefix_pairs(classes: DataFrame, t100: int) -> DataFrame:
     """Candidates (a before b, b open) by shared prefix words.
 
-    ``m`` is n for an open class and -n for a settled one: the length filter then fails where b is
-    settled, and both sides of the join stay one and the same shuffle.
+    ``about`` is n, the word's place and whether the class is open, in one number.
     """
-    lists = classes.select("key", "doc_id", "line_no", F.when(F.col("open"), F.col("n")).otherwise(-F.col("n")).alias("m"), "parity", F.posexplode("prefix").alias("at", "word"))
-    n_a, n_b = F.abs("m_a"), F.col("m_b")
-    most = F.least("at_a", "at_b") + F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))
+    about = F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("at").cast("long"), 1) + F.col("open").cast("long")
+    lists = classes.select("key", "n", "open", "parity", "upper", F.posexplode("prefix").alias("at", "word")).select("key", "word", about.alias("about"), "parity", "upper")
+    n_a, n_b = (F.shiftright(f"about_{side}", 32).cast("int") for side in "ab")
+    at_a, at_b = (F.shiftright(F.col(f"about_{side}").bitwiseAND(0xFFFFFFFF), 1).cast("int") for side in "ab")
+    most = F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)
     met = _side(lists, "a", "word").join(_side(lists, "b", "word"), "word")
-    met = met.where(_may_agree(n_a, n_b, t100) & ((100 + t100) * most >= t100 * (n_a + n_b)) & _earlier())
-    last = F.least(F.any_value(n_a) - F.max("at_a"), F.any_value(n_b) - F.max("at_b")) - 1
-    bound = met.groupBy(*PLACES).agg((F.count("*") + last).alias("most"), F.any_value(n_a + n_b).alias("sum"))
-    return bound.where((100 + t100) * F.col("most") >= t100 * F.col("sum")).select(*PLACES)
+    one_open = F.col("about_a").bitwiseOR(F.col("about_b")).bitwiseAND(1) == 1
+    met = met.where((F.col("key_a") < F.col("key_b")) & one_open & _may_agree(n_a, n_b, t100) & ((100 + t100) * most >= t100 * (n_a + n_b)))
+    last = F.least(F.any_value(n_a) - F.max(at_a), F.any_value(n_b) - F.max(at_b)) - 1
+    bound = met.groupBy("key_a", "key_b").agg((F.count("*") + last).alias("most"), F.any_value(n_a + n_b).alias("sum"))
+    bound = written(bound.where((100 + t100) * F.col("most") >= t100 * F.col("sum")).select("key_a", "key_b"))
+    held = classes.select("key", "doc_id", "line_no", "open")
+    placed = bound.join(_side(held.withColumnRenamed("key", "key_a"), "a", "key_a"), "key_a").join(_side(held.withColumnRenamed("key", "key_b"), "b", "key_b"), "key_b")
+    turned = placed.select(*[F.col(x[:-1] + ("b" if x[-1] == "a" else "a")).alias(x) for x in placed.columns])
+    return placed.unionByName(turned).where(_earlier() & F.col("open_b")).select(*PLACES)
 
 
 def similar(docs: DataFrame, pairs: DataFrame, t100: int) -> DataFrame:

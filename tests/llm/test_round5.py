@@ -39,3 +39,21 @@ def test_scores_equal_plain_mixing_and_words_are_hashed_once(monkeypatch):
                 want += math.log10(min(max(p if bit else 1 - p, 1e-6), 1 - 1e-6))
                 w += L.RATE * (bit - p) * x
         assert math.isclose(got[r], want, rel_tol=1e-4)
+
+
+def test_line_join_tells_long_random_lines_apart_by_128_parities(spark):
+    from pyspark.sql import functions as F
+
+    from fibra.llm import line_dedup
+
+    rng = np.random.default_rng(6)
+    lines = [" ".join(f"w{x}" for x in rng.choice(4000, 150, replace=False)) for _ in range(40)]
+    near = lines[3].split(" ")
+    near[40:46] = ["x1", "x2", "x3"]
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate([*lines, " ".join(near)])], "doc_id long, text string")
+    classes = line_dedup.line_classes(docs, line_dedup.bucket_ranks(docs), 80)
+    sides = [line_dedup._side(classes.select("doc_id", "n", "parity", *[c for c in classes.columns if c == "upper"]), s) for s in "ab"]
+    met = sides[0].join(sides[1], F.expr("doc_id_a < doc_id_b"))
+    assert [tuple(r) for r in met.where(line_dedup._may_agree(F.col("n_a"), F.col("n_b"), 80)).select("doc_id_a", "doc_id_b").collect()] == [(3, 40)]
+    removed = {r["doc_id"]: r["removed"] for r in line_dedup.removed_lines(docs).collect()}
+    assert removed == {i: [0] if i == 40 else [] for i in range(41)}
